@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from axisgauge.llm import exact_dedup, token_output
+from axisgauge.llm import exact_dedup, ngram_join, token_output
 
 QUERIES = {
+    "op4_ngram_join": ngram_join.op4_ngram_join,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op10_token_output": token_output.op10_token_output,
 }
 ORACLE = {
+    "op4_ngram_join": ngram_join.OP4_SQL,
     "op5_exact_dedup": exact_dedup.OP5_SQL,
 }
