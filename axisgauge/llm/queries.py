@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from axisgauge.llm import exact_dedup, ngram_join, token_output
+from axisgauge.llm import exact_dedup, language_id, ngram_join, token_output
 
 QUERIES = {
     "op4_ngram_join": ngram_join.op4_ngram_join,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op9_language_id": language_id.op9_language_id,
     "op10_token_output": token_output.op10_token_output,
 }
 ORACLE = {
