@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from axisgauge.llm import exact_dedup, language_id, ngram_join, token_output
+from axisgauge.llm import decontaminate, exact_dedup, language_id, ngram_join, sharding, token_output
 
 QUERIES = {
+    "op1_decontaminate": decontaminate.op1_decontaminate,
     "op4_ngram_join": ngram_join.op4_ngram_join,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op8_sharding": sharding.op8_sharding,
     "op9_language_id": language_id.op9_language_id,
     "op10_token_output": token_output.op10_token_output,
 }
 ORACLE = {
+    "op1_decontaminate": decontaminate.OP1_SQL,
     "op4_ngram_join": ngram_join.OP4_SQL,
     "op5_exact_dedup": exact_dedup.OP5_SQL,
 }
