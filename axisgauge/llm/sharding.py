@@ -24,7 +24,7 @@ from axisgauge.llm.common import scratch
 
 RATIO, RUNS = 4, 4
 SMALL, TARGET = 4_000, 32 << 20
-MANIFEST = T.StructType().add("version", "long").add("file", "string").add("bytes", "long").add("n_rows", "long").add("tier", "int")
+MANIFEST = T.StructType().add("version", "long").add("file", "string").add("bytes", "long").add("n_rows", "long").add("tier", "integer")
 
 
 def _context(spark: SparkSession, path: str):
