@@ -2,18 +2,19 @@
 
 A document's set is that of its distinct n-word shingles (hashed to 64 bits; a text with fewer words has its whole
 sequence as one). Two sets with similarity t or more share one of the first |set| - ceil(t |set|) + 1 shingles (the
-prefix) of each in any common order. The order here is: shingles found in few prefixes first, then by hash.
+prefix) of each in any common order, and m of the first that many + m - 1. The order here is: shingles found in few prefixes first, then by hash.
 
 1. One pass over the texts counts, in blobs of hashes dealt by hash, which shingles stand in many prefixes. The list
    of frequent ones is held to `DEMOTED` entries by raising the threshold, so it is safe to broadcast; it changes the
    order only, never a result.
 2. A second pass computes each document's prefix. Documents with the same prefix and size are one group, and a group
    appears once under each of its prefix's shingles, whatever number of documents it has.
-3. Groups that meet under a shingle are filtered by size and become group pairs. Where more than `PAIRED` groups meet,
-   no pairs are made: the list of groups is kept, and equal lists are kept once.
-4. Group pairs are expanded to classes of equal sets and verified on the whole sets. Lists are expanded and cut into
-   blocks of bounded size; within a block all sets are compared at once, and what comes out is a spanning set of links,
-   not all pairs. Every pair of blocks of a list is compared, so no link between different sets is lost.
+3. Groups that meet under a shingle are filtered by size and become group pairs; a pair must share `SHARED` shingles of
+   its (that much longer) prefixes. Where more than `PAIRED` groups meet, no pairs are made: the list of groups is kept,
+   and equal lists are kept once.
+4. What has met forms clusters. A cluster is expanded to its members, classes of equal sets, and cut into blocks of
+   bounded size. Every two blocks of a cluster meet in one task, which compares all whole sets there and gives a
+   spanning set of the links, not all pairs; so no link between different sets is lost.
 5. Links give components.
 
 Defined results: null or empty texts and texts without words have empty sets and link with nothing; rows with one id
@@ -37,8 +38,10 @@ from axisgauge.llm.components import components
 
 #: A shingle in more prefixes than this is put at the end of the order; the list of them has at most so many entries.
 FREQUENT, DEMOTED = 8, 1_000_000
-#: So many groups under one shingle are paired one by one; more are compared in blocks of so many set elements.
-PAIRED, BLOCK_ELEMENTS = 16, 300_000
+#: So many groups under one shingle are paired one by one; the lists of more are kept whole.
+PAIRED = 16
+#: Pairs must share so many shingles of their prefixes, which are that much longer; elements of sets in a block.
+SHARED, BLOCK_ELEMENTS = 4, 300_000
 #: Bytes of text, and elements of prefixes, held at once by a task.
 SLICE, HELD = 2 << 20, 1 << 20
 
@@ -143,7 +146,7 @@ def candidates(docs: DataFrame, width: int, num: int, den: int, frequent: np.nda
                     keys.append(None), group_of.append(None), n_of.append(0), where.append(row % buckets)
                     continue
                 key = hashlib.blake2b(found.tobytes(), digest_size=16).digest()
-                k = prefix_size(n, num, den)
+                k = min(n, prefix_size(n, num, den) + SHARED - 1)
                 first = found
                 if len(rare_last):
                     at = np.searchsorted(rare_last, found)
@@ -191,7 +194,12 @@ def candidates(docs: DataFrame, width: int, num: int, den: int, frequent: np.nda
                 x, y = (at[:, None] + x).ravel(), (at[:, None] + y).ravel()
                 near = np.minimum(sizes[x], sizes[y]).astype(np.int64) * den >= np.maximum(sizes[x], sizes[y]).astype(np.int64) * num
                 found.append(np.stack([groups[x[near]], groups[y[near]]]))
-        pairs = np.unique(np.concatenate(found, 1), axis=1) if found else np.zeros((2, 0), np.int64)
+        pairs, shared = np.zeros((2, 0), np.int64), np.zeros(0, np.int64)
+        if sum(x.shape[1] for x in found):
+            pairs = np.concatenate(found, 1)
+            pairs = pairs[:, np.lexsort(pairs)]
+            begin = np.flatnonzero(np.concatenate([[True], (pairs[:, 1:] != pairs[:, :-1]).any(0)]))
+            pairs, shared = pairs[:, begin], np.diff(np.append(begin, pairs.shape[1]))
         lists: dict[int, np.ndarray] = {}
         for s, c in zip(starts[counts > PAIRED].tolist(), counts[counts > PAIRED].tolist(), strict=True):
             members = groups[s : s + c]
@@ -200,7 +208,7 @@ def candidates(docs: DataFrame, width: int, num: int, den: int, frequent: np.nda
         members = np.concatenate(list(lists.values())) if lists else np.zeros(0, np.int64)
         n = pairs.shape[1] + len(of)
         more = pa.table({
-            "a": np.concatenate([pairs[0], of]), "b": np.concatenate([pairs[1], members]), "n": pa.nulls(n, pa.int64()), "key": pa.nulls(n, pa.binary()),
+            "a": np.concatenate([pairs[0], of]), "b": np.concatenate([pairs[1], members]), "n": np.concatenate([shared, np.zeros(len(of), np.int64)]), "key": pa.nulls(n, pa.binary()),
             "kind": pa.array(["pair"] * pairs.shape[1] + ["list"] * len(of), pa.string()),
         })
         return pa.concat_tables([docs.select(["kind", "a", "b", "n", "key"]), more.select(["kind", "a", "b", "n", "key"])])
@@ -209,11 +217,6 @@ def candidates(docs: DataFrame, width: int, num: int, den: int, frequent: np.nda
     return written(rows.groupBy("bucket").applyInArrow(meet, "kind string, a long, b long, n long, key binary"), "prefixes")
 
 
-def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both * (num + den) >= num * (len(a) + len(b))
-
-
 def block_links(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
     """A spanning set of the links among the sets: row numbers, each with the first row of its component."""
     m, n = len(sets), np.array([len(s) for s in sets])
@@ -241,74 +244,63 @@ def block_links(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, i
 
 
 def ngram_join(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links_class: similarity num / den or more links; ids are cast to long."""
+    """doc_id, n_shingles, component_id; a similarity of num / den or more links; ids are cast to long."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = candidates(docs, width, num, den, frequent_shingles(docs.select("text"), width, num, den, buckets), buckets)
     of_docs = found.where("kind = 'doc'").select(F.col("a").alias("doc_id"), F.col("b").alias("grp"), "n", "key")
-    # classes of equal sets
+    # classes of equal sets, and groups of classes
     classes = written(of_docs.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("cls"), F.first("grp").alias("grp"), F.first("n").alias("n")), "classes")
-    sizes = classes.groupBy("grp").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("total"))
-    crowded = sizes.where("size > 1")
-    pairs = found.where("kind = 'pair'").select("a", "b").distinct()
-    pairs = pairs.join(sizes.select(F.col("grp").alias("a"), F.col("size").alias("sa")), "a").join(sizes.select(F.col("grp").alias("b"), F.col("size").alias("sb")), "b")
-    one = classes.select(F.col("grp").alias("a"), F.col("cls").alias("x"))
-    two = classes.select(F.col("grp").alias("b"), F.col("cls").alias("y"))
-    few = pairs.where(f"sa * sb <= {PAIRED * PAIRED}").join(one, "a").join(two, "b").select("x", "y")
-    inside = classes.join(crowded.where(f"size <= {PAIRED}").select("grp"), "grp").select("grp", "cls")
-    inside = inside.select("grp", F.col("cls").alias("x")).join(inside.select("grp", F.col("cls").alias("y")), "grp").where("x < y").select("x", "y")
-    to_verify = written(few.unionByName(inside).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).where("x != y").distinct(), "pairs")
-    lists = (
-        found.where("kind = 'list'").select(F.col("a").alias("list"), F.col("b").alias("grp"))
-        .unionByName(crowded.where(f"size > {PAIRED}").select(F.col("grp").alias("list"), "grp"))
-        .unionByName(pairs.where(f"sa * sb > {PAIRED * PAIRED}").select(F.hash("a", "b").cast("long").alias("list"), F.explode(F.array("a", "b")).alias("grp")))
-        .distinct().join(classes.select("grp", "cls", "n"), "grp").select("list", "cls", "n").distinct()
+    groups = classes.groupBy("grp").agg(F.min("cls").alias("head"), F.first("n").alias("n"))
+    # the groups that meet, as links between their heads: these only say what is compared with what
+    overlap = F.ceil((F.col("na") + F.col("nb")) * num / F.lit(num + den) - 1e-9)
+    pairs = (
+        found.where("kind = 'pair'").groupBy("a", "b").agg(F.sum("n").alias("shared"))
+        .join(groups.select(F.col("grp").alias("a"), F.col("head").alias("ha"), F.col("n").alias("na")), "a")
+        .join(groups.select(F.col("grp").alias("b"), F.col("head").alias("hb"), F.col("n").alias("nb")), "b")
+        .where(F.col("shared") >= F.least(F.lit(SHARED), overlap)).select(F.col("ha").alias("a"), F.col("hb").alias("b"))
+    )
+    listed = found.where("kind = 'list'").select(F.col("a").alias("list"), F.col("b").alias("grp")).distinct().join(groups.select("grp", "head"), "grp")
+    lists = listed.groupBy("list").agg(F.min("head").alias("a")).join(listed.select("list", F.col("head").alias("b")), "list").select("a", "b")
+    inside = classes.join(groups.select("grp", "head"), "grp").where("cls != head").select(F.col("head").alias("a"), F.col("cls").alias("b"))
+    compared = components(pairs.unionByName(lists).unionByName(inside))
+    members = written(classes.select("cls", "n").join(compared.select(F.col("node").alias("cls"), F.col("component").alias("cluster")), "cls"), "clusters")
+    # blocks of bounded size; every two blocks of a cluster meet in one task
+    cuts = members.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK_ELEMENTS).cast("int").alias("cuts"))
+    own = F.pmod(F.xxhash64("cls"), F.col("cuts")).cast("int")
+    blocks = (
+        members.join(cuts, "cluster").select("cluster", "cls", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("other"))
+        .groupBy("cls").agg(F.first("cluster").alias("cluster"), F.collect_list(F.struct(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))).alias("at"))
     )
-    lists = written(lists, "lists")
-    wanted = to_verify.select(F.explode(F.array("x", "y")).alias("doc_id")).unionByName(lists.select(F.col("cls").alias("doc_id"))).distinct()
-    wanted = written(wanted, "wanted")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, blobs, held = [], [], 0
+            names = ["cls", "cluster", "at"]
+            keys = [batch.column("doc_id"), batch.column("cluster"), batch.column("at")]
             for row, s in document_sets(batch, width):
-                rows.append(row), blobs.append(s.tobytes())
+                rows.append(row), blobs.append(np.ascontiguousarray(s.view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes())  # the upper six bytes
                 held += len(blobs[-1])
                 if held > 8 << 20:
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows)), pa.array(blobs, pa.binary())], ["cls", "tokens"])
+                    yield pa.RecordBatch.from_arrays([*(k.take(pa.array(rows)) for k in keys), pa.array(blobs, pa.binary())], [*names, "tokens"])
                     rows, blobs, held = [], [], 0
             if rows:
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows)), pa.array(blobs, pa.binary())], ["cls", "tokens"])
-
-    whole = written(docs.join(small(wanted), "doc_id", "left_semi").mapInArrow(sets, "cls long, tokens binary"), "sets")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = [linked(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64), num, den) for a, b in zip(batch.column("ta"), batch.column("tb"), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    verified = (
-        to_verify.select(F.col("x").alias("a"), F.col("y").alias("b"))
-        .join(whole.select(F.col("cls").alias("a"), F.col("tokens").alias("ta")), "a")
-        .join(whole.select(F.col("cls").alias("b"), F.col("tokens").alias("tb")), "b")
-        .mapInArrow(verify, "a long, b long")
-    )
+                yield pa.RecordBatch.from_arrays([*(k.take(pa.array(rows)) for k in keys), pa.array(blobs, pa.binary())], [*names, "tokens"])
 
     def in_block(table: pa.Table) -> pa.Table:
-        cls = table.column("cls").to_pylist()
-        found = block_links([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("tokens")], num, den)
+        cls, held = table.column("cls").to_pylist(), []
+        for x in table.column("tokens"):
+            wide = np.zeros((len(x.as_buffer()) // 6, 8), np.uint8)
+            wide[:, 2:] = np.frombuffer(x.as_buffer(), np.uint8).reshape(-1, 6)
+            held.append(wide.view(np.uint64).ravel())
+        found = block_links(held, num, den)
         return pa.table({"a": pa.array([cls[i] for i, _ in found], pa.int64()), "b": pa.array([cls[j] for _, j in found], pa.int64())})
 
-    cuts = lists.groupBy("list").agg(F.ceil(F.sum("n") / BLOCK_ELEMENTS).cast("int").alias("cuts"))
-    own = F.pmod(F.xxhash64("cls"), F.col("cuts")).cast("int")
-    blocks = (
-        lists.join(cuts, "list").select("list", "cls", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("other"))
-        .select("list", "cls", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    )
-    in_blocks = blocks.join(whole, "cls").groupBy("list", "i", "j").applyInArrow(in_block, "a long, b long")
-    links = written(verified.unionByName(in_blocks), "verified")
-    found_components = components(links)
+    whole = docs.join(small(written(blocks, "blocks")).withColumnRenamed("cls", "doc_id"), "doc_id").select("doc_id", "text", "cluster", "at")
+    whole = whole.mapInArrow(sets, "cls long, cluster long, at array<struct<i:int,j:int>>, tokens binary")
+    in_blocks = whole.select("cls", "cluster", "tokens", F.inline("at")).groupBy("cluster", "i", "j").applyInArrow(in_block, "a long, b long")
+    found_components = components(in_blocks)
     member = classes.join(found_components.withColumnRenamed("node", "cls"), "cls", "left").select("key", F.coalesce("component", "cls").alias("component"))
     return of_docs.join(member, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
