@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from axisgauge.llm import decontaminate, exact_dedup, language_id, licenses, mixing, ngram_join, sharding, token_output
+from axisgauge.llm import decontaminate, exact_dedup, language_id, licenses, mixing, ngram_join, repeats, sharding, token_counts, token_output
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_license_scan": licenses.op2_license_scan,
+    "op3_token_counts": token_counts.op3_token_counts,
     "op4_ngram_join": ngram_join.op4_ngram_join,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_mixing": mixing.op6_mixing,
+    "op7_suffix_dedup": repeats.op7_suffix_dedup,
     "op8_sharding": sharding.op8_sharding,
     "op9_language_id": language_id.op9_language_id,
     "op10_token_output": token_output.op10_token_output,
