@@ -14,6 +14,8 @@ with a null id are searched and carry the null; an empty table gives no rows; ot
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -38,6 +40,10 @@ def hashed(w: Column, at: Column, width: int) -> Column:
     return F.xxhash64(*[F.get(w, at + k) for k in range(width)])
 
 
+def hashed_at(w: Column, width: int, at: Column) -> Column:
+    return hashed(w, at, width)
+
+
 def sketches(items: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """(item_id, width, n, shingles), and (width, h, item_id): each item's k smallest hashes."""
     w = lower_words(F.col("text"))
@@ -63,8 +69,11 @@ def contained_items(docs: DataFrame, items: DataFrame, num: int = 4, den: int =
     words = docs.select("doc_id", lower_words(F.col("text")).alias("w"))
     found = None
     for m in sorted(r["width"] for r in low.select("width").distinct().collect()):  # five at most
-        each = words.where(F.size("w") >= m).select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.size("w") - m)).alias("at"))
-        hits = each.select("doc_id", hashed(F.col("w"), F.col("at"), m).alias("h")).join(small(low.where(F.col("width") == m).select("h", "item_id")), "h").select("doc_id", "item_id").distinct()
+        # hashes first, then rows: a row that carried the words would copy them once for each shingle. explode_outer,
+        # since from explode the optimizer infers a filter in which the words are split anew for each shingle.
+        hashes = F.transform(F.sequence(F.lit(0), F.size("w") - m), functools.partial(hashed_at, F.col("w"), m))
+        each = words.select("doc_id", F.when(F.size("w") >= m, F.array_distinct(hashes)).alias("hashes")).select("doc_id", F.explode_outer("hashes").alias("h"))
+        hits = each.join(small(low.where(F.col("width") == m).select("h", "item_id")), "h").select("doc_id", "item_id").distinct()
         found = hits if found is None else found.unionByName(hits)
     if found is None:
         return docs.join(whole.select("item_id", F.col("n").cast("long").alias("n_item_shingles"), F.lit(0).cast("long").alias("n_shared")).limit(0), F.lit(True)).drop("text")
