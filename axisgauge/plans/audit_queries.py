@@ -1,4 +1,122 @@
-"""Queries to come."""
+"""Run matrices, coverage, profiles, costs and identity over the fixture tables."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import functions as F
+
+from axisgauge.functions.numeric import stable_id
+from axisgauge.operators import audit, judges
+from axisgauge.plans.calibration_queries import rounded
+from axisgauge.plans.fixtures import WITH, points, table
+from axisgauge.sources import tables
+
+QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None, plain: bool = False):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql if plain else WITH + sql
+        return f
+
+    return add
+
+
+KEYS = ["scenario_id", "model_id", "seed", "ratio_idx"]
+
+
+def matrix(spark, sf):
+    p = points(spark, sf)
+    return audit.run_matrix(p.select("scenario_id").distinct(), p.select("model_id").distinct(), p.select("seed").distinct(), p.select("ratio_idx").distinct())
+
+
+def actual(spark, sf):
+    return points(spark, sf).where("run_id % 13 != 0").select("run_id", *KEYS)
+
+
+PLAN = ", plan AS (SELECT * FROM (SELECT DISTINCT scenario_id FROM points), (SELECT DISTINCT model_id FROM points), (SELECT DISTINCT seed FROM points), (SELECT DISTINCT ratio_idx FROM points)), act AS (SELECT * FROM points WHERE run_id % 13 <> 0) "
+
+
+@query(PLAN + "SELECT scenario_id, model_id, seed, ratio_idx, 'run_' || substr(sha256(scenario_id || '::' || model_id || '::' || seed || '::' || ratio_idx), 1, 20) AS planned_id FROM plan")
+def id2_run_matrix(spark, sf):
+    return matrix(spark, sf)
+
+
+@query(PLAN + "SELECT scenario_id, model_id, seed, ratio_idx FROM plan EXCEPT SELECT scenario_id, model_id, seed, ratio_idx FROM act")
+def id4_missing_runs(spark, sf):
+    return audit.missing(matrix(spark, sf), actual(spark, sf), KEYS).select(*KEYS)
+
+
+@query(PLAN + "SELECT model_id, scenario_id, planned, coalesce(actual, 0) AS actual FROM (SELECT model_id, scenario_id, count(*) AS planned FROM plan GROUP BY ALL) LEFT JOIN (SELECT model_id, scenario_id, count(*) AS actual FROM act GROUP BY ALL) USING (model_id, scenario_id) WHERE coalesce(actual, 0) < planned")
+def id4_incomplete_groups(spark, sf):
+    return audit.incomplete_groups(matrix(spark, sf), actual(spark, sf), ["model_id", "scenario_id"], KEYS)
+
+
+@query(PLAN + "SELECT status, count(*) AS n FROM (SELECT CASE WHEN a.run_id IS NOT NULL THEN 'ok' WHEN f.run_id IS NOT NULL THEN 'r' || (f.run_id % 3) ELSE 'missing_unattempted' END AS status FROM plan LEFT JOIN act a USING (scenario_id, model_id, seed, ratio_idx) LEFT JOIN (SELECT * FROM points WHERE run_id % 13 = 0) f USING (scenario_id, model_id, seed, ratio_idx)) GROUP BY 1")
+def id5_status(spark, sf):
+    f = points(spark, sf).where("run_id % 13 = 0").select(*KEYS, F.concat(F.lit("r"), (F.col("run_id") % 3).cast("string")).alias("reason"), F.col("run_id").alias("o"))
+    return audit.status(matrix(spark, sf), actual(spark, sf), f, KEYS, "o").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(PLAN + "SELECT state, count(*) AS n FROM (SELECT CASE WHEN i.run_id IS NULL THEN 'orphan' WHEN c.run_id IS NULL THEN 'missing' ELSE 'covered' END AS state FROM (SELECT run_id FROM points WHERE run_id % 7 <> 0) i FULL JOIN act c USING (run_id)) GROUP BY 1")
+def id13_coverage(spark, sf):
+    p, a = points(spark, sf), actual(spark, sf)
+    return audit.coverage(p.where("run_id % 7 != 0"), a.where("run_id % 2 = 0"), a.where("run_id % 2 = 1"), "run_id").groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT count(*) AS records, count(DISTINCT user_id) AS distinct_keys, count(*) - count(DISTINCT user_id) AS surplus, count(*) FILTER (props IS NULL) AS null_props FROM events", plain=True)
+def id7_profile(spark, sf):
+    return audit.profile(table(spark, sf, "events"), ["user_id"]).select("records", "distinct_keys", F.col("surplus").cast("long").alias("surplus"), F.element_at("nulls", "props").alias("null_props"))
+
+
+@query("SELECT 'lang' AS field, lang AS value, count(*) AS n FROM documents GROUP BY ALL UNION ALL SELECT 'source', source, count(*) FROM documents GROUP BY ALL", plain=True)
+def id7_value_counts(spark, sf):
+    return audit.value_counts(table(spark, sf, "documents"), ["lang", "source"])
+
+
+@query("SELECT doc_id, CASE WHEN k IS NULL THEN 'missing_id' WHEN t IS NULL THEN 'empty_text' WHEN row_number() OVER (PARTITION BY k, t IS NOT NULL ORDER BY doc_id) > 1 THEN 'duplicate' END AS reason FROM (SELECT doc_id, nullif(doc_id % 50, 0) AS k, CASE WHEN n_chars > 30 THEN text END AS t FROM documents)", plain=True)
+def id8_split_valid(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.nullif(F.col("doc_id") % 50, F.lit(0)).alias("k"), F.when(F.col("n_chars") > 30, F.col("text")).alias("t"))
+    return audit.split_valid(d, "k", "t", "doc_id").select("doc_id", "reason")
+
+
+@query("SELECT problem, n FROM (SELECT 'missing_fields' AS problem, count(*) FILTER (lang IS NULL OR source IS NULL) AS n FROM documents UNION ALL SELECT 'empty_text', count(*) FILTER (trim(text) = '') FROM documents UNION ALL SELECT 'row_count', abs(count(*) - 999) FROM documents UNION ALL SELECT 'duplicates', count(*) - count(DISTINCT n_chars) FROM documents) WHERE n > 0", plain=True)
+def id6_consolidation_gate(spark, sf):
+    return audit.problems(table(spark, sf, "documents"), ["n_chars"], ["lang", "source"], "text", 999)
+
+
+@query("SELECT user_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1", plain=True)
+def id16_keep_last(spark, sf):
+    return judges.keep_last(table(spark, sf, "events"), ["user_id"], "event_id").select("user_id", "event_type")
+
+
+@query("SELECT event_type, sum(i)::BIGINT AS input_tokens, sum(least(c, i))::BIGINT AS cached_tokens, sum(o)::BIGINT AS output_tokens, round(sum((i - least(c, i)) * 2.0 + least(c, i) * 0.2 + o * 10.0) / 1e6, 6) AS cost FROM (SELECT event_type, user_id AS i, event_id % 300 AS c, user_id % 17 AS o FROM events) GROUP BY 1", plain=True)
+def id18_cost(spark, sf):
+    usage = table(spark, sf, "events").select("event_type", F.lit("j").alias("model_id"), F.col("user_id").alias("input_tokens"), (F.col("event_id") % 300).alias("cached_tokens"), (F.col("user_id") % 17).alias("output_tokens"))
+    prices = spark.range(1).select(F.lit("j").alias("model_id"), F.lit(2.0).alias("input_price"), F.lit(0.2).alias("cached_price"), F.lit(10.0).alias("output_price"))
+    return rounded(audit.cost(usage, prices, ["event_type"]))
+
+
+@query("SELECT user_id % 4 AS stage, count(*) FILTER (value > 20) AS success, count(*) FILTER (NOT value > 20) AS failed, array_to_string(list_sort(list_distinct(list(event_type))), '|') AS models, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1", plain=True)
+def id20_service_table(spark, sf):
+    e = table(spark, sf, "events").select((F.col("user_id") % 4).alias("stage"), (F.col("value") > 20).alias("success"), F.col("event_type").alias("model_id"), F.col("value").alias("latency"))
+    return rounded(audit.service_table(e, ["stage"]))
+
+
+@query("SELECT doc_id, 'd_' || substr(sha256(doc_id || '::' || lang), 1, 20) AS long_id, substr(sha1(doc_id || '::' || source), 1, 16) AS short_id FROM documents", plain=True)
+def id1_stable_ids(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", stable_id("d", F.col("doc_id"), F.col("lang")).alias("long_id"), stable_id("", F.col("doc_id"), F.col("source"), bits=160, length=16).alias("short_id"))
+
+
+@query(PLAN + "SELECT run_id FROM points WHERE run_id NOT IN (SELECT run_id FROM act WHERE seed = 1)")
+def io8_not_yet_done(spark, sf):
+    return tables.not_yet_done(points(spark, sf), actual(spark, sf).where("seed = 1"), ["run_id"]).select("run_id")
+
+
+@query("SELECT l.doc_id, source, quality FROM labels l JOIN documents d USING (doc_id)", plain=True)
+def id17_checked_join(spark, sf):
+    return audit.checked_join(table(spark, sf, "labels").select("doc_id", "quality"), table(spark, sf, "documents").select("doc_id", "source"), ["doc_id"], "1:1")

@@ -242,7 +242,7 @@ def st5_paired_differences(spark, sf):
     return rounded(statistics.paired_summary(p, ["encoder_id"]))
 
 
-@query("""SELECT encoder_id, model_a, model_b, least(sum(r) FILTER (d > 0), sum(r) FILTER (d < 0)) AS statistic FROM (SELECT *, rank() OVER (PARTITION BY encoder_id, model_a, model_b ORDER BY abs(d)) AS r FROM (SELECT encoder_id, a.model_id AS model_a, b.model_id AS model_b, a.ice - b.ice AS d FROM scen a JOIN scen b USING (encoder_id, scenario_id) WHERE a.model_id < b.model_id)) GROUP BY ALL HAVING sum(r) FILTER (d > 0) IS NOT NULL AND sum(r) FILTER (d < 0) IS NOT NULL""")
+@query("""SELECT encoder_id, model_a, model_b, least(sum(r) FILTER (d > 0), sum(r) FILTER (d < 0))::BIGINT AS statistic FROM (SELECT *, rank() OVER (PARTITION BY encoder_id, model_a, model_b ORDER BY abs(d)) AS r FROM (SELECT encoder_id, a.model_id AS model_a, b.model_id AS model_b, a.ice - b.ice AS d FROM scen a JOIN scen b USING (encoder_id, scenario_id) WHERE a.model_id < b.model_id)) GROUP BY ALL HAVING sum(r) FILTER (d > 0) IS NOT NULL AND sum(r) FILTER (d < 0) IS NOT NULL""")
 def st7_wilcoxon_statistic(spark, sf):
     p = statistics.paired_differences(scenario(spark, sf, True), ["encoder_id"], "model_id", "scenario_id", "interior_calibration_error")
     return statistics.wilcoxon(p, ["encoder_id", "model_a", "model_b"], zeros="drop").where("statistic > 0").select("encoder_id", "model_a", "model_b", F.col("statistic").cast("long").alias("statistic"))

@@ -1,4 +1,175 @@
-"""Queries to come."""
+"""Judges, pairwise audits, robustness conditions, raters and serving telemetry over the fixture tables."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import functions as F
+
+from axisgauge.functions.numeric import hex8
+from axisgauge.operators import geometry, judges, serving, statistics
+from axisgauge.plans.calibration_queries import rounded
+from axisgauge.plans.fixtures import WITH, draw, points, samples, scores, table
+
+QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None, plain: bool = False):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql if plain else WITH + sql
+        return f
+
+    return add
+
+
+def both(spark, sf):
+    s = scores(spark, sf).where("not missing").select("run_id", "judge", "intensity", "naturalness", "passed")
+    index = points(spark, sf).select("run_id", "scenario_id", "style_axis", "model_id", "seed", "target_ratio", "ratio_idx")
+    one, two = (s.where(F.col("judge") == j).drop("judge") for j in ("j1", "j2"))
+    return judges.two_judges(index, one, two, ["run_id"])
+
+
+TWO = ", two AS (SELECT p.run_id, p.scenario_id, p.style_axis, p.model_id, p.ratio_idx, a.intensity AS a, b.intensity AS b, a.passed AS pa, b.passed AS pb FROM points p LEFT JOIN (SELECT * FROM jud WHERE judge = 'j1' AND NOT missing) a USING (run_id) LEFT JOIN (SELECT * FROM jud WHERE judge = 'j2' AND NOT missing) b USING (run_id)) "
+
+
+@query("SELECT judge, model_id, count(*) AS n, round(avg(abs(intensity / 100.0 - target_ratio)), 6) AS mae, round(avg(intensity / 100.0 - target_ratio), 6) + 0.0 AS bias, round(avg(naturalness), 6) AS naturalness, round(avg(passed::INT), 6) AS pass_rate FROM jud WHERE NOT missing AND ratio_idx BETWEEN 1 AND 5 GROUP BY ALL")
+def ju15_judge_summary(spark, sf):
+    s = scores(spark, sf).where("not missing and ratio_idx between 1 and 5").withColumn("d", F.col("intensity") / 100.0 - F.col("target_ratio"))
+    return rounded(s.groupBy("judge", "model_id").agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs("d")).alias("mae"), F.avg("d").alias("bias"), F.avg("naturalness").alias("naturalness"), F.avg(F.col("passed").cast("double")).alias("pass_rate")))
+
+
+@query(TWO + """, s AS (SELECT 'overall' AS kind, 'all' AS stratum, a, b FROM two UNION ALL SELECT 'axis', style_axis, a, b FROM two UNION ALL SELECT 'ratio', ratio_idx::VARCHAR, a, b FROM two), c AS (SELECT * FROM s WHERE a IS NOT NULL AND b IS NOT NULL),
+r AS (SELECT *, rank() OVER (PARTITION BY kind, stratum ORDER BY a) + (count(*) OVER (PARTITION BY kind, stratum, a) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY kind, stratum ORDER BY b) + (count(*) OVER (PARTITION BY kind, stratum, b) - 1) / 2.0 AS rb FROM c)
+SELECT kind, stratum, count(*) AS n, round(avg(a - b), 6) + 0.0 AS mean_difference, round(avg(abs(a - b)), 6) AS mae, round(corr(a, b), 6) AS pearson, round(corr(ra, rb), 6) AS spearman FROM r GROUP BY ALL""")
+def ju16_agreement_by_stratum(spark, sf):
+    strata = {"overall": F.lit("all"), "axis": F.col("style_axis"), "ratio": F.col("ratio_idx")}
+    return rounded(judges.agreement(both(spark, sf), "a_intensity", "b_intensity", strata))
+
+
+@query(TWO + "SELECT count(*) AS n, round(corr(x, y), 6) AS pearson FROM (SELECT a - avg(a) OVER w AS x, b - avg(b) OVER w AS y FROM (SELECT * FROM two WHERE a IS NOT NULL AND b IS NOT NULL) WINDOW w AS (PARTITION BY ratio_idx, style_axis))")
+def ju17_demeaned_agreement(spark, sf):
+    return rounded(judges.demeaned_agreement(both(spark, sf), "a_intensity", "b_intensity", ["ratio_idx", "style_axis"]))
+
+
+@query(TWO + "SELECT count(*) FILTER (NOT pa AND NOT pb) AS c00, count(*) FILTER (NOT pa AND pb) AS c01, count(*) FILTER (pa AND NOT pb) AS c10, count(*) FILTER (pa AND pb) AS c11, count(*) AS n, round(avg((pa = pb)::INT), 6) AS raw_agreement, round((avg((pa = pb)::INT) - avg(pa::INT) * avg(pb::INT) - (1 - avg(pa::INT)) * (1 - avg(pb::INT))) / (1 - avg(pa::INT) * avg(pb::INT) - (1 - avg(pa::INT)) * (1 - avg(pb::INT))), 6) AS kappa, round(avg(pa::INT), 6) AS rate_a, round(avg(pb::INT), 6) AS rate_b FROM two WHERE pa IS NOT NULL AND pb IS NOT NULL")
+def ju18_content_confusion(spark, sf):
+    return rounded(judges.content_confusion(both(spark, sf), "a_passed", "b_passed"))
+
+
+@query("SELECT judge, model_id, round(m, 6) AS mean, row_number() OVER (PARTITION BY judge ORDER BY m, model_id)::INT AS rank FROM (SELECT judge, model_id, avg(m) AS m FROM (SELECT judge, model_id, scenario_id, avg(abs(intensity - 100 * target_ratio)) AS m FROM jud WHERE NOT missing GROUP BY ALL) GROUP BY ALL)")
+def ju19_judge_rankings(spark, sf):
+    s = scores(spark, sf).where("not missing").withColumn("e", F.abs(F.col("intensity") - 100 * F.col("target_ratio")))
+    return rounded(judges.judge_ranking(s, "judge", "model_id", "scenario_id", "e"))
+
+
+@query("SELECT style_axis, model_id, round(target_ratio, 6) AS target_ratio, arg_min(run_id, sha256('5::' || run_id)) AS run_id FROM points WHERE ratio_idx BETWEEN 1 AND 5 GROUP BY ALL")
+def ju24_retest_selection(spark, sf):
+    p = points(spark, sf).where("ratio_idx between 1 and 5").withColumn("target_ratio", F.round("target_ratio", 6))
+    return judges.retest_items(p, ["style_axis", "model_id", "target_ratio"], "5")
+
+
+def pairs(spark, sf):
+    built = judges.build_pairs(points(spark, sf), ["scenario_id", "style_axis", "model_id", "seed"])
+    h = F.pmod(hex8(F.concat_ws(":", F.col("left_run_id").cast("string"), F.col("right_run_id").cast("string"), F.col("swapped").cast("int").cast("string"))), F.lit(10))
+    return judges.outcome(built.withColumn("winner", F.when(h < 4, "1").when(h < 8, "2").when(h < 9, "tie")))
+
+
+PAIRSQL = """, prs AS (SELECT l.scenario_id, l.style_axis, l.model_id, l.seed, l.run_id AS lr, r.run_id AS rr, swapped, ('0x' || substr(md5(l.run_id || ':' || r.run_id || ':' || swapped), 1, 8))::BIGINT % 10 AS h FROM points l JOIN points r USING (scenario_id, style_axis, model_id, seed) JOIN (VALUES (0, 1), (1, 2), (2, 3), (3, 4), (4, 5), (5, 6), (0, 3), (3, 6), (2, 4)) w(i, j) ON l.ratio_idx = i AND r.ratio_idx = j, (VALUES (0), (1)) s(swapped)),
+outc AS (SELECT *, CASE WHEN h < 4 THEN '1' WHEN h < 8 THEN '2' WHEN h < 9 THEN 'tie' END AS winner, CASE WHEN h = 9 THEN 'invalid' WHEN h = 8 THEN 'tie' WHEN (h < 4) <> (swapped = 1) THEN 'lower' ELSE 'higher' END AS outcome FROM prs) """
+
+
+@query(PAIRSQL + "SELECT model_id, outcome, count(*) AS n FROM outc GROUP BY ALL")
+def ju3_pair_outcomes(spark, sf):
+    return pairs(spark, sf).groupBy("model_id", "outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(PAIRSQL + "SELECT model_id, style_axis, count(*) AS n, round(count(*) FILTER (outcome = 'higher') / count(*)::DOUBLE, 6) AS win_all, round(count(*) FILTER (outcome = 'higher') / count(*) FILTER (outcome <> 'invalid')::DOUBLE, 6) AS win_parsed, round(count(*) FILTER (outcome = 'higher') / count(*) FILTER (outcome IN ('higher', 'lower'))::DOUBLE, 6) AS win_decided, round(count(*) FILTER (outcome = 'lower') / count(*) FILTER (outcome IN ('higher', 'lower'))::DOUBLE, 6) AS violation, round(count(*) FILTER (outcome = 'tie') / count(*) FILTER (outcome <> 'invalid')::DOUBLE, 6) AS tie, round((count(*) FILTER (winner = '1') - count(*) FILTER (winner = '2')) / count(*) FILTER (winner IN ('1', '2'))::DOUBLE, 6) + 0.0 AS position_bias FROM outc GROUP BY ALL")
+def ju5_pairwise_rates(spark, sf):
+    return rounded(judges.pairwise_rates(pairs(spark, sf), ["model_id", "style_axis"]))
+
+
+@query(PAIRSQL + "SELECT model_id, count(*) AS n, round(avg((a.outcome = b.outcome)::INT), 6) AS consistent, round(avg((a.outcome <> b.outcome AND a.outcome <> 'tie' AND b.outcome <> 'tie')::INT), 6) AS contradiction, round(avg((a.winner = b.winner AND a.winner <> 'tie')::INT), 6) AS same_position, round(avg((a.outcome = 'higher' AND b.outcome = 'higher')::INT), 6) AS both_higher, round(avg((a.outcome = 'tie' AND b.outcome = 'tie')::INT), 6) AS both_tie FROM outc a JOIN outc b USING (model_id, lr, rr) WHERE a.swapped = 0 AND b.swapped = 1 AND a.outcome <> 'invalid' AND b.outcome <> 'invalid' GROUP BY ALL")
+def ju6_swap_consistency(spark, sf):
+    return rounded(judges.swap_consistency(pairs(spark, sf), ["model_id", "left_run_id", "right_run_id"], ["model_id"]))
+
+
+@query(PAIRSQL + ", s AS (SELECT *, CASE outcome WHEN 'higher' THEN 1.0 WHEN 'tie' THEN 0.5 WHEN 'lower' THEN 0.0 END AS score FROM outc) SELECT model_id, round(avg(score) FILTER (swapped = 1) - avg(score) FILTER (swapped = 0), 6) + 0.0 AS score_gap, round(avg((winner = '1')::INT) FILTER (swapped = 1) - avg((winner = '1')::INT) FILTER (swapped = 0), 6) + 0.0 AS first_gap FROM s GROUP BY ALL")
+def ju7_position_gaps(spark, sf):
+    return rounded(judges.position_gaps(pairs(spark, sf), ["model_id"]))
+
+
+def conditions(spark, sf):
+    names = F.array(*[F.lit(c) for c in ("base", "prompt", "heat", "both")])
+    s = samples(spark, sf).where("is_interior").select("run_id", "scenario_id", "style_axis", "model_id", "seed", "target_ratio", "projection_error_raw", F.explode(names).alias("condition"))
+    return s.withColumn("e", F.col("projection_error_raw") + F.pmod(hex8(F.concat_ws(":", "condition", F.col("run_id").cast("string"))), F.lit(100)) / 1000.0)
+
+
+CONDSQL = ", cond AS (SELECT run_id, scenario_id, style_axis, model_id, target_ratio, condition, projection_error_raw + (('0x' || substr(md5(condition || ':' || run_id), 1, 8))::BIGINT % 100) / 1000.0 AS e FROM geo, (VALUES ('base'), ('prompt'), ('heat'), ('both')) c(condition) WHERE is_interior AND encoder_id = 'full') "
+
+
+@query(CONDSQL + ", w AS (SELECT scenario_id, model_id, avg(e) FILTER (condition = 'base') AS b, avg(e) FILTER (condition = 'prompt') AS p, avg(e) FILTER (condition = 'heat') AS h, avg(e) FILTER (condition = 'both') AS x FROM cond GROUP BY ALL) SELECT scenario_id, model_id, round((p + x - b - h) / 2, 6) + 0.0 AS prompt, round((h + x - b - p) / 2, 6) + 0.0 AS temperature, round(x - p - h + b, 6) + 0.0 AS interaction FROM w")
+def rb2_factorial_effects(spark, sf):
+    return rounded(judges.two_by_two(conditions(spark, sf), ["scenario_id", "model_id"], "condition", "e", ["base", "prompt", "heat", "both"]))
+
+
+@query(CONDSQL + "SELECT condition, model_id, round(avg(e), 6) AS mean FROM cond GROUP BY ALL UNION ALL SELECT condition, 'ALL', round(avg(m), 6) FROM (SELECT condition, model_id, avg(e) AS m FROM cond GROUP BY ALL) GROUP BY ALL")
+def rb6_condition_means(spark, sf):
+    m = conditions(spark, sf).groupBy("condition", "model_id").agg(F.avg("e").alias("mean"))
+    return rounded(m.unionByName(m.groupBy("condition").agg(F.avg("mean").alias("mean")).withColumn("model_id", F.lit("ALL"))))
+
+
+def ratings(spark, sf):
+    p = points(spark, sf).where("ratio_idx between 1 and 5").select(F.col("run_id").alias("item"), "target_ratio", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("rater"))
+    h = hex8(F.concat_ws(":", F.col("rater").cast("string"), F.col("item").cast("string")))
+    return p.select("item", "rater", (F.round(F.col("target_ratio") * 100).cast("int") + F.pmod(h, F.lit(31)).cast("int")).alias("intensity"), F.pmod(h, F.lit(4)).cast("int").alias("h4")).withColumn("yes", F.col("h4") > 0)
+
+
+RATSQL = ", rat AS (SELECT run_id AS item, rater, round(target_ratio * 100)::INT + (('0x' || substr(md5(rater || ':' || run_id), 1, 8))::BIGINT % 31)::INT AS v, ('0x' || substr(md5(rater || ':' || run_id), 1, 8))::BIGINT % 4 > 0 AS yes FROM points, range(1, 4) r(rater) WHERE ratio_idx BETWEEN 1 AND 5) "
+
+
+@query(RATSQL + ", g AS (SELECT avg(v) AS m, sum(v * v) AS ss, count(DISTINCT item) AS n, 3.0 AS k FROM rat), i AS (SELECT sum(x * x) AS si FROM (SELECT avg(v) AS x FROM rat GROUP BY item)), r AS (SELECT sum(x * x) AS sr FROM (SELECT avg(v) AS x FROM rat GROUP BY rater)), q AS (SELECT n, k, k * (si - n * m * m) / (n - 1) AS msr, n * (sr - k * m * m) / (k - 1) AS msc, (ss - k * si - n * sr + n * k * m * m) / ((n - 1) * (k - 1)) AS mse FROM g, i, r) SELECT n, round((msr - mse) / (msr + (k - 1) * mse + k * (msc - mse) / n), 6) AS icc_a1, round((msr - mse) / (msr + (msc - mse) / n), 6) AS icc_ak FROM q")
+def st20_icc(spark, sf):
+    return rounded(statistics.icc(ratings(spark, sf).withColumn("g", F.lit(1)), ["g"], "item", "rater", "intensity").select("n", "icc_a1", "icc_ak"))
+
+
+@query(RATSQL + "SELECT (SELECT count(*) FROM rat) AS n, round(1 - (SELECT sum(d) FROM (SELECT 2 * (count(*) * sum(v * v) - sum(v) ** 2) / (count(*) - 1) AS d FROM rat GROUP BY item)) / (SELECT count(*) FROM rat) / (SELECT 2 * var_samp(v) FROM rat), 6) AS alpha")
+def st21_krippendorff(spark, sf):
+    return rounded(statistics.krippendorff(ratings(spark, sf).withColumn("g", F.lit(1)), ["g"], "item", "intensity").select("n", "alpha"))
+
+
+@query(RATSQL + ", f AS (SELECT count(*) AS k, count(*) FILTER (yes) AS a FROM rat GROUP BY item), h AS (SELECT count(*) AS items, avg((a * (a - 1) + (k - a) * (k - a - 1)) / (k * (k - 1))::DOUBLE) AS p, sum(a) / sum(k)::DOUBLE AS q FROM f) SELECT items, round((p - q * q - (1 - q) * (1 - q)) / (1 - q * q - (1 - q) * (1 - q)), 6) AS fleiss_kappa FROM h")
+def st22_fleiss(spark, sf):
+    return rounded(statistics.fleiss(ratings(spark, sf).withColumn("g", F.lit(1)), ["g"], "item", "yes").select("items", "fleiss_kappa"))
+
+
+@query("SELECT count(*) AS n, round(avg((quality = toxic)::INT), 6) AS raw_agreement, round((avg((quality = toxic)::INT) - avg(quality) * avg(toxic) - (1 - avg(quality)) * (1 - avg(toxic))) / (1 - avg(quality) * avg(toxic) - (1 - avg(quality)) * (1 - avg(toxic))), 6) AS kappa FROM labels", plain=True)
+def st23_cohen_kappa(spark, sf):
+    return rounded(table(spark, sf, "labels").agg(*statistics.cohen_kappa(F.col("quality") == 1, F.col("toxic") == 1)))
+
+
+@query("SELECT count(*) FILTER (quality = 1 AND toxic = 1) AS tp, count(*) FILTER (quality = 0 AND toxic = 0) AS tn, count(*) FILTER (quality = 0 AND toxic = 1) AS fp, count(*) FILTER (quality = 1 AND toxic = 0) AS fn, round(avg((quality = toxic)::INT), 6) AS accuracy, round(count(*) FILTER (quality = 1 AND toxic = 1) / count(*) FILTER (toxic = 1)::DOUBLE, 6) AS precision, round(count(*) FILTER (quality = 1 AND toxic = 1) / count(*) FILTER (quality = 1)::DOUBLE, 6) AS recall, round(2 * count(*) FILTER (quality = 1 AND toxic = 1) / (count(*) FILTER (quality = 1) + count(*) FILTER (toxic = 1))::DOUBLE, 6) AS f1 FROM labels", plain=True)
+def st24_confusion(spark, sf):
+    return rounded(table(spark, sf, "labels").agg(*statistics.confusion(F.col("quality") == 1, F.col("toxic") == 1)))
+
+
+@query("""WITH w AS (SELECT user_id % 4 AS m, min(ts) AS s, max(ts) AS e FROM events WHERE event_type = 'signup' GROUP BY 1), t AS (SELECT m, user_id % 8 AS device, max(value) AS peak FROM events JOIN w ON ts BETWEEN s AND e AND (user_id % 8) // 2 = m GROUP BY ALL)
+SELECT 'm' || m AS model_id, count(*) AS devices, round(CASE WHEN count(*) = 2 THEN sum(peak) END, 6) AS peak_sum FROM t GROUP BY m""", plain=True)
+def ef2_telemetry_peaks(spark, sf):
+    e = table(spark, sf, "events")
+    windows = e.where("event_type = 'signup'").groupBy((F.col("user_id") % 4).alias("m")).agg(F.min("ts").alias("start"), F.max("ts").alias("stop")).select(F.concat(F.lit("m"), F.col("m").cast("string")).alias("model_id"), "start", "stop", F.array(2 * F.col("m"), 2 * F.col("m") + 1).alias("devices"))
+    return rounded(serving.window_peaks(e.select("ts", (F.col("user_id") % 8).alias("device"), "value"), windows))
+
+
+@query("SELECT event_type AS model_id, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(sum(value), 3) AS total FROM events GROUP BY 1", plain=True)
+def ef3_latency(spark, sf):
+    e = table(spark, sf, "events").withColumnRenamed("event_type", "model_id")
+    return serving.latency(e, ["model_id"], "value").select("model_id", "n", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"), F.round("total", 3).alias("total"))
+
+
+@query("WITH c AS (SELECT user_id, round(avg(value), 4) AS a, count(*) AS b FROM events GROUP BY 1) SELECT user_id FROM c x WHERE NOT EXISTS (SELECT 1 FROM c y WHERE y.a <= x.a AND y.b <= x.b AND (y.a < x.a OR y.b < x.b))", plain=True)
+def ef4_pareto(spark, sf):
+    c = table(spark, sf, "events").groupBy("user_id").agg(F.round(F.avg("value"), 4).alias("a"), F.count(F.lit(1)).alias("b"))
+    return serving.pareto(c, "a", "b").select("user_id")

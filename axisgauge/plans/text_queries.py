@@ -1,4 +1,118 @@
-"""Queries to come."""
+"""Text quality and scenario pools over the documents."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import functions as F
+
+from axisgauge.operators import pool, textq
+from axisgauge.plans.calibration_queries import rounded
+from axisgauge.plans.fixtures import table
+
+QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+TOK = "WITH t AS (SELECT doc_id, text, regexp_extract_all(lower(text), '[一-鿿]|[a-z0-9]+(?:[._/-][a-z0-9]+)*') AS t FROM documents) "
+
+
+@query(TOK + "SELECT doc_id, len(t) AS n_tokens, round((len(t) - len(list_distinct(t))) / nullif(len(t), 0)::DOUBLE, 6) AS repetition_rate, length(text) AS n_characters FROM t")
+def tx23_text_quality(spark, sf):
+    q = textq.quality_rows(table(spark, sf, "documents").select("doc_id", "text"))
+    return rounded(q.select("doc_id", F.col("n_tokens").cast("long").alias("n_tokens"), "repetition_rate", F.col("n_characters").cast("long").alias("n_characters")))
+
+
+@query(TOK + "SELECT doc_id, round(CASE WHEN len(t) >= 2 THEN len(list_distinct(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i+1]))) / (len(t) - 1)::DOUBLE END, 6) AS distinct_2 FROM t")
+def tx19_distinct_ngrams(spark, sf):
+    t = table(spark, sf, "documents").select("doc_id", F.explode(F.array(textq.tokens(F.col("text")))).alias("t"))
+    return rounded(t.select("doc_id", textq.distinct_share(F.col("t"), 2).alias("distinct_2")))
+
+
+@query("SELECT doc_id, length(regexp_replace(text, '[^一-鿿]', '', 'g')) AS cjk FROM documents")
+def tx1_cjk_count(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", textq.cjk_count(F.col("text")).cast("long").alias("cjk"))
+
+
+@query()
+def tx21_longest_repeated_block(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", textq.longest_repeated_block("text").alias("block"))
+
+
+@query("SELECT doc_id, length(text) < 200 AS too_short, length(text) > 2000 AS too_long, length(text) NOT BETWEEN 200 AND 2000 AS violation, greatest(200 - length(text), length(text) - 2000, 0) AS deviation, abs(length(text) - 1100.0)::DOUBLE AS from_middle FROM documents")
+def tx24_length_compliance(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", *textq.length_compliance(F.char_length("text").cast("long"), F.lit(200), F.lit(2000)))
+
+
+@query("SELECT source, count(*) AS n, count(*) FILTER (text LIKE '%```%') AS fences FROM documents GROUP BY 1")
+def tx22_format_anomalies(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.array_contains(F.split(textq.anomalies(F.col("text")), r"\|"), "code_fence")).alias("fences"))
+
+
+@query()
+def tx25_hashed_vectors(spark, sf):
+    return rounded(table(spark, sf, "documents").select("doc_id", textq.hashed_vector(textq.tokens(F.col("text"))).alias("v")).select("doc_id", F.size("v").alias("dims"), F.element_at("v", 1).alias("first"), F.array_max("v").alias("top")))
+
+
+def candidates(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.select(F.col("source").alias("axis_id"), F.col("doc_id").alias("input_ord"), F.substring("text", 1, 60).alias("content"), "lang")
+
+
+POOL = "WITH c AS (SELECT source AS axis_id, doc_id AS input_ord, substr(text, 1, 60) AS content, lang FROM documents) "
+
+
+@query(POOL + "SELECT input_ord, len(list_filter([CASE WHEN length(content) < 12 THEN 'short' END, CASE WHEN lang <> 'en' THEN 'language' END, CASE WHEN regexp_matches(content, '[0-9]') THEN 'digits' END], lambda x: x IS NOT NULL)) AS n_reasons FROM c")
+def tx8_validation_reasons(spark, sf):
+    checks = {"short": F.char_length("content") >= 12, "language": F.col("lang") == "en", "digits": ~F.col("content").rlike("[0-9]")}
+    return candidates(spark, sf).select("input_ord", F.size(pool.reasons(checks)).cast("long").alias("n_reasons"))
+
+
+BG = POOL + """, b AS (SELECT axis_id, input_ord, lower(regexp_replace(content, '\\s+', '', 'g')) AS t FROM c), g AS (SELECT DISTINCT axis_id, input_ord, unnest(CASE WHEN length(t) <= 2 THEN [t] ELSE list_transform(range(1, length(t)), lambda i: substr(t, i, 2)) END) AS x FROM b),
+n AS (SELECT axis_id, input_ord, count(*) AS n FROM g GROUP BY ALL), p AS (SELECT a.axis_id, a.input_ord AS late, e.input_ord AS early FROM g a JOIN g e ON a.axis_id = e.axis_id AND a.x = e.x AND e.input_ord < a.input_ord JOIN n na ON na.axis_id = a.axis_id AND na.input_ord = a.input_ord JOIN n ne ON ne.axis_id = e.axis_id AND ne.input_ord = e.input_ord GROUP BY a.axis_id, a.input_ord, e.input_ord, na.n, ne.n HAVING count(*) * 20 >= (na.n + ne.n - count(*)) * 9) """
+
+
+def pool_pairs(spark, sf):
+    c = candidates(spark, sf).select("axis_id", "input_ord", F.explode(F.array(pool.bigrams(F.col("content")))).alias("grams"))
+    return c, pool.near_pairs(c, "axis_id", "input_ord", "grams")
+
+
+@query(BG + "SELECT axis_id, late, early FROM p")
+def tx12_near_pairs(spark, sf):
+    return pool_pairs(spark, sf)[1]
+
+
+@query()
+def tx12_greedy_rejection(spark, sf):
+    c, p = pool_pairs(spark, sf)
+    if not spark.sparkContext.getCheckpointDir():
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="axisgauge-"))
+    return pool.greedy_accept(c, p.checkpoint(), "axis_id", "input_ord")
+
+
+@query(POOL + "SELECT axis_id, input_ord, axis_id || '_' || lpad(r::VARCHAR, 3, '0') AS scenario_id FROM (SELECT *, row_number() OVER (PARTITION BY axis_id ORDER BY input_ord) AS r FROM c) WHERE r <= 8")
+def tx13_cap_and_number(spark, sf):
+    return pool.cap_and_number(candidates(spark, sf), "axis_id", "input_ord", 8).select("axis_id", "input_ord", "scenario_id")
+
+
+@query(POOL + ", t AS (SELECT *, row_number() OVER (PARTITION BY axis_id, lang ORDER BY input_ord) AS turn, count(*) OVER (PARTITION BY axis_id, lang) AS size FROM c) SELECT axis_id, input_ord, place FROM (SELECT *, row_number() OVER (PARTITION BY axis_id ORDER BY turn, size DESC, lang)::INT AS place FROM t) WHERE place <= 6")
+def tx14_diverse_pick(spark, sf):
+    return pool.diverse_pick(candidates(spark, sf), "axis_id", "lang", "input_ord", 6).select("axis_id", "input_ord", "place")
+
+
+@query("SELECT source AS axis_id, lang, count(*) AS n FROM documents GROUP BY ALL")
+def tx16_axis_by_domain(spark, sf):
+    return candidates(spark, sf).groupBy("axis_id", "lang").agg(F.count(F.lit(1)).alias("n"))
