@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from axisgauge.llm.bytesplit import packed, shingle_hashes, word_hashes
+from axisgauge.llm.bytesplit import packed, release, shingle_hashes, word_hashes
 from axisgauge.llm.common import scratch, small, written
 from axisgauge.llm.components import components
 
@@ -43,7 +43,7 @@ PAIRED = 16
 #: Pairs must share so many shingles of their prefixes, which are that much longer; elements of sets in a block.
 SHARED, BLOCK_ELEMENTS = 4, 300_000
 #: Bytes of text, and elements of prefixes, held at once by a task.
-SLICE, HELD = 2 << 20, 1 << 20
+SLICE, HELD = 1 << 20, 1 << 19
 
 
 def document_sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -101,6 +101,8 @@ def frequent_shingles(docs: DataFrame, width: int, num: int, den: int, buckets:
                         held, size, seen = [], 0, set()
         if held:
             yield out()
+        del held
+        release()
 
     def frequent(table: pa.Table) -> pa.Table:
         tokens = np.sort(np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("blob")]))
@@ -168,6 +170,8 @@ def candidates(docs: DataFrame, width: int, num: int, den: int, frequent: np.nda
             )
         if tokens:
             yield out()
+        del tokens
+        release()
 
     def meet(table: pa.Table) -> pa.Table:
         blob = table.column("blob")
