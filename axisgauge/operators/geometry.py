@@ -26,7 +26,7 @@ def with_geometry(points: DataFrame, anchors: DataFrame, by: list[str]) -> DataF
     wide = F.col("separation") + EPS
     return (
         g.withColumn("projection_raw", F.col("coordinate"))
-        .withColumn("projection_clipped", F.least(F.greatest("coordinate", F.lit(0.0)), F.lit(1.0)))
+        .withColumn("projection_clipped", F.when(F.col("coordinate").isNotNull(), F.least(F.greatest("coordinate", F.lit(0.0)), F.lit(1.0))))
         .withColumn("projection_error_raw", F.abs(F.col("coordinate") - F.col("target_ratio")))
         .withColumn("projection_error_clipped", F.abs(F.col("projection_clipped") - F.col("target_ratio")))
         .withColumn("off_axis_drift_normalized", F.col("off_axis") / wide)

@@ -78,7 +78,7 @@ def normal_tail(z: Column) -> Column:
     x = F.abs(z) / math.sqrt(2)
     t = 1 / (1 + 0.3275911 * x)
     poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
-    return F.least(poly * F.exp(-x * x), F.lit(1.0))
+    return F.when(z.isNotNull(), F.least(poly * F.exp(-x * x), F.lit(1.0)))
 
 
 def wilcoxon(pairs: DataFrame, keys: list[str], value: str = "difference", zeros: str = "split") -> DataFrame:
@@ -104,7 +104,7 @@ def holm(rows: DataFrame, family: list[str], p: str = "p_value", name: str = "p_
     w = Window.partitionBy(*family, F.col(p).isNull())
     m, rank = F.count(p).over(w), F.row_number().over(w.orderBy(p, *[c for c in rows.columns if c not in (p, *family)][:3]))
     step = rows.withColumn("_q", (m - rank + 1) * F.col(p)).withColumn("_k", rank)
-    return step.withColumn(name, F.least(F.max("_q").over(w.orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)), F.lit(1.0))).drop("_q", "_k")
+    return step.withColumn(name, F.when(F.col(p).isNotNull(), F.least(F.max("_q").over(w.orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)), F.lit(1.0)))).drop("_q", "_k")
 
 
 def sign_flip(rows: DataFrame, by: list[str], item: str, value: str, replicates: int = 1000, seed: int = 1) -> DataFrame:
