@@ -30,6 +30,8 @@ from axisgauge.llm.wordbpe import BLOCK, GAP, KIND, WordEncoder, encoder
 
 TOKENIZER = "word_bpe_49k.json"
 LEAF = 512
+#: Pre-tokens that a worker remembers; both steps of a task have a worker of their own.
+MEMO = 100_000
 
 
 def tree_of(counts: np.ndarray) -> np.ndarray:
@@ -81,7 +83,7 @@ def build(docs: DataFrame, tokenizer: str, text_col: str = "text", leaf: int = L
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = leaves(encoder(tokenizer), *packed(batch.column(text_col)), leaf)
+            found = leaves(encoder(tokenizer, MEMO), *packed(batch.column(text_col)), leaf)
             yield pa.RecordBatch.from_arrays([*batch.columns, lists([s for s, _ in found]), lists([tree_of(c) for _, c in found])], [*batch.schema.names, "leaf_starts", "tree"])
 
     numbers = T.ArrayType(T.IntegerType())
@@ -115,7 +117,7 @@ def apply_edits(rows: DataFrame, tokenizer: str, text_col: str = "text", edits_c
     rows = rows.drop("n_tokens_before", "n_tokens", "n_bytes_encoded")
 
     def edit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = encoder(tokenizer)
+        model = encoder(tokenizer, MEMO)
         for batch in batches:
             data, bounds = packed(batch.column(text_col))
             starts = [s.as_py() for s in batch.column("leaf_starts")]

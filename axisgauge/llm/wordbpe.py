@@ -70,7 +70,7 @@ def unicode_bytes() -> list[str]:
 
 
 class WordEncoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = MOST):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -78,6 +78,7 @@ class WordEncoder:
         self.model = self.tokenizer.model
         self.chars = unicode_bytes()
         self.memo: dict[bytes, bytes] = {}
+        self.most = most
 
     def whole(self, piece: bytes) -> bytes:
         return array("I", self.tokenizer.encode(piece.decode("utf-8"), add_special_tokens=False).ids).tobytes()
@@ -94,7 +95,7 @@ class WordEncoder:
         if found is None:
             found = self.whole(key) if raw else self.piece(key)
             if len(key) <= LONGEST:
-                if len(self.memo) >= MOST:
+                if len(self.memo) >= self.most:
                     self.memo.clear()
                 self.memo[mark] = found
         return found
@@ -131,6 +132,6 @@ class WordEncoder:
 
 
 @functools.cache
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, most: int = MOST) -> WordEncoder:
     """One for each worker process."""
-    return WordEncoder(path)
+    return WordEncoder(path, most)
