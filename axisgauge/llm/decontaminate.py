@@ -8,8 +8,9 @@ therefore misses nothing, however long the document is (banded signatures of who
 ones, since the Jaccard similarity is near 0). Candidates are verified on the shingles' words.
 
 Words: lower-cased, split at white space. Items with fewer than five words have their whole sequence as one shingle.
-Defined results: null or empty texts contain nothing and are contained in nothing; repeated items are found each; rows
-with a null id are searched and carry the null; an empty table gives no rows; other columns are ignored.
+Defined results: null or empty texts contain nothing and are contained in nothing; equal texts with different ids are
+found each, repeated item rows (id and text) once, and different texts with one id are items of their own; rows with a
+null id, documents and items, are searched and carry the null; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,27 +46,29 @@ def hashed_at(w: Column, width: int, at: Column) -> Column:
 
 
 def sketches(items: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """(item_id, width, n, shingles), and (width, h, item_id): each item's k smallest hashes."""
+    """(key, item_id, width, n, shingles), and (width, h, key): the k smallest distinct hashes of each distinct item row.
+    The key is the row's own, since ids may be null or stand for several texts; it is written, so that it stays."""
     w = lower_words(F.col("text"))
-    base = items.select("item_id", w.alias("w")).where("size(w) > 0").withColumn("width", F.least(F.size("w"), F.lit(WIDTH)))
-    whole = base.select("item_id", "w", "width", shingled(F.col("w"), F.col("width")).alias("shingles")).withColumn("n", F.size("shingles"))
+    base = items.dropDuplicates(["item_id", "text"]).select(F.monotonically_increasing_id().alias("key"), "item_id", w.alias("w")).where("size(w) > 0")
+    base = written(base, "items").withColumn("width", F.least(F.size("w"), F.lit(WIDTH)))
+    whole = base.select("key", "item_id", "w", "width", shingled(F.col("w"), F.col("width")).alias("shingles")).withColumn("n", F.size("shingles"))
     whole = whole.withColumn("part", F.floor(F.log2("n"))).withColumn("least", F.ceil(F.col("n") * num / den).cast("int"))
     k = whole.groupBy("part").agg(F.max(F.expr("n - least + 1")).alias("k"))  # one row for each power of two
-    found = whole.join(F.broadcast(k), "part").select("item_id", "k", "width", F.explode("shingles").alias("s"))
+    found = whole.join(F.broadcast(k), "part").select("key", "k", "width", F.explode("shingles").alias("s"))
     words = F.split("s", " ")
     h = F.when(F.col("width") == WIDTH, hashed(words, F.lit(0), WIDTH))
     for m in range(1, WIDTH):
         h = h.when(F.col("width") == m, hashed(words, F.lit(0), m))
-    nth = F.row_number().over(Window.partitionBy("item_id", "width").orderBy("h", "s"))
-    low = found.select("item_id", "k", "width", "s", h.alias("h")).withColumn("nth", nth).where("nth <= k").select("width", "h", "item_id").distinct()
-    return whole.select("item_id", "width", "n", "least", "shingles"), low
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("h"))
+    low = found.select("key", "k", "width", h.alias("h")).distinct().withColumn("nth", nth).where("nth <= k").select("width", "h", "key")
+    return whole.select("key", "item_id", "width", "n", "least", "shingles"), low
 
 
 def contained_items(docs: DataFrame, items: DataFrame, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, n_item_shingles, n_shared: one row for each document and item that it contains."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     whole, low = sketches(items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")), num, den)
-    whole, low = written(whole, "items"), written(low, "sketches")
+    whole, low = written(whole, "shingles"), written(low, "sketches")
     words = docs.select("doc_id", lower_words(F.col("text")).alias("w"))
     found = None
     for m in sorted(r["width"] for r in low.select("width").distinct().collect()):  # five at most
@@ -73,15 +76,15 @@ def contained_items(docs: DataFrame, items: DataFrame, num: int = 4, den: int =
         # since from explode the optimizer infers a filter in which the words are split anew for each shingle.
         hashes = F.transform(F.sequence(F.lit(0), F.size("w") - m), functools.partial(hashed_at, F.col("w"), m))
         each = words.select("doc_id", F.when(F.size("w") >= m, F.array_distinct(hashes)).alias("hashes")).select("doc_id", F.explode_outer("hashes").alias("h"))
-        hits = each.join(small(low.where(F.col("width") == m).select("h", "item_id")), "h").select("doc_id", "item_id").distinct()
+        hits = each.join(small(low.where(F.col("width") == m).select("h", "key")), "h").select("doc_id", "key").distinct()
         found = hits if found is None else found.unionByName(hits)
     if found is None:
         return docs.join(whole.select("item_id", F.col("n").cast("long").alias("n_item_shingles"), F.lit(0).cast("long").alias("n_shared")).limit(0), F.lit(True)).drop("text")
     found = written(found, "candidates")
-    by_doc = found.groupBy("doc_id").agg(F.collect_set("item_id").alias("items"))  # a document has a bounded number of items
+    by_doc = found.groupBy("doc_id").agg(F.collect_set("key").alias("items"))  # a document has a bounded number of items
     candidates = (
-        docs.join(small(by_doc), docs.doc_id.eqNullSafe(by_doc.doc_id)).select(docs.doc_id, "text", F.explode("items").alias("item_id"))
-        .join(small(whole), "item_id").select("doc_id", "item_id", "n", "least", "shingles", "width", lower_words(F.col("text")).alias("w"))
+        docs.join(small(by_doc), docs.doc_id.eqNullSafe(by_doc.doc_id)).select(docs.doc_id, "text", F.explode("items").alias("key"))
+        .join(small(whole), "key").select("doc_id", "item_id", "n", "least", "shingles", "width", lower_words(F.col("text")).alias("w"))
     )
     shared = F.size(F.array_intersect("shingles", shingled(F.col("w"), F.col("width"))))
     rows = candidates.select("doc_id", "item_id", F.col("n").cast("long").alias("n_item_shingles"), "least", shared.cast("long").alias("n_shared"))

@@ -200,6 +200,19 @@ def test_contained_items(spark):
     assert (4, 2) in want and (1, 1) in want and (1, 5) in want and (3, 1) in want and (2, 1) not in want
 
 
+def test_contained_items_with_repeated_rows_shared_ids_and_null_ids(spark):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 10**6, 30)) for _ in range(20)]
+    items = [(1, texts[0])] * 8 + [(2, t) for t in texts[1:15]] + [(None, t) for t in texts[15:]]
+    docs = []
+    for i, t in enumerate(texts):  # 21 to 26 shingles of 26, from either end
+        w = t.split()
+        docs += [(100 * i + k, " ".join(w[k:] if k % 2 else w[: len(w) - k])) for k in range(6)]
+    got = decontaminate.contained_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = {(d, 1 if d < 100 else 2 if d < 1500 else None, 26, 26 - d % 100) for d, _ in docs}
+    assert len(got) == len(docs) and {tuple(r) for r in got} == want
+
+
 def test_licences(spark):
     rows = [(1, "/a/LICENSE", "Released under the MIT License."), (2, "/a/b/c/x", "plain text of a file"), (3, "/a/b/y", "some words\nLicensed under the Apache License, Version 2.0.\n" + "more of other words follow here " * 9 + prose(60)), (4, "/z/q", "nothing"), (5, None, "nothing"), (6, "/a/n", None)]
     got = {r["doc_id"]: (r["licence"], r["found"], r["from_dir"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
