@@ -1,9 +1,11 @@
 """License scans: sparse TF-IDF cosine of headers and licence files to templates, then inheritance by directory.
 
-A header is a line of a file; a licence file is a file whose whole text is close to a template. Both are vectors of
+A header is a line of a file; a licence file is a file whose whole text is close to a header line or to a licence's
+full text (`licence_texts/`, one file each). All are vectors of
 term frequency times inverse document frequency (over all files, ln((1 + files) / (1 + files with the term)) + 1; a
 term in no template counts in the length as one that no file has). A cosine of `HEADER` or more gives a file the best
-line's licence; a whole text with `WHOLE` or more makes it its directory's licence as well. Files without a licence of
+line's licence; a whole text with `WHOLE` or more to a header line, or `FULL` or more to a full text, makes it its
+directory's licence as well; a full text's licence comes before that of single lines. Files without a licence of
 their own take that of the nearest directory above them that has one, found by joining paths.
 
 Only lines that can reach the threshold are scored: by the Cauchy-Schwarz inequality a line whose terms all belong to a
@@ -17,13 +19,17 @@ name; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from axisgauge.llm.common import small, written
 
-HEADER, WHOLE = 0.75, 0.5
+#: FULL is higher than WHOLE, since long texts of one language share their most common words.
+HEADER, WHOLE, FULL = 0.75, 0.5, 0.85
 #: Header lines of widely used licences (fixed values).
 TEMPLATES = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0."],
@@ -61,40 +67,69 @@ def best_matches(rows: DataFrame, keys: list[str], idf: DataFrame, templates: Da
     return scored.groupBy(*keys).agg(best).select(*keys, "best.licence", (-F.col("best.minus")).alias("score"))
 
 
-def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", header: float = HEADER, whole: float = WHOLE) -> DataFrame:
-    """doc_id, path, licence, found ('header', 'file', 'inherited' or 'none'), score, from_dir."""
+def full_texts() -> dict[str, list[str]]:
+    """Licence texts by name. AGPL-3.0 is GPL-3.0 under its own name with its own section 13: an approximation, close
+    enough to tell the two apart."""
+    found = {p.stem: [p.read_text(encoding="utf-8")] for p in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))}
+    gpl = re.sub(r"(?i)(GNU)\s+(General\s+Public\s+License)", r"\1 Affero \2", found["GPL-3.0"][0])
+    remote = """13. Remote Network Interaction; Use with the GNU General Public License. Notwithstanding any other provision of
+    this License, if you modify the Program, your modified version must prominently offer all users interacting with it
+    remotely through a computer network an opportunity to receive the Corresponding Source of your version by providing
+    access to the Corresponding Source from a network server at no charge.\n"""
+    return found | {"AGPL-3.0": [re.sub(r"(?s)13\. Use with the GNU Affero.*?(?=14\. Revised)", lambda _: remote, gpl)]}
+
+
+def modelled(files: DataFrame, n: int, texts: dict[str, list[str]], least: float) -> tuple[DataFrame, DataFrame, Column]:
+    """Of the templates: each term's idf, the weights with norms, and the terms of which a row with a cosine of `least` needs one."""
     spark = files.sparkSession
-    files = files.select(F.col(id_col).alias("doc_id"), F.col(path_col).alias("path"), F.col(text_col).alias("text"))
-    known = spark.createDataFrame([(k, i, t) for k, v in TEMPLATES.items() for i, t in enumerate(v)], "licence string, template int, text string")
+    known = spark.createDataFrame([(k, i, t) for k, v in texts.items() for i, t in enumerate(v)], "licence string, template int, text string")
     own = known.select("licence", "template", F.explode(terms(F.col("text"))).alias("term")).groupBy("licence", "template", "term").agg(F.count(F.lit(1)).alias("tf"))
     vocabulary = sorted(r["term"] for r in own.select("term").distinct().collect())
-    literal = F.array(*[F.lit(t) for t in vocabulary])
     # document frequencies over all files, of the templates' terms
-    n = files.count()
-    held = files.select(F.explode(F.array_intersect(terms(F.col("text")), literal)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    held = files.select(F.explode(F.array_intersect(terms(F.col("text")), literal(vocabulary))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     df = {r["term"]: r["df"] for r in held.collect()}  # as many rows as the templates have terms
     idf = spark.createDataFrame([(t, df.get(t, 0)) for t in vocabulary], "term string, df long").select("term", (F.log((n + F.lit(1.0)) / (1 + F.col("df"))) + 1).alias("idf"))
-    rare = float(spark.range(1).select(F.log(F.lit(n + 1.0)) + 1).first()[0])
     templates = own.join(F.broadcast(idf), "term").select("licence", "template", "term", (F.col("tf") * F.col("idf")).alias("tw"))
     norms = templates.groupBy("licence", "template").agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("norm"))
     templates = written(templates.join(norms, ["licence", "template"]), "templates")
-    # the common terms that cannot reach the lower threshold by themselves
+    # the common terms that cannot reach the threshold by themselves
     weight: dict[tuple, dict[str, float]] = {}
     for r in templates.collect():
         weight.setdefault((r["licence"], r["template"]), {})[r["term"]] = r["tw"] ** 2
     common: set[str] = set()
     for term in sorted(vocabulary, key=lambda t: -df.get(t, 0)):
-        if max(sum(v for t, v in w.items() if t in common | {term}) / sum(w.values()) for w in weight.values()) >= (min(header, whole) * 0.999) ** 2:
+        if max(sum(v for t, v in w.items() if t in common | {term}) / sum(w.values()) for w in weight.values()) >= (least * 0.999) ** 2:
             break
         common.add(term)
-    anchors = F.array(*[F.lit(t) for t in vocabulary if t not in common])
-    holds = F.exists(F.split(F.lower("text"), TOKEN), lambda t: t.isin(*[t for t in vocabulary if t not in common]))
-    some = written(files.where(F.arrays_overlap(F.split(F.lower("text"), TOKEN), anchors) if vocabulary else holds).select("doc_id", "path", "text", F.monotonically_increasing_id().alias("file")), "anchored")
+    return idf, templates, literal([t for t in vocabulary if t not in common])
+
+
+def literal(found: list[str]) -> Column:
+    return F.lit(found) if found else F.array().cast("array<string>")
+
+
+def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", header: float = HEADER, whole: float = WHOLE, full: float = FULL) -> DataFrame:
+    """doc_id, path, licence, found ('header', 'file', 'inherited' or 'none'), score, from_dir."""
+    spark = files.sparkSession
+    files = files.select(F.col(id_col).alias("doc_id"), F.col(path_col).alias("path"), F.col(text_col).alias("text"))
+    n = files.count()
+    rare = float(spark.range(1).select(F.log(F.lit(n + 1.0)) + 1).first()[0])
+    idf, templates, anchors = modelled(files, n, TEMPLATES, min(header, whole))
+    full_idf, full_templates, full_anchors = modelled(files, n, full_texts(), full)
+    some = written(files.where(F.arrays_overlap(F.split(F.lower("text"), TOKEN), anchors) | F.arrays_overlap(F.split(F.lower("text"), TOKEN), full_anchors)).select("doc_id", "path", "text", F.monotonically_increasing_id().alias("file")), "anchored")
     lines = some.select("file", F.posexplode(F.split("text", r"[\n\r]+")).alias("line", "text")).select("file", "line", terms(F.col("text")).alias("terms"))
     by_line = best_matches(lines.where(F.arrays_overlap("terms", anchors)), ["file", "line"], idf, templates, rare, header)
     by_line = by_line.groupBy("file").agg(F.min(F.struct((-F.col("score")).alias("minus"), "licence")).alias("b")).select("file", F.col("b.licence").alias("header"), (-F.col("b.minus")).alias("header_score"))
-    by_file = best_matches(some.select("file", terms(F.col("text")).alias("terms")), ["file"], idf, templates, rare, whole).select("file", F.col("licence").alias("whole"), F.col("score").alias("whole_score"))
-    found = some.select("file", "doc_id", "path").join(by_line, "file", "left").join(by_file, "file", "left").where("header is not null or whole is not null")
+    bags = some.select("file", terms(F.col("text")).alias("terms"))
+    by_file = best_matches(bags.where(F.arrays_overlap("terms", anchors)), ["file"], idf, templates, rare, whole).select("file", F.col("licence").alias("line"), F.col("score").alias("line_score"))
+    by_full = best_matches(bags.where(F.arrays_overlap("terms", full_anchors)), ["file"], full_idf, full_templates, rare, full).select("file", F.col("licence").alias("full"), F.col("score").alias("full_score"))
+    found = some.select("file", "doc_id", "path").join(by_line, "file", "left").join(by_file, "file", "left").join(by_full, "file", "left").where("header is not null or line is not null or full is not null")
+    # a file that is a full text has that licence, whatever its single lines name
+    is_full = F.col("full").isNotNull()
+    found = found.select(
+        "doc_id", "path", F.when(is_full, F.col("full")).otherwise(F.col("header")).alias("header"), F.when(is_full, F.col("full_score")).otherwise(F.col("header_score")).alias("header_score"),
+        F.coalesce("full", "line").alias("whole"), F.coalesce("full_score", "line_score").alias("whole_score"),
+    )
     found = written(found.select("doc_id", "path", "header", "header_score", "whole", "whole_score"), "licensed")
     # directories with a licence, and each directory's nearest one
     folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)

@@ -219,6 +219,20 @@ def test_licences(spark):
     assert got == {1: ("MIT", "file", None), 2: ("MIT", "inherited", "/a"), 3: ("Apache-2.0", "header", None), 4: (None, "none", None), 5: (None, "none", None), 6: ("MIT", "inherited", "/a")}
 
 
+def test_full_licence_texts_are_files_and_pass_down(spark):
+    full = licenses.full_texts()
+    assert {"MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "AGPL-3.0", "MPL-2.0"} <= set(full)
+    rows, want = [], {}
+    for k, (name, (text,)) in enumerate(sorted(full.items())):
+        rows += [(2 * k, f"/{k}/LICENSE", "Copyright 2021 Some Person\n\n" + text.upper()), (2 * k + 1, f"/{k}/src/x", "plain words " + prose(30))]
+        want |= {2 * k: (name, "file", None), 2 * k + 1: (name, "inherited", f"/{k}")}
+    english = "the of and to in or any that you this is for a with by as not be are it which from an such on have " * 40
+    rows += [(1000 + i, f"/none/{i}", prose(80)) for i in range(60)] + [(2000, "/none/english", english)]
+    want |= {1000 + i: (None, "none", None) for i in range(60)} | {2000: (None, "none", None)}
+    got = {r["doc_id"]: (r["licence"], r["found"], r["from_dir"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert got == want
+
+
 def test_mixing_meets_weights_and_loses_nothing(spark):
     rows = [(i, prose(30), "big" if i % 10 else "small") for i in range(400)] + [(900, None, None), (901, "", "big")]
     df = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, source string, pass int")
