@@ -23,3 +23,16 @@ def test_stages(spark):
     assert five.count() == four.count() and set(five.columns) == {*corpus_pipeline.COLUMNS, "shard"}
     for stage in (one, two, three, four):
         assert stage.columns == corpus_pipeline.COLUMNS
+
+
+def test_predictions_take_effect_and_nothing_learned_loses_nothing(spark, monkeypatch):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(i, "the house and the garden " * 12, "en", "s", 1) if i % 2 else (i, "zwölf größere Züge für ßü " * 12, "de", "s", 1) for i in range(60)]
+    odd = [(100, "the garden and the house", None, "s", 1), (101, "größere Züge", None, "s", 1), (102, "12 ..", None, "s", 1), (103, None, None, "s", 1)]
+    docs = spark.createDataFrame(rows + odd, schema)
+    langs = {r["doc_id"]: r["lang"] for r in corpus_pipeline.identified(spark, docs, DIR).collect()}
+    assert langs == {r[0]: r[2] for r in rows} | {100: "en", 101: "de"}
+    unlabelled = corpus_pipeline.identified(spark, spark.createDataFrame(odd, schema), DIR)
+    assert {r["doc_id"] for r in unlabelled.collect()} == {100, 101} and unlabelled.columns == corpus_pipeline.COLUMNS
+    monkeypatch.setattr(corpus_pipeline, "LEAST_LEAD", 1.1)  # no score reaches it
+    assert {r["doc_id"] for r in corpus_pipeline.identified(spark, docs, DIR).collect()} == {100, 101}  # too short to judge
