@@ -13,8 +13,11 @@ FOLDS, SEED = 5, 20260916
 
 
 def scenario_folds(rows: DataFrame, folds: int = FOLDS, seed: int = SEED) -> DataFrame:
-    """scenario_id, style_axis, fold: scenarios in hash order inside their axis, dealt in turn."""
-    each = rows.select("scenario_id", "style_axis").distinct()
+    """scenario_id, style_axis, fold: scenarios in hash order inside their axis, dealt in turn. A scenario under two axes
+    would be in two folds, so it fails the job."""
+    twice = F.raise_error(F.concat(F.lit("a scenario has several axes: "), F.col("scenario_id").cast("string"))).cast("string")
+    each = rows.groupBy("scenario_id").agg(F.min("style_axis").alias("_a"), F.max("style_axis").alias("_z"))
+    each = each.select("scenario_id", F.when(F.col("_a") == F.col("_z"), F.col("_a")).when(F.col("_a").isNotNull(), twice).alias("style_axis"))
     key = F.sha2(F.concat_ws(":", F.lit(str(seed)), "style_axis", "scenario_id"), 256)
     return each.select("scenario_id", "style_axis", F.pmod(F.row_number().over(Window.partitionBy("style_axis").orderBy(key)) - 1, F.lit(folds)).alias("fold"))
 
@@ -94,3 +97,32 @@ def scenario_rows(cells: DataFrame, keys: list[str] = CELL_KEYS) -> DataFrame:
     )
     all_points = cells.groupBy(*keys).agg(F.avg("separation").alias("endpoint_separation"))
     return rows.join(spearman(inner, "target_ratio", "projection_raw", keys, "spearman_monotonicity"), keys, "left").join(all_points, keys)
+
+
+STATISTICS = ["mae", "median_error", "spearman", "pearson", "slope", "intercept"]
+
+
+def method_rows(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """cells (keys, target_ratio, estimate, absolute_error): one row for each scenario and method with its six statistics;
+    correlations are null where the estimates are constant."""
+    rows = cells.groupBy(*keys).agg(
+        F.avg("absolute_error").alias("mae"), F.percentile("absolute_error", F.lit(0.5)).alias("median_error"), safe_corr("target_ratio", "estimate").alias("pearson"),
+        F.regr_slope("estimate", "target_ratio").alias("slope"), F.regr_intercept("estimate", "target_ratio").alias("intercept"), F.stddev_pop("estimate").alias("_sd"),
+    )
+    rho = spearman(cells, "target_ratio", "estimate", keys, "spearman")
+    return rows.join(rho, keys, "left").withColumn("spearman", F.when(F.col("_sd") > 1e-12, F.col("spearman"))).drop("_sd")
+
+
+def method_table(samples: DataFrame, estimates: dict[str, str], judged: DataFrame | None = None, replicates: int = 10_000) -> DataFrame:
+    """By model, encoder, method and statistic: mean over scenarios with its stratified interval. samples: interior rows with a
+    column for each estimate, fitted on them before seeds are averaged; estimate and error are averaged over seeds apart.
+    judged (scenario_id, style_axis, model_id, target_ratio, estimate) adds a judge's own estimates as encoder 'judge'."""
+    from axisgauge.operators.statistics import bootstrap_means
+
+    keys = [*CELL_KEYS, "method"]
+    pick = F.array(*[F.struct(F.lit(n).alias("method"), F.col(c).cast("double").alias("estimate")) for n, c in estimates.items()])
+    long = samples.select(*CELL_KEYS, "target_ratio", F.inline(pick))
+    if judged is not None:
+        long = long.unionByName(judged.select("scenario_id", "style_axis", "model_id", F.lit("judge").alias("encoder_id"), "target_ratio", F.lit("llm_scalar_judge").alias("method"), F.col("estimate").cast("double").alias("estimate")))
+    cells = long.groupBy(*keys, "target_ratio").agg(F.avg("estimate").alias("estimate"), F.avg(F.abs(F.col("estimate") - F.col("target_ratio"))).alias("absolute_error"))
+    return bootstrap_means(method_rows(cells, keys), ["model_id", "encoder_id", "method"], STATISTICS, "style_axis", "scenario_id", replicates)

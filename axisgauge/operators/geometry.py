@@ -131,3 +131,27 @@ def cosine_similarity(a: str, b: str) -> F.Column:
     """Null for vectors of length zero."""
     size = F.sqrt(dot(a, a) * dot(b, b))
     return no_nan(F.when(size > 0, dot(a, b) / size))
+
+
+def legacy_projection(points: DataFrame, by: list[str] = TRAJECTORY) -> DataFrame:
+    """The first generation's sample rows: groups without both ends are left out, the first output (by run_id) at each end is
+    the anchor, a collapsed pair gives 0.5, distances are not normalised, and a rank counts strictly closer outputs only."""
+    end = lambda r, c: F.min_by(c, F.when(F.col("target_ratio") == r, F.col("run_id")))
+    ends = points.where("target_ratio in (0.0, 1.0)").groupBy(*by).agg(end(0.0, "v").alias("a"), end(1.0, "v").alias("b"), F.min(F.when(F.col("target_ratio") == 0, F.col("run_id"))).alias("a_run_id"), F.min(F.when(F.col("target_ratio") == 1, F.col("run_id"))).alias("b_run_id"))
+    s = with_geometry(points, ends.where("a_run_id is not null and b_run_id is not null"), by)
+    other = s.select(*by, F.col("from_a").alias("_d"), F.col("along").alias("_s"), F.col("run_id").alias("_id"))
+    far = F.greatest(F.col("_d") ** 2 - 2 * F.col("target_ratio") * F.col("_s") + (F.col("target_ratio") * F.col("separation")) ** 2, F.lit(0.0))
+    own = F.greatest(F.col("from_a") ** 2 - 2 * F.col("target_ratio") * F.col("along") + (F.col("target_ratio") * F.col("separation")) ** 2, F.lit(0.0))
+    closer = s.select(*by, "run_id", "target_ratio", "separation", "from_a", "along").join(other, by).groupBy(*by, "run_id").agg((1 + F.count_if((F.col("_id") != F.col("run_id")) & (far < own - 1e-13))).alias("rank"))
+    raw = F.coalesce("coordinate", F.lit(0.5))
+    return s.join(closer, [*by, "run_id"]).select(
+        *by, "run_id", "target_ratio", "a_run_id", "b_run_id", raw.alias("raw"), F.least(F.greatest(raw, F.lit(0.0)), F.lit(1.0)).alias("clipped"), F.sqrt(own).alias("interpolation_distance"),
+        F.coalesce("off_axis", F.col("from_a")).alias("off_axis_drift"), "rank",
+    )
+
+
+def gated_samples(samples: DataFrame, by: list[str] = TRAJECTORY, complete: int = 7, most: float = 1e-6) -> DataFrame:
+    """Sample rows; a trajectory with another number of points, or a projection whose parts do not add up, fails the job."""
+    n = F.count(F.lit(1)).over(Window.partitionBy(*by))
+    bad = F.when(n != complete, F.raise_error(F.concat(F.lit("points in a trajectory: "), n.cast("string")))).when(F.col("residual") >= most, F.raise_error(F.lit("the parts of a projection do not add up")))
+    return samples.withColumn("residual", F.coalesce(bad.cast("double"), F.col("residual")))

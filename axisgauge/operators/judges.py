@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from axisgauge.functions.numeric import average_rank, hex8, safe_corr
-from axisgauge.operators.statistics import cohen_kappa
+from axisgauge.functions.numeric import safe_corr, spearman
+from axisgauge.operators import ladder
+from axisgauge.operators.statistics import REPLICATES, bootstrap_means, bootstrap_pearson, cohen_kappa, fixed_effect_residual, holm, line_residual, paired_differences, wilcoxon
 
 #: The nine pairs of ratio positions that are compared (fixed values).
 PAIRS = [(0, 1), (1, 2), (2, 3), (3, 4), (4, 5), (5, 6), (0, 3), (3, 6), (2, 4)]
@@ -169,3 +170,139 @@ def two_by_two(rows: DataFrame, keys: list[str], condition: str, value: str, nam
     return wide.select(*keys, ((c(prompt) + c(both) - c(base) - c(heat)) / 2).alias("prompt"), ((c(heat) + c(both) - c(base) - c(prompt)) / 2).alias("temperature"), (c(both) - c(prompt) - c(heat) + c(base)).alias("interaction"))
 
 
+
+
+LENIENT_FLAGS = ["added_key_information", "task_result_changed_by_addition", "factual_contradiction"]
+
+
+def normalise_lenient(raw: Column, checks: Column) -> Column:
+    """As normalise_content, but forgiving: a fenced or embedded object, further fields, one boolean field whose name only
+    begins like factual_contradiction in its place, and missing flags where the text could not be judged."""
+    bare = F.regexp_replace(F.regexp_replace(F.trim(raw), r"(?s)^```(?:json)?\s*", ""), r"(?s)\s*```$", "")
+    v = _fields(bare)
+    kind = lambda f: F.schema_of_variant(F.try_variant_get(v, f"$.{f}", "variant"))
+    held = F.try_variant_get(v, "$", "map<string,variant>")
+    alias = F.map_filter(held, lambda k, x: k.startswith("factual_contrad") & F.coalesce(F.schema_of_variant(x) == "BOOLEAN", F.lit(False)))
+    only = F.when(F.size(alias) == 1, F.try_variant_get(F.get(F.map_values(alias), F.lit(0)), "$", "boolean"))
+    covered, unjudgeable = F.try_variant_get(v, "$.covered", "array<boolean>"), F.try_variant_get(v, "$.unjudgeable", "boolean")
+    is_flag = lambda f: F.coalesce(kind(f) == "BOOLEAN", F.lit(False))
+    there = lambda f: F.array_contains(F.map_keys(held), f)
+    flags = {f: F.when(is_flag(f), F.try_variant_get(v, f"$.{f}", "boolean")) for f in LENIENT_FLAGS}
+    flags["factual_contradiction"] = F.coalesce(flags["factual_contradiction"], F.when(~there("factual_contradiction"), only))
+    fine = F.lit(True)
+    for f in LENIENT_FLAGS:
+        fine = fine & (flags[f].isNotNull() | (F.coalesce(unjudgeable, F.lit(False)) & ~there(f)))
+    numbers = {f: F.when(F.coalesce(kind(f).rlike("^(BIGINT|DOUBLE|DECIMAL)"), F.lit(False)), F.try_variant_get(v, f"$.{f}", "double")) for f in ("style_B_intensity", "naturalness")}
+    error = (
+        F.when(v.isNull() | held.isNull(), "no object").when(~(F.coalesce(kind("covered") == "ARRAY<BOOLEAN>", F.lit(False)) | ((checks == 0) & F.coalesce(F.size(covered) == 0, F.lit(False)))) | (F.size(covered) != checks), "covered")
+        .when(~is_flag("unjudgeable"), "unjudgeable").when(~F.coalesce(fine, F.lit(False)), "flags")
+        .when(~F.coalesce(numbers["style_B_intensity"].between(0, 100), F.lit(False)), "style_B_intensity").when(~F.coalesce(numbers["naturalness"].between(1, 5), F.lit(False)), "naturalness")
+    )
+    coverage = F.coalesce(F.try_divide(F.size(F.filter(covered, lambda c: c)).cast("double"), checks), F.lit(0.0))
+    passed = (coverage >= 0.9) & ~F.coalesce(flags["factual_contradiction"], F.lit(False)) & ~F.coalesce(flags["task_result_changed_by_addition"], F.lit(False)) & ~unjudgeable
+    ok = error.isNull()
+    return F.struct(F.when(ok, coverage).alias("coverage"), F.when(ok, passed).alias("passed"), *[F.when(ok, x).alias(f) for f, x in flags.items()], *[F.when(ok, x).alias(f) for f, x in numbers.items()], error.alias("error"))
+
+
+def scalar_summary(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Older scalar judgments (style_b_ratio, content_preservation, style_mixture_naturalness as text or numbers, alpha,
+    parse_ok) by any keys: MAE, bias, Spearman, means, end attraction, smoothness and parse rate."""
+    num = {c: F.col(c).try_cast("double") for c in ("style_b_ratio", "content_preservation", "style_mixture_naturalness", "alpha")}
+    r = rows.withColumns({**num, "parse_ok": F.col("parse_ok").cast("double")}).withColumn("target_ratio", F.col("alpha"))
+    d = F.col("style_b_ratio") - F.col("alpha")
+    base = r.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(F.abs(d)).alias("mae"), F.avg(d).alias("bias"), F.avg("content_preservation").alias("content"), F.avg("style_mixture_naturalness").alias("naturalness"), F.avg("parse_ok").alias("parse_ok_rate"),
+    )
+    ratios = [row[0] for row in r.where("alpha > 0.2 and alpha < 0.8").select("alpha").distinct().orderBy("alpha").limit(100).collect()]  # the grid's middle
+    parts = [spearman(r, "alpha", "style_b_ratio", by, "spearman"), ladder.smoothness(r.where("style_b_ratio is not null"), by, "alpha", "style_b_ratio"), ladder.attraction(r.where("style_b_ratio is not null"), by, "style_b_ratio", ratios)]
+    for p in parts:
+        base = base.join(p, by, "left")
+    return base
+
+
+def monotonic_violations(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Older pairwise records (left_alpha, right_alpha, winner text_1, text_2 or tie, swap_order, parse_ok): pairs of equal
+    ratios are left out; violation and tie rates over valid ones, parse rate over all."""
+    r = rows.where("left_alpha != right_alpha").withColumn("_valid", F.coalesce("parse_ok", F.lit(True)) & F.coalesce(F.col("winner").isin("text_1", "text_2", "tie"), F.lit(False)))
+    second = (F.col("right_alpha") > F.col("left_alpha")) != F.coalesce("swap_order", F.lit(False))
+    wrong = (F.col("winner") != "tie") & (F.col("winner") != F.when(second, "text_2").otherwise("text_1"))
+    rate = lambda c: F.avg(F.when(F.col("_valid"), c.cast("double")))
+    return r.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), rate(wrong).alias("violation"), rate(F.col("winner") == "tie").alias("tie"), F.avg(F.col("parse_ok").cast("double")).alias("parse_ok_rate"))
+
+
+def quality_sample(judgments: DataFrame, quality: DataFrame, keys: list[str], flags: list[str]) -> DataFrame:
+    """Judgments joined to text quality one to one; flags as numbers, and the scalar error."""
+    from axisgauge.operators.audit import checked_join
+
+    j = checked_join(judgments, quality, keys, "1:1").withColumns({f: F.col(f).cast("double") for f in flags})
+    return j.withColumn("scalar_ratio", F.col("intensity") / 100.0).withColumn("scalar_error", F.abs(F.col("scalar_ratio") - F.col("target_ratio")))
+
+
+def scalar_calibration(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Seed-averaged cells of scalar_ratio and scalar_error by model and axis: MAE, correlations, slope and intercept."""
+    cells = rows.groupBy("scenario_id", *by, "target_ratio").agg(F.avg("scalar_ratio").alias("r"), F.avg("scalar_error").alias("e"))
+    fit = cells.groupBy(*by).agg(F.count(F.lit(1)).alias("cells"), F.avg("e").alias("mae"), safe_corr("target_ratio", "r").alias("pearson"), F.regr_slope("r", "target_ratio").alias("slope"), F.regr_intercept("r", "target_ratio").alias("intercept"))
+    return fit.join(spearman(cells.withColumn("r", F.round("r", 12)), "target_ratio", "r", by, "spearman"), by, "left")  # equal means tie
+
+
+def coupling(rows: DataFrame, axes: list[str], values: dict[str, str]) -> DataFrame:
+    """Means of values (name -> column) by axis and model on the chosen axes."""
+    return rows.where(F.col("style_axis").isin(axes)).groupBy("style_axis", "model_id").agg(*[F.avg(F.col(c).cast("double")).alias(n) for n, c in values.items()])
+
+
+def judge_summary(rows: DataFrame, metrics: list[str], replicates: int = REPLICATES) -> DataFrame:
+    """By judge, model and axis, with `ALL` for all axes: cluster means with intervals, and valid output rows."""
+    r = rows.withColumn("axis", F.explode(F.array(F.lit("ALL"), F.col("style_axis"))))
+    by = ["judge", "model_id", "axis"]
+    valid = r.groupBy(*by).agg(F.count("intensity").alias("valid_rows"))
+    return bootstrap_means(r, by, metrics, "style_axis", "scenario_id", replicates).join(valid, by)
+
+
+def paired_style_tests(rows: DataFrame, value: str, replicates: int = REPLICATES) -> DataFrame:
+    """For each judge, all pairs of models on scenario means: difference with interval, dz, signed-rank p (zeros dropped),
+    and Holm's adjustment inside the judge."""
+    means = rows.groupBy("judge", "scenario_id", "style_axis", "model_id").agg(F.avg(value).alias("m")).where("m is not null")
+    d = paired_differences(means.drop("style_axis"), ["judge"], "model_id", "scenario_id", "m").join(means.select("scenario_id", "style_axis").distinct(), "scenario_id")
+    by = ["judge", "model_a", "model_b"]
+    sd = d.groupBy(*by).agg(F.stddev_samp("difference").alias("_sd"))
+    out = bootstrap_means(d, by, ["difference"], "style_axis", "scenario_id", replicates).drop("metric").join(sd, by).join(wilcoxon(d, by, zeros="drop"), by, "left")
+    out = out.withColumn("dz", F.when(F.col("_sd") > 0, F.col("estimate") / F.col("_sd"))).drop("_sd")
+    return holm(out, ["judge"])
+
+
+def condition_differences(rows: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
+    """Differences of two judges by any keys; null keys are groups of their own."""
+    d = F.col(a) - F.col(b)
+    return rows.where(d.isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(d).alias("mean_difference"), F.avg(F.abs(d)).alias("mean_absolute_difference"))
+
+
+def length_sensitivity(rows: DataFrame, judges: list[str], checkpoint, replicates: int = REPLICATES) -> DataFrame:
+    """judge, and the correlation of geometry and judge with its interval, before and after length is taken out of both.
+    rows: outputs with coordinate, length and an intensity column for each judge; they are averaged over seeds, and fixed
+    effects of ratio, model and scenario (which holds its axis) are removed first. checkpoint cuts the lineage."""
+    keys = ["scenario_id", "style_axis", "model_id", "target_ratio"]
+    cells = checkpoint(rows.groupBy(*keys).agg(F.avg("coordinate").alias("coordinate"), F.avg("length").alias("length"), *[F.avg(j).alias(j) for j in judges]))
+    for c in ("coordinate", "length", *judges):
+        cells = checkpoint(fixed_effect_residual(cells, c, "scenario_id", ["target_ratio", "model_id"], f"_{c}"))
+    cells = checkpoint(line_residual(cells, "_coordinate", "_length", "g"))
+    out = None
+    for j in judges:
+        r = checkpoint(line_residual(cells, f"_{j}", "_length", "j"))
+        base = bootstrap_pearson(r, "_coordinate", f"_{j}", "scenario_id", replicates)
+        after = bootstrap_pearson(r, "g", "j", "scenario_id", replicates).select(F.col("estimate").alias("controlled"), F.col("ci_lower").alias("controlled_lower"), F.col("ci_upper").alias("controlled_upper"))
+        one = base.crossJoin(F.broadcast(after)).withColumn("judge", F.lit(j))  # one row each
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def rank_of_rankings(ranking: DataFrame) -> DataFrame:
+    """Rank correlation of the two judges' model means; ranking: judge, model_id, mean (judge_ranking)."""
+    first = ranking.agg(F.min("judge").alias("_a"))  # one row
+    r = ranking.crossJoin(F.broadcast(first)).groupBy("model_id").agg(F.max(F.when(F.col("judge") == F.col("_a"), F.col("mean"))).alias("x"), F.max(F.when(F.col("judge") != F.col("_a"), F.col("mean"))).alias("y"))
+    return spearman(r.withColumn("g", F.lit(1)), "x", "y", ["g"], "spearman").drop("g")
+
+
+def worst_axes(rates: DataFrame, k: int = 3) -> DataFrame:
+    """The k axes of each model with the highest violation rates."""
+    w = Window.partitionBy("model_id").orderBy(F.desc_nulls_last("violation"), "style_axis")
+    return rates.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= k)

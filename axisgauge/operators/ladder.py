@@ -74,3 +74,17 @@ def first_groups(rows: DataFrame, stratum: str, unit: str, n: int) -> DataFrame:
     """All rows of the first n units of each stratum by name."""
     ranked = rows.select(stratum, unit).distinct().withColumn("_r", F.row_number().over(Window.partitionBy(stratum).orderBy(unit)))
     return rows.join(ranked.where(F.col("_r") <= n), [stratum, unit], "left_semi")
+
+
+def two_and_three(rows: DataFrame, chosen: list[str], value: str) -> DataFrame:
+    """By model: the mean over chosen encoders and over all, of the encoders' model means; ranks by the least place."""
+    means = rows.groupBy("model_id", "encoder_id").agg(F.avg(value).alias("m"))
+    wide = means.groupBy("model_id").agg(F.avg(F.when(F.col("encoder_id").isin(chosen), F.col("m"))).alias("two_mean"), F.avg("m").alias("three_mean"))
+    place = lambda c: F.rank().over(Window.partitionBy(F.lit(0)).orderBy(c))  # noqa: E731  a row for each model
+    return wide.select("*", (F.col("three_mean") - F.col("two_mean")).alias("difference"), place("two_mean").alias("two_rank"), place("three_mean").alias("three_rank"))
+
+
+def compliant(rows: DataFrame, violation: str) -> DataFrame:
+    """Rows without a violation under two rules, named in `rule`: unknown ones are violations (strict) or not (lenient)."""
+    rules = F.array_compact(F.array(F.when(~F.coalesce(violation, F.lit(True)), "strict"), F.when(~F.coalesce(violation, F.lit(False)), "lenient")))
+    return rows.select("*", F.explode(rules).alias("rule"))

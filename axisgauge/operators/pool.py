@@ -17,9 +17,10 @@ def reasons(checks: dict[str, Column]) -> Column:
 
 
 def bigrams(text: Column) -> Column:
-    """Distinct pairs of characters of the lower-cased text without white space; a shorter text stands for itself."""
+    """Distinct pairs of characters of the lower-cased text without white space; a shorter
+    text stands for itself, an empty one has none."""
     t = F.lower(F.regexp_replace(text, r"(?U)\s+", ""))
-    return F.when(F.char_length(t) <= 2, F.array(t)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(t) - 1), lambda i: F.substring(t, i, F.lit(2)))))
+    return F.when(t == "", F.array().cast("array<string>")).when(F.char_length(t) <= 2, F.array(t)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(t) - 1), lambda i: F.substring(t, i, F.lit(2)))))
 
 
 def near_pairs(rows: DataFrame, axis: str, order: str, grams: str, num: int = 9, den: int = 20) -> DataFrame:
@@ -37,13 +38,13 @@ def near_pairs(rows: DataFrame, axis: str, order: str, grams: str, num: int = 9,
     return full.where(shared * den >= (F.size("gl") + F.size("ge") - shared) * num).select(axis, "late", "early")
 
 
-def greedy_accept(rows: DataFrame, pairs: DataFrame, axis: str, order: str, checkpoint=None, rounds: int = 1000) -> DataFrame:
+def greedy_accept(rows: DataFrame, pairs: DataFrame, axis: str, order: str, checkpoint=None) -> DataFrame:
     """axis, order, accepted: a row is rejected if an earlier accepted row of its axis is near. Each round accepts
     the undecided rows without an earlier undecided neighbour and rejects those near an accepted one, until all are
     decided; as many rounds as the longest chain. checkpoint cuts the lineage (DataFrame -> DataFrame)."""
     checkpoint = checkpoint or (lambda df: df.checkpoint())
     state = checkpoint(rows.select(axis, F.col(order).alias("o"), F.lit(None).cast("boolean").alias("ok")))
-    for _ in range(rounds):
+    while True:  # each round decides a row at least: the earliest undecided one
         seen = pairs.join(state.select(axis, F.col("o").alias("early"), F.col("ok").alias("eo")), [axis, "early"]).groupBy(axis, F.col("late").alias("o")).agg(F.bool_or(F.coalesce("eo", F.lit(False))).alias("hit"), F.bool_or(F.col("eo").isNull()).alias("wait"))
         new = F.when(F.col("ok").isNotNull(), F.col("ok")).when(F.coalesce("hit", F.lit(False)), False).when(~F.coalesce("wait", F.lit(False)), True)
         state = checkpoint(state.join(seen, [axis, "o"], "left").select(axis, "o", new.alias("ok")))
@@ -70,3 +71,65 @@ def top_reasons(rejected: DataFrame, by: list[str], k: int = 5) -> DataFrame:
     counts = rejected.select(*by, F.explode("reasons").alias("reason")).groupBy(*by, "reason").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy(*by).orderBy(F.desc("n"), "reason")
     return counts.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", F.concat_ws(":", "reason", F.col("n").cast("string")).alias("s")))), lambda x: x["s"]), "; ").alias("top_reasons"))
+
+
+def number_candidates(raw: DataFrame, text: str, by: list[str]) -> DataFrame:
+    """by, nth, candidate: the objects of the JSON array inside each free text, numbered from 1 in their order; values that
+    are no objects are left out but keep their number."""
+    each = raw.select(*by, F.posexplode(parse_candidates(F.col(text))).alias("nth", "candidate"))
+    return each.where(F.schema_of_variant("candidate").startswith("OBJECT")).select(*by, (F.col("nth") + 1).alias("nth"), "candidate")
+
+
+def review_reasons(row: dict[str, Column], domains: list[str], risk_words: list[str], note_words: list[str], exempt: str, low: int = 12, high: int = 80) -> Column:
+    """Reasons against a reviewed scenario: missing fields, length in CJK characters, two to four checks, preferred domains,
+    risk words in the content, and risk notes that name a risk without the exempting word. row: content, checks (an array),
+    domain, risk_note, and further required fields; the word lists are the caller's."""
+    content, note = F.coalesce(row["content"].cast("string"), F.lit("")), F.coalesce(row["risk_note"].cast("string"), F.lit(""))
+    n = F.char_length(F.regexp_replace(content, "[^一-鿿]", ""))
+    anywhere = lambda t, words: F.coalesce(F.array_max(F.array(*[t.contains(w) for w in words])), F.lit(False)) if words else F.lit(False)
+    missing = [F.when(c.isNull() | (F.coalesce(c.cast("string"), F.lit("")) == ""), F.lit(f"missing:{k}")) for k, c in row.items()]
+    rules = [
+        (n < low, "content_too_short"), (n > high, "content_too_long"), (row["checks"].isNotNull() & ~F.size(row["checks"]).between(2, 4), "content_checks_count"), (row["checks"].isNull(), "content_checks_not_list"),
+        (~F.coalesce(row["domain"].isin(domains), F.lit(False)), "domain_tag_unpreferred"), (anywhere(content, risk_words), "content_risk_word"), (anywhere(note, note_words) & ~note.contains(exempt), "risk_note_review"),
+    ]
+    return F.array_compact(F.array(*missing, *[F.when(bad, F.lit(name)) for bad, name in rules]))
+
+
+def normalised_content(text: Column) -> Column:
+    return F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", ""))
+
+
+def representatives(rows: DataFrame, axis: str, order: str, content: str) -> DataFrame:
+    """axis, order, grams, rep: rows with the same bigrams stand for each other in near-duplicate search; rep is the first of
+    them. Rows without bigrams represent nothing and are left out."""
+    g = rows.select(axis, order, bigrams(normalised_content(F.col(content))).alias("g")).select(axis, order, F.array_sort("g").alias("grams")).where(F.size("grams") > 0)
+    first = g.groupBy(axis, "grams").agg(F.min(order).alias("rep"))
+    return g.join(first, [axis, "grams"])
+
+
+def curate(rows: DataFrame, axis: str, order: str, content: str, reasons: str, checkpoint=None) -> DataFrame:
+    """rows with accepted, and their reasons sorted, with duplicate_content (the same content as an earlier accepted row of
+    the axis) and near_duplicate_content (0.45 alike to one). Only rows without other reasons compete. Rows with equal
+    bigrams are decided by their first: if that is accepted the others are near it, and if not, neither are they."""
+    ok = rows.where(F.size(reasons) == 0)
+    reps = representatives(ok, axis, order, content)
+    one = reps.where(F.col(order) == F.col("rep")).select(axis, order, "grams")
+    empty = ok.select(axis, order, normalised_content(F.col(content)).alias("_n")).where("_n = ''").groupBy(axis).agg(F.min(order).alias(order))
+    decided = greedy_accept(one, near_pairs(one, axis, order, "grams"), axis, order, checkpoint)
+    taken = decided.where("accepted").select(axis, order).unionByName(empty.select(axis, order)).withColumn("accepted", F.lit(True))
+    all_rows = rows.withColumn("_norm", normalised_content(F.col(content))).join(taken, [axis, order], "left")
+    seen = all_rows.where("accepted").groupBy(axis, F.col("_norm")).agg(F.min(order).alias("_first"))
+    j = all_rows.join(seen, [axis, "_norm"], "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
+    twin = F.coalesce(F.col("_first") < F.col(order), F.lit(False))
+    more = F.array_compact(F.array(F.when(twin, "duplicate_content"), F.when((F.size(reasons) == 0) & ~twin & ~F.col("accepted"), "near_duplicate_content")))
+    return j.withColumn(reasons, F.array_sort(F.array_distinct(F.concat(reasons, more)))).drop("_norm", "_first")
+
+
+def pool_summary(candidates: DataFrame, filtered: DataFrame, final: DataFrame, rejected: DataFrame, axis: str, domain: str, k: int = 5) -> DataFrame:
+    """By axis: rows at each step, domains of the final ones, rejected rows and their k most frequent reasons."""
+    n = lambda df, name: df.groupBy(axis).agg(F.count(F.lit(1)).alias(name))
+    out = n(candidates, "candidates")
+    for part in (n(filtered, "filtered"), n(final, "final"), final.groupBy(axis).agg(F.countDistinct(domain).alias("domains")), n(rejected, "rejected")):
+        out = out.join(part, axis, "full_outer")
+    counts = [c for c in out.columns if c != axis]
+    return out.select(axis, *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts]).join(top_reasons(rejected, [axis], k), axis, "left")

@@ -19,10 +19,32 @@ def latency(rows: DataFrame, by: list[str], seconds: str) -> DataFrame:
 
 
 def pareto(rows: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataFrame:
-    """Rows that no other row of the group beats in both columns (less is better; equal rows stay). For each x the
-    least y is kept first, so that the running minimum is over distinct x; a group's distinct x are in one task."""
+    """Rows that no other row of the group beats in both columns (less is better; equal rows stay). The least y of each x
+    is dealt by ranges of x; a range needs only the least y of the ranges before it, one number for each group and range."""
     by = by or []
-    least = rows.groupBy(*by, x).agg(F.min(y).alias("_y"))
-    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
-    front = least.withColumn("_before", F.min("_y").over(w)).where(F.col("_before").isNull() | (F.col("_y") < F.col("_before")))
+    least = rows.groupBy(*by, x).agg(F.min(y).alias("_y")).repartitionByRange(*by, x).withColumn("_p", F.spark_partition_id())
+    ranges = least.groupBy(*by, "_p").agg(F.min("_y").alias("_least"))  # a row for each group and range
+    earlier = ranges.withColumn("_earlier", F.min("_least").over(Window.partitionBy(*(by or [F.lit(0)])).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))).drop("_least")
+    w = Window.partitionBy(*by, "_p").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.least(F.min("_y").over(w), F.col("_earlier"))
+    front = least.join(earlier, [*by, "_p"]).withColumn("_before", before).where(F.col("_before").isNull() | (F.col("_y") < F.col("_before")))
     return rows.join(front.select(*by, x, F.col("_y").alias(y)), [*by, x, y], "left_semi")
+
+
+def throughput(requests: DataFrame, groups: DataFrame, latency_column: str) -> DataFrame:
+    """By model: requests, tokens over the wall-clock span, mean rate of single requests, tokens, retries, latencies, and the
+    comparison group (null where a model has none). requests: model_id, ts, seconds, output_tokens, retries."""
+    span = (F.max(F.unix_micros("ts")) - F.min(F.unix_micros("ts"))) / 1e6
+    rate = F.col("output_tokens") / F.when(F.col("seconds") > 0, F.col("seconds"))
+    t = requests.groupBy("model_id").agg(
+        F.count(F.lit(1)).alias("n"), F.try_divide(F.sum("output_tokens").cast("double"), span).alias("tokens_per_second"), F.avg(rate).alias("mean_request_rate"), F.sum("output_tokens").alias("tokens"), F.sum("retries").alias("retries"),
+        F.percentile(latency_column, F.lit(0.5)).alias("p50"), F.percentile(latency_column, F.lit(0.95)).alias("p95"),
+    )
+    return t.join(F.broadcast(groups), "model_id", "left")  # a row for each model
+
+
+def exact_group(rows: DataFrame, group: str, name: str, expected: int) -> DataFrame:
+    """The rows of one comparison group, which must have the expected number."""
+    n = F.count(F.lit(1)).over(Window.partitionBy(group))
+    wrong = F.raise_error(F.concat(F.lit(f"{name} has another number of rows than {expected}: "), n.cast("string"))).cast("string")
+    return rows.where(F.col(group) == name).withColumn(group, F.when(n == expected, F.col(group)).otherwise(wrong))

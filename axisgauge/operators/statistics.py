@@ -9,10 +9,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from axisgauge.functions.numeric import average_rank, hex8, safe_corr
+from axisgauge.functions.numeric import average_rank, hex8, safe_corr, spearman
+
+#: Bootstrap replicates and sign permutations.
+REPLICATES, PERMUTATIONS = 10_000, 100_000
 
 
 def draws(clusters: DataFrame, stratum: str, cluster: str, replicates: int, seed: int = 1) -> DataFrame:
@@ -25,18 +29,21 @@ def draws(clusters: DataFrame, stratum: str, cluster: str, replicates: int, seed
     return times.join(placed.select(stratum, cluster, "pos"), [stratum, "pos"]).select(stratum, cluster, "replicate", "times")
 
 
-def bootstrap_means(rows: DataFrame, by: list[str], metrics: list[str], stratum: str, cluster: str, replicates: int = 1000, seed: int = 1) -> DataFrame:
+def bootstrap_means(rows: DataFrame, by: list[str], metrics: list[str], stratum: str, cluster: str, replicates: int = REPLICATES, seed: int = 1) -> DataFrame:
     """by, metric, estimate, ci_lower, ci_upper, n: stratified cluster bootstrap of means of cluster means; nulls are
-    left out of each draw's mean."""
+    left out of each draw's mean, and a group without values has n 0 and nulls."""
     means = rows.groupBy(*by, stratum, cluster).agg(*[F.avg(F.col(m).cast("double")).alias(m) for m in metrics])
-    long = means.unpivot([*by, stratum, cluster], metrics, "metric", "value").where("value is not null")
-    sampled = long.join(draws(means, stratum, cluster, replicates, seed), [stratum, cluster])
-    each = sampled.groupBy(*by, "metric", "replicate").agg((F.sum(F.col("times") * F.col("value")) / F.sum("times")).alias("m"))
-    ci = each.groupBy(*by, "metric").agg(F.percentile("m", F.lit(0.025)).alias("ci_lower"), F.percentile("m", F.lit(0.975)).alias("ci_upper"))
-    return long.groupBy(*by, "metric").agg(F.avg("value").alias("estimate"), F.count(F.lit(1)).alias("n")).join(ci, [*by, "metric"], "left")
+    sampled = means.join(draws(means, stratum, cluster, replicates, seed), [stratum, cluster])  # a row for all metrics
+    each = sampled.groupBy(*by, "replicate").agg(*[F.try_divide(F.sum(F.col("times") * F.col(m)), F.sum(F.when(F.col(m).isNotNull(), F.col("times")))).alias(m) for m in metrics])
+    limits = [F.percentile(m, F.lit(q)).alias(f"{m}_{q}") for m in metrics for q in (0.025, 0.975)]
+    found = means.groupBy(*by).agg(*[F.avg(m).alias(m) for m in metrics], *[F.count(m).alias(f"{m}_n") for m in metrics]).join(each.groupBy(*by).agg(*limits), by) if by else (
+        means.agg(*[F.avg(m).alias(m) for m in metrics], *[F.count(m).alias(f"{m}_n") for m in metrics]).crossJoin(F.broadcast(each.agg(*limits)))  # one row each
+    )
+    rows_of = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("estimate"), F.col(f"`{m}_0.025`").alias("ci_lower"), F.col(f"`{m}_0.975`").alias("ci_upper"), F.col(f"{m}_n").alias("n")) for m in metrics])
+    return found.select(*by, F.inline(rows_of))
 
 
-def bootstrap_ratio(rows: DataFrame, by: list[str], metric: str, cluster: str, replicates: int = 1000, seed: int = 1) -> DataFrame:
+def bootstrap_ratio(rows: DataFrame, by: list[str], metric: str, cluster: str, replicates: int = REPLICATES, seed: int = 1) -> DataFrame:
     """Row-weighted, unstratified: each draw is a ratio of sums over clusters."""
     sums = rows.where(F.col(metric).isNotNull()).groupBy(*by, cluster).agg(F.sum(metric).alias("s"), F.count(F.lit(1)).alias("k")).withColumn("_all", F.lit("all"))
     sampled = sums.join(draws(sums, "_all", cluster, replicates, seed), ["_all", cluster])
@@ -45,7 +52,7 @@ def bootstrap_ratio(rows: DataFrame, by: list[str], metric: str, cluster: str, r
     return sums.groupBy(*by).agg((F.sum("s") / F.sum("k")).alias("estimate")).join(ci, by)
 
 
-def bootstrap_pearson(rows: DataFrame, x: str, y: str, cluster: str, replicates: int = 1000, seed: int = 1) -> DataFrame:
+def bootstrap_pearson(rows: DataFrame, x: str, y: str, cluster: str, replicates: int = REPLICATES, seed: int = 1) -> DataFrame:
     """One row: Pearson correlation and its interval, from six sums for each cluster."""
     p = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     X, Y = F.col(x), F.col(y)
@@ -107,13 +114,17 @@ def holm(rows: DataFrame, family: list[str], p: str = "p_value", name: str = "p_
     return step.withColumn(name, F.when(F.col(p).isNotNull(), F.least(F.max("_q").over(w.orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)), F.lit(1.0)))).drop("_q", "_k")
 
 
-def sign_flip(rows: DataFrame, by: list[str], item: str, value: str, replicates: int = 1000, seed: int = 1) -> DataFrame:
-    """Paired permutation p: share of hash-signed means at least as far from 0 as the observed one, plus one for it."""
+def sign_flip(rows: DataFrame, by: list[str], item: str, value: str, replicates: int = PERMUTATIONS, seed: int = 1) -> DataFrame:
+    """Paired permutation p: share of hash-signed means at least as far from 0 as the observed one, plus one for it.
+    One hash gives an item's signs in 32 replicates, whose sums are taken side by side."""
     d = rows.where(F.col(value).isNotNull()).select(*by, item, F.col(value).cast("double").alias("d"))
     observed = d.groupBy(*by).agg(F.avg("d").alias("mean"))
-    sign = 1 - 2 * F.pmod(hex8(F.concat_ws(":", F.lit(str(seed)), F.col("replicate").cast("string"), F.col(item).cast("string"))), F.lit(2))
-    flips = d.select(*by, item, "d", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate")).groupBy(*by, "replicate").agg(F.avg(F.col("d") * sign).alias("m"))
-    hits = flips.join(observed, by).groupBy(*by, "mean").agg(F.count_if(F.abs("m") >= F.abs("mean") - 1e-15).alias("hits"))
+    blocks = F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // 32)))
+    bits = hex8(F.concat_ws(":", F.lit(str(seed)), F.col("block").cast("string"), F.col(item).cast("string")))
+    signed = d.select(*by, item, "d", blocks.alias("block")).select(*by, "d", "block", bits.alias("bits"))
+    sums = [F.sum(F.when(F.shiftright("bits", k).bitwiseAND(1) == 1, -F.col("d")).otherwise(F.col("d"))) for k in range(32)]
+    flips = signed.groupBy(*by, "block").agg(F.count(F.lit(1)).alias("n"), F.array(*sums).alias("s")).select(*by, "n", (F.col("block") * 32).alias("first"), F.posexplode("s").alias("k", "s")).where(F.col("first") + F.col("k") < replicates)
+    hits = flips.join(observed, by).groupBy(*by, "mean").agg(F.count_if(F.abs(F.col("s") / F.col("n")) >= F.abs("mean") - 1e-15).alias("hits"))
     return hits.select(*by, "mean", ((F.col("hits") + 1) / F.lit(replicates + 1.0)).alias("p_value"))
 
 
@@ -172,3 +183,157 @@ def fleiss(rows: DataFrame, by: list[str], item: str, value: str) -> DataFrame:
     i = rows.where(F.col(value).isNotNull()).groupBy(*by, item).agg(F.count(F.lit(1)).alias("k"), F.count_if(F.col(value).cast("int") == 1).alias("a")).where("k > 1")
     g = i.groupBy(*by).agg(F.avg(F.expr("(a * (a - 1) + (k - a) * (k - a - 1)) / (k * (k - 1))")).alias("p"), (F.sum("a") / F.sum("k")).alias("q"), F.count(F.lit(1)).alias("items"))
     return g.selectExpr(*by, "items", "try_divide(p - q * q - (1 - q) * (1 - q), 1 - q * q - (1 - q) * (1 - q)) fleiss_kappa")
+
+
+def bootstrap_spearman(rows: DataFrame, by: list[str], pairs: list[tuple[str, str]], stratum: str, cluster: str, replicates: int = REPLICATES, seed: int = 1) -> DataFrame:
+    """by, x, y, estimate, ci_lower, ci_upper: rank correlations whose replicates draw whole clusters inside strata and
+    rank their rows anew, each counted as often as it was drawn. All pairs of columns share the draws and the ranks."""
+    names = sorted({c for p in pairs for c in p})
+    held = rows.select(*by, stratum, cluster, *names).dropna(subset=names)
+    drawn = held.join(draws(held, stratum, cluster, replicates, seed), [stratum, cluster])
+    every = held.withColumn("replicate", F.lit(0)).withColumn("times", F.lit(1).cast("long")).unionByName(drawn.select(*held.columns, "replicate", "times"))
+    for c in names:
+        w = Window.partitionBy(*by, "replicate")
+        tied = F.sum("times").over(Window.partitionBy(*by, "replicate", c))
+        every = every.withColumn("_r" + c, F.sum("times").over(w.orderBy(c).rangeBetween(Window.unboundedPreceding, 0)) - tied + (tied + 1) / 2.0)
+    t, moments = F.col("times"), []
+    for x, y in pairs:
+        a, b, n = F.col("_r" + x), F.col("_r" + y), F.sum(t)
+        spread = lambda u, v, n=n: F.sum(t * u * v) - F.sum(t * u) * F.sum(t * v) / n
+        r = F.try_divide(spread(a, b), F.sqrt(F.greatest(spread(a, a), F.lit(0.0)) * F.greatest(spread(b, b), F.lit(0.0))))
+        moments.append(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), r.alias("r")))
+    each = every.groupBy(*by, "replicate").agg(F.array(*moments).alias("m")).select(*by, "replicate", F.inline("m"))
+    again = F.when(F.col("replicate") > 0, F.col("r"))
+    return each.groupBy(*by, "x", "y").agg(F.max(F.when(F.col("replicate") == 0, F.col("r"))).alias("estimate"), F.percentile(again, F.lit(0.025)).alias("ci_lower"), F.percentile(again, F.lit(0.975)).alias("ci_upper"))
+
+
+def hypotheses(rows: DataFrame, replicates: int = REPLICATES) -> DataFrame:
+    """rows by scenario, model and encoder (ice, drift, separation): H1, interior errors exceed those over all seven points,
+    of which two are 0 by construction (supported if so in every scenario); H2, separation goes against error and drift
+    (supported if the interval lies below 0); H5, error and drift go together but differ (interval above 0, below 0.8)."""
+    h1 = rows.withColumn("difference", F.col("ice") - F.col("ice") * (5.0 / 7.0))
+    every = h1.groupBy("encoder_id", "model_id").agg(F.bool_and(F.col("difference") > 0).alias("supported"))
+    h1 = bootstrap_means(h1, ["encoder_id", "model_id"], ["difference"], "style_axis", "scenario_id", replicates).join(every, ["encoder_id", "model_id"])
+    ranks = bootstrap_spearman(rows, ["encoder_id"], [("separation", "ice"), ("separation", "drift"), ("ice", "drift")], "style_axis", "scenario_id", replicates)
+    second = F.col("x") == "separation"
+    ranks = ranks.withColumn("supported", F.when(second, F.col("ci_upper") < 0).otherwise((F.col("ci_lower") > 0) & (F.col("estimate") < 0.8)))
+    one = h1.select(F.lit("H1").alias("hypothesis"), "encoder_id", "model_id", F.lit("interior minus all points").alias("test"), "estimate", "ci_lower", "ci_upper", "supported")
+    return one.unionByName(ranks.select(F.when(second, "H2").otherwise("H5").alias("hypothesis"), "encoder_id", F.lit(None).cast("string").alias("model_id"), F.concat_ws(" vs ", "x", "y").alias("test"), "estimate", "ci_lower", "ci_upper", "supported"))
+
+
+def scale_regression(rows: DataFrame, registry: DataFrame, metrics: list[str], predictors: list[str], family: str, replicates: int = REPLICATES, seed: int = 1) -> DataFrame:
+    """Slope, R2 and rank correlation of model means on the log of model sizes, over all models and over one family, by
+    encoder; the slope's interval draws scenarios for all models alike. Fewer than three models, or equal sizes: no row.
+    registry: model_id, family_version and the predictors, a row for each model."""
+    keys = ["scope", "encoder_id", "metric", "predictor"]
+    logs = F.array(*[F.struct(F.lit(p).alias("predictor"), F.ln(F.col(p).cast("double")).alias("x")) for p in predictors])
+    sizes = registry.select("model_id", F.explode(F.array_compact(F.array(F.lit("all_models"), F.when(F.col("family_version") == family, F.lit(family))))).alias("scope"), logs.alias("l")).select("model_id", "scope", F.inline("l"))
+
+    def fits(means: DataFrame, by: list[str]) -> DataFrame:
+        return means.join(F.broadcast(sizes), "model_id").where("y is not null").groupBy(*keys, *by)  # a few rows for each model
+
+    values = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("y")) for m in metrics])
+    means = rows.groupBy("encoder_id", "model_id").agg(*[F.avg(m).alias(m) for m in metrics]).select("encoder_id", "model_id", F.inline(values))
+    found = fits(means, []).agg(F.count(F.lit(1)).alias("models"), F.stddev_pop("x").alias("spread"), F.regr_slope("y", "x").alias("slope"), F.regr_r2("y", "x").alias("r2")).where("models >= 3 and spread > 1e-12").drop("spread")
+    rho = spearman(means.join(F.broadcast(sizes), "model_id").where("y is not null"), "x", "y", keys, "spearman")
+    drawn = rows.join(draws(rows, "style_axis", "scenario_id", replicates, seed), ["style_axis", "scenario_id"])
+    again = drawn.groupBy("encoder_id", "model_id", "replicate").agg(*[F.try_divide(F.sum(F.col("times") * F.col(m)), F.sum(F.when(F.col(m).isNotNull(), F.col("times")))).alias(m) for m in metrics]).select("encoder_id", "model_id", "replicate", F.inline(values))
+    slopes = fits(again, ["replicate"]).agg(F.regr_slope("y", "x").alias("b")).groupBy(*keys).agg(F.percentile("b", F.lit(0.025)).alias("ci_lower"), F.percentile("b", F.lit(0.975)).alias("ci_upper"))
+    return found.join(rho, keys, "left").join(slopes, keys, "left")
+
+
+def _levels(rows: DataFrame, column: str, most: int = 400) -> list:
+    """The distinct values of a column that must have few; driver-side solves are bounded by them."""
+    found = [r[0] for r in rows.select(column).distinct().orderBy(column).limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"{column} has more than {most} values")
+    return found
+
+
+def fixed_effect_residual(rows: DataFrame, value: str, absorbed: str, effects: list[str], name: str) -> DataFrame:
+    """rows with `name`: the residual of value on fixed effects of `absorbed` (any number of groups; what is constant in a
+    group is absorbed with it) and of the columns `effects` (few values each). The absorbed effect is taken out by group
+    means; what is left are normal equations of a few columns, summed in one pass and solved on the driver with the least
+    norm. Rows without the value keep a null."""
+    real = F.col(value).isNotNull()
+    dummies = [F.when(F.col(e) == v, 1.0).otherwise(0.0) for e in effects for v in _levels(rows.where(real), e)[1:]]
+    w = Window.partitionBy(absorbed)
+    inside = lambda c: F.when(real, c - F.avg(F.when(real, c)).over(w))
+    flat = rows.withColumns({"_y": inside(F.col(value).cast("double"))} | {f"_x{k}": inside(d) for k, d in enumerate(dummies)})
+    x, y = [F.col(f"_x{k}") for k in range(len(dummies))], F.col("_y")
+    fitted = F.lit(0.0)
+    if x:
+        sums = flat.agg(F.array(*[F.sum(a * b) for a in x for b in x]).alias("xx"), F.array(*[F.sum(a * y) for a in x]).alias("xy")).first()
+        if sums["xy"][0] is not None:
+            b = np.linalg.pinv(np.reshape(sums["xx"], (len(x), len(x)))) @ np.array(sums["xy"])
+            fitted = sum((a * float(k) for a, k in zip(x, b, strict=True)), F.lit(0.0))
+    return flat.withColumn(name, y - fitted).drop("_y", *[f"_x{k}" for k in range(len(x))])
+
+
+def line_residual(rows: DataFrame, y: str, x: str, name: str) -> DataFrame:
+    """rows with the residual of y on a constant and x; null where either is."""
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    fit = rows.where(both).agg(F.regr_slope(y, x).alias("_s"), F.avg(x).alias("_mx"), F.avg(y).alias("_my"))  # one row
+    return rows.crossJoin(F.broadcast(fit)).withColumn(name, F.when(both, F.col(y) - F.col("_my") - F.coalesce("_s", F.lit(0.0)) * (F.col(x) - F.col("_mx")))).drop("_s", "_mx", "_my")
+
+
+def chi_square_tail(x: float, df: int) -> float:
+    """Upper tail by the series of the lower incomplete gamma function, or its continued fraction for large x."""
+    a, z = df / 2, x / 2
+    if z <= 0:
+        return 1.0
+    scale = math.exp(a * math.log(z) - z - math.lgamma(a))
+    if z < a + 1:
+        term = total = 1 / a
+        k = a
+        while abs(term) > 1e-16 * abs(total):
+            k += 1
+            term *= z / k
+            total += term
+        return 1 - scale * total
+    b = z + 1 - a
+    c, d = 1e300, 1 / b
+    h = d
+    for i in range(1, 1000):
+        step = -i * (i - a)
+        b += 2
+        d, c = 1 / (step * d + b), b + step / c
+        h *= d * c
+        if abs(d * c - 1) < 1e-15:
+            break
+    return scale * h
+
+
+def clustered_ols(rows: DataFrame, y: str, terms: dict[str, Column], cluster: str) -> tuple[DataFrame, dict[str, float]]:
+    """(term, estimate, std_error, z), and figures of the fit: n, clusters, R2, the LM statistic for unequal variances with
+    its degrees of freedom and p value, and the design's condition number. Errors are robust to clusters, with the factor
+    G / (G - 1) * (n - 1) / (n - k). Sums of products are taken by Spark, systems of as many rows as terms solved on the
+    driver, with the least norm where terms depend on each other."""
+    if len(terms) > 400:
+        raise ValueError("more than 400 terms")
+    names = ["intercept", *terms]
+    d = rows.select(cluster, F.col(y).cast("double").alias("_y"), F.lit(1.0).alias("_x0"), *[c.cast("double").alias(f"_x{k}") for k, c in enumerate(terms.values(), 1)]).dropna()
+    x, p = [F.col(f"_x{k}") for k in range(len(names))], len(names)
+    one = d.agg(F.count(F.lit(1)).alias("n"), F.array(*[F.sum(x[i] * x[j]) for i in range(p) for j in range(i, p)]).alias("xx"), F.array(*[F.sum(c * F.col("_y")) for c in x]).alias("xy"), F.avg("_y").alias("m")).first()
+    xx = np.zeros((p, p))
+    xx[np.triu_indices(p)] = one["xx"]
+    xx = xx + np.triu(xx, 1).T
+    inverse = np.linalg.pinv(xx, hermitian=True)
+    beta = inverse @ np.array(one["xy"])
+    e = F.col("_y") - sum((c * float(b) for c, b in zip(x, beta, strict=True)), F.lit(0.0))
+    d = d.withColumn("_e", e)
+    scores = d.groupBy(cluster).agg(*[F.sum(c * F.col("_e")).alias(f"s{k}") for k, c in enumerate(x)])
+    s = [F.col(f"s{k}") for k in range(p)]
+    meat = scores.agg(F.count(F.lit(1)).alias("g"), F.array(*[F.sum(a * b) for a in s for b in s]).alias("m")).first()
+    sq = F.col("_e") * F.col("_e")
+    two = d.agg(F.sum(sq).alias("rss"), F.sum((F.col("_y") - one["m"]) ** 2).alias("tss"), F.sum(sq * sq).alias("qq"), F.array(*[F.sum(c * sq) for c in x]).alias("xq")).first()
+    n, g, rank = one["n"], meat["g"], int(np.linalg.matrix_rank(xx, hermitian=True))
+    factor = g / (g - 1) * (n - 1) / (n - rank) if g > 1 and n > rank else math.nan
+    error = np.sqrt(np.maximum(np.diag(inverse @ np.reshape(meat["m"], (p, p)) @ inverse) * factor, 0))
+    q = np.array(two["xq"])
+    spread = two["qq"] - two["rss"] ** 2 / n
+    lm = n * (float(q @ inverse @ q) - two["rss"] ** 2 / n) / spread if spread > 0 else 0.0
+    values = np.linalg.eigvalsh(xx)
+    figures = {"n": float(n), "clusters": float(g), "r2": 1 - two["rss"] / two["tss"] if two["tss"] else math.nan, "lm": lm, "lm_df": float(max(p - 1, 1)), "lm_p": chi_square_tail(lm, max(p - 1, 1)), "condition_number": float(np.sqrt(values[-1] / values[0])) if values[0] > 0 else math.inf}
+    out = [(t, float(b), float(v), float(b / v) if v > 0 else None) for t, b, v in zip(names, beta, error, strict=True)]
+    return rows.sparkSession.createDataFrame(out, "term string, estimate double, std_error double, z double"), figures

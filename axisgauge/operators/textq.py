@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,7 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Anomalies by name (fixed patterns).
-ANOMALIES = {"assistant_prefix": r"(?i)^\s*(assistant|ai)\s*[:：]", "thinking_tag": r"(?i)</?think", "prompt_echo": r"(?i)(style a|style b|target ratio)", "code_fence": r"```"}
+ANOMALIES = {"assistant_prefix": r"(?i)^\s*(?:assistant|助手)\s*[:：]", "thinking_tag": r"(?i)</?think>|</?analysis>", "prompt_echo": r"目标风格比例|请生成一段中文文本，使其风格", "code_fence": r"```"}
+#: One token: a CJK character, or an ASCII run with inner dots, underscores, slashes or hyphens (fixed pattern).
+TOKEN = r"[㐀-鿿]|[A-Za-z0-9]+(?:[._/-][A-Za-z0-9]+)*"
 
 
 def cjk_count(text: Column) -> Column:
@@ -27,7 +27,7 @@ def strip_reasoning(text: Column, open_to_end: bool = False) -> Column:
 
 def tokens(text: Column) -> Column:
     """Single CJK characters, and ASCII runs with dots, underscores, slashes or hyphens inside; lower-cased."""
-    return F.regexp_extract_all(F.lower(text), F.lit("[一-鿿]|[a-z0-9]+(?:[._/-][a-z0-9]+)*"), F.lit(0))
+    return F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), F.lower)
 
 
 def repetition(t: Column) -> Column:
@@ -65,19 +65,25 @@ def length_compliance(length: Column, low: Column, high: Column) -> list[Column]
     return [(length < low).alias("too_short"), (length > high).alias("too_long"), (off > 0).alias("violation"), off.alias("deviation"), F.abs(length - (low + high) / 2.0).alias("from_middle")]
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def hashed_vector(lists: pd.Series) -> pd.Series:
-    """Token uni-, bi- and trigrams in 256 signed buckets by CRC-32, scaled to length one."""
-    out = []
-    for t in lists:
-        v = np.zeros(256)
-        for n in (1, 2, 3):
-            for i in range(len(t) - n + 1):
-                h = zlib.crc32("\x1f".join(t[i : i + n]).encode())
-                v[h & 255] += 1 if h >> 31 else -1
-        size = np.linalg.norm(v)
-        out.append(v / size if size else v)
-    return pd.Series(out)
+def ngrams(t: str, n: int) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, n), "\x1f"))
+
+
+BUCKETS = 256
+
+
+def hashed_vectors(rows: DataFrame, key: str, t: str) -> DataFrame:
+    """key, v: token uni-, bi- and trigrams in signed buckets by CRC-32 (low byte the bucket, highest bit the sign),
+    scaled to length one; zeros without tokens. Rows of one n-gram each are summed before they are shuffled."""
+    grams = F.flatten(F.array(*[F.when(F.size(t) >= n, ngrams(t, n)).otherwise(F.array().cast("array<string>")) for n in (1, 2, 3)]))
+    held = rows.select(key, F.explode(F.array(t)).alias(t))  # else the tokens are split anew for each n-gram
+    hashes = held.select(key, F.explode_outer(F.transform(grams, F.crc32)).alias("h"))
+    bucket, sign = F.col("h").bitwiseAND(BUCKETS - 1), F.when(F.col("h") >= 1 << 31, 1.0).otherwise(-1.0)
+    sums = hashes.groupBy(key, bucket.alias("b")).agg(F.sum(sign).alias("x"))
+    size = F.sqrt(F.sum(F.col("x") * F.col("x")))
+    each = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.when(F.col("b").isNotNull(), F.struct("b", "x")))).alias("m"), size.alias("n"))
+    at = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda b: F.coalesce(F.element_at("m", b.cast("long")), F.lit(0.0)) / F.when(F.col("n") > 0, F.col("n")).otherwise(1.0))
+    return each.select(key, at.alias("v"))
 
 
 def quality_rows(rows: DataFrame, text: str = "text") -> DataFrame:

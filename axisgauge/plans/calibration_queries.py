@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from axisgauge.functions.numeric import global_rank, r6, safe_corr, spearman
 from axisgauge.operators import baselines, geometry, ladder, statistics
-from axisgauge.plans.fixtures import WITH, points, samples, texts
+from axisgauge.plans.fixtures import WITH, boot, draws_sql, flips_sql, once, points, samples, scores, texts
 
 QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
@@ -38,7 +38,7 @@ def cells(spark, sf, encoders=False):
 
 
 def scenario(spark, sf, encoders=False):
-    return baselines.scenario_rows(cells(spark, sf, encoders))
+    return baselines.scenario_rows(once(cells(spark, sf, encoders)))
 
 
 @query("SELECT model_id, count(*) AS n_points, round(avg(projection_error_raw), 6) AS mean_error FROM geo WHERE is_interior AND encoder_id = 'full' GROUP BY model_id")
@@ -80,13 +80,27 @@ def ge5_path_shape(spark, sf):
     return s.select("scenario_id", "model_id", "seed", F.round("path_length_ratio", 6).alias("path_length_ratio"), F.round("turn_max", 4).alias("turn_max"), "negative_slopes")
 
 
-@query()
+K = "scenario_id, style_axis, model_id, seed, encoder_id"
+SQUARE = "list_transform(range(0, 49), lambda m: list_sum(list_transform(range(0, 7), lambda t: p[m // 7 * 7 + t + 1] * p[t * 7 + m % 7 + 1])))"
+#: The projector on the first principal axis by squaring the centred Gram matrix again and again.
+PCA = f""", gm0 AS (SELECT {K}, x.ratio_idx AS i, y.ratio_idx AS j, list_dot_product(x.v, y.v) AS g FROM enc x JOIN enc y USING ({K})),
+gm1 AS (SELECT {K}, i, j, g - avg(g) OVER (PARTITION BY {K}, i) - avg(g) OVER (PARTITION BY {K}, j) + avg(g) OVER (PARTITION BY {K}) AS g FROM gm0),
+gq0 AS (SELECT {K}, list(g ORDER BY i, j) AS g, sum(g) FILTER (i = j) AS tr, list(g ORDER BY i, j) AS p FROM gm1 GROUP BY ALL)""" + "".join(
+    f", gq{k} AS (SELECT {K}, g, tr, list_transform(p, lambda x: x / (p[1] + p[9] + p[17] + p[25] + p[33] + p[41] + p[49])) AS p FROM (SELECT {K}, g, tr, {SQUARE} AS p FROM gq{k - 1}))" for k in range(1, 15)
+) + f""", pca AS (SELECT {K}, least(1, list_dot_product(g, p) / tr) AS pc1_variance, least(1, sqrt(greatest((p[49] + p[1] - 2 * p[7]) * list_dot_product(g, p), 0)) / separation) AS pc1_abs_cosine FROM gq14 JOIN (SELECT {K}, max(separation) AS separation FROM geo GROUP BY ALL) USING ({K}))"""
+
+
+@query(PCA + f", l AS (SELECT {K}, ratio_idx, projection_raw, rank() OVER (PARTITION BY {K} ORDER BY projection_raw) AS ry, projection_raw - lag(projection_raw) OVER (PARTITION BY {K} ORDER BY ratio_idx) AS d FROM geo), s AS (SELECT *, CASE WHEN abs(6 * d) > 1e-12 THEN sign(d) END AS sg FROM l), t AS (SELECT *, last_value(sg IGNORE NULLS) OVER (PARTITION BY {K} ORDER BY ratio_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM s), u AS (SELECT {K}, count(*) FILTER (sg <> before) AS turning_points, corr(ratio_idx, ry) AS rho FROM t GROUP BY ALL) SELECT {K}, round(pc1_variance, 5) AS pc1_variance, round(pc1_abs_cosine, 5) AS pc1_abs_cosine, turning_points, round(rho, 6) + 0.0 AS spearman_all FROM pca JOIN u USING ({K})")
 def ge5_principal_axis(spark, sf):
     s = geometry.path_shape(points(spark, sf, True), samples(spark, sf, True))
-    return rounded(s.select(*geometry.TRAJECTORY, "pc1_variance", "pc1_abs_cosine", "turning_points", "spearman_all"))
+    return rounded(s.select(*geometry.TRAJECTORY, F.round("pc1_variance", 5).alias("pc1_variance"), F.round("pc1_abs_cosine", 5).alias("pc1_abs_cosine"), "turning_points", "spearman_all"))
 
 
-@query()
+@query(""", hs AS (SELECT DISTINCT scenario_id, style_axis, model_id, encoder_id, seed AS held FROM enc), tc AS (SELECT h.scenario_id, h.style_axis, h.model_id, h.encoder_id, held, ratio_idx, i, avg(v[i]) AS m FROM hs h JOIN enc e ON h.scenario_id = e.scenario_id AND h.model_id = e.model_id AND h.encoder_id = e.encoder_id AND e.seed <> held, range(1, 65) t(i) WHERE i <= len(v) GROUP BY ALL),
+ct AS (SELECT scenario_id, style_axis, model_id, encoder_id, held, ratio_idx AS r, list(m ORDER BY i) AS c FROM tc GROUP BY ALL), nr AS (SELECT e.run_id, e.encoder_id, e.ratio_idx, r, list_distance(v, c) AS d, c.scenario_id, c.style_axis, c.model_id, held FROM enc e JOIN ct c ON c.scenario_id = e.scenario_id AND c.model_id = e.model_id AND c.encoder_id = e.encoder_id AND held = e.seed),
+bst AS (SELECT run_id, encoder_id, scenario_id, style_axis, model_id, held, any_value(ratio_idx) AS k, arg_min(r, (round(d * d, 12), r)) AS near FROM nr GROUP BY ALL),
+ln AS (SELECT e.run_id, e.encoder_id, abs((list_dot_product(v, b.c) - list_dot_product(v, a.c) - list_dot_product(a.c, b.c) + list_dot_product(a.c, a.c)) / list_distance(a.c, b.c) ** 2 - target_ratio) AS err FROM enc e JOIN ct a ON a.scenario_id = e.scenario_id AND a.model_id = e.model_id AND a.encoder_id = e.encoder_id AND a.held = e.seed AND a.r = 0 JOIN ct b ON b.scenario_id = e.scenario_id AND b.model_id = e.model_id AND b.encoder_id = e.encoder_id AND b.held = e.seed AND b.r = 6)
+SELECT scenario_id, style_axis, model_id, encoder_id, held AS held_seed, round(avg(err), 6) AS line_error, round(avg(abs(near - k) / 6.0), 6) AS centroid_error, round(avg((near = k)::INT), 6) AS nearest_accuracy FROM bst JOIN ln USING (run_id, encoder_id) WHERE k BETWEEN 1 AND 5 GROUP BY ALL""")
 def ge6_leave_one_seed_out(spark, sf):
     return rounded(geometry.leave_one_seed_out(points(spark, sf, True), ["scenario_id", "style_axis", "model_id", "encoder_id"]))
 
@@ -110,16 +124,6 @@ def ge10_pooled_anchor_span(spark, sf):
     return rounded(a.select("scenario_id", F.sqrt(dot("a", "a") + dot("b", "b") - 2 * dot("a", "b")).alias("separation")).join(n, "scenario_id"))
 
 
-@query()
-def ge12_protocol_samples(spark, sf):
-    """Self, pooled and shared protocols side by side, one row for each output and protocol."""
-    p = points(spark, sf)
-    own = geometry.with_geometry(p, geometry.self_anchors(p), geometry.TRAJECTORY).withColumn("protocol", F.lit("self"))
-    pooled = geometry.with_geometry(p, geometry.pooled_anchors(p, ["scenario_id"]), ["scenario_id"]).withColumn("protocol", F.lit("pooled"))
-    both = own.unionByName(pooled)
-    return rounded(both.groupBy("protocol", "model_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("endpoint_unstable").alias("collapsed"), F.avg(F.when(F.col("is_interior"), F.col("projection_error_raw"))).alias("ice"), F.max(F.abs(F.col("off_axis") / F.col("separation") - F.col("off_axis_drift_normalized"))).alias("epsilon_difference")))
-
-
 @query("""SELECT a.run_id, round(list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)), 6) AS similarity FROM points a JOIN points b USING (scenario_id, model_id, seed) WHERE b.ratio_idx = 0""")
 def ge16_source_similarity(spark, sf):
     p = points(spark, sf)
@@ -182,20 +186,16 @@ def ag2_scenario_table(spark, sf):
     return rounded(s.select(*baselines.CELL_KEYS, F.col("interior_calibration_error").alias("ice"), F.col("median_absolute_error").alias("median_error"), F.col("interpolation_distance_rms").alias("rms"), F.col("pearson_correlation").alias("pearson"), F.col("calibration_slope").alias("slope"), F.col("calibration_intercept").alias("intercept"), F.col("constant_half_mae").alias("constant_half"), F.col("endpoint_separation").alias("separation")))
 
 
-BOOT = """d AS (SELECT style_axis, scenario_id, row_number() OVER (PARTITION BY style_axis ORDER BY scenario_id) AS pos, count(*) OVER (PARTITION BY style_axis) AS n FROM (SELECT DISTINCT style_axis, scenario_id FROM points)),
-tm AS (SELECT style_axis, b, ('0x' || substr(md5('1:' || style_axis || ':' || b || ':' || pos), 1, 8))::BIGINT % n + 1 AS pos, count(*) AS times FROM d, range(1, 201) r(b) GROUP BY ALL),
-dr AS (SELECT d.style_axis, d.scenario_id, b, times FROM tm JOIN d USING (style_axis, pos))"""
+ST2 = boot("scen", ["model_id", "encoder_id"], ["ice", "drift", "oor"])
 
 
-@query(", " + BOOT + """, l AS (UNPIVOT (SELECT scenario_id, style_axis, model_id, encoder_id, ice, drift, oor FROM scen) ON ice, drift, oor INTO NAME metric VALUE value),
-e AS (SELECT model_id, encoder_id, metric, b, sum(times * value) / sum(times) AS m FROM l JOIN dr USING (style_axis, scenario_id) GROUP BY ALL)
-SELECT model_id, encoder_id, metric, round(any_value(x.estimate), 6) AS estimate, round(quantile_cont(m, 0.025), 6) AS ci_lower, round(quantile_cont(m, 0.975), 6) AS ci_upper FROM e JOIN (SELECT model_id, encoder_id, metric, avg(value) AS estimate FROM l GROUP BY ALL) x USING (model_id, encoder_id, metric) GROUP BY ALL""")
+@query(ST2 + " SELECT * EXCLUDE n FROM bt")
 def st2_stratified_bootstrap(spark, sf):
     s = scenario(spark, sf, True).withColumnsRenamed({"interior_calibration_error": "ice", "normalized_off_axis_drift": "drift", "out_of_range_rate": "oor"})
-    return rounded(statistics.bootstrap_means(s, ["model_id", "encoder_id"], ["ice", "drift", "oor"], "style_axis", "scenario_id", 200).drop("n"))
+    return rounded(statistics.bootstrap_means(s, ["model_id", "encoder_id"], ["ice", "drift", "oor"], "style_axis", "scenario_id").drop("n"))
 
 
-@query()
+@query(ST2 + " SELECT model_id, encoder_id, " + ", ".join(f"max({c}) FILTER (metric = '{m}') AS {m}_{c}" for m in ("ice", "drift", "oor") for c in ("estimate", "ci_lower", "ci_upper")) + " FROM bt GROUP BY ALL")
 def ag3_model_summary(spark, sf):
     return rounded(ladder.wide_summary(st2_stratified_bootstrap(spark, sf), ["model_id", "encoder_id"], ["ice", "drift", "oor"]))
 
@@ -248,17 +248,22 @@ def st7_wilcoxon_statistic(spark, sf):
     return statistics.wilcoxon(p, ["encoder_id", "model_a", "model_b"], zeros="drop").where("statistic > 0").select("encoder_id", "model_a", "model_b", F.col("statistic").cast("long").alias("statistic"))
 
 
-@query()
+ERF = "0.254829592 * t + -0.284496736 * t ** 2 + 1.421413741 * t ** 3 + -1.453152027 * t ** 4 + 1.061405429 * t ** 5"
+
+
+@query(", d AS (SELECT encoder_id, a.model_id AS model_a, b.model_id AS model_b, scenario_id, a.ice - b.ice AS d FROM scen a JOIN scen b USING (encoder_id, scenario_id) WHERE a.model_id < b.model_id), r AS (SELECT *, rank() OVER (PARTITION BY encoder_id, model_a, model_b ORDER BY abs(d)) + (count(*) OVER (PARTITION BY encoder_id, model_a, model_b, abs(d)) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY encoder_id, model_a, model_b, abs(d)) AS t FROM d), s AS (SELECT encoder_id, model_a, model_b, count(*)::DOUBLE AS n, count(*) FILTER (d = 0)::DOUBLE AS z, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS plus, sum(CASE WHEN d < 0 THEN r ELSE 0 END) AS minus, sum(CASE WHEN d = 0 THEN r ELSE 0 END) AS zero, sum(CASE WHEN d <> 0 THEN t * t - 1 ELSE 0 END)::DOUBLE AS ties FROM r GROUP BY ALL), "
+       "u AS (SELECT *, least(plus, minus) + zero / 2 AS statistic, (n * (n + 1) * (2 * n + 1) - z * (z + 1) * (2 * z + 1)) / 24 - ties / 48 AS v FROM s), x AS (SELECT *, abs(statistic - n * (n + 1) / 4) / sqrt(v) / sqrt(2) AS x FROM u), y AS (SELECT *, 1 / (1 + 0.3275911 * x) AS t FROM x), p AS (SELECT encoder_id, model_a, model_b, statistic, CASE WHEN n = z OR v <= 0 THEN 1.0 ELSE least(1.0, (" + ERF + ") * exp(-x * x)) END AS p FROM y), h AS (SELECT *, row_number() OVER w AS k, (count(*) OVER (PARTITION BY encoder_id) - row_number() OVER w + 1) * p AS q FROM p WINDOW w AS (PARTITION BY encoder_id ORDER BY p, model_a, model_b)) "
+       "SELECT encoder_id, model_a, model_b, round(statistic, 6) AS statistic, round(p, 6) AS p_value, round(least(1.0, max(q) OVER (PARTITION BY encoder_id ORDER BY k)), 6) AS p_holm FROM h")
 def st8_holm_adjusted_tests(spark, sf):
     p = statistics.paired_differences(scenario(spark, sf, True), ["encoder_id"], "model_id", "scenario_id", "interior_calibration_error")
     return rounded(statistics.holm(statistics.wilcoxon(p, ["encoder_id", "model_a", "model_b"]), ["encoder_id"]))
 
 
-@query("""SELECT model_a, model_b, round((1 + count(*) FILTER (abs(f) >= abs(m) - 1e-15)) / 201.0, 6) AS p_value FROM (SELECT model_a, model_b, b, avg(d * (1 - 2 * (('0x' || substr(md5('1:' || b || ':' || scenario_id), 1, 8))::BIGINT % 2))) AS f, avg(d) AS m FROM
-(SELECT a.model_id AS model_a, b.model_id AS model_b, scenario_id, a.ice - b.ice AS d FROM scen a JOIN scen b USING (encoder_id, scenario_id) WHERE a.model_id < b.model_id AND encoder_id = 'full'), range(1, 201) r(b) GROUP BY ALL) GROUP BY ALL""")
+@query("""SELECT model_a, model_b, round((1 + count(*) FILTER (abs(f) >= abs(m) - 1e-15)) / 100001.0, 6) AS p_value FROM (SELECT model_a, model_b, b, avg(d * """ + flips_sql("scenario_id") + """) AS f, avg(d) AS m FROM
+(SELECT a.model_id AS model_a, b.model_id AS model_b, scenario_id, a.ice - b.ice AS d FROM scen a JOIN scen b USING (encoder_id, scenario_id) WHERE a.model_id < b.model_id AND encoder_id = 'full'), range(0, 100000) r(b) GROUP BY ALL) GROUP BY ALL""")
 def st13_sign_flip(spark, sf):
     p = statistics.paired_differences(scenario(spark, sf), ["encoder_id"], "model_id", "scenario_id", "interior_calibration_error")
-    return rounded(statistics.sign_flip(p, ["model_a", "model_b"], "scenario_id", "difference", 200).select("model_a", "model_b", "p_value"))
+    return rounded(statistics.sign_flip(p, ["model_a", "model_b"], "scenario_id", "difference").select("model_a", "model_b", "p_value"))
 
 
 @query("""SELECT round(corr(e, s), 6) AS spearman FROM (SELECT rank() OVER (ORDER BY projection_error_raw) + (count(*) OVER (PARTITION BY projection_error_raw) - 1) / 2.0 AS e, rank() OVER (ORDER BY character_length) + (count(*) OVER (PARTITION BY character_length) - 1) / 2.0 AS s FROM geo JOIN txt USING (run_id) WHERE is_interior AND encoder_id = 'full')""")
@@ -278,30 +283,58 @@ def ag9_encoder_rank_agreement(spark, sf):
     return rounded(statistics.rank_agreement(both, ["encoder_a", "encoder_b"], "model_id", "x", "y"))
 
 
-@query()
+SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
+
+
+@query(", cs AS (SELECT 'all' AS _all, scenario_id, count(*) AS n, sum(target_ratio) AS sx, sum(projection_raw) AS sy, sum(target_ratio ** 2) AS sxx, sum(projection_raw ** 2) AS syy, sum(target_ratio * projection_raw) AS sxy FROM geo WHERE encoder_id = 'full' AND is_interior GROUP BY ALL), " + draws_sql("cs", "nd", "_all") + ", bs AS (SELECT b, " + ", ".join(f"sum(times * {c}) AS {c}" for c in SUMS) + " FROM cs JOIN nd_r USING (_all, scenario_id) GROUP BY b), rs AS (SELECT (sxy - sx * sy / n) / sqrt((sxx - sx * sx / n) * (syy - sy * sy / n)) AS r FROM bs) SELECT (SELECT round(corr(target_ratio, projection_raw), 6) FROM geo WHERE encoder_id = 'full' AND is_interior) AS estimate, (SELECT sum(n)::BIGINT FROM cs) AS n, round(quantile_cont(r, 0.025), 6) AS ci_lower, round(quantile_cont(r, 0.975), 6) AS ci_upper FROM rs")
 def st12_bootstrap_pearson(spark, sf):
-    return rounded(statistics.bootstrap_pearson(samples(spark, sf).where("is_interior"), "target_ratio", "projection_raw", "scenario_id", 200))
+    return rounded(statistics.bootstrap_pearson(samples(spark, sf).where("is_interior"), "target_ratio", "projection_raw", "scenario_id"))
 
 
-@query()
+@query(", cs AS (SELECT 'all' AS _all, model_id, scenario_id, sum(projection_error_raw) AS s, count(*) AS k FROM geo WHERE encoder_id = 'full' GROUP BY ALL), " + draws_sql("cs", "nd", "_all") + ", bs AS (SELECT model_id, b, sum(times * s) / sum(times * k) AS m FROM cs JOIN nd_r USING (_all, scenario_id) GROUP BY ALL) SELECT model_id, any_value(e) AS estimate, round(quantile_cont(m, 0.025), 6) AS ci_lower, round(quantile_cont(m, 0.975), 6) AS ci_upper FROM bs JOIN (SELECT model_id, round(sum(s) / sum(k), 6) AS e FROM cs GROUP BY ALL) USING (model_id) GROUP BY model_id")
 def st1_row_weighted_bootstrap(spark, sf):
-    return rounded(statistics.bootstrap_ratio(samples(spark, sf), ["model_id"], "projection_error_raw", "scenario_id", 200))
+    return rounded(statistics.bootstrap_ratio(samples(spark, sf), ["model_id"], "projection_error_raw", "scenario_id"))
 
 
-@query()
+FLAGSQL = """, fl AS (SELECT scenario_id, style_axis, model_id, encoder_id, target_ratio, avg(projection_raw) AS p, avg(projection_error_raw) AS e, avg(off_axis_drift_normalized) AS d, avg(character_length) AS l, bool_or(out_of_range) AS o, avg(separation) AS s FROM geo LEFT JOIN (SELECT run_id, character_length FROM txt) USING (run_id) GROUP BY ALL),
+st AS (SELECT *, p - lag(p) OVER (PARTITION BY scenario_id, model_id, encoder_id ORDER BY target_ratio) AS step, round(target_ratio * 6)::INT AS k FROM fl),
+fr AS (SELECT scenario_id, style_axis, model_id, encoder_id, avg(e) FILTER (k BETWEEN 1 AND 5) AS ice, avg(d) FILTER (k BETWEEN 1 AND 5) AS drift, avg(s) AS separation, CASE WHEN stddev_pop(l) > 1e-12 THEN covar_pop(CASE WHEN l IS NOT NULL THEN target_ratio END, l) / nullif(stddev_pop(CASE WHEN l IS NOT NULL THEN target_ratio END) * stddev_pop(l), 0) END AS lc,
+  coalesce(bool_or(k IN (1, 2) AND p - target_ratio >= 0.20), false) AS early_overshoot, coalesce(bool_or(k IN (4, 5) AND p - target_ratio <= -0.20), false) AS late_under_response, coalesce(bool_or(step < -0.10), false) AS non_monotonic_reversal,
+  coalesce(max(p) FILTER (k BETWEEN 1 AND 5) - min(p) FILTER (k BETWEEN 1 AND 5) <= 0.15, false) AS near_constant_response, coalesce(bool_or(k BETWEEN 1 AND 5 AND o), false) AS out_of_range_extrapolation FROM st GROUP BY ALL),
+sg AS (SELECT scenario_id, style_axis, model_id, seed, encoder_id, sum(d) / any_value(separation) AS path FROM (SELECT scenario_id, style_axis, model_id, seed, encoder_id, run_id, list_distance(v, lag(v) OVER (PARTITION BY scenario_id, model_id, seed, encoder_id ORDER BY ratio_idx)) AS d FROM enc) JOIN (SELECT run_id, encoder_id, separation FROM geo) USING (run_id, encoder_id) GROUP BY ALL),
+sh AS (SELECT scenario_id, style_axis, model_id, encoder_id, avg(path) AS path, avg(pc1_abs_cosine) AS cosine FROM sg JOIN pca USING (scenario_id, style_axis, model_id, seed, encoder_id) GROUP BY ALL),
+ent AS (SELECT scenario_id, style_axis, model_id, encoder_id, bool_or(NOT passed AND projection_error_raw < 0.10) AS x FROM geo JOIN (SELECT run_id, passed FROM jud WHERE judge = 'j1' AND NOT missing) USING (run_id) WHERE is_interior GROUP BY ALL),
+cut AS (SELECT encoder_id, quantile_cont(separation, 0.1) AS cs, quantile_cont(drift, 0.9) AS cd, quantile_cont(path, 0.9) AS cp FROM fr JOIN sh USING (scenario_id, style_axis, model_id, encoder_id) GROUP BY 1), med AS (SELECT model_id, encoder_id, quantile_cont(ice, 0.5) AS m FROM fr GROUP BY ALL),
+flags AS (SELECT fr.scenario_id, fr.style_axis, fr.model_id, fr.encoder_id, ice, early_overshoot, late_under_response, non_monotonic_reversal, near_constant_response, out_of_range_extrapolation, separation <= cs AS endpoint_collapse, drift >= cd AS high_off_axis_drift, path >= cp OR coalesce(cosine < 0.80, false) AS curved_trajectory, coalesce(abs(lc) >= 0.80 AND ice > m, false) AS length_dominated_control, coalesce(ent.x, false) AS content_style_entanglement
+  FROM fr JOIN sh USING (scenario_id, style_axis, model_id, encoder_id) JOIN cut USING (encoder_id) JOIN med USING (model_id, encoder_id) LEFT JOIN ent USING (scenario_id, style_axis, model_id, encoder_id))"""
+
+
+@query(PCA + FLAGSQL + " SELECT * REPLACE (round(ice, 6) AS ice) FROM flags")
 def fa1_failure_flags(spark, sf):
     from axisgauge.operators import failures
 
-    return rounded(failures.flags(samples(spark, sf, True), geometry.path_shape(points(spark, sf, True), samples(spark, sf, True)), texts(spark, sf).select("run_id", "character_length")))
+    p, s = points(spark, sf, True), samples(spark, sf, True)
+    judged = scores(spark, sf).where("judge = 'j1' and not missing").select("run_id", "passed")
+    return rounded(failures.flags(s, once(geometry.path_shape(p, s)), texts(spark, sf).select("run_id", "character_length"), judged))
+
+
+FLAG_NAMES = ["early_overshoot", "late_under_response", "non_monotonic_reversal", "near_constant_response", "out_of_range_extrapolation", "endpoint_collapse", "high_off_axis_drift", "curved_trajectory", "length_dominated_control", "content_style_entanglement"]
 
 
-@query()
+@query(PCA + FLAGSQL + f", un AS (UNPIVOT flags ON {', '.join(FLAG_NAMES)} INTO NAME flag VALUE v) SELECT flag, model_id, style_axis, encoder_id, count(*) FILTER (v) AS n, round(avg(v::INT), 6) AS share FROM un GROUP BY GROUPING SETS ((flag), (flag, model_id), (flag, style_axis), (flag, encoder_id))")
 def fa2_failure_counts(spark, sf):
     from axisgauge.operators import failures
 
     return rounded(failures.counts(fa1_failure_flags(spark, sf)))
 
 
+@query(PCA + FLAGSQL + f", un AS (UNPIVOT flags ON {', '.join(FLAG_NAMES)} INTO NAME flag VALUE value), rk AS (SELECT scenario_id, style_axis, model_id, encoder_id, round(ice, 6) AS ice, flag, value, row_number() OVER (PARTITION BY flag, value ORDER BY CASE WHEN value THEN -round(ice, 6) ELSE round(ice, 6) END, scenario_id, style_axis, model_id, encoder_id)::INT AS nth FROM un) SELECT * FROM rk WHERE nth <= 2")
+def fa3_worst_and_best(spark, sf):
+    from axisgauge.operators import failures
+
+    return failures.worst_and_best(fa1_failure_flags(spark, sf), "ice")
+
+
 @query("""SELECT style_axis, scenario_id FROM (SELECT *, row_number() OVER (PARTITION BY style_axis ORDER BY sha256('7:' || style_axis || ':' || scenario_id)) AS r FROM (SELECT DISTINCT style_axis, scenario_id FROM points)) WHERE r <= 2""")
 def sa1_stratified_selection(spark, sf):
     return ladder.pick_by_hash(points(spark, sf), "style_axis", "scenario_id", 2, "7")

@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
+from axisgauge.functions.lineage import cut
 from axisgauge.functions.numeric import hex8
-from axisgauge.operators import geometry, judges, serving, statistics
+from axisgauge.operators import failures, geometry, judges, reports, serving, statistics
 from axisgauge.plans.calibration_queries import rounded
-from axisgauge.plans.fixtures import WITH, draw, points, samples, scores, table
+from axisgauge.plans.fixtures import WITH, boot, corr_sql, draw, points, rank_sql, samples, scores, table, texts
 
 QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
@@ -101,26 +102,6 @@ def ju7_position_gaps(spark, sf):
     return rounded(judges.position_gaps(pairs(spark, sf), ["model_id"]))
 
 
-def conditions(spark, sf):
-    names = F.array(*[F.lit(c) for c in ("base", "prompt", "heat", "both")])
-    s = samples(spark, sf).where("is_interior").select("run_id", "scenario_id", "style_axis", "model_id", "seed", "target_ratio", "projection_error_raw", F.explode(names).alias("condition"))
-    return s.withColumn("e", F.col("projection_error_raw") + F.pmod(hex8(F.concat_ws(":", "condition", F.col("run_id").cast("string"))), F.lit(100)) / 1000.0)
-
-
-CONDSQL = ", cond AS (SELECT run_id, scenario_id, style_axis, model_id, target_ratio, condition, projection_error_raw + (('0x' || substr(md5(condition || ':' || run_id), 1, 8))::BIGINT % 100) / 1000.0 AS e FROM geo, (VALUES ('base'), ('prompt'), ('heat'), ('both')) c(condition) WHERE is_interior AND encoder_id = 'full') "
-
-
-@query(CONDSQL + ", w AS (SELECT scenario_id, model_id, avg(e) FILTER (condition = 'base') AS b, avg(e) FILTER (condition = 'prompt') AS p, avg(e) FILTER (condition = 'heat') AS h, avg(e) FILTER (condition = 'both') AS x FROM cond GROUP BY ALL) SELECT scenario_id, model_id, round((p + x - b - h) / 2, 6) + 0.0 AS prompt, round((h + x - b - p) / 2, 6) + 0.0 AS temperature, round(x - p - h + b, 6) + 0.0 AS interaction FROM w")
-def rb2_factorial_effects(spark, sf):
-    return rounded(judges.two_by_two(conditions(spark, sf), ["scenario_id", "model_id"], "condition", "e", ["base", "prompt", "heat", "both"]))
-
-
-@query(CONDSQL + "SELECT condition, model_id, round(avg(e), 6) AS mean FROM cond GROUP BY ALL UNION ALL SELECT condition, 'ALL', round(avg(m), 6) FROM (SELECT condition, model_id, avg(e) AS m FROM cond GROUP BY ALL) GROUP BY ALL")
-def rb6_condition_means(spark, sf):
-    m = conditions(spark, sf).groupBy("condition", "model_id").agg(F.avg("e").alias("mean"))
-    return rounded(m.unionByName(m.groupBy("condition").agg(F.avg("mean").alias("mean")).withColumn("model_id", F.lit("ALL"))))
-
-
 def ratings(spark, sf):
     p = points(spark, sf).where("ratio_idx between 1 and 5").select(F.col("run_id").alias("item"), "target_ratio", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("rater"))
     h = hex8(F.concat_ws(":", F.col("rater").cast("string"), F.col("item").cast("string")))
@@ -173,3 +154,219 @@ def ef3_latency(spark, sf):
 def ef4_pareto(spark, sf):
     c = table(spark, sf, "events").groupBy("user_id").agg(F.round(F.avg("value"), 4).alias("a"), F.count(F.lit(1)).alias("b"))
     return serving.pareto(c, "a", "b").select("user_id")
+
+
+def interior_scores(spark, sf):
+    return scores(spark, sf).where("not missing and ratio_idx between 1 and 5").withColumn("style_mae", F.abs(F.col("intensity") / 100.0 - F.col("target_ratio"))).withColumn("pass_rate", F.col("passed").cast("double"))
+
+
+INNER = ", js AS (SELECT *, abs(intensity / 100.0 - target_ratio) AS style_mae, passed::INT AS pass_rate FROM jud WHERE NOT missing AND ratio_idx BETWEEN 1 AND 5)"
+
+
+@query(INNER + ", ja AS (SELECT *, 'ALL' AS axis FROM js UNION ALL SELECT *, style_axis FROM js)" + boot("ja", ["judge", "model_id", "axis"], ["style_mae", "naturalness", "pass_rate"]) + " SELECT bt.*, valid_rows FROM bt JOIN (SELECT judge, model_id, axis, count(*) AS valid_rows FROM ja GROUP BY ALL) USING (judge, model_id, axis)")
+def ju15_judge_intervals(spark, sf):
+    return rounded(judges.judge_summary(interior_scores(spark, sf), ["style_mae", "naturalness", "pass_rate"]))
+
+
+@query(", jm AS (SELECT judge, model_id, avg(m) AS m FROM (SELECT judge, model_id, scenario_id, avg(abs(intensity - 100 * target_ratio)) AS m FROM jud WHERE NOT missing GROUP BY ALL) GROUP BY ALL), jr AS (SELECT rank() OVER (ORDER BY a.m) AS x, rank() OVER (ORDER BY b.m) AS y FROM jm a JOIN jm b USING (model_id) WHERE a.judge = 'j1' AND b.judge = 'j2') SELECT round(corr(x, y), 6) + 0.0 AS spearman FROM jr")
+def ju19_rank_correlation(spark, sf):
+    s = scores(spark, sf).where("not missing").withColumn("e", F.abs(F.col("intensity") - 100 * F.col("target_ratio")))
+    return rounded(judges.rank_of_rankings(judges.judge_ranking(s, "judge", "model_id", "scenario_id", "e")))
+
+
+@query(INNER + ", sm AS (SELECT judge, scenario_id, style_axis, model_id, avg(style_mae) AS m FROM js GROUP BY ALL), d AS (SELECT a.judge, a.scenario_id, a.style_axis, a.model_id AS model_a, b.model_id AS model_b, a.m - b.m AS difference FROM sm a JOIN sm b USING (judge, scenario_id) WHERE a.model_id < b.model_id)" + boot("d", ["judge", "model_a", "model_b"], ["difference"]) +
+       ", r AS (SELECT *, " + rank_sql("abs(difference)", "judge, model_a, model_b") + " AS r FROM d WHERE difference <> 0), w AS (SELECT judge, model_a, model_b, least(sum(CASE WHEN difference > 0 THEN r ELSE 0 END), sum(CASE WHEN difference < 0 THEN r ELSE 0 END)) AS statistic FROM r GROUP BY ALL), z AS (SELECT judge, model_a, model_b, avg(difference) / stddev_samp(difference) AS dz FROM d GROUP BY ALL) SELECT bt.* EXCLUDE metric, round(statistic, 4)::DOUBLE AS statistic, round(dz, 6) + 0.0 AS dz FROM bt JOIN w USING (judge, model_a, model_b) JOIN z USING (judge, model_a, model_b)")
+def ju20_paired_style_tests(spark, sf):
+    return rounded(judges.paired_style_tests(interior_scores(spark, sf), "style_mae").drop("p_value", "p_holm"))
+
+
+@query()
+def ju20_adjusted_p_values(spark, sf):
+    return rounded(judges.paired_style_tests(interior_scores(spark, sf), "style_mae").select("judge", "model_a", "model_b", "p_value", "p_holm"))
+
+
+def lengthy(spark, sf):
+    s = samples(spark, sf).where("is_interior").select("run_id", "scenario_id", "style_axis", "model_id", "target_ratio", F.col("projection_raw").alias("coordinate"))
+    j = scores(spark, sf).where("not missing").groupBy("run_id").agg(*[F.max(F.when(F.col("judge") == k, F.col("intensity").cast("double"))).alias(k) for k in ("j1", "j2")])
+    return s.join(texts(spark, sf).select("run_id", F.col("character_length").cast("double").alias("length")), "run_id", "left").join(j, "run_id", "left")
+
+
+@query()
+def ju22_length_sensitivity(spark, sf):
+    return rounded(judges.length_sensitivity(lengthy(spark, sf), ["j1", "j2"], cut))
+
+
+@query(TWO + ", s AS (SELECT two.*, CASE WHEN run_id % 3 = 0 THEN NULL ELSE 'c' || run_id % 3 END AS condition, CASE WHEN run_id % 2 = 0 THEN 'main' ELSE 'other' END AS source_type FROM two WHERE a IS NOT NULL AND b IS NOT NULL) SELECT model_id, source_type, condition, count(*) AS n, round(avg(a - b), 6) + 0.0 AS mean_difference, round(avg(abs(a - b)), 6) AS mean_absolute_difference FROM s GROUP BY ALL")
+def ju23_condition_differences(spark, sf):
+    b = both(spark, sf).withColumn("condition", F.when(F.col("run_id") % 3 != 0, F.concat(F.lit("c"), (F.col("run_id") % 3).cast("string")))).withColumn("source_type", F.when(F.col("run_id") % 2 == 0, "main").otherwise("other"))
+    return rounded(judges.condition_differences(b, "a_intensity", "b_intensity", ["model_id", "source_type", "condition"]))
+
+
+@query(", sv AS (SELECT *, target_ratio AS alpha, intensity / 100.0::DOUBLE AS ratio FROM jud), sn AS (SELECT * FROM sv WHERE NOT missing), rk AS (SELECT judge, model_id, " + rank_sql("alpha", "judge, model_id") + " AS x, " + rank_sql("ratio", "judge, model_id") + " AS y FROM sn), sp AS (SELECT judge, model_id, corr(x, y) AS spearman FROM rk GROUP BY ALL), sm AS (SELECT judge, model_id, avg(abs(z)) AS smoothness FROM (SELECT judge, model_id, m - 2 * lag(m) OVER w + lag(m, 2) OVER w AS z FROM (SELECT judge, model_id, ratio_idx, avg(ratio) AS m FROM sn GROUP BY ALL) WINDOW w AS (PARTITION BY judge, model_id ORDER BY ratio_idx)) GROUP BY ALL), "
+       "att AS (SELECT judge, model_id, avg((ratio < 0.15 OR ratio > 0.85)::INT) AS attraction FROM sn WHERE ratio_idx BETWEEN 2 AND 4 GROUP BY ALL), b AS (SELECT judge, model_id, count(*) AS n, avg(CASE WHEN NOT missing THEN abs(ratio - alpha) END) AS mae, avg(CASE WHEN NOT missing THEN ratio - alpha END) AS bias, avg(naturalness) AS content, avg(naturalness) AS naturalness, avg((NOT missing)::INT) AS parse_ok_rate FROM sv GROUP BY ALL) SELECT judge, model_id, n, round(mae, 6) AS mae, round(bias, 6) + 0.0 AS bias, round(content, 6) AS content, round(naturalness, 6) AS naturalness, round(parse_ok_rate, 6) AS parse_ok_rate, round(spearman, 6) AS spearman, round(smoothness, 6) AS smoothness, round(attraction, 6) AS attraction FROM b JOIN sp USING (judge, model_id) JOIN sm USING (judge, model_id) JOIN att USING (judge, model_id)")
+def ju1_scalar_summary(spark, sf):
+    s = scores(spark, sf).select("judge", "model_id", F.col("target_ratio").alias("alpha"), F.when(F.col("missing"), "?").otherwise((F.col("intensity") / 100.0).cast("string")).alias("style_b_ratio"), F.col("naturalness").cast("string").alias("content_preservation"), F.col("naturalness").alias("style_mixture_naturalness"), (~F.col("missing")).alias("parse_ok"))
+    return rounded(judges.scalar_summary(s, ["judge", "model_id"]))
+
+
+@query(PAIRSQL + ", v AS (SELECT model_id, h < 9 AS ok, h = 8 AS tie, h < 8 AND (h < 4) <> (swapped = 1) AS wrong FROM outc) SELECT model_id, count(*) AS n, round(avg(wrong::INT) FILTER (ok), 6) AS violation, round(avg(tie::INT) FILTER (ok), 6) AS tie, round(avg(ok::INT), 6) AS parse_ok_rate FROM v GROUP BY ALL")
+def ju4_monotonic_violations(spark, sf):
+    p = pairs(spark, sf).select("model_id", "left_alpha", "right_alpha", F.when(F.col("winner") == "tie", "tie").otherwise(F.concat(F.lit("text_"), "winner")).alias("winner"), F.col("swapped").alias("swap_order"), F.col("winner").isNotNull().alias("parse_ok"))
+    return rounded(judges.monotonic_violations(p, ["model_id"]))
+
+
+@query(PAIRSQL + ", q AS (SELECT model_id, style_axis, round(count(*) FILTER (outcome = 'lower') / count(*) FILTER (outcome IN ('higher', 'lower'))::DOUBLE, 6) AS violation FROM outc GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY violation DESC NULLS LAST, style_axis)::INT AS nth FROM q QUALIFY nth <= 3")
+def ju5_worst_axes(spark, sf):
+    rates = rounded(judges.pairwise_rates(pairs(spark, sf), ["model_id", "style_axis"]))
+    return judges.worst_axes(rates).select("model_id", "style_axis", "violation", "nth")
+
+
+FLAGS9 = ["passed", "added"]
+NINE = ", q9 AS (SELECT j.run_id, j.scenario_id, j.style_axis, j.model_id, j.target_ratio, passed::INT AS passed, (naturalness = 2)::INT AS added, naturalness, character_length, intensity / 100.0::DOUBLE AS scalar_ratio, abs(intensity / 100.0 - j.target_ratio) AS scalar_error FROM jud j JOIN txt t ON t.run_id = j.run_id WHERE judge = 'j1' AND NOT missing)"
+
+
+def quality(spark, sf):
+    j = scores(spark, sf).where("judge = 'j1' and not missing").select("run_id", "scenario_id", "style_axis", "model_id", "target_ratio", "intensity", "naturalness", "passed", (F.col("naturalness") == 2).alias("added"))
+    return judges.quality_sample(j, texts(spark, sf).select("run_id", "character_length"), ["run_id"], FLAGS9)
+
+
+@query(NINE + " SELECT run_id, passed::DOUBLE AS passed, added::DOUBLE AS added, round(scalar_error, 6) AS scalar_error, character_length FROM q9")
+def ju9_quality_sample(spark, sf):
+    return rounded(quality(spark, sf).select("run_id", "passed", "added", "scalar_error", "character_length"))
+
+
+TEN = ["passed", "added", "naturalness", "character_length", "scalar_error"]
+
+
+@query(NINE + boot("q9", ["model_id"], TEN) + " SELECT * FROM bt")
+def ju10_quality_summary(spark, sf):
+    return rounded(statistics.bootstrap_means(quality(spark, sf), ["model_id"], TEN, "style_axis", "scenario_id"))
+
+
+@query(NINE + ", c AS (SELECT scenario_id, model_id, style_axis, target_ratio, avg(scalar_ratio) AS r, avg(scalar_error) AS e FROM q9 GROUP BY ALL), k AS (SELECT *, " + rank_sql("target_ratio", "model_id, style_axis") + " AS x, " + rank_sql("round(r, 12)", "model_id, style_axis") + " AS y FROM c) SELECT model_id, style_axis, count(*) AS cells, round(avg(e), 6) AS mae, " + corr_sql("target_ratio", "r") + " AS pearson, round(regr_slope(r, target_ratio), 6) AS slope, round(regr_intercept(r, target_ratio), 6) + 0.0 AS intercept, " + corr_sql("x", "y") + " AS spearman FROM k GROUP BY ALL")
+def ju11_scalar_calibration(spark, sf):
+    return rounded(judges.scalar_calibration(quality(spark, sf), ["model_id", "style_axis"]))
+
+
+@query("SELECT encoder_id, a.model_id, a.style_axis, round(avg(s), 6) AS mean, round(quantile_cont(s, 0.5), 6) AS median, count(*) AS n FROM (SELECT a.encoder_id, a.model_id, a.style_axis, list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) AS s FROM enc a JOIN enc b USING (scenario_id, model_id, seed, encoder_id) WHERE b.ratio_idx = 0) a GROUP BY ALL")
+def ju12_semantic_similarity(spark, sf):
+    p = points(spark, sf, True)
+    keys = ["scenario_id", "model_id", "seed", "encoder_id"]
+    s = p.join(p.where("ratio_idx = 0").select(*keys, F.col("v").alias("s")), keys).select("encoder_id", "model_id", "style_axis", geometry.cosine_similarity("v", "s").alias("x"))
+    return rounded(s.groupBy("encoder_id", "model_id", "style_axis").agg(F.avg("x").alias("mean"), F.percentile("x", F.lit(0.5)).alias("median"), F.count("x").alias("n")))
+
+
+@query(NINE + " SELECT style_axis, model_id, round(avg(passed), 6) AS pass_rate, round(avg(added), 6) AS added_rate, round(avg(character_length), 6) AS mean_length, round(avg(scalar_error), 6) AS mae FROM q9 WHERE style_axis = 'a1' GROUP BY ALL")
+def ju12_coupling(spark, sf):
+    return rounded(judges.coupling(quality(spark, sf), ["a1"], {"pass_rate": "passed", "added_rate": "added", "mean_length": "character_length", "mae": "scalar_error"}))
+
+
+@query(", ic AS (SELECT scenario_id, style_axis, model_id, round(target_ratio, 6) AS ratio, intensity AS i FROM jud WHERE judge = 'j1' AND NOT missing)" + boot("ic", ["model_id", "ratio"], ["i"]) + " SELECT * EXCLUDE metric FROM bt")
+def ju26_intensity_intervals(spark, sf):
+    s = scores(spark, sf).where("judge = 'j1' and not missing").select("scenario_id", "style_axis", "model_id", F.round("target_ratio", 6).alias("ratio"), F.col("intensity").alias("i"))
+    return rounded(statistics.bootstrap_means(s, ["model_id", "ratio"], ["i"], "style_axis", "scenario_id").drop("metric"))
+
+
+# --- human ratings
+
+def human(spark, sf):
+    """Three slots rate every interior run; the items of a few runs are attention items, and answers repeat hash draws."""
+    t = texts(spark, sf).where("ratio_idx between 1 and 5").select("run_id", "scenario_id", "style_axis", F.explode(F.array(F.lit("A"), F.lit("B"), F.lit("C"))).alias("rater_slot"))
+    h = hex8(F.concat_ws(":", "rater_slot", F.col("run_id").cast("string")))
+    check = F.col("run_id") % 100 == 1
+    lax = (F.col("rater_slot") == "C") & (F.col("run_id") < 300)
+    return t.select(
+        F.col("run_id").cast("string").alias("item_id"), "run_id", "scenario_id", "style_axis", "rater_slot", F.concat(F.lit("r"), "rater_slot").alias("rater_id"), F.when(check, "yes").otherwise("no").alias("attention_check"),
+        F.when(check, F.when(lax, "no").otherwise(" Yes")).when(F.pmod(h, F.lit(50)) == 0, "yes").otherwise("no").alias("unable"), F.pmod(h, F.lit(101)).cast("double").alias("style"), (1 + F.pmod(h, F.lit(5))).cast("double").alias("content"),
+        F.when(F.pmod(h, F.lit(3)) == 0, "是").otherwise("No").alias("adds"), F.when(F.pmod(h, F.lit(7)) == 0, "yes").otherwise("否").alias("contradicts"), F.pmod(h, F.lit(60)).cast("string").alias("seconds"),
+    )
+
+
+HUM = """, hu0 AS (SELECT run_id, scenario_id, style_axis, slot, run_id % 100 = 1 AS chk, ('0x' || substr(md5(slot || ':' || run_id), 1, 8))::BIGINT AS h FROM txt, (VALUES ('A'), ('B'), ('C')) s(slot) WHERE ratio_idx BETWEEN 1 AND 5),
+bad AS (SELECT slot FROM hu0 WHERE chk AND slot = 'C' AND run_id < 300 GROUP BY slot HAVING count(*) > 1),
+hu AS (SELECT run_id AS item_id, run_id, scenario_id, style_axis, slot, h, (h % 101)::DOUBLE AS style, (1 + h % 5)::DOUBLE AS content, (h % 3 = 0)::INT AS adds, (h % 7 = 0)::INT AS contradicts, h % 60 < 5 AS fast FROM hu0 WHERE NOT chk AND slot NOT IN (SELECT slot FROM bad) AND h % 50 <> 0)"""
+REQUIRED = ["rater_id", "style", "content", "adds", "contradicts"]
+
+
+@query(HUM + " SELECT item_id::VARCHAR AS item_id, slot AS rater_slot, adds::DOUBLE AS adds, contradicts::DOUBLE AS contradicts, fast AS speed_anomaly FROM hu")
+def hu1_formal_ratings(spark, sf):
+    return reports.formal_ratings(human(spark, sf), REQUIRED).select("item_id", "rater_slot", "adds", "contradicts", "speed_anomaly")
+
+
+def alpha_sql(m: str) -> str:
+    return f"SELECT '{m}' AS metric, 'krippendorff' AS statistic, round(1 - (SELECT sum(d) FROM (SELECT 2 * (count(*) * sum({m} * {m}) - sum({m}) ** 2) / (count(*) - 1) AS d FROM fu GROUP BY item_id)) / count(*) / (2 * var_samp({m})), 6) AS estimate, count(DISTINCT item_id) AS items FROM fu"
+
+
+def kappa_sql(m: str) -> str:
+    return f"SELECT '{m}', 'fleiss_kappa', round((avg(p) - q * q - (1 - q) * (1 - q)) / (1 - q * q - (1 - q) * (1 - q)), 6), count(*) FROM (SELECT (a * (a - 1) + (k - a) * (k - a - 1)) / (k * (k - 1))::DOUBLE AS p, sum(a) OVER () / sum(k) OVER ()::DOUBLE AS q FROM (SELECT count(*) AS k, sum({m}) AS a FROM hu GROUP BY item_id HAVING count(*) > 1)) GROUP BY q"
+
+
+@query(HUM + ", fu AS (SELECT * FROM hu WHERE item_id IN (SELECT item_id FROM hu GROUP BY 1 HAVING count(DISTINCT slot) = (SELECT count(DISTINCT slot) FROM hu))) " + " UNION ALL ".join([alpha_sql("style"), alpha_sql("content"), kappa_sql("adds"), kappa_sql("contradicts")]))
+def hu1_reliability(spark, sf):
+    """Without the ICC rows, which st20_icc compares."""
+    return rounded(reports.reliability(reports.formal_ratings(human(spark, sf), REQUIRED), ["style", "content"], ["adds", "contradicts"]).where("statistic not like 'icc%'"))
+
+
+def human_items(spark, sf):
+    f = reports.formal_ratings(human(spark, sf), REQUIRED)
+    return f.groupBy("run_id").agg((F.avg("style") / 100).alias("human_ratio"))
+
+
+HGEO = HUM + ", hi AS (SELECT run_id, avg(style) / 100 AS h FROM hu GROUP BY 1), hg AS (SELECT g.encoder_id, g.scenario_id, g.style_axis, h, projection_raw AS p, abs(projection_raw - h) AS gap FROM hi JOIN geo g USING (run_id))"
+
+
+@query(HGEO + ", hk AS (SELECT *, " + rank_sql("round(h, 12)", "style_axis, encoder_id") + " AS x, " + rank_sql("p", "style_axis, encoder_id") + " AS y FROM hg) SELECT style_axis, encoder_id, count(*) AS items, " + corr_sql("h", "p") + " AS pearson, round(avg(gap), 6) AS mae, " + corr_sql("x", "y") + " AS spearman FROM hk GROUP BY ALL")
+def hu4_agreement_by_axis(spark, sf):
+    return rounded(reports.human_geometry(human_items(spark, sf), samples(spark, sf, True).select("run_id", "scenario_id", "style_axis", "encoder_id", "projection_raw"), 100)[1])
+
+
+@query()
+def hu4_human_geometry(spark, sf):
+    return rounded(reports.human_geometry(human_items(spark, sf), samples(spark, sf, True).select("run_id", "scenario_id", "style_axis", "encoder_id", "projection_raw"), 10_000)[0])
+
+
+# --- single failures
+
+def failure_rows(spark, sf):
+    from axisgauge.plans.fixtures import external
+
+    own = samples(spark, sf).select("run_id", "scenario_id", "style_axis", "model_id", "seed", "target_ratio", F.col("projection_raw").alias("own"))
+    ext = geometry.with_geometry(points(spark, sf), external(spark, sf), ["scenario_id", "encoder_id"]).select("run_id", F.col("projection_raw").alias("external"), F.col("projection_error_raw").alias("external_error"), F.col("out_of_range").alias("external_out"))
+    j = scores(spark, sf).where("not missing").groupBy("run_id").agg(*[F.max(F.when(F.col("judge") == k, F.col(c))).alias(f"{n}_{c}") for k, n in (("j1", "a"), ("j2", "b")) for c in ("intensity", "passed")], *[F.max(F.when(F.col("judge") == k, F.col("naturalness") / 5.0)).alias(f"{n}_coverage") for k, n in (("j1", "a"), ("j2", "b"))])
+    length = texts(spark, sf).select("run_id", F.col("character_length").alias("length"), F.lit(200).alias("length_min"), F.lit(2000).alias("length_max"))
+    return own.join(ext, "run_id").join(j, "run_id", "left").join(length, "run_id", "left")
+
+
+FAILSQL = """, fx0 AS (SELECT g.run_id, g.scenario_id, g.model_id, g.seed, g.ratio_idx, g.target_ratio, g.projection_raw AS own, (list_dot_product(v, b) - list_dot_product(v, a) - list_dot_product(a, b) + list_dot_product(a, a)) / list_distance(a, b) ** 2 AS external FROM geo g JOIN points p USING (run_id) JOIN (SELECT x.vec_id // 2 AS n, x.embedding::DOUBLE[] AS a, y.embedding::DOUBLE[] AS b FROM embeddings x JOIN embeddings y ON y.vec_id = x.vec_id + 1 WHERE x.vec_id % 2 = 0) ON substr(g.scenario_id, 2)::BIGINT = n WHERE g.encoder_id = 'full'),
+fx AS (SELECT fx0.*, abs(external - target_ratio) AS ee, a.intensity AS ai, b.intensity AS bi, a.passed AS ap, b.passed AS bp, a.naturalness / 5.0::DOUBLE AS ac, b.naturalness / 5.0::DOUBLE AS bc, character_length AS len FROM fx0 LEFT JOIN (SELECT run_id, intensity, passed, naturalness FROM jud WHERE judge = 'j1' AND NOT missing) a USING (run_id) LEFT JOIN (SELECT run_id, intensity, passed, naturalness FROM jud WHERE judge = 'j2' AND NOT missing) b USING (run_id) LEFT JOIN (SELECT run_id, character_length FROM txt) USING (run_id)),
+fr AS (SELECT scenario_id, model_id, seed, corr(x, y) AS rho, arg_max(run_id, ee) AS run_id FROM (SELECT *, rank() OVER (PARTITION BY scenario_id, model_id, seed ORDER BY ratio_idx) AS x, rank() OVER (PARTITION BY scenario_id, model_id, seed ORDER BY external) AS y FROM fx WHERE ratio_idx BETWEEN 1 AND 5) GROUP BY ALL HAVING count(*) = 5),
+fy AS (SELECT fx.*, rho, greatest(abs(ai / 100.0 - target_ratio), abs(bi / 100.0 - target_ratio)) AS mae, greatest(0, 200 - len) + greatest(0, len - 2000) AS outside FROM fx LEFT JOIN fr USING (run_id)),
+sev AS (SELECT run_id, 'content_failure' AS category, 0 AS place, 2 - coalesce(ac, 1.0) - coalesce(bc, 1.0) AS severity FROM fy WHERE NOT coalesce(ap, true) OR NOT coalesce(bp, true) UNION ALL SELECT run_id, 'style_under_or_overshoot', 1, mae FROM fy WHERE mae >= 0.25 UNION ALL SELECT run_id, 'external_out_of_range', 2, greatest(-external, external - 1) FROM fy WHERE external < -1e-12 OR external > 1
+  UNION ALL SELECT run_id, 'non_monotonic', 3, 0.5 - rho FROM fy WHERE rho < 0.5 - 1e-12 UNION ALL SELECT run_id, 'length_violation', 4, outside FROM fy WHERE outside > 0 UNION ALL SELECT run_id, 'judge_disagreement', 5, abs(ai - bi) FROM fy WHERE abs(ai - bi) >= 25 UNION ALL SELECT run_id, 'anchor_disagreement', 6, abs(own - external) FROM fy WHERE abs(own - external) >= 0.25)"""
+
+
+@query(FAILSQL + " SELECT run_id, category, round(severity, 5)::DOUBLE AS severity FROM sev")
+def fa4_severities(spark, sf):
+    s = failures.severities(failure_rows(spark, sf))
+    return s.select("run_id", "category", F.round("severity", 5).alias("severity"))
+
+
+@query()
+def fa5_picked_cases(spark, sf):
+    return rounded(failures.picked_cases(failures.severities(failure_rows(spark, sf))))
+
+
+# --- serving
+
+@query("WITH w AS (SELECT event_type AS model_id, min(ts) AS s, max(ts) AS e FROM events GROUP BY 1) SELECT event_type AS model_id, count(*) AS n, round(sum(user_id) / (epoch_us(max(ts)) - epoch_us(min(ts))) * 1e6, 9) AS tokens_per_second, round(avg(user_id / (value + 1)), 6) AS mean_request_rate, sum(user_id)::BIGINT AS tokens, sum(event_id % 3)::BIGINT AS retries, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, CASE WHEN event_type < 'p' THEN 'g1' ELSE 'g2' END AS comparison_group FROM events GROUP BY event_type", plain=True)
+def ef3_throughput(spark, sf):
+    e = table(spark, sf, "events").select(F.col("event_type").alias("model_id"), F.col("ts").cast("timestamp").alias("ts"), (F.col("value") + 1).alias("seconds"), "value", F.col("user_id").alias("output_tokens"), (F.col("event_id") % 3).alias("retries"))
+    groups = spark.createDataFrame([("click", "g1"), ("error", "g1"), ("purchase", "g2"), ("signup", "g2"), ("view", "g2")], "model_id string, comparison_group string")
+    t = serving.throughput(e, groups, "value")
+    return t.select("model_id", "n", F.round("tokens_per_second", 9).alias("tokens_per_second"), F.round("mean_request_rate", 6).alias("mean_request_rate"), "tokens", "retries", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"), "comparison_group")
+
+
+@query("WITH c AS (SELECT user_id, user_id % 5 AS g, round(avg(value), 4) AS a, count(*) AS b FROM events GROUP BY 1) SELECT user_id, g FROM c x WHERE NOT EXISTS (SELECT 1 FROM c y WHERE y.g = x.g AND y.a <= x.a AND y.b <= x.b AND (y.a < x.a OR y.b < x.b))", plain=True)
+def ef4_pareto_in_groups(spark, sf):
+    c = table(spark, sf, "events").groupBy("user_id").agg(F.round(F.avg("value"), 4).alias("a"), F.count(F.lit(1)).alias("b")).withColumn("g", F.col("user_id") % 5)
+    return serving.pareto(c, "a", "b", ["g"]).select("user_id", "g")

@@ -38,7 +38,7 @@ def ag12_generation_summary(spark, sf):
     return rounded(reports.generation_summary(texts(spark, sf), ["model_id", "style_axis"], "text"))
 
 
-@query()
+@query(", nb AS (SELECT i.run_id, i.model_id, 1 + count(*) FILTER (j.run_id <> i.run_id AND j.from_a ** 2 - 2 * i.target_ratio * j.along + (i.target_ratio * i.separation) ** 2 < i.from_a ** 2 - 2 * i.target_ratio * i.along + (i.target_ratio * i.separation) ** 2 - 1e-13) AS r FROM geo i JOIN geo j USING (scenario_id, model_id, seed, encoder_id) WHERE i.is_interior AND encoder_id = 'full' GROUP BY ALL) SELECT model_id, round(avg((r = 1)::INT), 6) AS top_1, round(avg(r), 6) AS mean_rank, round(quantile_cont(r, 0.5), 6)::DOUBLE AS median_rank, round(stddev_samp(r), 6) AS std_rank FROM nb GROUP BY 1")
 def ag16_neighbour_table(spark, sf):
     return rounded(reports.neighbour_table(samples(spark, sf).where("is_interior"), ["model_id"]))
 

@@ -8,7 +8,7 @@ import pytest
 from axisgauge.plans import registry
 
 DIR = "/root/testdata/sf0.001"
-SOME = ["ge4_interior_error_by_model", "bl4_scenario_folds", "bl7_isotonic_cv", "ju18_content_confusion", "ju6_swap_consistency", "st21_krippendorff", "tx23_text_quality", "tx12_near_pairs", "id4_missing_runs", "id13_coverage", "ef4_pareto"]
+SOME = ["ge4_interior_error_by_model", "bl4_scenario_folds", "bl7_isotonic_cv", "ju18_content_confusion", "ju6_swap_consistency", "st21_krippendorff", "tx23_text_quality", "tx12_near_pairs", "id4_missing_runs", "id13_coverage", "ef4_pareto", "an3_rank_sensitivity", "rb3_condition_rankings", "tx4_lenient_judgments", "hu1_formal_ratings", "ju23_condition_differences", "ge1_legacy_projection"]
 
 
 @pytest.mark.skipif(not os.path.isdir(DIR), reason="needs the given tables")
