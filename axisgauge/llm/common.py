@@ -2,25 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from axisgauge.functions.lineage import shared_dir
 
 #: The white space that separates words everywhere in this subpackage: space, tab, LF, VT, FF, CR.
 SPACE = r"[\x20\x09-\x0D]+"
-#: A side is broadcast only if a count has shown that it has at most this many narrow rows.
-BROADCAST_ROWS = 200_000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = tempfile.mkdtemp(prefix="axisgauge-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+#: A side is broadcast only if it has been found to have at most so many rows and so many bytes.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -36,9 +29,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """With a broadcast hint if the table, which must be cheap to count, has at most `rows` rows; else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def width_of(name: str, kind: T.DataType) -> F.Column:
+    """About how many bytes a value takes."""
+    if isinstance(kind, T.StringType | T.BinaryType):
+        return F.octet_length(F.col(f"`{name}`")) + 16
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, T.StringType):
+            return F.aggregate(F.col(f"`{name}`"), F.lit(16), lambda a, x: a + F.coalesce(F.octet_length(x), F.lit(0)) + 24)
+        return F.size(F.col(f"`{name}`")) * 24 + 16
+    return F.lit(16)
+
+
+def small(df: DataFrame, rows: int | None = None, bytes_: int | None = None) -> DataFrame:
+    """With a broadcast hint if the table, which must be cheap to read, has at most so many rows and bytes; else as it is."""
+    rows, bytes_ = rows or BROADCAST_ROWS, bytes_ or BROADCAST_BYTES
+    each = F.lit(0)
+    for f in df.schema.fields:
+        each = each + F.coalesce(width_of(f.name, f.dataType), F.lit(16))
+    found = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(each).alias("b")).first()
+    return F.broadcast(df) if found["n"] <= rows and (found["b"] or 0) <= bytes_ else df
 
 
 def words(text) -> F.Column:

@@ -24,6 +24,8 @@ from pyspark.sql import Window
 from axisgauge.llm.common import SPACE, small, written
 
 WIDTH = 5
+#: So many distinct sketch hashes are sent to the executors at once; more take further passes over the documents.
+HASHES = 1_000_000
 
 
 def lower_words(text: Column) -> Column:
@@ -76,8 +78,14 @@ def contained_items(docs: DataFrame, items: DataFrame, num: int = 4, den: int =
         # since from explode the optimizer infers a filter in which the words are split anew for each shingle.
         hashes = F.transform(F.sequence(F.lit(0), F.size("w") - m), functools.partial(hashed_at, F.col("w"), m))
         each = words.select("doc_id", F.when(F.size("w") >= m, F.array_distinct(hashes)).alias("hashes")).select("doc_id", F.explode_outer("hashes").alias("h"))
-        hits = each.join(small(low.where(F.col("width") == m).select("h", "key")), "h").select("doc_id", "key").distinct()
-        found = hits if found is None else found.unionByName(hits)
+        own = low.where(F.col("width") == m).select("h", "key")
+        sent = written(own.select("h").distinct(), "hashes")
+        passes = max(1, -(-sent.count() // HASHES))
+        for k in range(passes):
+            part = sent.where(F.pmod(F.xxhash64("h"), F.lit(passes)) == k)
+            # HASHES numbers, give or take their spread; few rows are left for the join with the keys
+            hits = each.join(F.broadcast(part), "h", "left_semi").distinct().join(own, "h").select("doc_id", "key").distinct()
+            found = hits if found is None else found.unionByName(hits)
     if found is None:
         return docs.join(whole.select("item_id", F.col("n").cast("long").alias("n_item_shingles"), F.lit(0).cast("long").alias("n_shared")).limit(0), F.lit(True)).drop("text")
     found = written(found, "candidates")
