@@ -4,12 +4,14 @@ A document is cut into leaves of about `LEAF` bytes, each beginning where a pre-
 joins nothing across such a place, so a document's count is the sum of its leaves'. `build` keeps, with the document,
 the leaves' first bytes and a heap of sums over them. `apply_edits` finds the leaves that each edit touches, widened
 until the region begins and ends behind white space (the boundary context), encodes the regions' new texts alone, and
-updates the sums on the paths from those leaves to the root. Both work row by row without a shuffle; trees written as
+updates the sums on the paths from those leaves to the root; where a region has grown or shrunk it gets new leaves, and
+the known counts of all others stay. Both work row by row without a shuffle; trees written as
 a table are joined to later edits by document id.
 
 Edits are structs (start, stop, text): bytes [start, stop) of the old text are replaced; they don't overlap, and their
 order is free. Defined results: null texts count as empty; null or empty edits change nothing; bounds beyond the text
-are cut to it; overlapping edits raise an error; other columns pass through, those with this module's names are
+are cut to it; a row whose edits overlap, end before they start or cut a character keeps its text and tree, and its
+edit_error says why; other columns pass through, those with this module's names are
 replaced; an empty table gives no rows.
 """
 
@@ -25,13 +27,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from axisgauge.llm.bytesplit import blocks, packed
+from axisgauge.llm.bytesplit import blocks, packed, release
 from axisgauge.llm.wordbpe import BLOCK, GAP, KIND, WordEncoder, encoder
 
 TOKENIZER = "word_bpe_49k.json"
 LEAF = 512
-#: Pre-tokens that a worker remembers; both steps of a task have a worker of their own.
-MEMO = 100_000
+#: Pre-tokens that a worker remembers.
+MEMO = 150_000
 
 
 def tree_of(counts: np.ndarray) -> np.ndarray:
@@ -111,52 +113,75 @@ def regions(text: bytes, starts: list[int], edits: list[tuple[int, int, bytes]])
     return done
 
 
-def apply_edits(rows: DataFrame, tokenizer: str, text_col: str = "text", edits_col: str = "edits") -> DataFrame:
-    """rows (with leaf_starts, tree and edits) with the new text, leaf_starts and tree, and with n_tokens_before,
-    n_tokens and n_bytes_encoded; the edits column goes."""
-    rows = rows.drop("n_tokens_before", "n_tokens", "n_bytes_encoded")
+def faulty(text: bytes, edits: list[tuple[int, int, bytes]]) -> str | None:
+    """Why edits (rising, bounds cut to the text) can't be applied."""
+    if any(x[1] < x[0] for x in edits):
+        return "an edit ends before it starts"
+    if any(y[0] < x[1] for x, y in zip(edits, edits[1:], strict=False)):
+        return "edits overlap"
+    if any(at < len(text) and text[at] & 0xC0 == 0x80 for x in edits for at in x[:2]):
+        return "an edit cuts a character"
+    return None
+
+
+def apply_edits(rows: DataFrame, tokenizer: str, text_col: str = "text", edits_col: str = "edits", leaf: int = LEAF) -> DataFrame:
+    """rows (with edits, and with leaf_starts and tree unless they are to be built here) with the new text, leaf_starts and
+    tree, and with n_tokens_before, n_tokens, n_bytes_encoded and edit_error; the edits column goes."""
+    added = ["n_tokens_before", "n_tokens", "n_bytes_encoded", "edit_error"]
+    rows = rows.drop(*added)
+    stored = {"leaf_starts", "tree"} <= set(rows.columns)
+    rows = rows if stored else rows.drop("leaf_starts", "tree")
+    names = [k for k in rows.columns if k != edits_col] + ([] if stored else ["leaf_starts", "tree"])
 
     def edit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = encoder(tokenizer, MEMO)
         for batch in batches:
             data, bounds = packed(batch.column(text_col))
-            starts = [s.as_py() for s in batch.column("leaf_starts")]
-            trees = [np.array(t.values, np.int32) for t in batch.column("tree")]
+            if stored:
+                starts = [s.as_py() for s in batch.column("leaf_starts")]
+                trees = [np.array(t.values, np.int32) for t in batch.column("tree")]
+            else:
+                grown = leaves(model, data, bounds, leaf)
+                starts, trees = [s.tolist() for s, _ in grown], [tree_of(c) for _, c in grown]
             before = [int(t[1]) for t in trees]
-            texts, touched, encoded = [], [], [0] * len(trees)
+            texts, touched, encoded, errors = [], [], [0] * len(trees), [None] * len(trees)
             for i, edits in enumerate(batch.column(edits_col).to_pylist()):
                 text = data[bounds[i] : bounds[i + 1]].tobytes()
-                own = sorted((min(max(e["start"], 0), len(text)), min(max(e["stop"], 0), len(text)), (e["text"] or "").encode()) for e in edits or [])
-                if any(x[1] < x[0] for x in own) or any(y[0] < x[1] for x, y in zip(own, own[1:], strict=False)):
-                    raise ValueError("edits overlap or end before they start")
-                found = regions(text, starts[i], own)
-                touched += [(i, *f) for f in found]
+                own = sorted((min(max(e["start"] or 0, 0), len(text)), min(max(e["stop"] or 0, 0), len(text)), (e["text"] or "").encode()) for e in edits or [] if e is not None)
+                errors[i] = faulty(text, own)
+                own = [] if errors[i] else own
+                touched += [(i, *f) for f in regions(text, starts[i], own)]
                 at, pieces = 0, []
                 for start, stop, new in own:
                     pieces += [text[at:start], new]
                     at = stop
                 texts.append(b"".join([*pieces, text[at:]]) if own else text)
-            _, counts = model.batch(*packed(pa.array([t[3] for t in touched], pa.binary()))) if touched else (None, np.zeros(0, np.int64))
-            for (i, a, b, new), n in reversed(list(zip(touched, counts.tolist(), strict=True))):  # from the last: places before stay valid
+            fresh = leaves(model, *packed(pa.array([t[3] for t in touched], pa.binary())), leaf) if touched else []
+            for (i, a, b, new), (cuts, counts) in reversed(list(zip(touched, fresh, strict=True))):  # from the last: places before stay valid
                 tree, own = trees[i], starts[i]
                 end = own[b + 1] if b + 1 < len(own) else int(bounds[i + 1] - bounds[i])
-                shift, end = len(new) - (end - own[a]), own[a] + len(new)
-                own[a + 1 : b + 1] = [end] * (b - a)
-                own[b + 1 :] = [s + shift for s in own[b + 1 :]]
+                shift = len(new) - (end - own[a])
                 encoded[i] += len(new)
-                for leaf in range(a, b + 1):
-                    node = len(tree) // 2 + leaf
-                    change = (n if leaf == a else 0) - int(tree[node])
-                    while node:
-                        tree[node] += change
-                        node //= 2
+                if len(counts) == b + 1 - a:  # as many leaves: the sums change on the paths to the root
+                    for k, n in enumerate(counts.tolist(), a):
+                        node = len(tree) // 2 + k
+                        change = n - int(tree[node])
+                        while node:
+                            tree[node] += change
+                            node //= 2
+                else:  # the known counts of all other leaves stay
+                    held = tree[len(tree) // 2 :][: len(own)]
+                    trees[i] = tree_of(np.concatenate([held[:a], counts, held[b + 1 :]]))
+                starts[i] = [*own[:a], *(own[a] + cuts).tolist(), *(s + shift for s in own[b + 1 :])]
             new = {text_col: pa.array(texts, pa.binary()).cast(pa.string()), "leaf_starts": lists([np.array(s) for s in starts]), "tree": lists(trees)}
-            kept = [new.get(k, batch.column(k)) for k in batch.schema.names if k != edits_col]
-            more = [pa.array(before, pa.int64()), pa.array([int(t[1]) for t in trees], pa.int64()), pa.array(encoded, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*kept, *more], [*(k for k in batch.schema.names if k != edits_col), "n_tokens_before", "n_tokens", "n_bytes_encoded"])
+            columns = [new[k] if k in new else batch.column(k) for k in names]
+            more = [pa.array(before, pa.int64()), pa.array([int(t[1]) for t in trees], pa.int64()), pa.array(encoded, pa.int64()), pa.array(errors, pa.string())]
+            yield pa.RecordBatch.from_arrays([*columns, *more], [*names, *added])
+        release()
 
-    more = [T.StructField(k, T.LongType()) for k in ("n_tokens_before", "n_tokens", "n_bytes_encoded")]
-    return rows.mapInArrow(edit, T.StructType([*(f for f in rows.schema.fields if f.name != edits_col), *more]))
+    numbers = T.ArrayType(T.IntegerType())
+    fields = [rows.schema[k] if k in rows.columns else T.StructField(k, numbers) for k in names]
+    return rows.mapInArrow(edit, T.StructType([*fields, *[T.StructField(k, T.LongType()) for k in added[:3]], T.StructField("edit_error", T.StringType())]))
 
 
 def sample_edits(text: F.Column, key: F.Column) -> F.Column:
@@ -183,5 +208,5 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trees of all documents, three edits of each applied; the text after them by its SHA-256."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     path = public_tokenizers.path(TOKENIZER)
-    rows = apply_edits(build(docs, path).withColumn("edits", sample_edits(F.col("text"), F.col("doc_id"))), path)
+    rows = apply_edits(docs.withColumn("edits", sample_edits(F.col("text"), F.col("doc_id"))), path)  # grown and edited in one pass
     return rows.select("doc_id", "n_tokens_before", "n_tokens", "n_bytes_encoded", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256"))
