@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from axisgauge.llm.common import SPACE, scratch
+from axisgauge.llm.common import SPACE, scratch, written
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 SETTINGS = {
@@ -82,12 +82,11 @@ def exact_dedup(spark: SparkSession, path: str, state: str | None = None, id_col
     changed = spark.read.parquet(update_state(spark, path, state or scratch(spark, "dedup"), id_col, text_col, digest))
     # each batch has the new value of the keys that it changed: the last one counts
     groups = changed.groupBy("digest").agg(F.max_by(F.struct("first", "n"), "batch").alias("g")).select("digest", "g.first", "g.n")
-    hits = docs.join(groups.where("n > 1").select("digest", "first"), "digest")
+    # texts are shuffled once, those of hits are kept for the comparison
+    hits = written(docs.join(groups.where("n > 1").select("digest", "first"), "digest"), "hits")
     stays = hits.where("place = first").select("digest", F.col("norm").alias("stays"))
     differ = hits.where("place != first").join(stays, "digest").where("norm != stays").select("digest", "place", "norm")
-    path_differ = scratch(spark, "collisions")
-    differ.write.parquet(path_differ)  # this compares the bytes of every hit; the table is empty unless digests collide
-    differ = spark.read.schema(differ.schema).parquet(path_differ)
+    differ = written(differ, "collisions")  # this compares the bytes of every hit; the table is empty unless digests collide
     rows = docs.select("place", "digest").join(groups, "digest")
     if not differ.isEmpty():
         less = differ.groupBy("digest").agg(F.count(F.lit(1)).alias("less"))
