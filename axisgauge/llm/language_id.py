@@ -31,6 +31,8 @@ MEMO, AT_ONCE = 150_000, 2048
 LETTERS = np.zeros(256, bool)
 LETTERS[97:123] = LETTERS[65:91] = True
 UNKNOWN = "und"
+#: Lower-casing, in training as in prediction, changes these letters only.
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def padded(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -164,7 +166,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
         .join(F.broadcast(chosen), "id")  # sample_docs rows at most
         .select("lang", F.explode(words(F.col("text"))).alias("word"))
-        .groupBy("lang", F.lower(F.substring("word", 1, LONGEST)).alias("word")).agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("lang", F.translate(F.substring("word", 1, LONGEST), UPPER, UPPER.lower()).alias("word")).agg(F.count(F.lit(1)).alias("n"))
     )
     rows = seen.orderBy(F.xxhash64("word", "lang"), "word", "lang").limit(sample_words).toArrow().to_pylist()
     rows = [(r["word"].encode(), r["lang"], r["n"]) for r in rows if r["word"]]
