@@ -24,8 +24,6 @@ from pyspark.sql import Window
 from axisgauge.llm.common import SPACE, small, written
 
 ENTROPY, REPEATS, BLOCKS, SEED, STEPS = 0.95, 2.0, 256, 11, 60
-#: Sources whose sums may be brought to the driver for the bisection; beyond that it fails rather than take a part.
-SOURCES = 1_000_000
 
 
 def n_words(text: F.Column) -> F.Column:
@@ -33,16 +31,20 @@ def n_words(text: F.Column) -> F.Column:
     return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, SPACE))).cast("long")
 
 
-def weights_at(tokens: list[int], exponent: float) -> list[float]:
-    total = sum(tokens)
+def weights_at(tokens: list[int], exponent: float, times: list[int] | None = None) -> list[float]:
+    """The weight of one source with each of these token counts, of which there are `times`."""
+    times = times or [1] * len(tokens)
+    total = sum(t * k for t, k in zip(tokens, times, strict=True))
     raised = [(t / total) ** exponent if t else 0.0 for t in tokens]
-    return [r / sum(raised) for r in raised]
+    every = sum(r * k for r, k in zip(raised, times, strict=True))
+    return [r / every for r in raised]
 
 
-def entropy(weights: list[float]) -> float:
+def entropy(weights: list[float], times: list[int] | None = None) -> float:
     """As a fraction of the greatest possible over the sources with tokens."""
-    real = [w for w in weights if w > 0]
-    return -sum(w * math.log(w) for w in real) / math.log(len(real)) if len(real) > 1 else 1.0
+    real = [(w, k) for w, k in zip(weights, times or [1] * len(weights), strict=True) if w > 0]
+    n = sum(k for _, k in real)
+    return -sum(k * w * math.log(w) for w, k in real) / math.log(n) if n > 1 else 1.0
 
 
 def repeats(tokens: list[int], weights: list[float]) -> float:
@@ -61,35 +63,36 @@ def bisected(good, low: float = 0.0, high: float = 1.0, steps: int = STEPS) -> f
     return low
 
 
-def exponent_for(tokens: list[int], target_entropy: float = ENTROPY, most_repeats: float = REPEATS) -> float:
+def exponent_for(tokens: list[int], target_entropy: float = ENTROPY, most_repeats: float = REPEATS, times: list[int] | None = None) -> float:
     """The largest exponent with the target entropy, or, if that repeats a source too often, the least that doesn't."""
-    if sum(1 for t in tokens if t) < 2:
+    times = times or [1] * len(tokens)
+    if sum(k for t, k in zip(tokens, times, strict=True) if t) < 2:
         return 1.0
-    flat = bisected(lambda x: entropy(weights_at(tokens, x)) >= target_entropy)
-    if repeats(tokens, weights_at(tokens, flat)) <= most_repeats:
+    flat = bisected(lambda x: entropy(weights_at(tokens, x, times), times) >= target_entropy)
+    if repeats(tokens, weights_at(tokens, flat, times)) <= most_repeats:
         return flat
-    return 1.0 - bisected(lambda x: repeats(tokens, weights_at(tokens, 1.0 - x)) <= most_repeats, 0.0, 1.0 - flat)
+    return 1.0 - bisected(lambda x: repeats(tokens, weights_at(tokens, 1.0 - x, times)) <= most_repeats, 0.0, 1.0 - flat)
 
 
 def passes(docs: DataFrame, target_entropy: float = ENTROPY, most_repeats: float = REPEATS, blocks: int = BLOCKS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, F.Column]:
     """(source, block, pass, position, weight), position the block's place in its source's order; and the block of a document."""
     block = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(blocks)).cast("int")
     sums = written(docs.select(F.col(source_col).alias("source"), block.alias("block"), n_words(F.col(text_col)).alias("n")).groupBy("source", "block").agg(F.sum("n").alias("n")), "blocks")
-    by_source = sums.groupBy("source").agg(F.sum("n").alias("n"))
-    rows = by_source.orderBy("source").limit(SOURCES + 1).collect()
-    if len(rows) > SOURCES:
-        raise ValueError(f"more than {SOURCES} sources")
-    tokens = [r["n"] for r in rows]
+    by_source = written(sums.groupBy("source").agg(F.sum("n").alias("total")), "sources")
+    # weights depend on a source's tokens alone: the driver gets how many sources have each number of tokens. T tokens in all
+    # have at most sqrt(2 T) such numbers
+    counts = by_source.groupBy("total").agg(F.count(F.lit(1)).alias("k")).orderBy("total").collect()
+    tokens, times = [r["total"] for r in counts], [r["k"] for r in counts]
+    weight, budget = F.lit(0.0), 0.0
     if sum(tokens):
-        weights = weights_at(tokens, exponent_for(tokens, target_entropy, most_repeats))
+        exponent = exponent_for(tokens, target_entropy, most_repeats, times)
+        weights = weights_at(tokens, exponent, times)
         budget = max(t / w for t, w in zip(tokens, weights, strict=True) if t)
-    else:
-        weights, budget = [0.0] * len(tokens), 0.0
-    spark = docs.sparkSession
-    plan = spark.createDataFrame([(r["source"], w, max(float(t), w * budget)) for r, t, w in zip(rows, tokens, weights, strict=True)], f"source {by_source.schema['source'].dataType.simpleString()}, weight double, tokens double")
-    each = sums.join(small(plan), sums.source.eqNullSafe(plan.source)).select(sums.source, "block", "n", "weight", "tokens").join(
-        small(by_source.select(F.col("source").alias("own"), F.col("n").alias("total"))), F.col("source").eqNullSafe(F.col("own"))
-    )
+        at = max(range(len(tokens)), key=tokens.__getitem__)
+        # each source's weight from that of the largest
+        weight = F.when(F.col("total") > 0, F.lit(weights[at]) * F.pow(F.col("total") / float(tokens[at]), F.lit(exponent))).otherwise(0.0)
+    plan = by_source.select(F.col("source").alias("own"), "total", weight.alias("weight"), F.greatest(F.col("total").cast("double"), weight * budget).alias("tokens"))
+    each = sums.join(small(plan), F.col("source").eqNullSafe(F.col("own"))).select("source", "block", "n", "weight", "tokens", "total")
     last = F.greatest(F.ceil(F.col("tokens") / F.greatest("total", F.lit(1)) - 1e-9), F.lit(1)).cast("int")
     runs = each.select("source", "block", "n", "weight", "tokens", F.explode(F.sequence(F.lit(1), last)).alias("pass"))
     order = Window.partitionBy("source", "pass").orderBy(F.xxhash64(F.lit(seed), F.col("pass"), F.col("block")), "block")  # at most `blocks` rows
