@@ -296,3 +296,97 @@ def test_counts_follow_edits(spark, leaf):
             new = new[:start] + add.encode() + new[stop:]
         assert got[i]["text"] == new.decode() and got[i]["n_tokens"] == count(new.decode()) == got[i]["tree"][1]
         assert got[i]["n_tokens_before"] == count(text or "")
+
+
+def test_one_bad_edit_stops_no_other_row(spark):
+    schema = "doc_id long, text string, edits array<struct<start:int,stop:int,text:string>>"
+    rows = [(1, "é b", [(1, 2, "x")]), (2, "abc def", [(0, 3, "x"), (2, 5, "y")]), (3, "abc", [(2, 1, "x")]), (4, "é b", [(0, 2, "x")]), (5, "a", [None])]
+    got = {r["doc_id"]: (r["text"], r["edit_error"]) for r in token_counts.apply_edits(spark.createDataFrame(rows, schema), PATH).collect()}
+    assert got == {1: ("é b", "an edit cuts a character"), 2: ("abc def", "edits overlap"), 3: ("abc", "an edit ends before it starts"), 4: ("x b", None), 5: ("a", None)}
+
+
+def test_trees_grow_under_repeated_appends_and_may_be_stored(spark, tmp_path):
+    df = spark.createDataFrame([(1, "start")], "doc_id long, text string")
+    path = str(tmp_path / "trees")
+    token_counts.build(df, PATH, leaf=32).write.parquet(path)
+    rows = spark.read.parquet(path)
+    for _ in range(3):  # a later edit is joined to the stored tree
+        end = F.octet_length("text")
+        edits = rows.select("doc_id", F.array(F.struct(end.alias("start"), end.alias("stop"), F.lit(" " + prose(30)).alias("text"))).alias("edits"))
+        rows = token_counts.apply_edits(rows.drop("n_tokens", "n_tokens_before", "n_bytes_encoded", "edit_error").join(edits, "doc_id"), PATH, leaf=32)
+    r = rows.first()
+    assert r["n_tokens"] == r["tree"][1] == len(encoder(PATH).tokenizer.encode(r["text"], add_special_tokens=False).ids)
+    assert len(r["leaf_starts"]) > 6 and r["leaf_starts"] == sorted(r["leaf_starts"])
+
+
+def test_contained_items_in_slices_of_hashes(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    items = [(i, " ".join(f"w{k}" for k in rng.integers(0, 10**6, rng.integers(1, 40)))) for i in range(40)]
+    docs = [(i, prose(30, rng) + " " + t + " " + prose(30, rng)) for i, t in items] + [(None, items[3][1])]
+    df, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted(map(str, decontaminate.contained_items(df, it).collect()))
+    monkeypatch.setattr(decontaminate, "HASHES", 50)
+    assert sorted(map(str, decontaminate.contained_items(df, it).collect())) == whole and len(whole) >= 41
+
+
+def test_broadcast_is_bounded_by_rows_and_bytes(spark):
+    from axisgauge.llm.common import small
+
+    hinted = lambda df, **k: "broadcast" in small(df, **k)._jdf.queryExecution().logical().toString().lower()
+    df = spark.createDataFrame([(i, ["x" * 50] * 4, "y" * 9) for i in range(20)], "i long, a array<string>, s string")
+    assert hinted(df) and not hinted(df, rows=19) and not hinted(df, bytes_=3000) and hinted(df.limit(0))
+
+
+def test_mixing_by_brute_force(spark):
+    rows = [(i, prose(10 + i % 7), s) for i, s in enumerate(["a"] * 120 + ["b"] * 30 + ["c"] * 4 + [None] * 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df, 0.9, 3.0, 16).collect()
+    tokens = {s: sum(len(t.split()) for _, t, x in rows if x == s) for s in ("a", "b", "c", None)}
+    names = list(tokens)
+    weights = dict(zip(names, mixing.weights_at(list(tokens.values()), mixing.exponent_for(list(tokens.values()), 0.9, 3.0)), strict=True))
+    assert {r["source"]: r["weight"] for r in got} == {s: pytest.approx(w) for s, w in weights.items()}
+    budget = max(tokens[s] / weights[s] for s in names)
+    for s in names:
+        used = {}
+        for r in got:
+            if r["source"] == s:
+                used.setdefault(r["pass"], {}).setdefault(r["position"], []).append(r)
+        wanted = max(tokens[s], weights[s] * budget)
+        size = {(p, q): sum(len(r["text"].split()) for r in rs) for p, at in used.items() for q, rs in at.items()}
+        total = sum(size.values())
+        largest_block = max(size.values())
+        assert wanted - 1e-6 <= total < wanted + largest_block + 1e-6  # the last pass stops with the block that fills the budget
+        assert {r["doc_id"] for r in got if r["source"] == s and r["pass"] == 1} == {i for i, _, x in rows if x == s}
+
+
+def test_sharding_query_merges_and_names_shards_alike(spark, documents, monkeypatch):
+    monkeypatch.setattr(sharding, "SMALL", 2000)
+    rows = [(i, prose(20)) for i in range(300)] + [(400, None), (401, "")]
+    path = documents(rows)
+    one, two = (sorted(map(tuple, sharding.op8_sharding(spark, path).collect())) for _ in range(2))
+    assert one == two and [(i, n) for i, _, n in one] == sorted((i, len((t or "").encode())) for i, t in rows)
+    assert len({s for _, s, _ in one}) < 4  # many small shards became few
+
+
+def test_failed_commit_leaves_no_data(spark, tmp_path, monkeypatch):
+    docs, store = spark.createDataFrame([(1, "a")], "doc_id long, text string"), str(tmp_path / "store")
+    sharding.append(docs, store)
+    monkeypatch.setattr(sharding, "versions", lambda *a: [])  # as if another writer were not seen
+    with pytest.raises(Exception):
+        sharding.append(docs, store)
+    assert len(list((tmp_path / "store" / "data").iterdir())) == 1
+
+
+def test_memoised_labels_equal_a_plain_forward_pass():
+    w = language_id.initial(3) | {"languages": ["aa", "bb", "cc"]}
+    texts = [prose(60), "ÉCOLE École école", "x" * 70 + " " + "日本語" * 12, "", prose(5)]
+    labeller = language_id.Labeller(w)
+    total, _ = labeller.texts(*bytesplit.packed(pa.array(texts)))
+    again, _ = labeller.texts(*bytesplit.packed(pa.array(texts)))
+    for i, t in enumerate(texts):
+        want = np.zeros(3)
+        for word in re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), t.encode())):
+            for s in range(0, len(word), language_id.LONGEST):
+                x, mask = language_id.padded([word[s : s + language_id.LONGEST]])
+                want += language_id.labels({k: v for k, v in w.items() if k != "languages"}, x, mask)[0][:, 0].sum(0)
+        assert total[i] == pytest.approx(want, rel=1e-4, abs=1e-4) and again[i] == pytest.approx(total[i])
