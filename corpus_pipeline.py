@@ -36,20 +36,33 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return named.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
+KEY = "_row"
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key for each row, since ids may be null or repeated; written, so that the keys stay."""
+    return written(docs.select(*COLUMNS, F.monotonically_increasing_id().alias(KEY)), "keyed")
+
+
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs less the ids in dropped."""
+    """The documents less the rows whose keys are in dropped."""
     gone = small(written(dropped.select(F.col("doc_id").alias("_gone")).distinct(), "dropped"))
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return docs.join(gone, F.col(KEY) == F.col("_gone"), "left_anti").select(*COLUMNS)
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked documents the one with the least id stays."""
-    return without(docs, ngram_join.ngram_join(docs).where("doc_id != component_id")).select(*COLUMNS)
+    """Of each component of linked rows the one with the least id stays (of equal ids the first; null comes last)."""
+    docs = keyed(docs)
+    linked = written(ngram_join.ngram_join(docs, id_col=KEY).select("doc_id", "component_id"), "linked")
+    several = linked.where("doc_id != component_id").select("component_id").distinct()
+    held = linked.join(several, "component_id").join(docs.select(F.col(KEY).alias("doc_id"), F.col("doc_id").alias("id")), "doc_id")
+    stay = held.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "doc_id")).alias("s")).select("s.doc_id")
+    return without(docs, held.join(stay, "doc_id", "left_anti"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return without(docs, decontaminate.contained_items(docs, items)).select(*COLUMNS)
+    docs = keyed(docs)
+    return without(docs, decontaminate.contained_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=KEY))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +72,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = sharding.shard(docs)
-    return rows.select(*COLUMNS, F.concat_ws("/", F.slice(F.split("shard", "/"), -2, 2)).alias("shard"))
+    return rows.select(*COLUMNS, sharding.ordinal(F.col("shard")).alias("shard"))
 
 
 STAGES = [
