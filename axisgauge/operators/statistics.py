@@ -10,8 +10,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from axisgauge.functions.numeric import average_rank, hex8, safe_corr, spearman
 
@@ -19,35 +22,98 @@ from axisgauge.functions.numeric import average_rank, hex8, safe_corr, spearman
 REPLICATES, PERMUTATIONS = 10_000, 100_000
 
 
-def draws(clusters: DataFrame, stratum: str, cluster: str, replicates: int, seed: int = 1) -> DataFrame:
-    """stratum, cluster, replicate, times: with replacement, as many in each stratum as it has clusters."""
+#: Replicates in a row of partial sums, and the bytes of sums that a task holds before it hands them on.
+CHUNK, HELD = 1000, 1 << 26
+
+
+def _placed(clusters: DataFrame, stratum: str, cluster: str) -> DataFrame:
     w = Window.partitionBy(stratum)
-    placed = clusters.select(stratum, cluster).distinct().select(stratum, cluster, F.row_number().over(w.orderBy(cluster)).alias("pos"), F.count(F.lit(1)).over(w).alias("n"))
+    return clusters.select(stratum, cluster).distinct().select(stratum, cluster, F.row_number().over(w.orderBy(cluster)).alias("pos"), F.count(F.lit(1)).over(w).alias("n"))
+
+
+def _picks(placed: DataFrame, stratum: str, replicates: int, seed: int) -> DataFrame:
+    """stratum, replicate, pos: a row for each draw."""
     slots = placed.select(stratum, "n", F.col("pos").alias("slot"), F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
     pick = F.pmod(hex8(F.concat_ws(":", F.lit(str(seed)), F.col(stratum), F.col("replicate").cast("string"), F.col("slot").cast("string"))), F.col("n")) + 1
-    times = slots.select(stratum, "replicate", pick.alias("pos")).groupBy(stratum, "replicate", "pos").agg(F.count(F.lit(1)).alias("times"))
+    return slots.select(stratum, "replicate", pick.alias("pos"))
+
+
+def draws(clusters: DataFrame, stratum: str, cluster: str, replicates: int, seed: int = 1) -> DataFrame:
+    """stratum, cluster, replicate, times: with replacement, as many in each stratum as it has clusters."""
+    placed = _placed(clusters, stratum, cluster)
+    times = _picks(placed, stratum, replicates, seed).groupBy(stratum, "replicate", "pos").agg(F.count(F.lit(1)).alias("times"))
     return times.join(placed.select(stratum, cluster, "pos"), [stratum, "pos"]).select(stratum, cluster, "replicate", "times")
 
 
+def drawn_sums(rows: DataFrame, by: list[str], names: list[str], stratum: str, cluster: str, replicates: int, seed: int = 1) -> DataFrame:
+    """by, replicate, and for each name its sum over the replicate's draw and `{name}_w`, how many values that sum has
+    (nulls add nothing). rows: a few for each cluster. A cluster carries the replicates that drew it; tasks add up its
+    rows for all replicates as matrix products and hand on partial sums, so that draws are never multiplied by groups."""
+    placed, width = _placed(rows, stratum, cluster), len(names)
+    fields = [*[F.col(c).alias(f"b{i}") for i, c in enumerate(by)], *[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(names)]]
+    held = rows.groupBy(stratum, cluster).agg(F.collect_list(F.struct(*fields)).alias("rows")).join(placed.select(stratum, cluster, "pos"), [stratum, cluster])
+    drawn = _picks(placed, stratum, replicates, seed).groupBy(stratum, "pos").agg(F.collect_list("replicate").alias("drawn"))
+
+    def add_up(batches):
+        sums: dict[tuple, np.ndarray] = {}
+        bounds = [*range(0, replicates, CHUNK), replicates]
+
+        def hand_on(types):
+            for key, s in sums.items():
+                lists = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(v)) for v in s]
+                chunks = pa.array(range(len(bounds) - 1), pa.int32())
+                yield pa.RecordBatch.from_arrays([*[pa.array([k] * len(chunks), t) for k, t in zip(key, types, strict=True)], chunks, *lists], [*by, "chunk", *out])
+            sums.clear()
+
+        types = []
+        for batch in batches:
+            for first in range(0, batch.num_rows, 32):
+                part = batch.slice(first, 32)
+                of_row, lists = part.column("rows"), part.column("drawn")
+                number = np.repeat(np.arange(part.num_rows), pc.list_value_length(lists)) * replicates + lists.flatten().to_numpy() - 1
+                times = np.bincount(number, minlength=part.num_rows * replicates).reshape(part.num_rows, replicates).astype(float)
+                row = np.repeat(np.arange(part.num_rows), pc.list_value_length(of_row))
+                columns = of_row.flatten().flatten()
+                types = [c.type for c in columns[: len(by)]]
+                real = np.array([c.is_valid().to_numpy(zero_copy_only=False) for c in columns[len(by) :]], dtype=float)
+                value = np.array([c.fill_null(0.0).to_numpy(zero_copy_only=False) for c in columns[len(by) :]])
+                places: dict[tuple, list[int]] = {}
+                for i, key in enumerate(zip(*[c.to_pylist() for c in columns[: len(by)]], strict=True) if by else [()] * len(row)):
+                    places.setdefault(key, []).append(i)
+                for key, at in places.items():
+                    s = sums.setdefault(key, np.zeros((2 * width, replicates)))
+                    s += np.concatenate([value[:, at], real[:, at]]) @ times[row[at]]
+                if len(sums) * 2 * width * replicates * 8 > HELD:
+                    yield from hand_on(types)
+        yield from hand_on(types)
+
+    out = [*names, *[f"{c}_w" for c in names]]
+    schema = T.StructType([*[rows.schema[c] for c in by], T.StructField("chunk", T.IntegerType()), *[T.StructField(c, T.ArrayType(T.DoubleType())) for c in out]])
+    parts = held.join(drawn, [stratum, "pos"]).select("rows", "drawn").mapInArrow(add_up, schema)
+    plus = lambda a, b: F.zip_with(a, b, lambda p, q: p + q)
+    whole = parts.groupBy(*by, "chunk").agg(*[F.collect_list(c).alias(c) for c in out])
+    whole = whole.select(*by, "chunk", *[F.aggregate(F.slice(c, 2, F.size(c)), F.element_at(c, 1), plus).alias(c) for c in out])
+    each = whole.select(*by, "chunk", F.posexplode(F.arrays_zip(*out)).alias("_k", "_s"))
+    return each.select(*by, (F.col("chunk") * CHUNK + F.col("_k") + 1).alias("replicate"), *[F.col("_s")[c].alias(c) for c in out])
+
+
 def bootstrap_means(rows: DataFrame, by: list[str], metrics: list[str], stratum: str, cluster: str, replicates: int = REPLICATES, seed: int = 1) -> DataFrame:
     """by, metric, estimate, ci_lower, ci_upper, n: stratified cluster bootstrap of means of cluster means; nulls are
     left out of each draw's mean, and a group without values has n 0 and nulls."""
-    means = rows.groupBy(*by, stratum, cluster).agg(*[F.avg(F.col(m).cast("double")).alias(m) for m in metrics])
-    sampled = means.join(draws(means, stratum, cluster, replicates, seed), [stratum, cluster])  # a row for all metrics
-    each = sampled.groupBy(*by, "replicate").agg(*[F.try_divide(F.sum(F.col("times") * F.col(m)), F.sum(F.when(F.col(m).isNotNull(), F.col("times")))).alias(m) for m in metrics])
-    limits = [F.percentile(m, F.lit(q)).alias(f"{m}_{q}") for m in metrics for q in (0.025, 0.975)]
+    means = rows.groupBy(*by, stratum, cluster).agg(*[F.avg(F.col(m).cast("double")).alias(m) for m in metrics]).persist()  # read three times
+    each = drawn_sums(means, by, metrics, stratum, cluster, replicates, seed).select(*by, *[F.try_divide(F.col(m), F.col(f"{m}_w")).alias(m) for m in metrics])
+    limits = [F.percentile(m, F.array(F.lit(0.025), F.lit(0.975))).alias(f"{m}_q") for m in metrics]
     found = means.groupBy(*by).agg(*[F.avg(m).alias(m) for m in metrics], *[F.count(m).alias(f"{m}_n") for m in metrics]).join(each.groupBy(*by).agg(*limits), by) if by else (
         means.agg(*[F.avg(m).alias(m) for m in metrics], *[F.count(m).alias(f"{m}_n") for m in metrics]).crossJoin(F.broadcast(each.agg(*limits)))  # one row each
     )
-    rows_of = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("estimate"), F.col(f"`{m}_0.025`").alias("ci_lower"), F.col(f"`{m}_0.975`").alias("ci_upper"), F.col(f"{m}_n").alias("n")) for m in metrics])
+    rows_of = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("estimate"), F.get(f"{m}_q", 0).alias("ci_lower"), F.get(f"{m}_q", 1).alias("ci_upper"), F.col(f"{m}_n").alias("n")) for m in metrics])
     return found.select(*by, F.inline(rows_of))
 
 
 def bootstrap_ratio(rows: DataFrame, by: list[str], metric: str, cluster: str, replicates: int = REPLICATES, seed: int = 1) -> DataFrame:
     """Row-weighted, unstratified: each draw is a ratio of sums over clusters."""
-    sums = rows.where(F.col(metric).isNotNull()).groupBy(*by, cluster).agg(F.sum(metric).alias("s"), F.count(F.lit(1)).alias("k")).withColumn("_all", F.lit("all"))
-    sampled = sums.join(draws(sums, "_all", cluster, replicates, seed), ["_all", cluster])
-    each = sampled.groupBy(*by, "replicate").agg((F.sum(F.col("times") * F.col("s")) / F.sum(F.col("times") * F.col("k"))).alias("m"))
+    sums = rows.where(F.col(metric).isNotNull()).groupBy(*by, cluster).agg(F.sum(metric).alias("s"), F.count(F.lit(1)).alias("k")).withColumn("_all", F.lit("all")).persist()
+    each = drawn_sums(sums, by, ["s", "k"], "_all", cluster, replicates, seed).select(*by, F.try_divide("s", "k").alias("m"))
     ci = each.groupBy(*by).agg(F.percentile("m", F.lit(0.025)).alias("ci_lower"), F.percentile("m", F.lit(0.975)).alias("ci_upper"))
     return sums.groupBy(*by).agg((F.sum("s") / F.sum("k")).alias("estimate")).join(ci, by)
 
@@ -56,9 +122,8 @@ def bootstrap_pearson(rows: DataFrame, x: str, y: str, cluster: str, replicates:
     """One row: Pearson correlation and its interval, from six sums for each cluster."""
     p = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     X, Y = F.col(x), F.col(y)
-    sums = p.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"), F.sum(X).alias("sx"), F.sum(Y).alias("sy"), F.sum(X * X).alias("sxx"), F.sum(Y * Y).alias("syy"), F.sum(X * Y).alias("sxy")).withColumn("_all", F.lit("all"))
-    t = [F.sum(F.col("times") * F.col(c)).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")]
-    each = sums.join(draws(sums, "_all", cluster, replicates, seed), ["_all", cluster]).groupBy("replicate").agg(*t)
+    sums = p.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"), F.sum(X).alias("sx"), F.sum(Y).alias("sy"), F.sum(X * X).alias("sxx"), F.sum(Y * Y).alias("syy"), F.sum(X * Y).alias("sxy")).withColumn("_all", F.lit("all")).persist()
+    each = drawn_sums(sums, [], ["n", "sx", "sy", "sxx", "syy", "sxy"], "_all", cluster, replicates, seed)
     r = F.expr("try_divide(sxy - sx * sy / n, sqrt(greatest(sxx - sx * sx / n, 0D) * greatest(syy - sy * sy / n, 0D)))")
     ci = each.select(r.alias("r")).agg(F.percentile("r", F.lit(0.025)).alias("ci_lower"), F.percentile("r", F.lit(0.975)).alias("ci_upper"))
     return p.agg(safe_corr(x, y).alias("estimate"), F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(ci))  # one row each
@@ -236,8 +301,8 @@ def scale_regression(rows: DataFrame, registry: DataFrame, metrics: list[str], p
     means = rows.groupBy("encoder_id", "model_id").agg(*[F.avg(m).alias(m) for m in metrics]).select("encoder_id", "model_id", F.inline(values))
     found = fits(means, []).agg(F.count(F.lit(1)).alias("models"), F.stddev_pop("x").alias("spread"), F.regr_slope("y", "x").alias("slope"), F.regr_r2("y", "x").alias("r2")).where("models >= 3 and spread > 1e-12").drop("spread")
     rho = spearman(means.join(F.broadcast(sizes), "model_id").where("y is not null"), "x", "y", keys, "spearman")
-    drawn = rows.join(draws(rows, "style_axis", "scenario_id", replicates, seed), ["style_axis", "scenario_id"])
-    again = drawn.groupBy("encoder_id", "model_id", "replicate").agg(*[F.try_divide(F.sum(F.col("times") * F.col(m)), F.sum(F.when(F.col(m).isNotNull(), F.col("times")))).alias(m) for m in metrics]).select("encoder_id", "model_id", "replicate", F.inline(values))
+    drawn = drawn_sums(rows, ["encoder_id", "model_id"], metrics, "style_axis", "scenario_id", replicates, seed)
+    again = drawn.select("encoder_id", "model_id", "replicate", *[F.try_divide(F.col(m), F.col(f"{m}_w")).alias(m) for m in metrics]).select("encoder_id", "model_id", "replicate", F.inline(values))
     slopes = fits(again, ["replicate"]).agg(F.regr_slope("y", "x").alias("b")).groupBy(*keys).agg(F.percentile("b", F.lit(0.025)).alias("ci_lower"), F.percentile("b", F.lit(0.975)).alias("ci_upper"))
     return found.join(rho, keys, "left").join(slopes, keys, "left")
 
