@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from axisgauge.functions.lineage import cut
 from axisgauge.functions.numeric import average_rank, hex8, safe_corr, spearman
 
 #: Bootstrap replicates and sign permutations.
@@ -100,7 +101,7 @@ def drawn_sums(rows: DataFrame, by: list[str], names: list[str], stratum: str, c
 def bootstrap_means(rows: DataFrame, by: list[str], metrics: list[str], stratum: str, cluster: str, replicates: int = REPLICATES, seed: int = 1) -> DataFrame:
     """by, metric, estimate, ci_lower, ci_upper, n: stratified cluster bootstrap of means of cluster means; nulls are
     left out of each draw's mean, and a group without values has n 0 and nulls."""
-    means = rows.groupBy(*by, stratum, cluster).agg(*[F.avg(F.col(m).cast("double")).alias(m) for m in metrics]).persist()  # read three times
+    means = cut(rows.groupBy(*by, stratum, cluster).agg(*[F.avg(F.col(m).cast("double")).alias(m) for m in metrics]))
     each = drawn_sums(means, by, metrics, stratum, cluster, replicates, seed).select(*by, *[F.try_divide(F.col(m), F.col(f"{m}_w")).alias(m) for m in metrics])
     limits = [F.percentile(m, F.array(F.lit(0.025), F.lit(0.975))).alias(f"{m}_q") for m in metrics]
     found = means.groupBy(*by).agg(*[F.avg(m).alias(m) for m in metrics], *[F.count(m).alias(f"{m}_n") for m in metrics]).join(each.groupBy(*by).agg(*limits), by) if by else (
@@ -112,7 +113,7 @@ def bootstrap_means(rows: DataFrame, by: list[str], metrics: list[str], stratum:
 
 def bootstrap_ratio(rows: DataFrame, by: list[str], metric: str, cluster: str, replicates: int = REPLICATES, seed: int = 1) -> DataFrame:
     """Row-weighted, unstratified: each draw is a ratio of sums over clusters."""
-    sums = rows.where(F.col(metric).isNotNull()).groupBy(*by, cluster).agg(F.sum(metric).alias("s"), F.count(F.lit(1)).alias("k")).withColumn("_all", F.lit("all")).persist()
+    sums = cut(rows.where(F.col(metric).isNotNull()).groupBy(*by, cluster).agg(F.sum(metric).alias("s"), F.count(F.lit(1)).alias("k")).withColumn("_all", F.lit("all")))
     each = drawn_sums(sums, by, ["s", "k"], "_all", cluster, replicates, seed).select(*by, F.try_divide("s", "k").alias("m"))
     ci = each.groupBy(*by).agg(F.percentile("m", F.lit(0.025)).alias("ci_lower"), F.percentile("m", F.lit(0.975)).alias("ci_upper"))
     return sums.groupBy(*by).agg((F.sum("s") / F.sum("k")).alias("estimate")).join(ci, by)
@@ -122,7 +123,7 @@ def bootstrap_pearson(rows: DataFrame, x: str, y: str, cluster: str, replicates:
     """One row: Pearson correlation and its interval, from six sums for each cluster."""
     p = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     X, Y = F.col(x), F.col(y)
-    sums = p.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"), F.sum(X).alias("sx"), F.sum(Y).alias("sy"), F.sum(X * X).alias("sxx"), F.sum(Y * Y).alias("syy"), F.sum(X * Y).alias("sxy")).withColumn("_all", F.lit("all")).persist()
+    sums = cut(p.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"), F.sum(X).alias("sx"), F.sum(Y).alias("sy"), F.sum(X * X).alias("sxx"), F.sum(Y * Y).alias("syy"), F.sum(X * Y).alias("sxy")).withColumn("_all", F.lit("all")))
     each = drawn_sums(sums, [], ["n", "sx", "sy", "sxx", "syy", "sxy"], "_all", cluster, replicates, seed)
     r = F.expr("try_divide(sxy - sx * sy / n, sqrt(greatest(sxx - sx * sx / n, 0D) * greatest(syy - sy * sy / n, 0D)))")
     ci = each.select(r.alias("r")).agg(F.percentile("r", F.lit(0.025)).alias("ci_lower"), F.percentile("r", F.lit(0.975)).alias("ci_upper"))

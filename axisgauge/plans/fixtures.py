@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from axisgauge.functions.lineage import cut
 from axisgauge.functions.numeric import hex8
 from axisgauge.operators import geometry
 
@@ -44,8 +45,8 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def once(df: DataFrame) -> DataFrame:
-    """Kept by the executors (memory, then disk) while the session lasts, since a query uses it several times."""
-    return df.persist()
+    """Written and read back, since a query uses it several times: computed once, and the plans on it stay small."""
+    return cut(df)
 
 
 def samples(spark: SparkSession, sf_dir: str, encoders: bool = False) -> DataFrame:
