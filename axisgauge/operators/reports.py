@@ -65,6 +65,26 @@ def evaluation_index(sources: dict[str, DataFrame], key: Column, text: str = "te
     return out.withColumn("evaluation_item_id", F.substring(F.sha2(F.concat_ws("::", "source_type", key.cast("string")), 256), 1, 24))
 
 
+def evaluation_sources(main: DataFrame, external: DataFrame, robustness: DataFrame, references: DataFrame, reused: str) -> dict[str, DataFrame]:
+    """What of each source is indexed: external rows that ended well, robustness rows that did and are not the condition
+    reused from main, and reference texts, whose ends A and B have ratio 0 and 1."""
+    fresh = ~F.col("condition").eqNullSafe(F.lit(reused)) & F.coalesce(F.col("status") == "ok", F.lit(True))
+    ends = references.withColumn("target_ratio", F.when(F.col("endpoint") == "A", 0.0).when(F.col("endpoint") == "B", 1.0)).drop("endpoint")
+    return {"main": main, "external": external.where(F.col("status").isin("ok", "truncated")).drop("status"), "robustness": robustness.where(fresh).drop("status"), "reference": ends}
+
+
+def index_counts(index: DataFrame, sources: dict[str, DataFrame]) -> DataFrame:
+    """source_type, given, indexed, excluded; an item id that comes twice is an error."""
+    if not index.groupBy("evaluation_item_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        raise ValueError("item ids are not unique")
+    given = None
+    for name, df in sources.items():
+        one = df.agg(F.count(F.lit(1)).alias("given")).withColumn("source_type", F.lit(name))
+        given = one if given is None else given.unionByName(one)
+    n = index.groupBy("source_type").agg(F.count(F.lit(1)).alias("indexed"))
+    return given.join(n, "source_type", "left").select("source_type", "given", F.coalesce("indexed", F.lit(0)).alias("indexed"), (F.col("given") - F.coalesce("indexed", F.lit(0))).alias("excluded"))
+
+
 def usable_ratings(ratings: DataFrame, checks: DataFrame, rater: str, most_failures: int = 1) -> DataFrame:
     """Ratings less those of raters with more failed attention checks than allowed, and less incomplete ones."""
     bad = checks.groupBy(rater).agg(F.count_if(~F.col("ok")).alias("_f")).where(F.col("_f") > most_failures)
@@ -203,7 +223,7 @@ def rating_package(runs: DataFrame, seed: str, slots: list[str], checks: int) ->
     items = place(chosen, F.sha2(F.concat_ws(":", F.lit(seed), "item_id"), 256), "display_order")
     out = None
     for s in slots:
-        dealt = place(items.select("item_id"), F.sha2(F.concat_ws(":", F.lit(seed), F.lit(s), "item_id"), 256), "position").select(F.concat_ws("_", F.lit(s), F.lpad(F.col("position").cast("string"), 3, "0")).alias("assignment_id"), "item_id", F.lit(s).alias("rater_slot"), F.lit("no").alias("attention_check"))
+        dealt = place(items.select("item_id"), F.sha2(F.concat_ws(":", F.lit(seed), F.lit(s), "item_id"), 256), "position").select(F.format_string("%s_%03d", F.lit(s), "position").alias("assignment_id"), "item_id", F.lit(s).alias("rater_slot"), F.lit("no").alias("attention_check"))
         out = dealt if out is None else out.unionByName(dealt)
     spark = runs.sparkSession
     extra = spark.createDataFrame([(f"{s}_AC{k:02d}", f"ATTENTION_{s}_{k:02d}", s, "yes") for s in slots for k in range(1, checks + 1)], "assignment_id string, item_id string, rater_slot string, attention_check string")
@@ -211,11 +231,11 @@ def rating_package(runs: DataFrame, seed: str, slots: list[str], checks: int) ->
 
 
 def error_picks(errors: DataFrame, by: list[str], k: int = 1) -> DataFrame:
-    """The k lowest and k highest rows of each group by the mean of the encoders' errors, numbered; ties by scenario and seed.
-    errors: by, scenario_id, seed, encoder_id, error."""
+    """The k lowest and k highest rows of each group by the mean of the encoders' errors, numbered; ties by scenario and seed,
+    of which the highest takes the last. errors: by, scenario_id, seed, encoder_id, error."""
     mean = errors.groupBy(*by, "scenario_id", "seed").agg(F.avg("error").alias("error")).where("error is not null")
     w = Window.partitionBy(*by)
-    r = mean.withColumn("_l", F.row_number().over(w.orderBy("error", "scenario_id", "seed"))).withColumn("_h", F.row_number().over(w.orderBy(F.desc("error"), "scenario_id", "seed")))
+    r = mean.withColumn("_l", F.row_number().over(w.orderBy("error", "scenario_id", "seed"))).withColumn("_h", F.row_number().over(w.orderBy(F.desc("error"), F.desc("scenario_id"), F.desc("seed"))))
     picks = F.array_compact(F.array(F.when(F.col("_l") <= k, F.struct(F.lit("low").alias("pick"), F.col("_l").alias("nth"))), F.when(F.col("_h") <= k, F.struct(F.lit("high").alias("pick"), F.col("_h").alias("nth")))))
     return r.select(*by, "scenario_id", "seed", "error", F.inline(picks))
 

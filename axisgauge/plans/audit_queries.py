@@ -120,3 +120,51 @@ def io8_not_yet_done(spark, sf):
 @query("SELECT l.doc_id, source, quality FROM labels l JOIN documents d USING (doc_id)", plain=True)
 def id17_checked_join(spark, sf):
     return audit.checked_join(table(spark, sf, "labels").select("doc_id", "quality"), table(spark, sf, "documents").select("doc_id", "source"), ["doc_id"], "1:1")
+
+
+@query("SELECT source, count(*) AS records, count(*) FILTER (trim(CASE WHEN doc_id % 9 > 0 THEN text ELSE ' ' END) = '') AS empty_outputs, count(*) FILTER (doc_id % 9 > 0 AND doc_id % 10 = 0 OR doc_id % 9 > 0 AND regexp_matches(text, '<think>|</think>|Thinking Process|步骤说明', 'i')) AS hard_markers, count(DISTINCT lang || ':' || doc_id % 3) AS signatures FROM documents GROUP BY 1", plain=True)
+def id4_output_audit(spark, sf):
+    d = table(spark, sf, "documents").withColumn("seed", F.col("doc_id") % 3)
+    d = d.withColumn("text", F.when(F.col("doc_id") % 9 == 0, " ").when(F.col("doc_id") % 10 == 0, F.concat(F.lit("</THINK>"), "text")).otherwise(F.col("text")))
+    return audit.output_audit(d, ["source"], "text", ["lang", "seed"])
+
+
+CORPUS = PLAN + ", plan4 AS (SELECT run_id, k, run_id * 4 + k AS corpus_id, 'prompt' || k AS prompt FROM points, range(0, 4) r(k)), "
+EXISTING = CORPUS + "ex AS (SELECT *, 'new' AS origin FROM plan4 WHERE k > 0 OR run_id % 5 = 0), re AS (SELECT *, 'reused' AS origin FROM plan4 WHERE k = 0 AND run_id % 3 > 0) "
+
+
+def corpus(spark, sf):
+    """Planned rows, those that exist, and those that another corpus lends."""
+    planned = points(spark, sf).select("run_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("k"))
+    planned = planned.select("run_id", "k", (F.col("run_id") * 4 + F.col("k")).alias("corpus_id"), F.concat(F.lit("prompt"), F.col("k").cast("string")).alias("prompt"))
+    return planned, planned.where("k > 0 or run_id % 5 = 0").withColumn("origin", F.lit("new")), planned.where("k = 0 and run_id % 3 > 0").withColumn("origin", F.lit("reused"))
+
+
+@query(EXISTING + "SELECT run_id, k, prompt, origin FROM ex UNION ALL SELECT run_id, k, prompt, origin FROM re WHERE corpus_id NOT IN (SELECT corpus_id FROM ex)")
+def id9_reused_corpus(spark, sf):
+    planned, existing, reused = corpus(spark, sf)
+    return audit.reuse_first(existing, reused, planned, ["run_id", "k"], ("prompt",)).select("run_id", "k", "prompt", "origin")
+
+
+@query(EXISTING + ", a AS (SELECT corpus_id, k FROM ex UNION ALL SELECT corpus_id, k FROM re UNION ALL SELECT -corpus_id - 1, k FROM re WHERE run_id % 7 = 0), c AS (SELECT k, count(*) AS n FROM a GROUP BY 1), p AS (SELECT k, count(*) AS planned FROM plan4 GROUP BY 1) SELECT 'unexpected' AS problem, NULL::VARCHAR AS place, n FROM (SELECT count(*) AS n FROM a WHERE corpus_id < 0) WHERE n > 0 UNION ALL SELECT 'duplicate', NULL, n FROM (SELECT count(*) - count(DISTINCT corpus_id) AS n FROM a) WHERE n > 0 UNION ALL SELECT 'count', k::VARCHAR, n FROM c JOIN p USING (k) WHERE n <> planned")
+def id9_corpus_checks(spark, sf):
+    planned, existing, reused = corpus(spark, sf)
+    rows = existing.unionByName(reused).unionByName(reused.where("run_id % 7 = 0").withColumn("corpus_id", -F.col("corpus_id") - 1))
+    return audit.corpus_checks(rows, planned, ["corpus_id"], "k")
+
+
+@query(", it AS (SELECT 'e' || doc_id AS evaluation_item_id, doc_id // 2 AS source_run_id, sha256('p') AS prompt_sha256, sha256('e' || doc_id || '::judge::p::s::' || sha256(text)) AS cache_key FROM documents) SELECT evaluation_item_id, cache_key, CASE WHEN source_run_id * 2 % 10 = 0 AND evaluation_item_id = 'e' || source_run_id * 2 THEN -1 ELSE source_run_id % 101 END AS intensity, CASE WHEN source_run_id * 2 % 10 = 0 AND evaluation_item_id = 'e' || source_run_id * 2 THEN 'existing' ELSE 'reused' END AS reuse_status FROM it WHERE source_run_id % 3 = 0 OR source_run_id * 2 % 10 = 0 AND evaluation_item_id = 'e' || source_run_id * 2")
+def id14_reused_judgments(spark, sf):
+    d = table(spark, sf, "documents")
+    item = F.concat(F.lit("e"), F.col("doc_id").cast("string"))
+    index = d.select("doc_id", item.alias("evaluation_item_id"), F.expr("doc_id div 2").alias("source_run_id"), F.sha2(F.lit("p"), 256).alias("prompt_sha256"), audit.cache_key(item, F.lit("judge"), F.lit("p"), F.lit("s"), F.col("text")).alias("cache_key"))
+    prior = index.where("doc_id % 2 = 0 and source_run_id % 3 = 0").select("source_run_id", F.lit("judge").alias("evaluator_id"), "prompt_sha256", (F.col("source_run_id") % 101).alias("intensity"))
+    existing = index.where("doc_id % 10 = 0").select("evaluation_item_id", "cache_key", F.lit(-1).cast("long").alias("intensity"))
+    return audit.reuse_judgments(index.drop("doc_id"), prior, existing, "judge").select("evaluation_item_id", "cache_key", "intensity", "reuse_status")
+
+
+@query("WITH u AS (SELECT event_type, user_id AS i, least(event_id % 300, user_id) AS c, user_id % 17 AS o, CASE event_id % 6 WHEN 0 THEN 'failed' WHEN 1 THEN 'truncated' WHEN 2 THEN NULL ELSE 'ok' END AS s FROM events), g AS (SELECT event_type, count(*) AS records, count(*) FILTER (coalesce(s <> 'failed', true)) AS good, sum(i) AS i, sum(c) AS c, sum(o) AS o, sum((i - c) * 2.0 + c * 0.2 + o * 10.0) / 1e6 AS cost FROM u GROUP BY 1), t AS (SELECT sum(records)::BIGINT AS records, sum(good)::BIGINT AS successful, sum(i)::BIGINT AS input_tokens, sum(c)::BIGINT AS cached_tokens, sum(o)::BIGINT AS output_tokens, sum(cost)::DOUBLE AS cost, (max(cost / good) FILTER (event_type = 'purchase') * 112)::DOUBLE AS allowance FROM g) SELECT records, successful, input_tokens, cached_tokens, output_tokens, round(cost, 6) AS cost, round(coalesce(allowance, 0), 6) AS allowance, round(cost + coalesce(allowance, 0) + 0.1::DOUBLE, 6) AS conservative_cost, round(1::DOUBLE - cost, 6) AS headroom, round(1::DOUBLE - (cost + coalesce(allowance, 0) + 0.1::DOUBLE), 6) AS conservative_headroom, cost + coalesce(allowance, 0) + 0.1::DOUBLE > 1 AS cap_exceeded FROM t", plain=True)
+def id18_cost_total(spark, sf):
+    usage = table(spark, sf, "events").select("event_type", F.lit("j").alias("model_id"), F.col("user_id").alias("input_tokens"), (F.col("event_id") % 300).alias("cached_tokens"), (F.col("user_id") % 17).alias("output_tokens"), F.expr("case event_id % 6 when 0 then 'failed' when 1 then 'truncated' when 2 then null else 'ok' end").alias("status"))
+    prices = spark.range(1).select(F.lit("j").alias("model_id"), F.lit(2.0).alias("input_price"), F.lit(0.2).alias("cached_price"), F.lit(10.0).alias("output_price"))
+    return rounded(audit.cost_total(audit.cost(usage, prices, ["event_type"], "status"), "event_type", "purchase", 112, 0.1, 1.0))

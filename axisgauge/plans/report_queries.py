@@ -118,3 +118,49 @@ def sa4_rating_package(spark, sf):
 @query("SELECT model_id, pick, scenario_id FROM (SELECT model_id, scenario_id, CASE WHEN row_number() OVER (PARTITION BY model_id ORDER BY ice, scenario_id) = 1 THEN 'low' WHEN row_number() OVER (PARTITION BY model_id ORDER BY ice DESC, scenario_id) = 1 THEN 'high' END AS pick FROM scen WHERE encoder_id = 'full') WHERE pick IS NOT NULL")
 def sa3_low_and_high_error(spark, sf):
     return reports.worst_and_best(scenario(spark, sf), ["model_id"], "interior_calibration_error", ["scenario_id"]).select("model_id", "pick", "scenario_id")
+
+
+SOURCES = "WITH d AS (SELECT doc_id, trim(text) <> '' AS filled, doc_id % 4 AS kind, CASE WHEN doc_id % 5 = 0 THEN 'p1_high' ELSE 'p2_low' END AS condition, CASE doc_id % 3 WHEN 0 THEN 'ok' WHEN 1 THEN 'truncated' ELSE 'failed' END AS es, CASE doc_id % 7 WHEN 0 THEN 'failed' WHEN 1 THEN NULL ELSE 'ok' END AS rs FROM documents), k AS (SELECT *, CASE kind WHEN 0 THEN 'main' WHEN 1 THEN 'external' WHEN 2 THEN 'robustness' ELSE 'reference' END AS source_type, coalesce(filled, false) AND CASE kind WHEN 1 THEN es <> 'failed' WHEN 2 THEN condition <> 'p1_high' AND coalesce(rs = 'ok', true) ELSE true END AS used FROM d) "
+
+
+def sources(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("source_id"), "text")
+    kind = lambda k: d.where(F.col("source_id") % 4 == k)
+    external = kind(1).withColumn("status", F.expr("case source_id % 3 when 0 then 'ok' when 1 then 'truncated' else 'failed' end"))
+    robustness = kind(2).withColumn("condition", F.expr("if(source_id % 5 = 0, 'p1_high', 'p2_low')")).withColumn("status", F.expr("case source_id % 7 when 0 then 'failed' when 1 then null else 'ok' end"))
+    return kind(0), external, robustness, kind(3).withColumn("endpoint", F.expr("if(source_id % 8 = 3, 'A', 'B')"))
+
+
+@query(SOURCES + "SELECT source_type, doc_id AS source_id, CASE WHEN kind = 2 THEN condition END AS condition, CASE WHEN kind = 3 THEN (doc_id % 8 <> 3)::INT::DOUBLE END AS target_ratio, substr(sha256(source_type || '::' || doc_id), 1, 24) AS evaluation_item_id FROM k WHERE used", plain=True)
+def id11_four_sources(spark, sf):
+    return reports.evaluation_index(reports.evaluation_sources(*sources(spark, sf), "p1_high"), F.col("source_id")).select("source_type", "source_id", "condition", "target_ratio", "evaluation_item_id")
+
+
+@query(SOURCES + "SELECT source_type, count(*) AS given, count(*) FILTER (used) AS indexed, count(*) FILTER (NOT used) AS excluded FROM k GROUP BY 1", plain=True)
+def id11_source_counts(spark, sf):
+    given = sources(spark, sf)
+    index = reports.evaluation_index(reports.evaluation_sources(*given, "p1_high"), F.col("source_id"))
+    return reports.index_counts(index, dict(zip(("main", "external", "robustness", "reference"), given, strict=True)))
+
+
+@query(", e AS (SELECT model_id, style_axis, ratio_idx, scenario_id, seed, avg(round(projection_error_clipped, 9)) AS error FROM geo WHERE is_interior GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY model_id, style_axis, ratio_idx ORDER BY error, scenario_id, seed) AS l, row_number() OVER (PARTITION BY model_id, style_axis, ratio_idx ORDER BY error DESC, scenario_id DESC, seed DESC) AS h FROM e) SELECT model_id, style_axis, ratio_idx, scenario_id, seed, round(error, 6) AS error, 'low' AS pick, l::INT AS nth FROM r WHERE l = 1 UNION ALL SELECT model_id, style_axis, ratio_idx, scenario_id, seed, round(error, 6), 'high', h::INT FROM r WHERE h = 1")
+def sa3_error_picks(spark, sf):
+    errors = samples(spark, sf, True).where("is_interior").withColumn("error", F.round("projection_error_clipped", 9))
+    return rounded(reports.error_picks(errors, ["model_id", "style_axis", "ratio_idx"]))
+
+
+CHOSEN = ", ch AS (SELECT run_id, scenario_id, model_id, ratio_idx, 'HE_' || upper(substr(sha256('human_eval::' || run_id), 1, 12)) AS item_id FROM points WHERE seed = 1 + ('0x' || substr(sha256(scenario_id || ':' || model_id || ':' || ratio_idx), 1, 8))::BIGINT % 3) "
+
+
+def package(spark, sf):
+    return reports.rating_package(points(spark, sf).drop("v"), "rate", ["A", "B", "C"], 8)
+
+
+@query(CHOSEN + "SELECT run_id, scenario_id, model_id, ratio_idx, item_id, row_number() OVER (ORDER BY sha256('rate:' || item_id)) AS display_order FROM ch")
+def sa4_items(spark, sf):
+    return package(spark, sf)[0].select("run_id", "scenario_id", "model_id", "ratio_idx", "item_id", "display_order")
+
+
+@query(CHOSEN + "SELECT s || '_' || format('{:03d}', row_number() OVER (PARTITION BY s ORDER BY sha256('rate:' || s || ':' || item_id))) AS assignment_id, item_id, s AS rater_slot, 'no' AS attention_check FROM ch, (VALUES ('A'), ('B'), ('C')) t(s) UNION ALL SELECT s || '_AC' || format('{:02d}', k), 'ATTENTION_' || s || '_' || format('{:02d}', k), s, 'yes' FROM (VALUES ('A'), ('B'), ('C')) t(s), range(1, 9) r(k)")
+def sa4_assignments(spark, sf):
+    return package(spark, sf)[1].select("assignment_id", "item_id", "rater_slot", "attention_check")

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from axisgauge.operators import audit, judges, pool, serving, textq
+from axisgauge.operators import audit, judges, pool, reports, serving, textq
 from axisgauge.sources import tables
 
 
@@ -35,6 +35,55 @@ def test_cache_keys_differ_for_equal_texts(spark):
     assert rows.select(audit.cache_key(F.col("item"), F.lit("m"), F.lit("p"), F.lit("s"), F.col("text"))).distinct().count() == 2
 
 
+def test_output_audit_counts_blanks_markers_and_signatures(spark):
+    rows = spark.createDataFrame([("m", "a </Think> b", 1, 0.7), ("m", " ", 1, 0.7), ("m", None, 2, None), ("m", "步骤说明", 2, 0.7), ("n", "plain", 1, None)], "model string, text string, seed int, temperature double")
+    got = {r["model"]: tuple(r)[1:] for r in audit.output_audit(rows, ["model"], "text", ["seed", "temperature"]).collect()}
+    assert got == {"m": (4, 2, 2, 3), "n": (1, 0, 0, 1)}
+
+
+def test_reused_rows_must_have_their_plans_prompt(spark):
+    planned = spark.createDataFrame([(1, "p"), (2, "p")], "k int, prompt string")
+    existing, reused = planned.where("k = 1").withColumn("origin", F.lit("new")), planned.withColumn("origin", F.lit("reused"))
+    got = audit.reuse_first(existing, reused, planned, ["k"], ("prompt",)).select("k", "origin").collect()
+    assert sorted(map(tuple, got)) == [(1, "new"), (2, "reused")]
+    with pytest.raises(ValueError, match="prompt"):
+        audit.reuse_first(existing, reused.withColumn("prompt", F.lit("q")), planned, ["k"], ("prompt",))
+
+
+def test_corpus_checks(spark):
+    planned = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "k int, c string")
+    rows = spark.createDataFrame([(1, "a"), (1, "a"), (9, "z")], "k int, c string")
+    got = {(r["problem"], r["place"]): r["n"] for r in audit.corpus_checks(rows, planned, ["k"], "c").collect()}
+    assert got == {("unexpected", None): 1, ("duplicate", None): 1, ("count", "b"): 0, ("count", "z"): 1}
+    assert audit.corpus_checks(planned, planned, ["k"], "c").count() == 0
+
+
+def test_prior_judgments_are_reused_only_under_the_same_evaluator_and_prompt(spark):
+    index = spark.createDataFrame([("x", 1, "p", "kx"), ("y", 1, "p", "ky"), ("z", 2, "p", "kz")], "evaluation_item_id string, source_run_id int, prompt_sha256 string, cache_key string")
+    prior = spark.createDataFrame([(1, "e", "p", 40)], "source_run_id int, evaluator_id string, prompt_sha256 string, intensity int")
+    existing = spark.createDataFrame([("x", "kx", 7)], "evaluation_item_id string, cache_key string, intensity int")
+    got = audit.reuse_judgments(index, prior, existing, "e").select("evaluation_item_id", "intensity", "reuse_status").collect()
+    assert sorted(map(tuple, got)) == [("x", 7, "existing"), ("y", 40, "reused")]
+    for wrong, what in ((prior.withColumn("evaluator_id", F.lit("f")), "evaluator"), (prior.withColumn("prompt_sha256", F.lit(None).cast("string")), "prompt")):
+        with pytest.raises(ValueError, match=what):
+            audit.reuse_judgments(index, wrong, existing, "e")
+
+
+def test_cost_total_adds_the_allowance(spark):
+    stages = spark.createDataFrame([("main", 10, 4, 100, 10, 5, 2.0), ("pilot", 2, 0, 10, 0, 1, 0.5)], "stage string, records long, successful long, input_tokens long, cached_tokens long, output_tokens long, cost double")
+    row = audit.cost_total(stages, "stage", "main", 3, 0.1, 4.0).first()
+    assert (row["cost"], row["allowance"], row["cap_exceeded"]) == (2.5, 1.5, True)
+    assert row["conservative_cost"] == pytest.approx(4.1) and row["headroom"] == 1.5
+    assert audit.cost_total(stages, "stage", "pilot", 3, 0.1, 4.0).first()["allowance"] == 0.0  # no success to average
+
+
+def test_item_ids_must_be_unique(spark):
+    main = spark.createDataFrame([(1, "t"), (1, "t")], "source_id int, text string")
+    index = reports.evaluation_index({"main": main}, F.col("source_id"))
+    with pytest.raises(ValueError, match="unique"):
+        reports.index_counts(index, {"main": main})
+
+
 def test_checked_join_refuses_duplicates(spark):
     a, b = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(1,), (1,)], "k int")
     with pytest.raises(ValueError, match="right"):
