@@ -95,12 +95,18 @@ def path_shape(points: DataFrame, samples: DataFrame, by: list[str] = TRAJECTORY
     )
 
 
-def leave_one_seed_out(points: DataFrame, by: list[str], seeds: int = 3) -> DataFrame:
-    """Each seed's points against the line between the other seeds' mean endpoints and against their mean points."""
+def seed_centres(points: DataFrame, by: list[str], seeds: int = 3) -> tuple[DataFrame, DataFrame]:
+    """The points of groups with so many seeds, and for each held-out seed the other seeds' mean point at each ratio."""
     have = points.groupBy(*by).agg(F.countDistinct("seed").alias("k")).where(F.col("k") >= seeds).select(*by)
     p = points.join(have, by)
     held = p.select(*by, F.col("seed").alias("held_seed")).distinct()
     train = p.join(held, by).where("seed != held_seed").groupBy(*by, "held_seed", "target_ratio").agg(vector_to_array(Summarizer.mean(array_to_vector("v"))).alias("centre"))
+    return p, train
+
+
+def leave_one_seed_out(points: DataFrame, by: list[str], seeds: int = 3) -> DataFrame:
+    """Each seed's points against the line between the other seeds' mean endpoints and against their mean points."""
+    p, train = seed_centres(points, by, seeds)
     keys = [*by, "held_seed"]
     ends = train.groupBy(*keys).agg(F.max(F.when(F.col("target_ratio") == 0, F.col("centre"))).alias("a"), F.max(F.when(F.col("target_ratio") == 1, F.col("centre"))).alias("b"))
     test = p.withColumnRenamed("seed", "held_seed").select(*keys, "run_id", "target_ratio", "v")
@@ -110,6 +116,26 @@ def leave_one_seed_out(points: DataFrame, by: list[str], seeds: int = 3) -> Data
     return line.join(best.where("target_ratio > 0 and target_ratio < 1").groupBy(*keys).agg(F.avg(F.abs(F.col("nearest") - F.col("target_ratio"))).alias("centroid_error"), F.avg((F.col("nearest") == F.col("target_ratio")).cast("double")).alias("nearest_accuracy")), keys)
 
 
+def piecewise_line(points: DataFrame, by: list[str], seeds: int = 3) -> DataFrame:
+    """Each seed's interior points against the line through the other seeds' mean points, piece by piece: error of the
+    closest place's ratio, share of points to whose place no other ratio is nearer, and distance in units of the mean
+    endpoints' separation. Collapsed endpoints give nulls."""
+    p, train = seed_centres(points, by, seeds)
+    keys = [*by, "held_seed"]
+    w = Window.partitionBy(*keys).orderBy("target_ratio")  # as many rows as there are ratios
+    pieces = train.withColumn("next", F.lead("centre").over(w)).withColumn("r1", F.lead("target_ratio").over(w)).where("next is not null").select(*keys, F.col("target_ratio").alias("r0"), "r1", F.col("centre").alias("s"), F.col("next").alias("e"))
+    ends = train.groupBy(*keys).agg(F.max(F.when(F.col("target_ratio") == 0, F.col("centre"))).alias("a"), F.max(F.when(F.col("target_ratio") == 1, F.col("centre"))).alias("b"), F.collect_set("target_ratio").alias("ratios"))
+    ends = ends.where("a is not null and b is not null").select(*keys, "ratios", F.sqrt(F.greatest(dot("a", "a") + dot("b", "b") - 2 * dot("a", "b"), F.lit(0.0))).alias("separation"))
+    test = p.where("target_ratio > 0 and target_ratio < 1").select(*by, F.col("seed").alias("held_seed"), "run_id", "target_ratio", "v")
+    met = test.join(pieces, keys).select(*keys, "run_id", "target_ratio", "r0", "r1", (dot("e", "e") + dot("s", "s") - 2 * dot("s", "e")).alias("long"), (dot("v", "e") - dot("v", "s") - dot("s", "e") + dot("s", "s")).alias("along"), (dot("v", "v") + dot("s", "s") - 2 * dot("v", "s")).alias("d2"))
+    part = F.when(F.col("long") <= EPS, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("along") / F.col("long"))))
+    met = met.withColumn("part", part).withColumn("d2", F.greatest(F.col("d2") - 2 * F.col("part") * F.col("along") + F.col("part") ** 2 * F.col("long"), F.lit(0.0))).withColumn("place", F.col("r0") + F.col("part") * (F.col("r1") - F.col("r0")))
+    best = met.groupBy(*keys, "run_id", "target_ratio").agg(F.min(F.struct(F.round("d2", 12), "r0", "place", "d2")).alias("m")).select(*keys, "target_ratio", "m.place", "m.d2").join(ends, keys)
+    nearest = F.array_min(F.transform("ratios", lambda r: F.struct(F.abs(r - F.col("place")), r.alias("r"))))["r"]
+    kept = lambda x: F.avg(F.when(F.col("separation") > EPS, x))
+    return best.groupBy(*keys).agg(kept(F.abs(F.col("place") - F.col("target_ratio"))).alias("piecewise_error"), kept((nearest == F.col("target_ratio")).cast("double")).alias("piecewise_accuracy"), kept(F.sqrt("d2") / (F.col("separation") + EPS)).alias("piecewise_drift"))
+
+
 def pooled_anchors(points: DataFrame, by: list[str], contributors: int | None = None) -> DataFrame:
     """by, a, b: the mean endpoint vectors over all contributing models and seeds, not normalised again."""
     mean = points.where("target_ratio in (0.0, 1.0)").groupBy(*by, "target_ratio").agg(vector_to_array(Summarizer.mean(array_to_vector("v"))).alias("m"), F.count(F.lit(1)).alias("n"))

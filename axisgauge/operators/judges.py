@@ -87,13 +87,15 @@ def outcome(rows: DataFrame) -> DataFrame:
     return rows.withColumn("score", F.when(F.col("outcome") == "higher", 1.0).when(F.col("outcome") == "tie", 0.5).when(F.col("outcome") == "lower", 0.0))
 
 
-def pairwise_rates(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Rates over all, over parsed, and over parsed pairs that aren't ties."""
+def pairwise_rates(rows: DataFrame, by: list[str], confidence: str | None = None) -> DataFrame:
+    """Rates over all, over parsed, and over parsed pairs that aren't ties; on request the mean confidence of parsed ones,
+    where what is no number counts as missing."""
     o, n = F.col("outcome"), F.count(F.lit(1)).cast("double")
     parsed, decided = F.count_if(o != "invalid"), F.count_if(o.isin("higher", "lower"))
     first, second = F.count_if(F.col("winner") == "1"), F.count_if(F.col("winner") == "2")
+    sure = [F.avg(F.when(o != "invalid", F.col(confidence).try_cast("double"))).alias("confidence")] if confidence else []
     return rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), (F.count_if(o == "higher") / n).alias("win_all"), F.try_divide(F.count_if(o == "higher"), parsed).alias("win_parsed"), F.try_divide(F.count_if(o == "higher"), decided).alias("win_decided"),
+        *sure, F.count(F.lit(1)).alias("n"), (F.count_if(o == "higher") / n).alias("win_all"), F.try_divide(F.count_if(o == "higher"), parsed).alias("win_parsed"), F.try_divide(F.count_if(o == "higher"), decided).alias("win_decided"),
         F.try_divide(F.count_if(o == "lower"), decided).alias("violation"), F.try_divide(F.count_if(o == "tie"), parsed).alias("tie"), F.try_divide(first - second, first + second).alias("position_bias"),
     )
 

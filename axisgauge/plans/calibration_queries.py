@@ -96,8 +96,11 @@ def ge5_principal_axis(spark, sf):
     return rounded(s.select(*geometry.TRAJECTORY, F.round("pc1_variance", 5).alias("pc1_variance"), F.round("pc1_abs_cosine", 5).alias("pc1_abs_cosine"), "turning_points", "spearman_all"))
 
 
-@query(""", hs AS (SELECT DISTINCT scenario_id, style_axis, model_id, encoder_id, seed AS held FROM enc), tc AS (SELECT h.scenario_id, h.style_axis, h.model_id, h.encoder_id, held, ratio_idx, i, avg(v[i]) AS m FROM hs h JOIN enc e ON h.scenario_id = e.scenario_id AND h.model_id = e.model_id AND h.encoder_id = e.encoder_id AND e.seed <> held, range(1, 65) t(i) WHERE i <= len(v) GROUP BY ALL),
-ct AS (SELECT scenario_id, style_axis, model_id, encoder_id, held, ratio_idx AS r, list(m ORDER BY i) AS c FROM tc GROUP BY ALL), nr AS (SELECT e.run_id, e.encoder_id, e.ratio_idx, r, list_distance(v, c) AS d, c.scenario_id, c.style_axis, c.model_id, held FROM enc e JOIN ct c ON c.scenario_id = e.scenario_id AND c.model_id = e.model_id AND c.encoder_id = e.encoder_id AND held = e.seed),
+CENTRES = """, hs AS (SELECT DISTINCT scenario_id, style_axis, model_id, encoder_id, seed AS held FROM enc), tc AS (SELECT h.scenario_id, h.style_axis, h.model_id, h.encoder_id, held, ratio_idx, i, avg(v[i]) AS m FROM hs h JOIN enc e ON h.scenario_id = e.scenario_id AND h.model_id = e.model_id AND h.encoder_id = e.encoder_id AND e.seed <> held, range(1, 65) t(i) WHERE i <= len(v) GROUP BY ALL),
+ct AS (SELECT scenario_id, style_axis, model_id, encoder_id, held, ratio_idx AS r, list(m ORDER BY i) AS c FROM tc GROUP BY ALL)"""
+
+
+@query(CENTRES + """, nr AS (SELECT e.run_id, e.encoder_id, e.ratio_idx, r, list_distance(v, c) AS d, c.scenario_id, c.style_axis, c.model_id, held FROM enc e JOIN ct c ON c.scenario_id = e.scenario_id AND c.model_id = e.model_id AND c.encoder_id = e.encoder_id AND held = e.seed),
 bst AS (SELECT run_id, encoder_id, scenario_id, style_axis, model_id, held, any_value(ratio_idx) AS k, arg_min(r, (round(d * d, 12), r)) AS near FROM nr GROUP BY ALL),
 ln AS (SELECT e.run_id, e.encoder_id, abs((list_dot_product(v, b.c) - list_dot_product(v, a.c) - list_dot_product(a.c, b.c) + list_dot_product(a.c, a.c)) / list_distance(a.c, b.c) ** 2 - target_ratio) AS err FROM enc e JOIN ct a ON a.scenario_id = e.scenario_id AND a.model_id = e.model_id AND a.encoder_id = e.encoder_id AND a.held = e.seed AND a.r = 0 JOIN ct b ON b.scenario_id = e.scenario_id AND b.model_id = e.model_id AND b.encoder_id = e.encoder_id AND b.held = e.seed AND b.r = 6)
 SELECT scenario_id, style_axis, model_id, encoder_id, held AS held_seed, round(avg(err), 6) AS line_error, round(avg(abs(near - k) / 6.0), 6) AS centroid_error, round(avg((near = k)::INT), 6) AS nearest_accuracy FROM bst JOIN ln USING (run_id, encoder_id) WHERE k BETWEEN 1 AND 5 GROUP BY ALL""")
@@ -105,6 +108,16 @@ def ge6_leave_one_seed_out(spark, sf):
     return rounded(geometry.leave_one_seed_out(points(spark, sf, True), ["scenario_id", "style_axis", "model_id", "encoder_id"]))
 
 
+@query(CENTRES + """, sg AS (SELECT a.*, b.c AS e, list_dot_product(b.c, b.c) + list_dot_product(a.c, a.c) - 2 * list_dot_product(a.c, b.c) AS long FROM ct a JOIN ct b USING (scenario_id, style_axis, model_id, encoder_id, held) WHERE b.r = a.r + 1),
+sp AS (SELECT a.scenario_id, a.model_id, a.encoder_id, a.held, list_distance(a.c, b.c) AS separation FROM ct a JOIN ct b USING (scenario_id, style_axis, model_id, encoder_id, held) WHERE a.r = 0 AND b.r = 6),
+f0 AS (SELECT p.run_id, p.scenario_id, p.style_axis, p.model_id, p.encoder_id, held, ratio_idx AS k, r, long, list_dot_product(v, e) - list_dot_product(v, c) - list_dot_product(c, e) + list_dot_product(c, c) AS along, list_distance(v, c) ** 2 AS d2 FROM enc p JOIN sg ON p.scenario_id = sg.scenario_id AND p.model_id = sg.model_id AND p.encoder_id = sg.encoder_id AND held = seed WHERE ratio_idx BETWEEN 1 AND 5),
+f1 AS (SELECT *, CASE WHEN long <= 1e-12 THEN 0 ELSE greatest(0, least(1, along / long)) END AS part FROM f0), f2 AS (SELECT *, r + part AS place, greatest(d2 - 2 * part * along + part ** 2 * long, 0) AS away FROM f1),
+f3 AS (SELECT run_id, scenario_id, style_axis, model_id, encoder_id, held, k, arg_min(place, (round(away, 12), r)) AS place, arg_min(away, (round(away, 12), r)) AS away FROM f2 GROUP BY ALL)
+SELECT scenario_id, style_axis, model_id, encoder_id, held AS held_seed, round(avg(abs(place - k) / 6.0), 6) AS piecewise_error, round(avg((abs(place - k) < 0.5)::INT), 6) AS piecewise_accuracy, round(avg(sqrt(away) / (separation + 1e-12)), 6) AS piecewise_drift FROM f3 JOIN sp USING (scenario_id, model_id, encoder_id, held) GROUP BY ALL""")
+def ge6_piecewise_line(spark, sf):
+    return rounded(geometry.piecewise_line(points(spark, sf, True), ["scenario_id", "style_axis", "model_id", "encoder_id"]))
+
+
 @query("""SELECT run_id, round((list_dot_product(v, b) - list_dot_product(v, a) - list_dot_product(a, b) + list_dot_product(a, a)) / list_distance(a, b) ** 2, 6) + 0.0 AS projection_raw FROM points
 JOIN (SELECT x.vec_id // 2 AS n, x.embedding::DOUBLE[] AS a, y.embedding::DOUBLE[] AS b FROM embeddings x JOIN embeddings y ON y.vec_id = x.vec_id + 1 WHERE x.vec_id % 2 = 0) r ON substr(scenario_id, 2)::BIGINT = r.n""")
 def ge11_external_anchors(spark, sf):

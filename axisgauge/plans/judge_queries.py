@@ -215,6 +215,13 @@ def ju4_monotonic_violations(spark, sf):
     return rounded(judges.monotonic_violations(p, ["model_id"]))
 
 
+@query(PAIRSQL + "SELECT model_id, round(avg((h + 1) / 10.0) FILTER (outcome <> 'invalid' AND h <> 3), 6) AS confidence FROM outc GROUP BY 1")
+def ju5_confidence(spark, sf):
+    h = F.pmod(hex8(F.concat_ws(":", F.col("left_run_id").cast("string"), F.col("right_run_id").cast("string"), F.col("swapped").cast("int").cast("string"))), F.lit(10))
+    p = pairs(spark, sf).withColumn("confidence", F.when(h == 3, "unsure").otherwise(((h + 1) / 10.0).cast("string")))
+    return rounded(judges.pairwise_rates(p, ["model_id"], "confidence").select("model_id", "confidence"))
+
+
 @query(PAIRSQL + ", q AS (SELECT model_id, style_axis, round(count(*) FILTER (outcome = 'lower') / count(*) FILTER (outcome IN ('higher', 'lower'))::DOUBLE, 6) AS violation FROM outc GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY violation DESC NULLS LAST, style_axis)::INT AS nth FROM q QUALIFY nth <= 3")
 def ju5_worst_axes(spark, sf):
     rates = rounded(judges.pairwise_rates(pairs(spark, sf), ["model_id", "style_axis"]))

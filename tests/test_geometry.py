@@ -58,6 +58,19 @@ def test_leave_one_seed_out_of_a_shared_line(spark):
     assert all(r["line_error"] == pytest.approx(0, abs=1e-12) and r["centroid_error"] == pytest.approx(0, abs=1e-12) and r["nearest_accuracy"] == 1 for r in rows)
 
 
+def test_piecewise_line_follows_a_bent_track(spark):
+    bent = [(k / 6, 0.3 if k == 3 else 0.0) for k in range(7)]
+    p = track(spark, bent, 1).union(track(spark, bent, 2)).union(track(spark, bent, 3))
+    by = ["scenario_id", "style_axis", "model_id", "encoder_id"]
+    rows = geometry.piecewise_line(p, by).collect()
+    assert len(rows) == 3 and all(r["piecewise_accuracy"] == 1 and r["piecewise_error"] == pytest.approx(0, abs=1e-9) and r["piecewise_drift"] == pytest.approx(0, abs=1e-6) for r in rows)
+    off = track(spark, bent, 1).union(track(spark, bent, 2)).union(track(spark, [(x, y - 0.6 * (i == 3)) for i, (x, y) in enumerate(bent)], 3))
+    held = {r["held_seed"]: r for r in geometry.piecewise_line(off, by).collect()}
+    # the middle point at (1/2, -0.3) lies nearest to the kinks' feet at 1/3 and 2/3; the first of equals counts
+    assert held[3]["piecewise_error"] == pytest.approx(1 / 6 / 5, abs=1e-9) and held[3]["piecewise_accuracy"] == pytest.approx(0.8)
+    assert held[3]["piecewise_drift"] == pytest.approx((1 / 36 + 0.09) ** 0.5 / 5, abs=1e-6)  # distances come from dot products
+
+
 def test_incomplete_track_has_no_ranks(spark):
     s = geometry.with_geometry(track(spark, LINE).where("run_id != 3"), geometry.self_anchors(track(spark, LINE)), BY)
     rows = geometry.with_neighbour_rank(s, BY, complete=7).collect()
