@@ -62,9 +62,10 @@ def factorial_summary(rows: DataFrame, metrics: list[str], replicates: int = sta
 
 
 def condition_ranks(rows: DataFrame, metrics: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Means by model and condition; and for each metric and pair of conditions the rank correlation over models."""
+    """Means by model and condition; and for each metric and pair of conditions the rank correlation over models. Means
+    that are equal to twelve decimals tie, so ranks don't hang on the order in which rows were added up."""
     means = rows.groupBy("model_id", "condition").agg(*[F.avg(m).alias(m) for m in metrics])
-    long = means.unpivot(["model_id", "condition"], metrics, "metric", "value")
+    long = means.unpivot(["model_id", "condition"], metrics, "metric", "value").withColumn("value", F.round("value", 12))
     a, b = long.select("metric", "model_id", F.col("condition").alias("first"), F.col("value").alias("x")), long.select("metric", "model_id", F.col("condition").alias("second"), F.col("value").alias("y"))
     both, by = a.join(b, ["metric", "model_id"]).where("first < second"), ["metric", "first", "second"]
     return means, both.groupBy(*by).agg(F.count(F.lit(1)).alias("models")).join(spearman(both, "x", "y", by, "spearman"), by, "left")

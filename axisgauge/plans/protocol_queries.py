@@ -169,7 +169,7 @@ def rb2_factorial_effects(spark, sf):
     return rounded(robustness.factorial_summary(robust_cells(spark, sf), RM))
 
 
-@query(ROBUST + f", cm AS (SELECT model_id, condition, {', '.join(f'avg({m}) AS {m}' for m in RM)} FROM rcell GROUP BY ALL), l AS (UNPIVOT cm ON {', '.join(RM)} INTO NAME metric VALUE value), p AS (SELECT a.metric, a.condition AS first, b.condition AS second, {rank_sql('a.value', 'a.metric, a.condition, b.condition')} AS x, {rank_sql('b.value', 'a.metric, a.condition, b.condition')} AS y FROM l a JOIN l b USING (metric, model_id) WHERE a.condition < b.condition) SELECT metric, first, second, count(*) AS models, {corr_sql('x', 'y')} AS spearman FROM p GROUP BY ALL")
+@query(ROBUST + f", cm AS (SELECT model_id, condition, {', '.join(f'round(avg({m}), 12) AS {m}' for m in RM)} FROM rcell GROUP BY ALL), l AS (UNPIVOT cm ON {', '.join(RM)} INTO NAME metric VALUE value), p AS (SELECT a.metric, a.condition AS first, b.condition AS second, {rank_sql('a.value', 'a.metric, a.condition, b.condition')} AS x, {rank_sql('b.value', 'a.metric, a.condition, b.condition')} AS y FROM l a JOIN l b USING (metric, model_id) WHERE a.condition < b.condition) SELECT metric, first, second, count(*) AS models, {corr_sql('x', 'y')} AS spearman FROM p GROUP BY ALL")
 def rb3_condition_rankings(spark, sf):
     return rounded(robustness.condition_ranks(robust_cells(spark, sf), RM)[1])
 
