@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from axisgauge.llm import decontaminate, exact_dedup, language_id, licenses, mixing, ngram_join, repeats, sharding, token_counts, token_output
+from axisgauge.llm import decontaminate, exact_dedup, hard_negatives, language_id, licenses, mixing, ngram_join, repeats, secrets, sharding, token_counts, token_output, whitening
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -15,9 +15,13 @@ QUERIES = {
     "op8_sharding": sharding.op8_sharding,
     "op9_language_id": language_id.op9_language_id,
     "op10_token_output": token_output.op10_token_output,
+    "op11_whitening": whitening.op11_whitening,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+    "op13_secret_scan": secrets.op13_secret_scan,
 }
 ORACLE = {
     "op1_decontaminate": decontaminate.OP1_SQL,
     "op4_ngram_join": ngram_join.OP4_SQL,
     "op5_exact_dedup": exact_dedup.OP5_SQL,
+    "op12_hard_negatives": hard_negatives.OP12_SQL,
 }
