@@ -4,7 +4,7 @@ Of every whole text: `assign` (a value given to a sensitive name), `access` (AKI
 are matched by pattern; a span is the whole match, from its first to behind its last code point. Then `novel`: a
 candidate is a run of secret characters with letters and digits, with a sensitive word shortly before it. It is measured
 by Zstandard, primed with a dictionary of common identifiers: the surrounding text is compressed with and without the
-candidate, and the difference is the candidate's marginal size. Names and paths that occur nearby or in the dictionary
+candidate behind it, and the difference is the candidate's marginal size. Names and paths that occur nearby or in the dictionary
 cost little, words of the text's own alphabet more, and random strings `BITS` or more for each of their bytes; those are
 reported, unless a pattern has found them already.
 
@@ -35,12 +35,12 @@ HEX_PATTERN = re.compile(rf"[0-9a-f]{{{HEX},}}")
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{NOVEL},}}")
 #: Code points before a candidate in which a sensitive word must stand, and code points on each side that it is measured against.
 BEFORE, AROUND = 64, 256
-#: Bits for each byte from which a candidate is novel. Measured in 400 places each of prose and of code: random strings of
-#: letters and digits cost 6.4 or more from 20 characters on, and 6.0 or more in 98 % of places from 12 on; of three identifiers
-#: and paths 98 % cost 5.7 at most, all 6.7 at most. A word that is neither in the dictionary nor like its surroundings is novel too.
+#: Bits for each byte from which a candidate is novel. Measured in 400 places each of prose and of code: 98 % of random strings
+#: of 12 letters and digits cost 6.0 or more, of 20 and more 6.4 or more; of three identifiers and paths from the dictionary's
+#: field 98 % cost 6.2 at most. A word with digits that is neither in the dictionary nor like its surroundings is novel too.
 BITS = 6.0
-#: A candidate has at least so many letters and so many digits, so that dates and numbers are none.
-MIXED = 2
+#: A candidate has at least so many letters and so many digits, so that words, dates and numbers are none.
+LETTERS, DIGITS = 2, 1
 SENSITIVE = ["password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "access", "key", "credential", "auth", "bearer", "private", "signature", "session", "cookie", "login"]
 ASSIGNING = ["password", "passwd", "secret", "token", "apikey", "api_key"]
 #: Priming text: identifiers, values and paths that are common in code and settings.
@@ -67,8 +67,8 @@ class Scanner:
 
     def bits(self, before: str, candidate: str, after: str) -> float:
         """The candidate's marginal size in its surroundings, in bits for each of its bytes."""
-        b, c, a = before.encode(), candidate.encode(), after.encode()
-        return 8 * (len(self.compressor.compress(b + c + a)) - len(self.compressor.compress(b + a))) / len(c)
+        around, own = (after + before).encode(), candidate.encode()  # the candidate last, so that it parts nothing that goes together
+        return 8 * (len(self.compressor.compress(around + own)) - len(self.compressor.compress(around))) / len(own)
 
     def base(self, text: str, lowered: str) -> list[tuple[int, int, int]]:
         """(start, kind, end), in order."""
@@ -90,7 +90,7 @@ class Scanner:
             while i < len(base) and base[i][0] < end:
                 reach = max(reach, base[i][2])
                 i += 1
-            if reach > start or sum(x.isalpha() for x in c) < MIXED or sum(x.isdigit() for x in c) < MIXED:
+            if reach > start or sum(x.isalpha() for x in c) < LETTERS or sum(x.isdigit() for x in c) < DIGITS:
                 continue
             near = text[max(0, start - BEFORE) : start].lower()
             if any(w in near for w in SENSITIVE) and self.bits(text[max(0, start - AROUND) : start], c, text[end : end + AROUND]) >= BITS:
