@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from axisgauge.functions.numeric import safe_corr, spearman
+from axisgauge.operators import isotonic
 
 FOLDS, SEED = 5, 20260916
 
@@ -30,9 +29,11 @@ def length_coordinate(rows: DataFrame, by: list[str], length: str = "character_l
 
 
 def cross_validated_line(rows: DataFrame, by: list[str], x: str, y: str, name: str) -> DataFrame:
-    """Least squares of y on x in each group, fitted without the row's own fold, from sums by fold. A constant x takes
-    the minimum-norm fit, whose prediction at that x is the mean."""
-    sums = rows.groupBy(*by, "fold").agg(F.count(F.lit(1)).alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(F.col(x) * F.col(x)).alias("sxx"), F.sum(F.col(x) * F.col(y)).alias("sxy"))
+    """Least squares of y on x in each group, fitted without the row's own fold, from sums by fold over complete pairs. A
+    constant x takes the minimum-norm fit, whose prediction at that x is the mean."""
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    X, Y = (F.when(both, F.col(c).cast("double")) for c in (x, y))
+    sums = rows.groupBy(*by, "fold").agg(F.count(X).alias("n"), *[F.coalesce(F.sum(c), F.lit(0.0)).alias(n) for n, c in (("sx", X), ("sy", Y), ("sxx", X * X), ("sxy", X * Y))])
     w = Window.partitionBy(*by)
     n, sx, sy, sxx, sxy = (F.sum(c).over(w) - F.col(c) for c in ("n", "sx", "sy", "sxx", "sxy"))
     fit = sums.select(*by, "fold", n.alias("n"), sx.alias("sx"), sy.alias("sy"), sxx.alias("sxx"), sxy.alias("sxy"))
@@ -44,36 +45,11 @@ def cross_validated_line(rows: DataFrame, by: list[str], x: str, y: str, name: s
     return rows.join(fit, [*by, "fold"], "left").withColumn(name, F.col("_i") + F.col("_s") * F.col(x)).drop("_s", "_i")
 
 
-def pool_adjacent(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """The nearest non-decreasing values to y at rising x, by weighted least squares."""
-    level, weight, size = [], [], []
-    for value, amount in zip(y.tolist(), w.tolist(), strict=True):
-        level.append(value), weight.append(amount), size.append(1)
-        while len(level) > 1 and level[-2] > level[-1]:
-            value, amount, n = level.pop(), weight.pop(), size.pop()
-            level[-1] = (level[-1] * weight[-1] + value * amount) / (weight[-1] + amount)
-            weight[-1] += amount
-            size[-1] += n
-    return np.repeat(level, size)
-
-
 def cross_validated_isotonic(rows: DataFrame, by: list[str], x: str, y: str, name: str) -> DataFrame:
-    """Non-decreasing fit of y on x without the row's own fold, interpolated in between and held at the ends. Equal x
-    are averaged before anything is grouped, so a group has its distinct x at most."""
-    points = rows.groupBy(*by, "fold", x).agg(F.sum(y).alias("_sum"), F.count(F.lit(1)).alias("_n"))
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for fold, own in pdf.groupby("fold"):
-            train = pdf[pdf["fold"] != fold].groupby(x)[["_sum", "_n"]].sum().sort_index()
-            if len(train):
-                at, n = train.index.to_numpy(float), train["_n"].to_numpy(float)
-                level = pool_adjacent(at, train["_sum"].to_numpy(float) / n, n)
-                out.append(own[[*by, "fold", x]].assign(**{name: np.interp(own[x].to_numpy(float), at, level)}))
-        return pd.concat(out) if out else pdf[[*by, "fold", x]].head(0).assign(**{name: pd.Series(dtype=float)})
-
-    schema = points.select(*by, "fold", x, F.lit(0.0).alias(name)).schema
-    return rows.join(points.groupBy(*by).applyInPandas(fit, schema), [*by, "fold", x], "left")
+    """Non-decreasing fit of y on x without the row's own fold, interpolated in between and held at the ends; null without
+    x, fold or other folds. Rows are reduced to the distinct x of a group and fold, which are fitted over range partitions."""
+    points = isotonic.folded_points(rows, by, x, y)
+    return rows.join(isotonic.fitted(points, [*by, "fold"], x, name), [*by, "fold", x], "left")
 
 
 CELL_KEYS = ["scenario_id", "style_axis", "model_id", "encoder_id"]
@@ -125,4 +101,5 @@ def method_table(samples: DataFrame, estimates: dict[str, str], judged: DataFram
     if judged is not None:
         long = long.unionByName(judged.select("scenario_id", "style_axis", "model_id", F.lit("judge").alias("encoder_id"), "target_ratio", F.lit("llm_scalar_judge").alias("method"), F.col("estimate").cast("double").alias("estimate")))
     cells = long.groupBy(*keys, "target_ratio").agg(F.avg("estimate").alias("estimate"), F.avg(F.abs(F.col("estimate") - F.col("target_ratio"))).alias("absolute_error"))
+    cells = cells.withColumn("estimate", F.round("estimate", 12))  # equal but for rounding: ties in ranks
     return bootstrap_means(method_rows(cells, keys), ["model_id", "encoder_id", "method"], STATISTICS, "style_axis", "scenario_id", replicates)

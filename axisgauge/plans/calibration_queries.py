@@ -167,11 +167,20 @@ def bl5_length_only_cv(spark, sf):
     return rounded(baselines.cross_validated_line(folded(spark, sf), ["model_id"], "character_length", "target_ratio", "estimate").select("run_id", "estimate"))
 
 
-@query(", " + FOLDS + """, u AS (SELECT model_id, fold, character_length AS x, sum(target_ratio) AS s, count(*) AS n FROM t GROUP BY ALL), tr AS (SELECT u.model_id, y.fold, x, sum(s) AS s, sum(n) AS n FROM u, (SELECT DISTINCT fold FROM t) y WHERE u.fold <> y.fold GROUP BY ALL),
-seg AS (SELECT a.model_id, a.fold, a.x AS lo, b.x AS hi, sum(c.s) / sum(c.n) AS m FROM tr a JOIN tr b ON a.model_id = b.model_id AND a.fold = b.fold AND a.x <= b.x JOIN tr c ON c.model_id = a.model_id AND c.fold = a.fold AND c.x BETWEEN a.x AND b.x GROUP BY ALL),
-fit AS (SELECT z.model_id, z.fold, z.x, max(mn) AS y FROM tr z JOIN (SELECT z.model_id, z.fold, z.x, s.lo, min(s.m) AS mn FROM tr z JOIN seg s ON s.model_id = z.model_id AND s.fold = z.fold AND s.lo <= z.x AND s.hi >= z.x GROUP BY ALL) q USING (model_id, fold, x) GROUP BY ALL),
-e AS (SELECT run_id, t.model_id, t.fold, character_length AS x, (SELECT max(x) FROM fit WHERE fit.model_id = t.model_id AND fit.fold = t.fold AND fit.x <= t.character_length) AS x0, (SELECT min(x) FROM fit WHERE fit.model_id = t.model_id AND fit.fold = t.fold AND fit.x >= t.character_length) AS x1 FROM t)
-SELECT run_id, round(CASE WHEN x0 IS NULL THEN b.y WHEN x1 IS NULL OR x0 = x1 THEN a.y ELSE a.y + (b.y - a.y) * (e.x - x0) / (x1 - x0) END, 6) AS estimate FROM e LEFT JOIN fit a ON a.model_id = e.model_id AND a.fold = e.fold AND a.x = x0 LEFT JOIN fit b ON b.model_id = e.model_id AND b.fold = e.fold AND b.x = x1""")
+def isotonic_sql(source: str, x: str, name: str) -> str:
+    """Tables, the last of which is `name` (run_id, estimate): the greatest of the least means over intervals around each x
+    of a model's other folds, interpolated."""
+    on = "a.model_id = b.model_id AND a.fold = b.fold"
+    near = lambda n, sign: f"ASOF LEFT JOIN {name}_x {n} ON t.model_id = {n}.model_id AND t.fold = {n}.fold AND t.x {sign} {n}.x"
+    return f"""{name}_u AS (SELECT model_id, fold, {x} AS x, sum(target_ratio) AS s, count(*) AS n FROM {source} WHERE {x} IS NOT NULL GROUP BY ALL),
+{name}_t AS (SELECT u.model_id, y.fold, x, sum(s) AS s, sum(n) AS n FROM {name}_u u, (SELECT DISTINCT fold FROM {source}) y WHERE u.fold <> y.fold GROUP BY ALL),
+{name}_c AS (SELECT *, sum(s) OVER w AS cs, sum(n) OVER w AS cn, row_number() OVER w AS k FROM {name}_t WINDOW w AS (PARTITION BY model_id, fold ORDER BY x)),
+{name}_m AS (SELECT a.model_id, a.fold, b.k, min((b.cs - a.cs + a.s) / (b.cn - a.cn + a.n)) OVER (PARTITION BY a.model_id, a.fold, a.k ORDER BY b.k DESC ROWS UNBOUNDED PRECEDING) AS y FROM {name}_c a JOIN {name}_c b ON {on} AND a.k <= b.k),
+{name}_x AS (SELECT model_id, fold, x::DOUBLE AS x, max(y) AS y FROM {name}_m JOIN {name}_c USING (model_id, fold, k) GROUP BY ALL),
+{name} AS (SELECT run_id, CASE WHEN a.x IS NULL THEN b.y WHEN b.x IS NULL OR a.x = b.x THEN a.y ELSE a.y + (b.y - a.y) * (t.x - a.x) / (b.x - a.x) END AS estimate FROM (SELECT run_id, model_id, fold, {x}::DOUBLE AS x FROM {source}) t {near("a", ">=")} {near("b", "<=")})"""
+
+
+@query(", " + FOLDS + ", " + isotonic_sql("t", "character_length", "iso") + " SELECT run_id, round(estimate, 6) AS estimate FROM iso")
 def bl7_isotonic_cv(spark, sf):
     return rounded(baselines.cross_validated_isotonic(folded(spark, sf), ["model_id"], "character_length", "target_ratio", "estimate").select("run_id", "estimate"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from axisgauge.functions.numeric import spearman
 from axisgauge.operators import audit, baselines, geometry, judges, ladder, protocols, reports, robustness, statistics, textq
-from axisgauge.plans.calibration_queries import FOLDS, cells, rounded, scenario
+from axisgauge.plans.calibration_queries import FOLDS, cells, isotonic_sql, rounded, scenario
 from axisgauge.plans.fixtures import MATCHED, PROTOCOLS, ROBUST, WITH, boot, corr_sql, draw, draws_sql, external, flips_sql, matched_runs, once, points, protocol_samples, rank_sql, robust, samples, scores, table, texts
 
 QUERIES: dict[str, Callable] = {}
@@ -301,16 +301,17 @@ def st19_variance_diagnostics(spark, sf):
 # --- method tables, ablations, legacy
 
 @query(", " + FOLDS.replace("t AS (SELECT txt.*, fold FROM txt JOIN f USING (scenario_id))", "t AS (SELECT g.*, fold, txt.character_length FROM geo g JOIN f USING (scenario_id) LEFT JOIN txt USING (run_id) WHERE encoder_id = 'full')") +
-       ", li AS (SELECT x.model_id, y.fold, regr_slope(x.target_ratio, x.character_length) AS s, regr_intercept(x.target_ratio, x.character_length) AS i FROM t x, (SELECT DISTINCT fold FROM t) y WHERE x.fold <> y.fold GROUP BY ALL), es AS (SELECT t.*, i + s * character_length AS line FROM t LEFT JOIN li USING (model_id, fold) WHERE is_interior), lo AS (" +
-       " UNION ALL ".join(f"SELECT scenario_id, style_axis, model_id, encoder_id, target_ratio, '{m}' AS method, {c} AS estimate FROM es" for m, c in (("raw_projection", "projection_raw"), ("endpoint_distance_ratio", "distance_ratio_estimate"), ("length_only_cv", "line"), ("constant_half", "0.5::DOUBLE"))) + " UNION ALL SELECT scenario_id, style_axis, model_id, 'judge', target_ratio, 'llm_scalar_judge', intensity / 100.0 FROM jud WHERE judge = 'j1' AND NOT missing AND ratio_idx BETWEEN 1 AND 5), "
-       "mc AS (SELECT scenario_id, style_axis, model_id, encoder_id, method, target_ratio, avg(estimate) AS estimate, avg(abs(estimate - target_ratio)) AS e FROM lo GROUP BY ALL), mr AS (SELECT *, " + rank_sql("estimate", "scenario_id, model_id, encoder_id, method") + " AS ry, " + rank_sql("target_ratio", "scenario_id, model_id, encoder_id, method") + " AS rx FROM mc WHERE estimate IS NOT NULL), "
+       ", lj AS (SELECT x.model_id, y.fold, regr_slope(x.target_ratio, x.character_length) AS s, regr_intercept(x.target_ratio, x.character_length) AS i, avg(x.character_length) AS c, avg(x.target_ratio) AS m FROM t x, (SELECT DISTINCT fold FROM t) y WHERE x.fold <> y.fold AND x.character_length IS NOT NULL GROUP BY ALL), li AS (SELECT model_id, fold, coalesce(s, m * c / (1 + c * c)) AS s, coalesce(i, m / (1 + c * c)) AS i FROM lj), " + isotonic_sql("t", "projection_raw", "iso") + ", es AS (SELECT t.*, i + s * character_length AS line, iso.estimate AS iso FROM t LEFT JOIN li USING (model_id, fold) LEFT JOIN iso USING (run_id) WHERE is_interior), lo AS (" +
+       " UNION ALL ".join(f"SELECT scenario_id, style_axis, model_id, encoder_id, target_ratio, '{m}' AS method, {c} AS estimate FROM es" for m, c in (("raw_projection", "projection_raw"), ("endpoint_distance_ratio", "distance_ratio_estimate"), ("length_only_cv", "line"), ("isotonic_cv", "iso"), ("constant_half", "0.5::DOUBLE"))) + " UNION ALL SELECT scenario_id, style_axis, model_id, 'judge', target_ratio, 'llm_scalar_judge', intensity / 100.0 FROM jud WHERE judge = 'j1' AND NOT missing AND ratio_idx BETWEEN 1 AND 5), "
+       "mc AS (SELECT scenario_id, style_axis, model_id, encoder_id, method, target_ratio, round(avg(estimate), 12) AS estimate, avg(abs(estimate - target_ratio)) AS e FROM lo GROUP BY ALL), mr AS (SELECT *, " + rank_sql("estimate", "scenario_id, model_id, encoder_id, method") + " AS ry, " + rank_sql("target_ratio", "scenario_id, model_id, encoder_id, method") + " AS rx FROM mc WHERE estimate IS NOT NULL), "
        "sr AS (SELECT scenario_id, style_axis, model_id, encoder_id, method, avg(e) AS mae, quantile_cont(e, 0.5) AS median_error, CASE WHEN stddev_pop(estimate) > 1e-12 THEN corr(rx, ry) END AS spearman, CASE WHEN stddev_pop(estimate) > 1e-12 THEN corr(target_ratio, estimate) END AS pearson, regr_slope(estimate, target_ratio) AS slope, regr_intercept(estimate, target_ratio) AS intercept FROM mr GROUP BY ALL)" + boot("sr", ["model_id", "encoder_id", "method"], baselines.STATISTICS) + " SELECT * FROM bt")
 def ag11_method_table(spark, sf):
-    """Five methods on seed-level rows and a judge's own estimates (the isotonic one is in bl7_isotonic_cv)."""
+    """Five methods on seed-level rows, the isotonic one on coordinates, and a judge's own estimates."""
     s = samples(spark, sf).join(baselines.scenario_folds(points(spark, sf)), ["scenario_id", "style_axis"]).join(texts(spark, sf).select("run_id", F.col("character_length").cast("double").alias("character_length")), "run_id", "left").withColumn("half", F.lit(0.5))
+    s = baselines.cross_validated_isotonic(once(s), ["model_id", "encoder_id"], "projection_raw", "target_ratio", "iso")
     s = baselines.cross_validated_line(s, ["model_id"], "character_length", "target_ratio", "line").where("is_interior")
     judged = scores(spark, sf).where("judge = 'j1' and not missing and ratio_idx between 1 and 5").withColumn("estimate", F.col("intensity") / 100.0)
-    methods = {"raw_projection": "projection_raw", "endpoint_distance_ratio": "distance_ratio_estimate", "length_only_cv": "line", "constant_half": "half"}
+    methods = {"raw_projection": "projection_raw", "endpoint_distance_ratio": "distance_ratio_estimate", "length_only_cv": "line", "isotonic_cv": "iso", "constant_half": "half"}
     return rounded(baselines.method_table(s, methods, judged))
 
 

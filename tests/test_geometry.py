@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from axisgauge.operators import baselines, geometry, ladder, statistics
+from axisgauge.operators import baselines, geometry, isotonic, ladder, statistics
 
 BY = ["scenario_id", "style_axis", "model_id", "seed", "encoder_id"]
 
@@ -85,7 +85,7 @@ def test_fixed_anchor(spark):
 
 
 def test_isotonic_pools_neighbours():
-    got = baselines.pool_adjacent(np.arange(4.0), np.array([0, 0.8, 0.4, 1.0]), np.ones(4))
+    got = isotonic.pool_adjacent(np.arange(4.0), np.array([0, 0.8, 0.4, 1.0]), np.ones(4))
     assert got == pytest.approx([0, 0.6, 0.6, 1])
 
 
