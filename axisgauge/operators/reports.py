@@ -205,7 +205,7 @@ def human_geometry(items: DataFrame, samples: DataFrame, replicates: int, seed:
     j = checked_join(items, samples, ["run_id"], "1:m").where("human_ratio is not null and projection_raw is not null").withColumn("gap", F.abs(F.col("projection_raw") - F.col("human_ratio"))).withColumn("_all", F.lit("all"))
     rank = statistics.bootstrap_spearman(j, ["encoder_id"], [("human_ratio", "projection_raw")], "_all", "scenario_id", replicates, seed).select("encoder_id", F.lit("spearman").alias("metric"), "estimate", "ci_lower", "ci_upper")
     drawn = j.groupBy("encoder_id", "_all", "scenario_id").agg(F.count(F.lit(1)).alias("n"), *[F.sum(e).alias(a) for a, e in (("sx", F.col("human_ratio")), ("sy", F.col("projection_raw")), ("sxx", F.col("human_ratio") ** 2), ("syy", F.col("projection_raw") ** 2), ("sxy", F.col("human_ratio") * F.col("projection_raw")), ("sg", F.col("gap")))])
-    again = drawn.join(statistics.draws(drawn, "_all", "scenario_id", replicates, seed), ["_all", "scenario_id"]).groupBy("encoder_id", "replicate").agg(*[F.sum(F.col("times") * F.col(c)).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy", "sg")])
+    again = statistics.drawn_sums(drawn, ["encoder_id"], ["n", "sx", "sy", "sxx", "syy", "sxy", "sg"], "_all", "scenario_id", replicates, seed)
     again = again.selectExpr("encoder_id", "try_divide(sxy - sx * sy / n, sqrt(greatest(sxx - sx * sx / n, 0D) * greatest(syy - sy * sy / n, 0D))) r", "sg / n g")
     limits = again.groupBy("encoder_id").agg(*[F.percentile(c, F.lit(q)).alias(f"{c}{k}") for c in ("r", "g") for k, q in ((0, 0.025), (1, 0.975))])
     at = j.groupBy("encoder_id").agg(safe_corr("human_ratio", "projection_raw").alias("r"), F.avg("gap").alias("g")).join(limits, "encoder_id")

@@ -1,8 +1,7 @@
 """Resampling, paired tests, rank agreement and rater reliability.
 
-Bootstrap draws come from hashes of (seed, stratum, replicate, slot), so that they do not depend on partitions and any
-engine can repeat them. Tables are reduced to a row for each cluster first; draws are then a table of multiplicities
-that every group and metric shares.
+Tables are reduced to a row for each cluster first; draws and sign permutations are then matrix work inside tasks
+(`resampling`), the same for every group and metric.
 """
 
 from __future__ import annotations
@@ -10,94 +9,21 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from axisgauge.functions.lineage import cut
-from axisgauge.functions.numeric import average_rank, hex8, safe_corr, spearman
+from axisgauge.functions.numeric import average_rank, safe_corr, spearman
+from axisgauge.operators import ranks
+from axisgauge.operators.resampling import draws, drawn_sums, sign_flips
+
+__all__ = ["draws", "drawn_sums"]
 
 #: Bootstrap replicates and sign permutations.
 REPLICATES, PERMUTATIONS = 10_000, 100_000
 
 
-#: Replicates in a row of partial sums, and the bytes of sums that a task holds before it hands them on.
-CHUNK, HELD = 1000, 1 << 26
-
-
-def _placed(clusters: DataFrame, stratum: str, cluster: str) -> DataFrame:
-    w = Window.partitionBy(stratum)
-    return clusters.select(stratum, cluster).distinct().select(stratum, cluster, F.row_number().over(w.orderBy(cluster)).alias("pos"), F.count(F.lit(1)).over(w).alias("n"))
-
-
-def _picks(placed: DataFrame, stratum: str, replicates: int, seed: int) -> DataFrame:
-    """stratum, replicate, pos: a row for each draw."""
-    slots = placed.select(stratum, "n", F.col("pos").alias("slot"), F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
-    pick = F.pmod(hex8(F.concat_ws(":", F.lit(str(seed)), F.col(stratum), F.col("replicate").cast("string"), F.col("slot").cast("string"))), F.col("n")) + 1
-    return slots.select(stratum, "replicate", pick.alias("pos"))
-
-
-def draws(clusters: DataFrame, stratum: str, cluster: str, replicates: int, seed: int = 1) -> DataFrame:
-    """stratum, cluster, replicate, times: with replacement, as many in each stratum as it has clusters."""
-    placed = _placed(clusters, stratum, cluster)
-    times = _picks(placed, stratum, replicates, seed).groupBy(stratum, "replicate", "pos").agg(F.count(F.lit(1)).alias("times"))
-    return times.join(placed.select(stratum, cluster, "pos"), [stratum, "pos"]).select(stratum, cluster, "replicate", "times")
-
-
-def drawn_sums(rows: DataFrame, by: list[str], names: list[str], stratum: str, cluster: str, replicates: int, seed: int = 1) -> DataFrame:
-    """by, replicate, and for each name its sum over the replicate's draw and `{name}_w`, how many values that sum has
-    (nulls add nothing). rows: a few for each cluster. A cluster carries the replicates that drew it; tasks add up its
-    rows for all replicates as matrix products and hand on partial sums, so that draws are never multiplied by groups."""
-    placed, width = _placed(rows, stratum, cluster), len(names)
-    fields = [*[F.col(c).alias(f"b{i}") for i, c in enumerate(by)], *[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(names)]]
-    held = rows.groupBy(stratum, cluster).agg(F.collect_list(F.struct(*fields)).alias("rows")).join(placed.select(stratum, cluster, "pos"), [stratum, cluster])
-    drawn = _picks(placed, stratum, replicates, seed).groupBy(stratum, "pos").agg(F.collect_list("replicate").alias("drawn"))
-
-    def add_up(batches):
-        sums: dict[tuple, np.ndarray] = {}
-        bounds = [*range(0, replicates, CHUNK), replicates]
-
-        def hand_on(types):
-            for key, s in sums.items():
-                lists = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(v)) for v in s]
-                chunks = pa.array(range(len(bounds) - 1), pa.int32())
-                yield pa.RecordBatch.from_arrays([*[pa.array([k] * len(chunks), t) for k, t in zip(key, types, strict=True)], chunks, *lists], [*by, "chunk", *out])
-            sums.clear()
-
-        types = []
-        for batch in batches:
-            for first in range(0, batch.num_rows, 32):
-                part = batch.slice(first, 32)
-                of_row, lists = part.column("rows"), part.column("drawn")
-                number = np.repeat(np.arange(part.num_rows), pc.list_value_length(lists)) * replicates + lists.flatten().to_numpy() - 1
-                times = np.bincount(number, minlength=part.num_rows * replicates).reshape(part.num_rows, replicates).astype(float)
-                row = np.repeat(np.arange(part.num_rows), pc.list_value_length(of_row))
-                columns = of_row.flatten().flatten()
-                types = [c.type for c in columns[: len(by)]]
-                real = np.array([c.is_valid().to_numpy(zero_copy_only=False) for c in columns[len(by) :]], dtype=float)
-                value = np.array([c.fill_null(0.0).to_numpy(zero_copy_only=False) for c in columns[len(by) :]])
-                places: dict[tuple, list[int]] = {}
-                for i, key in enumerate(zip(*[c.to_pylist() for c in columns[: len(by)]], strict=True) if by else [()] * len(row)):
-                    places.setdefault(key, []).append(i)
-                for key, at in places.items():
-                    s = sums.setdefault(key, np.zeros((2 * width, replicates)))
-                    s += np.concatenate([value[:, at], real[:, at]]) @ times[row[at]]
-                if len(sums) * 2 * width * replicates * 8 > HELD:
-                    yield from hand_on(types)
-        yield from hand_on(types)
-
-    out = [*names, *[f"{c}_w" for c in names]]
-    schema = T.StructType([*[rows.schema[c] for c in by], T.StructField("chunk", T.IntegerType()), *[T.StructField(c, T.ArrayType(T.DoubleType())) for c in out]])
-    parts = held.join(drawn, [stratum, "pos"]).select("rows", "drawn").mapInArrow(add_up, schema)
-    plus = lambda a, b: F.zip_with(a, b, lambda p, q: p + q)
-    whole = parts.groupBy(*by, "chunk").agg(*[F.collect_list(c).alias(c) for c in out])
-    whole = whole.select(*by, "chunk", *[F.aggregate(F.slice(c, 2, F.size(c)), F.element_at(c, 1), plus).alias(c) for c in out])
-    each = whole.select(*by, "chunk", F.posexplode(F.arrays_zip(*out)).alias("_k", "_s"))
-    return each.select(*by, (F.col("chunk") * CHUNK + F.col("_k") + 1).alias("replicate"), *[F.col("_s")[c].alias(c) for c in out])
-
-
 def bootstrap_means(rows: DataFrame, by: list[str], metrics: list[str], stratum: str, cluster: str, replicates: int = REPLICATES, seed: int = 1) -> DataFrame:
     """by, metric, estimate, ci_lower, ci_upper, n: stratified cluster bootstrap of means of cluster means; nulls are
     left out of each draw's mean, and a group without values has n 0 and nulls."""
@@ -181,16 +107,12 @@ def holm(rows: DataFrame, family: list[str], p: str = "p_value", name: str = "p_
 
 
 def sign_flip(rows: DataFrame, by: list[str], item: str, value: str, replicates: int = PERMUTATIONS, seed: int = 1) -> DataFrame:
-    """Paired permutation p: share of hash-signed means at least as far from 0 as the observed one, plus one for it.
-    One hash gives an item's signs in 32 replicates, whose sums are taken side by side."""
-    d = rows.where(F.col(value).isNotNull()).select(*by, item, F.col(value).cast("double").alias("d"))
-    observed = d.groupBy(*by).agg(F.avg("d").alias("mean"))
-    blocks = F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // 32)))
-    bits = hex8(F.concat_ws(":", F.lit(str(seed)), F.col("block").cast("string"), F.col(item).cast("string")))
-    signed = d.select(*by, item, "d", blocks.alias("block")).select(*by, "d", "block", bits.alias("bits"))
-    sums = [F.sum(F.when(F.shiftright("bits", k).bitwiseAND(1) == 1, -F.col("d")).otherwise(F.col("d"))) for k in range(32)]
-    flips = signed.groupBy(*by, "block").agg(F.count(F.lit(1)).alias("n"), F.array(*sums).alias("s")).select(*by, "n", (F.col("block") * 32).alias("first"), F.posexplode("s").alias("k", "s")).where(F.col("first") + F.col("k") < replicates)
-    hits = flips.join(observed, by).groupBy(*by, "mean").agg(F.count_if(F.abs(F.col("s") / F.col("n")) >= F.abs("mean") - 1e-15).alias("hits"))
+    """Paired permutation p: share of hash-signed means at least as far from 0 as the observed one, plus one for it."""
+    d = cut(rows.where(F.col(value).isNotNull()).select(*by, item, F.col(value).cast("double").alias("d")))
+    observed = d.groupBy(*by).agg(F.avg("d").alias("mean"), F.count(F.lit(1)).alias("n"))
+    flips = sign_flips(d, by, item, "d", replicates, seed).select(*by, "first", F.posexplode("sums").alias("k", "s")).where(F.col("first") + F.col("k") < replicates)
+    both = flips.join(observed, by) if by else flips.crossJoin(F.broadcast(observed))  # one row
+    hits = both.groupBy(*by, "mean").agg(F.count_if(F.abs(F.col("s") / F.col("n")) >= F.abs("mean") - 1e-15).alias("hits"))
     return hits.select(*by, "mean", ((F.col("hits") + 1) / F.lit(replicates + 1.0)).alias("p_value"))
 
 
@@ -255,20 +177,8 @@ def bootstrap_spearman(rows: DataFrame, by: list[str], pairs: list[tuple[str, st
     """by, x, y, estimate, ci_lower, ci_upper: rank correlations whose replicates draw whole clusters inside strata and
     rank their rows anew, each counted as often as it was drawn. All pairs of columns share the draws and the ranks."""
     names = sorted({c for p in pairs for c in p})
-    held = rows.select(*by, stratum, cluster, *names).dropna(subset=names)
-    drawn = held.join(draws(held, stratum, cluster, replicates, seed), [stratum, cluster])
-    every = held.withColumn("replicate", F.lit(0)).withColumn("times", F.lit(1).cast("long")).unionByName(drawn.select(*held.columns, "replicate", "times"))
-    for c in names:
-        w = Window.partitionBy(*by, "replicate")
-        tied = F.sum("times").over(Window.partitionBy(*by, "replicate", c))
-        every = every.withColumn("_r" + c, F.sum("times").over(w.orderBy(c).rangeBetween(Window.unboundedPreceding, 0)) - tied + (tied + 1) / 2.0)
-    t, moments = F.col("times"), []
-    for x, y in pairs:
-        a, b, n = F.col("_r" + x), F.col("_r" + y), F.sum(t)
-        spread = lambda u, v, n=n: F.sum(t * u * v) - F.sum(t * u) * F.sum(t * v) / n
-        r = F.try_divide(spread(a, b), F.sqrt(F.greatest(spread(a, a), F.lit(0.0)) * F.greatest(spread(b, b), F.lit(0.0))))
-        moments.append(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), r.alias("r")))
-    each = every.groupBy(*by, "replicate").agg(F.array(*moments).alias("m")).select(*by, "replicate", F.inline("m"))
+    held = cut(rows.select(*by, stratum, cluster, *names).dropna(subset=names))
+    each = ranks.replicate_correlations(held, by, names, pairs, stratum, cluster, replicates, seed)
     again = F.when(F.col("replicate") > 0, F.col("r"))
     return each.groupBy(*by, "x", "y").agg(F.max(F.when(F.col("replicate") == 0, F.col("r"))).alias("estimate"), F.percentile(again, F.lit(0.025)).alias("ci_lower"), F.percentile(again, F.lit(0.975)).alias("ci_upper"))
 

@@ -66,7 +66,7 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("*", near.alias("intensity"), (1 + F.pmod(h, F.lit(5))).cast("int").alias("naturalness"), (F.pmod(h, F.lit(10)) < 8).alias("passed"), (F.pmod(h, F.lit(17)) == 0).alias("missing"))
 
 
-WITH = """WITH p0 AS (SELECT vec_id, vec_id // 7 AS g, vec_id % 7 AS k, embedding::DOUBLE[] AS v FROM embeddings),
+WITH = """WITH RECURSIVE p0 AS (SELECT vec_id, vec_id // 7 AS g, vec_id % 7 AS k, embedding::DOUBLE[] AS v FROM embeddings),
 c0 AS (SELECT g FROM p0 GROUP BY g HAVING count(*) = 7),
 q0 AS (SELECT p0.*, g % 3 + 1 AS seed, g // 3 AS u FROM p0 JOIN c0 USING (g)),
 w0 AS (SELECT u FROM q0 GROUP BY u HAVING count(DISTINCT seed) = 3),
@@ -135,10 +135,21 @@ def boot(source: str, by: list[str], metrics: list[str], name: str = "bt", strat
 
 
 def draws_sql(source: str, name: str, stratum: str = "style_axis", cluster: str = "scenario_id", replicates: int = 10_000) -> str:
-    """{name}_r: stratum, cluster, b, times."""
-    return f"""{name}_d AS (SELECT {stratum}, {cluster}, row_number() OVER (PARTITION BY {stratum} ORDER BY {cluster}) AS pos, count(*) OVER (PARTITION BY {stratum}) AS n FROM (SELECT DISTINCT {stratum}, {cluster} FROM {source})),
-{name}_t AS (SELECT {stratum}, b, ('0x' || substr(md5('1:' || {stratum} || ':' || b || ':' || pos), 1, 8))::BIGINT % n + 1 AS pos, count(*) AS times FROM {name}_d, range(1, {replicates + 1}) r(b) GROUP BY ALL),
-{name}_r AS (SELECT {stratum}, {cluster}, b, times FROM {name}_t JOIN {name}_d USING ({stratum}, pos))"""
+    """{name}_r: stratum, cluster, b, times, as resampling.dealt describes: draws are split down a tree of the clusters' hash
+    bits by binomial counts. For strata of at most 512 clusters, whose draws are one piece at every node."""
+    half = "lambda y: (xor(y >> 16, y) * 73244475) & 4294967295"
+    u = f"(list_transform(list_transform(list_transform([(s.key + b * 2654435761) & 4294967295], {half}), {half}), lambda y: xor(y >> 16, y))[1] + 0.5) / 4294967296.0::DOUBLE"
+    less = f"len(list_filter(c.cdf, lambda x: x <= {u}))"
+    return f"""{name}_d AS (SELECT DISTINCT {stratum}, {cluster}, ('0x' || substr(md5({cluster}::VARCHAR), 1, 15))::BIGINT AS h FROM {source}),
+{name}_n AS (SELECT {stratum}, d, h >> (60 - d)::INT AS p, count(*) AS n, any_value({cluster}) AS one FROM {name}_d, range(0, 61) t(d) GROUP BY ALL),
+{name}_s AS (SELECT a.{stratum}, a.d, a.p, a.n, coalesce(l.n, 0) AS nl, ('0x' || substr(md5('1:' || a.{stratum} || ':' || a.d || ':' || a.p), 1, 8))::BIGINT AS key FROM {name}_n a LEFT JOIN {name}_n l ON l.{stratum} = a.{stratum} AND l.d = a.d + 1 AND l.p = 2 * a.p WHERE a.n > 1),
+{name}_nq AS (SELECT DISTINCT n, least(nl, n - nl) AS nq FROM {name}_s WHERE nl NOT IN (0, n)),
+{name}_c0 AS (SELECT n, nq, m, i, pow(1 - nq / n::DOUBLE, m) * coalesce(product(CASE WHEN i > 0 THEN (m - i + 1) / i::DOUBLE * (nq / n::DOUBLE) / (1 - nq / n::DOUBLE) ELSE 1 END) OVER (PARTITION BY n, nq, m ORDER BY i), 1) AS pmf FROM {name}_nq, range(1, (SELECT max(n) + 1 FROM {name}_n)) r(m), range(0, (SELECT max(n) FROM {name}_n)) t(i) WHERE i < m),
+{name}_c AS (SELECT n, nq, m, list(cdf ORDER BY i) AS cdf FROM (SELECT n, nq, m, i, sum(pmf) OVER (PARTITION BY n, nq, m ORDER BY i) AS cdf FROM {name}_c0) GROUP BY ALL),
+{name}_k AS (SELECT {stratum}, d, p, b, n AS k FROM {name}_n, range(1, {replicates + 1}) r(b) WHERE d = 0 UNION ALL
+  SELECT {stratum}, d + 1, 2 * p + side, b, CASE WHEN side = 0 THEN kl ELSE k - kl END FROM (SELECT t.{stratum}, t.d, t.p, b, k, s.n, s.nl, CASE WHEN s.nl = 0 OR k = 0 THEN 0 WHEN s.nl = s.n THEN k WHEN 2 * s.nl <= s.n THEN {less} ELSE k - {less} END AS kl
+    FROM {name}_k t JOIN {name}_s s ON t.{stratum} = s.{stratum} AND t.d = s.d AND t.p = s.p LEFT JOIN {name}_c c ON c.n = s.n AND c.nq = least(s.nl, s.n - s.nl) AND c.m = t.k), (VALUES (0), (1)) v(side) WHERE CASE WHEN side = 0 THEN nl > 0 ELSE nl < n END),
+{name}_r AS (SELECT k.{stratum}, n.one AS {cluster}, b, k AS times FROM {name}_k k JOIN {name}_n n ON n.{stratum} = k.{stratum} AND n.d = k.d AND n.p = k.p WHERE n.n = 1 AND k > 0)"""
 
 
 def rank_sql(value: str, by: str) -> str:
