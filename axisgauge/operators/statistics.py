@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from axisgauge.functions.lineage import cut
 from axisgauge.functions.numeric import average_rank, safe_corr, spearman
-from axisgauge.operators import ranks
+from axisgauge.operators import absorption, ranks
 from axisgauge.operators.resampling import draws, drawn_sums, sign_flips
 
 __all__ = ["draws", "drawn_sums"]
@@ -218,32 +218,10 @@ def scale_regression(rows: DataFrame, registry: DataFrame, metrics: list[str], p
     return found.join(rho, keys, "left").join(slopes, keys, "left")
 
 
-def _levels(rows: DataFrame, column: str, most: int = 400) -> list:
-    """The distinct values of a column that must have few; driver-side solves are bounded by them."""
-    found = [r[0] for r in rows.select(column).distinct().orderBy(column).limit(most + 1).collect()]
-    if len(found) > most:
-        raise ValueError(f"{column} has more than {most} values")
-    return found
-
-
 def fixed_effect_residual(rows: DataFrame, value: str, absorbed: str, effects: list[str], name: str) -> DataFrame:
-    """rows with `name`: the residual of value on fixed effects of `absorbed` (any number of groups; what is constant in a
-    group is absorbed with it) and of the columns `effects` (few values each). The absorbed effect is taken out by group
-    means; what is left are normal equations of a few columns, summed in one pass and solved on the driver with the least
-    norm. Rows without the value keep a null."""
-    real = F.col(value).isNotNull()
-    dummies = [F.when(F.col(e) == v, 1.0).otherwise(0.0) for e in effects for v in _levels(rows.where(real), e)[1:]]
-    w = Window.partitionBy(absorbed)
-    inside = lambda c: F.when(real, c - F.avg(F.when(real, c)).over(w))
-    flat = rows.withColumns({"_y": inside(F.col(value).cast("double"))} | {f"_x{k}": inside(d) for k, d in enumerate(dummies)})
-    x, y = [F.col(f"_x{k}") for k in range(len(dummies))], F.col("_y")
-    fitted = F.lit(0.0)
-    if x:
-        sums = flat.agg(F.array(*[F.sum(a * b) for a in x for b in x]).alias("xx"), F.array(*[F.sum(a * y) for a in x]).alias("xy")).first()
-        if sums["xy"][0] is not None:
-            b = np.linalg.pinv(np.reshape(sums["xx"], (len(x), len(x)))) @ np.array(sums["xy"])
-            fitted = sum((a * float(k) for a, k in zip(x, b, strict=True)), F.lit(0.0))
-    return flat.withColumn(name, y - fitted).drop("_y", *[f"_x{k}" for k in range(len(x))])
+    """rows with `name`: the residual of value on fixed effects of `absorbed` and of the columns `effects`, each with any number
+    of levels. Rows without the value keep a null."""
+    return absorption.absorbed(rows, {name: F.col(value)}, [absorbed, *effects])
 
 
 def line_residual(rows: DataFrame, y: str, x: str, name: str) -> DataFrame:
@@ -280,36 +258,44 @@ def chi_square_tail(x: float, df: int) -> float:
     return scale * h
 
 
-def clustered_ols(rows: DataFrame, y: str, terms: dict[str, Column], cluster: str) -> tuple[DataFrame, dict[str, float]]:
+def clustered_ols(rows: DataFrame, y: str, terms: dict[str, Column], cluster: str, absorb: list[str] | None = None) -> tuple[DataFrame, dict[str, float]]:
     """(term, estimate, std_error, z), and figures of the fit: n, clusters, R2, the LM statistic for unequal variances with
     its degrees of freedom and p value, and the design's condition number. Errors are robust to clusters, with the factor
-    G / (G - 1) * (n - 1) / (n - k). Sums of products are taken by Spark, systems of as many rows as terms solved on the
-    driver, with the least norm where terms depend on each other."""
-    if len(terms) > 400:
-        raise ValueError("more than 400 terms")
-    names = ["intercept", *terms]
-    d = rows.select(cluster, F.col(y).cast("double").alias("_y"), F.lit(1.0).alias("_x0"), *[c.cast("double").alias(f"_x{k}") for k, c in enumerate(terms.values(), 1)]).dropna()
-    x, p = [F.col(f"_x{k}") for k in range(len(names))], len(names)
-    one = d.agg(F.count(F.lit(1)).alias("n"), F.array(*[F.sum(x[i] * x[j]) for i in range(p) for j in range(i, p)]).alias("xx"), F.array(*[F.sum(c * F.col("_y")) for c in x]).alias("xy"), F.avg("_y").alias("m")).first()
-    xx = np.zeros((p, p))
-    xx[np.triu_indices(p)] = one["xx"]
-    xx = xx + np.triu(xx, 1).T
+    G / (G - 1) * (n - 1) / (n - k). Sums of products are matrices that tasks add up in numpy; systems of as many rows as terms
+    are solved on the driver, with the least norm where terms depend on each other. Factors with many levels go in `absorb`:
+    y and all terms are replaced by their residuals on them (there is no intercept then, and R2 is that within the factors);
+    k then counts their levels as well, less one for each factor after the first."""
+    values = {"_y": F.col(y), **{f"_x{k}": c for k, c in enumerate(terms.values(), 1)}}
+    d, levels = rows.select(cluster, *(absorb or []), *[c.cast("double").alias(n) for n, c in values.items()]).dropna(subset=list(values)), 0
+    if absorb:
+        d = cut(d)
+        one = d.agg(*[F.countDistinct(F.coalesce(F.col(f).cast("string"), F.lit("\0"))).alias(f"c{i}") for i, f in enumerate(absorb)]).first()
+        levels = sum(one) - len(absorb) + 1
+        d = absorption.absorbed(d, {n: F.col(n) for n in values}, absorb)
+    names = [*([] if absorb else ["intercept"]), *terms]
+    ones = [] if absorb else [F.lit(1.0)]
+    d = cut(d.select(cluster, F.array(*ones, *[F.col(n) for n in values if n != "_y"]).alias("x"), F.col("_y").alias("y")))
+    p, n = len(names), d.count()
+    if not n:
+        raise ValueError("no complete rows")
+    whole = absorption.gram(d.select(F.concat("x", F.array("y")).alias("v")), "v")
+    xx, xy = whole[:p, :p], whole[:p, p]
     inverse = np.linalg.pinv(xx, hermitian=True)
-    beta = inverse @ np.array(one["xy"])
-    e = F.col("_y") - sum((c * float(b) for c, b in zip(x, beta, strict=True)), F.lit(0.0))
-    d = d.withColumn("_e", e)
-    scores = d.groupBy(cluster).agg(*[F.sum(c * F.col("_e")).alias(f"s{k}") for k, c in enumerate(x)])
-    s = [F.col(f"s{k}") for k in range(p)]
-    meat = scores.agg(F.count(F.lit(1)).alias("g"), F.array(*[F.sum(a * b) for a in s for b in s]).alias("m")).first()
-    sq = F.col("_e") * F.col("_e")
-    two = d.agg(F.sum(sq).alias("rss"), F.sum((F.col("_y") - one["m"]) ** 2).alias("tss"), F.sum(sq * sq).alias("qq"), F.array(*[F.sum(c * sq) for c in x]).alias("xq")).first()
-    n, g, rank = one["n"], meat["g"], int(np.linalg.matrix_rank(xx, hermitian=True))
+    beta = inverse @ xy
+    scores = cut(absorption.cluster_scores(d, cluster, beta))
+    meat, g = absorption.gram(scores, "s"), scores.count()
+    squares = absorption.gram(absorption.squared_residuals(d, beta), "v")
+    q, qq = squares[:p, p], squares[p, p]
+    two = d.agg(F.var_pop("y").alias("v"), F.avg("y").alias("m")).first()
+    tss, rss = (two["v"] * n, float(q[0])) if not absorb else (float(whole[p, p]), float(whole[p, p] - xy @ beta))
+    rank = int(np.linalg.matrix_rank(xx, hermitian=True)) + levels
     factor = g / (g - 1) * (n - 1) / (n - rank) if g > 1 and n > rank else math.nan
-    error = np.sqrt(np.maximum(np.diag(inverse @ np.reshape(meat["m"], (p, p)) @ inverse) * factor, 0))
-    q = np.array(two["xq"])
-    spread = two["qq"] - two["rss"] ** 2 / n
-    lm = n * (float(q @ inverse @ q) - two["rss"] ** 2 / n) / spread if spread > 0 else 0.0
-    values = np.linalg.eigvalsh(xx)
-    figures = {"n": float(n), "clusters": float(g), "r2": 1 - two["rss"] / two["tss"] if two["tss"] else math.nan, "lm": lm, "lm_df": float(max(p - 1, 1)), "lm_p": chi_square_tail(lm, max(p - 1, 1)), "condition_number": float(np.sqrt(values[-1] / values[0])) if values[0] > 0 else math.inf}
+    error = np.sqrt(np.maximum(np.diag(inverse @ meat @ inverse) * factor, 0))
+    spread = qq - rss**2 / n
+    lm = n * (float(q @ inverse @ q) - rss**2 / n) / spread if spread > 0 else 0.0
+    if absorb:
+        lm = math.nan  # needs an intercept among the terms
+    eigen = np.linalg.eigvalsh(xx)
+    figures = {"n": float(n), "clusters": float(g), "r2": 1 - rss / tss if tss else math.nan, "lm": lm, "lm_df": float(max(p - 1, 1)), "lm_p": math.nan if absorb else chi_square_tail(lm, max(p - 1, 1)), "condition_number": float(np.sqrt(eigen[-1] / eigen[0])) if eigen[0] > 0 else math.inf}
     out = [(t, float(b), float(v), float(b / v) if v > 0 else None) for t, b, v in zip(names, beta, error, strict=True)]
     return rows.sparkSession.createDataFrame(out, "term string, estimate double, std_error double, z double"), figures
