@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from axisgauge.functions.lineage import cut
+
 #: Standard deviations at or below this count as constant; anchors closer than this as collapsed.
 EPS = 1e-12
 
@@ -43,7 +45,7 @@ def global_rank(df: DataFrame, value: str, name: str) -> DataFrame:
     """Average ranks over a whole table without one task holding it: ranks are computed on the distinct values, whose
     cumulative counts come from range partitions' totals."""
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
-    parts = counts.repartitionByRange(value).withColumn("_p", F.spark_partition_id())
+    parts = cut(counts.repartitionByRange(value).withColumn("_p", F.spark_partition_id()))  # written, so that both reads see the same ranges
     totals = parts.groupBy("_p").agg(F.sum("_n").alias("_t"))  # one row for each partition
     before = totals.withColumn("_before", F.coalesce(F.sum("_t").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_before")
     own = F.coalesce(F.sum("_n").over(Window.partitionBy("_p").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from axisgauge.functions.numeric import stable_id
+from axisgauge.functions.quantiles import aggregated
 
 #: Fixed value: what only a reasoning trace or a template leaves in an output.
 HARD_MARKER = r"(?i)<think>|</think>|Thinking Process|步骤说明"
@@ -111,7 +112,7 @@ def cost_total(stages: DataFrame, stage: str, restarted: str, in_flight: int, ex
 
 
 def service_table(rows: DataFrame, by: list[str]) -> DataFrame:
-    return rows.groupBy(*by).agg(F.count_if("success").alias("success"), F.count_if(~F.col("success")).alias("failed"), F.array_join(F.sort_array(F.collect_set("model_id")), "|").alias("models"), F.percentile("latency", F.lit(0.5)).alias("p50"), F.percentile("latency", F.lit(0.95)).alias("p95"))
+    return aggregated(rows, by, [F.count_if("success").alias("success"), F.count_if(~F.col("success")).alias("failed"), F.array_join(F.sort_array(F.collect_set("model_id")), "|").alias("models")], {"p50": ("latency", 0.5), "p95": ("latency", 0.95)})
 
 
 def within_tolerance(measured: DataFrame, expected: DataFrame, on: list[str], tolerance: float = 0.002) -> DataFrame:

@@ -6,7 +6,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from axisgauge.functions.lineage import cut
 from axisgauge.functions.numeric import safe_corr, spearman
+from axisgauge.functions.quantiles import aggregated
 
 KEYS = ["scenario_id", "style_axis", "model_id", "encoder_id"]
 FLAGS = ["early_overshoot", "late_under_response", "non_monotonic_reversal", "near_constant_response", "out_of_range_extrapolation", "endpoint_collapse", "high_off_axis_drift", "curved_trajectory", "length_dominated_control", "content_style_entanglement"]
@@ -38,8 +40,9 @@ def flags(samples: DataFrame, shapes: DataFrame, lengths: DataFrame, judged: Dat
     )
     shape = shapes.groupBy(*KEYS).agg(F.avg("path_length_ratio").alias("path"), F.avg("pc1_abs_cosine").alias("cosine"))
     rows = rows.join(shape, KEYS, "left").join(mixed, KEYS, "left")
-    cuts = rows.groupBy("encoder_id").agg(*[F.percentile(c, F.lit(limits[k] / 100)).alias(f"{c}_cut") for c, k in (("separation", "collapse"), ("drift", "drift"), ("path", "path"))])
-    median = rows.groupBy("model_id", "encoder_id").agg(F.percentile("ice", F.lit(0.5)).alias("median"))
+    rows = cut(rows)
+    cuts = aggregated(rows, ["encoder_id"], [F.count(F.lit(1)).alias("_n")], {f"{c}_cut": (c, limits[k] / 100) for c, k in (("separation", "collapse"), ("drift", "drift"), ("path", "path"))}).drop("_n")
+    median = aggregated(rows, ["model_id", "encoder_id"], [F.count(F.lit(1)).alias("_n")], {"median": ("ice", 0.5)}).drop("_n")
     rows = rows.join(F.broadcast(cuts), "encoder_id").join(median, ["model_id", "encoder_id"])  # cuts: a row for each encoder
     no = F.lit(False)
     return rows.select(

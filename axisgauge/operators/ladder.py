@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from axisgauge.functions.lineage import cut
+from axisgauge.functions.quantiles import aggregated
+
 
 def curve(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """Mean, its standard error, and the mean with 1.96 errors on both sides."""
@@ -25,7 +28,8 @@ def endpoint_inclusion(samples: DataFrame, by: list[str]) -> DataFrame:
 
 def low_separation(rows: DataFrame, encoder: str, separation: str) -> DataFrame:
     """All rows, and those strictly above their encoder's 10th and 20th percentile of separation, named in `cut`."""
-    cuts = rows.groupBy(encoder).agg(F.percentile(separation, F.lit(0.1)).alias("p10"), F.percentile(separation, F.lit(0.2)).alias("p20"))
+    rows = cut(rows)
+    cuts = aggregated(rows, [encoder], [F.count(F.lit(1)).alias("_n")], {"p10": (separation, 0.1), "p20": (separation, 0.2)}).drop("_n")
     tagged = rows.join(F.broadcast(cuts), encoder)  # a row for each encoder
     keep = F.array(F.lit("full"), F.when(F.col(separation) > F.col("p10"), "p10"), F.when(F.col(separation) > F.col("p20"), "p20"))
     return tagged.select("*", F.explode(F.array_compact(keep)).alias("cut")).drop("p10", "p20")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from axisgauge.functions.numeric import average_rank, global_rank, safe_corr
+from axisgauge.functions.lineage import cut
+from axisgauge.functions.quantiles import aggregated
 
 
 def estimator_comparison(rows: DataFrame, by: list[str], errors: list[str]) -> DataFrame:
@@ -49,11 +51,11 @@ def retest_stability(first: DataFrame, second: DataFrame, key: str) -> DataFrame
 
 def anchor_span(anchors: DataFrame, separation: str, eps: float = 1e-12) -> DataFrame:
     s = F.col(separation)
-    return anchors.agg(F.avg(s).alias("mean"), F.percentile(s, F.lit(0.5)).alias("median"), F.count_if(s > eps).alias("computable"), F.count_if(s <= eps).alias("collapsed"))
+    return aggregated(cut(anchors.select(separation)), [], [F.avg(s).alias("mean"), F.count_if(s > eps).alias("computable"), F.count_if(s <= eps).alias("collapsed")], {"median": (separation, 0.5)})
 
 
 def pair_spread(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    return rows.groupBy(*by).agg(F.avg(value).alias("mean"), *[F.percentile(value, F.lit(q / 100)).alias(f"p{q}") for q in (10, 50, 90)])
+    return aggregated(cut(rows.select(*by, value)), by, [F.avg(value).alias("mean")], {f"p{q}": (value, q / 100) for q in (10, 50, 90)})
 
 
 def evaluation_index(sources: dict[str, DataFrame], key: Column, text: str = "text") -> DataFrame:
@@ -138,8 +140,8 @@ PAIR_METRICS = ["separation", "length_difference", "length_absolute_difference",
 
 def pair_table(pairs: DataFrame, by: list[str], metrics: list[str] = PAIR_METRICS) -> DataFrame:
     """Mean, median, p10, p90 and number of pairs of each metric."""
-    long = pairs.select(*by, *[F.col(m).cast("double").alias(m) for m in metrics]).unpivot(by, metrics, "metric", "v")
-    return long.groupBy(*by, "metric").agg(F.avg("v").alias("mean"), *[F.percentile("v", F.lit(q / 100)).alias(n) for n, q in (("median", 50), ("p10", 10), ("p90", 90))], F.count(F.lit(1)).alias("pairs"))
+    long = cut(pairs).select(*by, *[F.col(m).cast("double").alias(m) for m in metrics]).unpivot(by, metrics, "metric", "v")
+    return aggregated(long, [*by, "metric"], [F.avg("v").alias("mean"), F.count(F.lit(1)).alias("pairs")], {n: ("v", q / 100) for n, q in (("median", 50), ("p10", 10), ("p90", 90))})
 
 
 def wide_comparison(tables: list[DataFrame], key: str) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from axisgauge.functions.lineage import cut
 from axisgauge.functions.numeric import average_rank, safe_corr, spearman
+from axisgauge.functions.quantiles import aggregated
 from axisgauge.operators import absorption, ranks
 from axisgauge.operators.resampling import draws, drawn_sums, sign_flips
 
@@ -65,10 +66,8 @@ def paired_differences(rows: DataFrame, by: list[str], model: str, unit: str, va
 
 def paired_summary(pairs: DataFrame, by: list[str]) -> DataFrame:
     keys = [*by, "model_a", "model_b"]
-    return pairs.groupBy(*keys).agg(
-        F.avg("difference").alias("mean_difference"), F.percentile("difference", F.lit(0.5)).alias("median_difference"),
-        F.when(F.stddev_samp("difference") > 0, F.avg("difference") / F.stddev_samp("difference")).alias("dz"), F.count("difference").alias("n"),
-    )
+    spread = F.stddev_samp("difference")
+    return aggregated(cut(pairs), keys, [F.avg("difference").alias("mean_difference"), F.when(spread > 0, F.avg("difference") / spread).alias("dz"), F.count("difference").alias("n")], {"median_difference": ("difference", 0.5)})
 
 
 def normal_tail(z: Column) -> Column:
