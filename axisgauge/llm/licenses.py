@@ -79,33 +79,47 @@ def full_texts() -> dict[str, list[str]]:
     return found | {"AGPL-3.0": [re.sub(r"(?s)13\. Use with the GNU Affero.*?(?=14\. Revised)", lambda _: remote, gpl)]}
 
 
-def modelled(files: DataFrame, n: int, texts: dict[str, list[str]], least: float) -> tuple[DataFrame, DataFrame, Column]:
-    """Of the templates: each term's idf, the weights with norms, and the terms of which a row with a cosine of `least` needs one."""
-    spark = files.sparkSession
+def template_terms(spark: SparkSession, texts: dict[str, list[str]]) -> DataFrame:
+    """licence, template, term, tf."""
     known = spark.createDataFrame([(k, i, t) for k, v in texts.items() for i, t in enumerate(v)], "licence string, template int, text string")
-    own = known.select("licence", "template", F.explode(terms(F.col("text"))).alias("term")).groupBy("licence", "template", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return known.select("licence", "template", F.explode(terms(F.col("text"))).alias("term")).groupBy("licence", "template", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def document_frequencies(files: DataFrame, vocabulary: list[str]) -> dict[str, int]:
+    """In how many files each term is: each file's distinct terms meet the vocabulary in one pass; what is shuffled and
+    returned has a row for each term of the vocabulary at most."""
+    known = files.sparkSession.createDataFrame([(t,) for t in vocabulary], "term string")
+    each = files.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).join(F.broadcast(known), "term")  # the templates' terms
+    return {r["term"]: r["df"] for r in each.groupBy("term").agg(F.count(F.lit(1)).alias("df")).collect()}
+
+
+def modelled(own: DataFrame, n: int, df: dict[str, int], least: float) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Of templates' terms: each term's idf, the weights with norms, and the terms of which a row with a cosine of `least` needs one."""
+    spark = own.sparkSession
     vocabulary = sorted(r["term"] for r in own.select("term").distinct().collect())
-    # document frequencies over all files, of the templates' terms
-    held = files.select(F.explode(F.array_intersect(terms(F.col("text")), literal(vocabulary))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    df = {r["term"]: r["df"] for r in held.collect()}  # as many rows as the templates have terms
     idf = spark.createDataFrame([(t, df.get(t, 0)) for t in vocabulary], "term string, df long").select("term", (F.log((n + F.lit(1.0)) / (1 + F.col("df"))) + 1).alias("idf"))
     templates = own.join(F.broadcast(idf), "term").select("licence", "template", "term", (F.col("tf") * F.col("idf")).alias("tw"))
     norms = templates.groupBy("licence", "template").agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("norm"))
     templates = written(templates.join(norms, ["licence", "template"]), "templates")
-    # the common terms that cannot reach the threshold by themselves
-    weight: dict[tuple, dict[str, float]] = {}
-    for r in templates.collect():
-        weight.setdefault((r["licence"], r["template"]), {})[r["term"]] = r["tw"] ** 2
-    common: set[str] = set()
-    for term in sorted(vocabulary, key=lambda t: -df.get(t, 0)):
-        if max(sum(v for t, v in w.items() if t in common | {term}) / sum(w.values()) for w in weight.values()) >= (least * 0.999) ** 2:
+    # the common terms that cannot reach the threshold by themselves: a running sum for each template
+    having: dict[str, list[tuple]] = {}
+    for r in templates.collect():  # as many as the templates have terms
+        having.setdefault(r["term"], []).append(((r["licence"], r["template"]), (r["tw"] / r["norm"]) ** 2))
+    reached: dict[tuple, float] = {}
+    order = sorted(vocabulary, key=lambda t: -df.get(t, 0))
+    common = 0
+    for term in order:
+        after = {t: reached.get(t, 0.0) + v for t, v in having[term]}
+        if max(after.values()) >= (least * 0.999) ** 2:
             break
-        common.add(term)
-    return idf, templates, literal([t for t in vocabulary if t not in common])
+        reached |= after
+        common += 1
+    return idf, templates, order[common:]
 
 
 def literal(found: list[str]) -> Column:
-    return F.lit(found) if found else F.array().cast("array<string>")
+    """The terms, which have no spaces, as a constant array."""
+    return F.split(F.lit(" ".join(found)), " ") if found else F.array().cast("array<string>")
 
 
 def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", header: float = HEADER, whole: float = WHOLE, full: float = FULL) -> DataFrame:
@@ -114,37 +128,41 @@ def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_
     files = files.select(F.col(id_col).alias("doc_id"), F.col(path_col).alias("path"), F.col(text_col).alias("text"))
     n = files.count()
     rare = float(spark.range(1).select(F.log(F.lit(n + 1.0)) + 1).first()[0])
-    idf, templates, anchors = modelled(files, n, TEMPLATES, min(header, whole))
-    full_idf, full_templates, full_anchors = modelled(files, n, full_texts(), full)
-    some = written(files.where(F.arrays_overlap(F.split(F.lower("text"), TOKEN), anchors) | F.arrays_overlap(F.split(F.lower("text"), TOKEN), full_anchors)).select("doc_id", "path", "text", F.monotonically_increasing_id().alias("file")), "anchored")
+    by_header, by_text = (written(template_terms(spark, t), "terms") for t in (TEMPLATES, full_texts()))
+    df = document_frequencies(files, sorted({r["term"] for r in by_header.unionByName(by_text).select("term").distinct().collect()}))
+    idf, templates, needed = modelled(by_header, n, df, min(header, whole))
+    full_idf, full_templates, full_needed = modelled(by_text, n, df, full)
+    anchors, full_anchors = literal(needed), literal(full_needed)
+    anchored = F.coalesce(F.arrays_overlap(F.split(F.lower("text"), TOKEN), literal(sorted({*needed, *full_needed}))), F.lit(False))
+    held = files.withColumn("anchored", anchored).select("doc_id", "path", "anchored", F.when(F.col("anchored"), F.col("text")).alias("text"), F.monotonically_increasing_id().alias("file"))
+    held = written(held, "anchored")  # one pass; without the texts that have no licence
+    some = held.where("anchored").drop("anchored")
     lines = some.select("file", F.posexplode(F.split("text", r"[\n\r]+")).alias("line", "text")).select("file", "line", terms(F.col("text")).alias("terms"))
     by_line = best_matches(lines.where(F.arrays_overlap("terms", anchors)), ["file", "line"], idf, templates, rare, header)
     by_line = by_line.groupBy("file").agg(F.min(F.struct((-F.col("score")).alias("minus"), "licence")).alias("b")).select("file", F.col("b.licence").alias("header"), (-F.col("b.minus")).alias("header_score"))
     bags = some.select("file", terms(F.col("text")).alias("terms"))
     by_file = best_matches(bags.where(F.arrays_overlap("terms", anchors)), ["file"], idf, templates, rare, whole).select("file", F.col("licence").alias("line"), F.col("score").alias("line_score"))
     by_full = best_matches(bags.where(F.arrays_overlap("terms", full_anchors)), ["file"], full_idf, full_templates, rare, full).select("file", F.col("licence").alias("full"), F.col("score").alias("full_score"))
-    found = some.select("file", "doc_id", "path").join(by_line, "file", "left").join(by_file, "file", "left").join(by_full, "file", "left").where("header is not null or line is not null or full is not null")
+    found = some.select("file", "doc_id", "path").join(by_line, "file", "left").join(by_file, "file", "left").join(by_full, "file", "left")
     # a file that is a full text has that licence, whatever its single lines name
     is_full = F.col("full").isNotNull()
-    found = found.select(
+    found = written(found.select(
         "doc_id", "path", F.when(is_full, F.col("full")).otherwise(F.col("header")).alias("header"), F.when(is_full, F.col("full_score")).otherwise(F.col("header_score")).alias("header_score"),
         F.coalesce("full", "line").alias("whole"), F.coalesce("full_score", "line_score").alias("whole_score"),
-    )
-    found = written(found.select("doc_id", "path", "header", "header_score", "whole", "whole_score"), "licensed")
+    ), "licensed")
     # directories with a licence, and each directory's nearest one
     folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
     of_dir = found.where("whole is not null and path is not null").withColumn("dir", folder).groupBy("dir").agg(F.min(F.struct((-F.col("whole_score")).alias("minus"), F.col("whole").alias("licence"))).alias("b"))
     of_dir = of_dir.select(F.col("dir").alias("from_dir"), F.col("b.licence").alias("dir_licence"), (-F.col("b.minus")).alias("dir_score"))
-    dirs = files.where("path is not null").select(folder.alias("dir")).distinct()
+    dirs = held.where("path is not null").select(folder.alias("dir")).distinct()
     parts = F.split("dir", "/")
     above = dirs.select("dir", F.explode(F.sequence(F.lit(1), F.size(parts))).alias("depth"), parts.alias("parts")).select("dir", "depth", F.array_join(F.slice("parts", 1, F.col("depth")), "/").alias("from_dir"))
     nearest = above.join(of_dir, "from_dir").groupBy("dir").agg(F.max_by(F.struct("dir_licence", "dir_score", "from_dir"), "depth").alias("i")).select("dir", "i.*")
-    rows = files.select("doc_id", "path", folder.alias("dir")).join(small(written(nearest, "nearest")), "dir", "left")
-    found = found.groupBy("doc_id", "path").agg(F.min_by(F.struct("header", "header_score", "whole", "whole_score"), F.coalesce(-F.col("header_score"), F.lit(0.0))).alias("o")).select("doc_id", "path", "o.*")
-    rows = rows.alias("r").join(found.alias("o"), F.col("r.doc_id").eqNullSafe(F.col("o.doc_id")) & F.col("r.path").eqNullSafe(F.col("o.path")), "left")
+    rest = held.where("not anchored").select("doc_id", "path")  # these have no licence of their own
+    rows = found.unionByName(rest, allowMissingColumns=True).withColumn("dir", folder).join(small(written(nearest, "nearest")), "dir", "left")
     kind = F.when(F.col("whole").isNotNull(), "file").when(F.col("header").isNotNull(), "header").when(F.col("dir_licence").isNotNull(), "inherited").otherwise("none")
     return rows.select(
-        "r.doc_id", "r.path", F.coalesce("header", "whole", "dir_licence").alias("licence"), kind.alias("found"),
+        "doc_id", "path", F.coalesce("header", "whole", "dir_licence").alias("licence"), kind.alias("found"),
         F.coalesce("header_score", "whole_score", "dir_score").alias("score"), F.when(kind == "inherited", F.col("from_dir")).alias("from_dir"),
     )
 
