@@ -26,6 +26,10 @@ from axisgauge.llm.wordbpe import BLOCK, encoder
 
 TOKENIZER = "word_bpe_49k.json"
 END = 2
+#: Bytes of text of a file: at most so many, and at least so many while there are fewer files than shuffle partitions.
+MOST, LEAST = 128 << 20, 4 << 20
+#: Files whose totals are added up in one group.
+BLOCK_OF_FILES = 1000
 
 
 def token_rows(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
@@ -58,8 +62,9 @@ def token_rows(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", files: int | None = None, row_group: int = 1000) -> None:
     """Writes the folder of ORC files, in ascending order of ids from file to file and within each."""
-    spark = docs.sparkSession
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if files is None:
+        size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
+        files = max(1, -(-size // MOST), min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // LEAST)))
     ordered = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id")
     (
         token_rows(ordered, tokenizer).write.option("compression", "zstd")
@@ -100,10 +105,14 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
     place = files.select("doc_id", "ids", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"))
     rows = place.mapInArrow(digest, f"doc_id {kind}, file string, block long, nth long, n_tokens long, ids_crc32 long")
     inside = rows.withColumn("within", F.sum("n_tokens").over(Window.partitionBy("file").orderBy("block", "nth").rowsBetween(Window.unboundedPreceding, -1)))
-    # Spark numbers the files of one write by their range, so their names are in the order of ids; a row for each file
-    totals = files.select(F.col("_metadata.file_name").alias("file"), F.size("ids").cast("long").alias("n")).groupBy("file").agg(F.sum("n").alias("n"))
-    before = totals.select("file", F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
-    return inside.join(before, "file").select("doc_id", (F.coalesce("before", F.lit(0)) + F.coalesce("within", F.lit(0))).alias("start"), "n_tokens", "ids_crc32")
+    # Spark numbers the files of one write by their range, so their numbers are in the order of ids; a row for each file
+    number = F.regexp_extract("file", r"^part-(\d+)", 1).cast("long")
+    totals = files.select(F.col("_metadata.file_name").alias("file"), F.size("ids").cast("long").alias("n")).groupBy("file").agg(F.sum("n").alias("n")).select("file", "n", number.alias("number"), F.floor(number / BLOCK_OF_FILES).alias("some"))
+    earlier = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = totals.withColumn("before", earlier(Window.partitionBy("some").orderBy("number")))
+    thousands = totals.groupBy("some").agg(F.sum("n").alias("n")).select("some", earlier(Window.orderBy("some")).alias("base"))  # a row for each thousand files
+    starts = before.join(thousands, "some").select("file", (F.col("before") + F.col("base")).alias("before"))
+    return inside.join(starts, "file").select("doc_id", (F.col("before") + F.coalesce("within", F.lit(0))).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
