@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-
 def doubles(*names: str) -> T.StructType:
     """As objects: workers import this module where a DDL text cannot be parsed."""
     return T.StructType([T.StructField(n, T.DoubleType()) for n in names])
@@ -18,7 +17,14 @@ PROJECTION = doubles("coordinate", "off_axis", "from_ideal", "from_a", "from_b",
 
 
 def matrix(s: pd.Series) -> np.ndarray:
-    """A row for each vector. Shorter ones are filled up with zeros, which change no inner product with their own kind."""
+    """A row for each vector. Shorter ones are filled up with zeros, which change no inner product with their own kind; a
+    null vector is a row of NaN, of which every result is null."""
+    none = np.fromiter((x is None for x in s), bool, len(s))
+    if none.any():
+        out = matrix(s[~none])
+        full = np.full((len(s), out.shape[1]), np.nan)
+        full[~none] = out
+        return full
     rows = s.to_numpy()
     sizes = np.fromiter(map(len, rows), np.int64, len(rows))
     if not len(rows) or (sizes == sizes[0]).all():
@@ -34,10 +40,10 @@ def project(v: pd.Series, a: pd.Series, b: pd.Series, alpha: pd.Series) -> pd.Da
     is (v - a).(b - a). With collapsed ends the coordinate is null, as is what follows from it."""
     v, a, b = matrix(v), matrix(a), matrix(b)
     step, off = b - a, v - a
-    separation = np.linalg.norm(step, axis=1)
-    along = np.einsum("ij,ij->i", off, step)
+    along, whole = np.einsum("ij,ij->i", off, step), np.einsum("ij,ij->i", step, step)
+    separation = np.sqrt(whole)
     ok = separation > 1e-12
-    c = np.where(ok, along / np.where(ok, separation**2, 1), np.nan)
+    c = np.where(ok, along / np.where(ok, whole, 1), np.nan)  # exactly 1 where v is b
     axial = np.where(ok, c, 0)[:, None] * step
     across = off - axial
     left = np.linalg.norm(off - (axial + across), axis=1) / np.maximum(np.linalg.norm(off, axis=1), 1)
@@ -50,17 +56,24 @@ def project(v: pd.Series, a: pd.Series, b: pd.Series, alpha: pd.Series) -> pd.Da
 def principal(points: pd.Series) -> pd.DataFrame:
     """Of a trajectory's points in order (an array of vectors): share of variance on the first principal axis and the
     absolute cosine between that axis and the end-to-end direction; null where the two largest shares are equal."""
-    rows = []
-    for p in points:
-        m = np.stack([np.asarray(x, np.float64) for x in p])
-        centred = m - m.mean(0)
-        values, vectors = np.linalg.eigh(centred @ centred.T)
-        total, ends = values.sum(), np.linalg.norm(m[-1] - m[0])
-        if total <= 0 or ends <= 1e-12 or values[-1] - values[-2] < 1e-12 * values[-1]:
-            rows.append((None, None))
-        else:
-            rows.append((values[-1] / total, min(1.0, abs(vectors[-1, -1] - vectors[0, -1]) * np.sqrt(values[-1]) / ends)))
-    return pd.DataFrame(rows, columns=["pc1_variance", "pc1_abs_cosine"], dtype=object)
+    out = np.full((len(points), 2), np.nan)
+    shapes: dict[tuple, list[int]] = {}
+    for i, p in enumerate(points):
+        if p is not None and len(p) and all(x is not None for x in p) and len({len(x) for x in p}) == 1:
+            shapes.setdefault((len(p), len(p[0])), []).append(i)
+    for at in shapes.values():  # trajectories of equal size at once
+        m = np.stack([np.stack(points.iloc[i]) for i in at]).astype(np.float64)
+        centred = m - m.mean(1, keepdims=True)
+        known = np.isfinite(centred).all((1, 2))
+        values, vectors = np.linalg.eigh(np.where(known[:, None, None], centred @ centred.transpose(0, 2, 1), 0))
+        total, ends = values.sum(1), np.linalg.norm(m[:, -1] - m[:, 0], axis=1)
+        second = values[:, -2] if values.shape[1] > 1 else np.zeros(len(at))
+        fine = known & (total > 0) & (ends > 1e-12) & (values[:, -1] - second >= 1e-12 * values[:, -1])
+        top = np.sqrt(np.maximum(values[:, -1], 0))
+        rows = np.array(at)[fine]
+        out[rows, 0] = (values[:, -1] / np.where(fine, total, 1))[fine]
+        out[rows, 1] = np.minimum(1.0, np.abs(vectors[:, -1, -1] - vectors[:, 0, -1]) * top / np.where(fine, ends, 1))[fine]
+    return pd.DataFrame(out, columns=["pc1_variance", "pc1_abs_cosine"]).astype(object).where(~np.isnan(out), None)
 
 
 @F.pandas_udf(T.DoubleType())

@@ -115,7 +115,7 @@ def service_table(rows: DataFrame, by: list[str]) -> DataFrame:
     return aggregated(rows, by, [F.count_if("success").alias("success"), F.count_if(~F.col("success")).alias("failed"), F.array_join(F.sort_array(F.collect_set("model_id")), "|").alias("models")], {"p50": ("latency", 0.5), "p95": ("latency", 0.95)})
 
 
-def within_tolerance(measured: DataFrame, expected: DataFrame, on: list[str], tolerance: float = 0.002) -> DataFrame:
+def within_tolerance(measured: DataFrame, expected: DataFrame, on: list[str], tolerance: float | Column = 0.002) -> DataFrame:
     return measured.join(F.broadcast(expected), on).withColumn("ok", F.abs(F.col("value") - F.col("expected")) <= tolerance)  # an expectation table
 
 

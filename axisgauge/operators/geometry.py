@@ -105,15 +105,28 @@ def seed_centres(points: DataFrame, by: list[str], seeds: int = 3) -> tuple[Data
 
 
 def leave_one_seed_out(points: DataFrame, by: list[str], seeds: int = 3) -> DataFrame:
-    """Each seed's points against the line between the other seeds' mean endpoints and against their mean points."""
+    """Each seed's interior points against the line between the other seeds' mean endpoints and against their mean points: error
+    of the ratio along it, share of points to which the reference of their own ratio is nearest, distance from that reference,
+    and distance from the line, or from the nearest mean point (`drift`), both in units of the mean endpoints' separation."""
     p, train = seed_centres(points, by, seeds)
     keys = [*by, "held_seed"]
-    ends = train.groupBy(*keys).agg(F.max(F.when(F.col("target_ratio") == 0, F.col("centre"))).alias("a"), F.max(F.when(F.col("target_ratio") == 1, F.col("centre"))).alias("b"))
+    ends = train.groupBy(*keys).agg(F.max(F.when(F.col("target_ratio") == 0, F.col("centre"))).alias("a"), F.max(F.when(F.col("target_ratio") == 1, F.col("centre"))).alias("b"), F.collect_set("target_ratio").alias("ratios"))
     test = p.withColumnRenamed("seed", "held_seed").select(*keys, "run_id", "target_ratio", "v")
-    line = with_geometry(test, ends, keys).where("is_interior").groupBy(*keys).agg(F.avg("projection_error_raw").alias("line_error"))
-    near = test.join(train.select(*keys, F.col("target_ratio").alias("r"), "centre"), keys).select(*keys, "run_id", "target_ratio", "r", (dot("v", "v") + dot("centre", "centre") - 2 * dot("v", "centre")).alias("d2"))
-    best = near.groupBy(*keys, "run_id", "target_ratio").agg(F.min_by("r", F.struct(F.round("d2", 12), "r")).alias("nearest"))
-    return line.join(best.where("target_ratio > 0 and target_ratio < 1").groupBy(*keys).agg(F.avg(F.abs(F.col("nearest") - F.col("target_ratio"))).alias("centroid_error"), F.avg((F.col("nearest") == F.col("target_ratio")).cast("double")).alias("nearest_accuracy")), keys)
+    on_line = with_geometry(test, ends, keys).where("is_interior")
+    choice = F.array_min(F.transform("ratios", lambda r: F.struct(F.abs(r - F.col("coordinate")), r.alias("r"))))["r"]
+    line = on_line.groupBy(*keys).agg(
+        F.avg("projection_error_raw").alias("line_error"), F.avg((choice == F.col("target_ratio")).cast("double")).alias("line_accuracy"), F.avg("interpolation_distance_normalized").alias("line_distance"),
+        F.avg("off_axis_drift_normalized").alias("line_drift"), F.max("separation").alias("separation"),
+    )
+    near = test.where("target_ratio > 0 and target_ratio < 1").join(train.select(*keys, F.col("target_ratio").alias("r"), "centre"), keys)
+    near = near.select(*keys, "run_id", "target_ratio", "r", F.greatest(dot("v", "v") + dot("centre", "centre") - 2 * dot("v", "centre"), F.lit(0.0)).alias("d2"))
+    best = near.groupBy(*keys, "run_id", "target_ratio").agg(F.min_by("r", F.struct(F.round("d2", 12), "r")).alias("nearest"), F.min("d2").alias("least"), F.max(F.when(F.col("r") == F.col("target_ratio"), F.col("d2"))).alias("own"))
+    wide = F.when(F.col("separation") > EPS, F.col("separation") + EPS)
+    centroid = best.join(line.select(*keys, "separation"), keys).groupBy(*keys).agg(
+        F.avg(F.abs(F.col("nearest") - F.col("target_ratio"))).alias("centroid_error"), F.avg((F.col("nearest") == F.col("target_ratio")).cast("double")).alias("nearest_accuracy"),
+        F.avg(F.sqrt("own") / wide).alias("centroid_distance"), F.avg(F.sqrt("least") / wide).alias("centroid_drift"),
+    )
+    return line.drop("separation").join(centroid, keys)
 
 
 def piecewise_line(points: DataFrame, by: list[str], seeds: int = 3) -> DataFrame:

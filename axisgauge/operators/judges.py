@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from axisgauge.functions.lineage import cut
 from axisgauge.functions.numeric import safe_corr, spearman
 from axisgauge.operators import ladder
 from axisgauge.operators.statistics import REPLICATES, bootstrap_means, bootstrap_pearson, cohen_kappa, fixed_effect_residual, holm, line_residual, paired_differences, wilcoxon
@@ -164,14 +165,6 @@ def retest_items(runs: DataFrame, by: list[str], seed: str) -> DataFrame:
     return runs.withColumn("_k", key).groupBy(*by).agg(F.min_by("run_id", "_k").alias("run_id"))
 
 
-def two_by_two(rows: DataFrame, keys: list[str], condition: str, value: str, names: list[str]) -> DataFrame:
-    """Prompt, temperature and interaction effects of complete two-by-two groups; names: base, prompt, temperature, both."""
-    base, prompt, heat, both = names
-    wide = rows.groupBy(*keys).pivot(condition, names).agg(F.avg(value)).dropna(subset=names)
-    c = F.col
-    return wide.select(*keys, ((c(prompt) + c(both) - c(base) - c(heat)) / 2).alias("prompt"), ((c(heat) + c(both) - c(base) - c(prompt)) / 2).alias("temperature"), (c(both) - c(prompt) - c(heat) + c(base)).alias("interaction"))
-
-
 
 
 LENIENT_FLAGS = ["added_key_information", "task_result_changed_by_addition", "factual_contradiction"]
@@ -215,8 +208,8 @@ def scalar_summary(rows: DataFrame, by: list[str]) -> DataFrame:
     base = r.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.abs(d)).alias("mae"), F.avg(d).alias("bias"), F.avg("content_preservation").alias("content"), F.avg("style_mixture_naturalness").alias("naturalness"), F.avg("parse_ok").alias("parse_ok_rate"),
     )
-    ratios = [row[0] for row in r.where("alpha > 0.2 and alpha < 0.8").select("alpha").distinct().orderBy("alpha").limit(100).collect()]  # the grid's middle
-    parts = [spearman(r, "alpha", "style_b_ratio", by, "spearman"), ladder.smoothness(r.where("style_b_ratio is not null"), by, "alpha", "style_b_ratio"), ladder.attraction(r.where("style_b_ratio is not null"), by, "style_b_ratio", ratios)]
+    middle = (F.col("alpha") > 0.2) & (F.col("alpha") < 0.8)
+    parts = [spearman(r, "alpha", "style_b_ratio", by, "spearman"), ladder.smoothness(r.where("style_b_ratio is not null"), by, "alpha", "style_b_ratio"), ladder.attraction(r.where("style_b_ratio is not null"), by, "style_b_ratio", middle)]
     for p in parts:
         base = base.join(p, by, "left")
     return base
@@ -266,6 +259,7 @@ def paired_style_tests(rows: DataFrame, value: str, replicates: int = REPLICATES
     means = rows.groupBy("judge", "scenario_id", "style_axis", "model_id").agg(F.avg(value).alias("m")).where("m is not null")
     d = paired_differences(means.drop("style_axis"), ["judge"], "model_id", "scenario_id", "m").join(means.select("scenario_id", "style_axis").distinct(), "scenario_id")
     by = ["judge", "model_a", "model_b"]
+    d = cut(d.withColumn("difference", F.round("difference", 12)))  # equal but for rounding: ties
     sd = d.groupBy(*by).agg(F.stddev_samp("difference").alias("_sd"))
     out = bootstrap_means(d, by, ["difference"], "style_axis", "scenario_id", replicates).drop("metric").join(sd, by).join(wilcoxon(d, by, zeros="drop"), by, "left")
     out = out.withColumn("dz", F.when(F.col("_sd") > 0, F.col("estimate") / F.col("_sd"))).drop("_sd")

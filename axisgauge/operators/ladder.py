@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from axisgauge.functions.lineage import cut
@@ -48,9 +48,10 @@ def smoothness(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     return means.select(*by, F.abs(F.col("m") - 2 * F.lag("m").over(w) + F.lag("m", 2).over(w)).alias("z")).groupBy(*by).agg(F.avg("z").alias("smoothness"))
 
 
-def attraction(rows: DataFrame, by: list[str], measured: str, ratios: list[float], low: float = 0.15, high: float = 0.85) -> DataFrame:
+def attraction(rows: DataFrame, by: list[str], measured: str, ratios: list[float] | Column, low: float = 0.15, high: float = 0.85) -> DataFrame:
+    """Share of rows near either end among those at the given ratios (a list, or a condition)."""
     at_end = ((F.col(measured) < low) | (F.col(measured) > high)).cast("double")
-    middle = F.round("target_ratio", 10).isin([round(r, 10) for r in ratios])
+    middle = ratios if isinstance(ratios, Column) else F.round("target_ratio", 10).isin([round(r, 10) for r in ratios])
     return rows.where(middle).groupBy(*by).agg(F.avg(at_end).alias("attraction"))
 
 
@@ -81,9 +82,10 @@ def first_groups(rows: DataFrame, stratum: str, unit: str, n: int) -> DataFrame:
 
 
 def two_and_three(rows: DataFrame, chosen: list[str], value: str) -> DataFrame:
-    """By model: the mean over chosen encoders and over all, of the encoders' model means; ranks by the least place."""
+    """By model: the mean over chosen encoders and over all, of the encoders' model means; ranks by the least place, means
+    equal to twelve decimals being ties."""
     means = rows.groupBy("model_id", "encoder_id").agg(F.avg(value).alias("m"))
-    wide = means.groupBy("model_id").agg(F.avg(F.when(F.col("encoder_id").isin(chosen), F.col("m"))).alias("two_mean"), F.avg("m").alias("three_mean"))
+    wide = means.groupBy("model_id").agg(F.round(F.avg(F.when(F.col("encoder_id").isin(chosen), F.col("m"))), 12).alias("two_mean"), F.round(F.avg("m"), 12).alias("three_mean"))
     place = lambda c: F.rank().over(Window.partitionBy(F.lit(0)).orderBy(c))  # noqa: E731  a row for each model
     return wide.select("*", (F.col("three_mean") - F.col("two_mean")).alias("difference"), place("two_mean").alias("two_rank"), place("three_mean").alias("three_rank"))
 

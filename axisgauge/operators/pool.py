@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def parse_candidates(raw: Column) -> Column:
@@ -38,19 +40,62 @@ def near_pairs(rows: DataFrame, axis: str, order: str, grams: str, num: int = 9,
     return full.where(shared * den >= (F.size("gl") + F.size("ge") - shared) * num).select(axis, "late", "early")
 
 
-def greedy_accept(rows: DataFrame, pairs: DataFrame, axis: str, order: str, checkpoint=None) -> DataFrame:
-    """axis, order, accepted: a row is rejected if an earlier accepted row of its axis is near. Each round accepts
-    the undecided rows without an earlier undecided neighbour and rejects those near an accepted one, until all are
-    decided; as many rounds as the longest chain. checkpoint cuts the lineage (DataFrame -> DataFrame)."""
+#: Near pairs of a component that one task decides; larger components are decided in rounds.
+TOGETHER = 1_000_000
+
+
+def star_components(pairs: DataFrame, axis: str, checkpoint) -> DataFrame:
+    """axis, o, root: the least row that each row with near pairs is linked to. Every round joins each row to its least neighbour,
+    first the larger neighbours and then the smaller ones; the rounds grow with the logarithm of the longest chain."""
+    edges = checkpoint(pairs.select(axis, F.col("late").alias("u"), F.col("early").alias("v")))
+    before = None
+    while True:
+        both = edges.unionByName(edges.select(axis, F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy(axis, "u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
+        large = checkpoint(both.join(least, [axis, "u"]).where("v > u and v != m").select(axis, F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = large.groupBy(axis, "u").agg(F.min("v").alias("m"))
+        small = large.join(least, [axis, "u"])
+        edges = checkpoint(small.where("v != m").select(axis, F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select(axis, "u", F.col("m").alias("v"))).distinct())
+        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64(axis, "u", "v").cast("decimal(38,0)"))).first())
+        if now == before:
+            return edges.select(axis, F.col("u").alias("o"), F.col("v").alias("root")).unionByName(edges.select(axis, F.col("v").alias("o"), F.col("v").alias("root")).distinct())
+        before = now
+
+
+def greedy_accept(rows: DataFrame, pairs: DataFrame, axis: str, order: str, checkpoint=None, together: int | None = None) -> DataFrame:
+    """axis, order, accepted: a row is rejected if an earlier accepted row of its axis is near. Rows that are linked by near pairs
+    are decided by one task, in their order; components with more than `together` pairs in rounds, each of which accepts the
+    undecided rows without an earlier undecided neighbour and rejects those near an accepted one. checkpoint cuts the lineage."""
     checkpoint = checkpoint or (lambda df: df.checkpoint())
-    state = checkpoint(rows.select(axis, F.col(order).alias("o"), F.lit(None).cast("boolean").alias("ok")))
+    root = star_components(pairs, axis, checkpoint)
+    known = checkpoint(pairs.join(root.select(axis, F.col("o").alias("late"), "root"), [axis, "late"]))
+    sizes = known.groupBy(axis, "root").agg(F.count(F.lit(1)).alias("size"))
+    large = checkpoint(sizes.where(F.col("size") > (together or TOGETHER)).select(axis, "root"))
+
+    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
+        accepted: dict = {}
+        for late, early in zip(*(pdf.sort_values(["late", "early"])[c].tolist() for c in ("late", "early")), strict=True):
+            accepted[late] = accepted.get(late, True) and not accepted.get(early, True)
+        return pd.DataFrame({axis: pdf[axis].iloc[0], "o": list(accepted), "ok": list(accepted.values())})
+
+    kind = T.StructType([rows.schema[axis], T.StructField("o", rows.schema[order].dataType), T.StructField("ok", T.BooleanType())])
+    small = known.join(large, [axis, "root"], "left_anti").groupBy(axis, "root").applyInPandas(decide, kind)
+    decided = small
+    if not large.isEmpty():
+        own = known.join(large, [axis, "root"], "left_semi").select(axis, "late", "early")
+        members = own.select(axis, F.col("late").alias("o")).union(own.select(axis, F.col("early").alias("o"))).distinct()
+        decided = small.unionByName(_in_rounds(members, own, axis, checkpoint))
+    return rows.select(axis, order).join(decided.select(axis, F.col("o").alias(order), "ok"), [axis, order], "left").select(axis, order, F.coalesce("ok", F.lit(True)).alias("accepted"))
+
+
+def _in_rounds(members: DataFrame, pairs: DataFrame, axis: str, checkpoint) -> DataFrame:
+    state = checkpoint(members.select(axis, "o", F.lit(None).cast("boolean").alias("ok")))
     while True:  # each round decides a row at least: the earliest undecided one
         seen = pairs.join(state.select(axis, F.col("o").alias("early"), F.col("ok").alias("eo")), [axis, "early"]).groupBy(axis, F.col("late").alias("o")).agg(F.bool_or(F.coalesce("eo", F.lit(False))).alias("hit"), F.bool_or(F.col("eo").isNull()).alias("wait"))
         new = F.when(F.col("ok").isNotNull(), F.col("ok")).when(F.coalesce("hit", F.lit(False)), False).when(~F.coalesce("wait", F.lit(False)), True)
         state = checkpoint(state.join(seen, [axis, "o"], "left").select(axis, "o", new.alias("ok")))
         if state.where("ok is null").isEmpty():
-            break
-    return state.select(axis, F.col("o").alias(order), F.col("ok").alias("accepted"))
+            return state
 
 
 def cap_and_number(rows: DataFrame, axis: str, order: str, most: int) -> DataFrame:

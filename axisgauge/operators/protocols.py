@@ -52,7 +52,7 @@ def model_summary(scenarios: DataFrame, replicates: int = statistics.REPLICATES)
     by = ["encoder_id", "protocol", "model_id"]
     size = scenarios.groupBy(*by).agg(
         F.countDistinct("scenario_id").alias("scenarios"), F.sum("trajectories").alias("trajectories"), F.sum("complete_trajectories").alias("complete_trajectories"),
-        F.sum("valid_points").alias("valid_points"), (F.sum("trajectories") * 5).alias("expected_points"), F.count_if("unstable").alias("collapsed"), F.avg("ice").alias("_ice"),
+        F.sum("valid_points").alias("valid_points"), (F.sum("trajectories") * 5).alias("expected_points"), F.count_if("unstable").alias("collapsed"), F.round(F.avg("ice"), 12).alias("_ice"),
     )
     ranked = average_rank(size, "_ice", by[:2], "ice_rank").drop("_ice")
     return statistics.bootstrap_means(scenarios, by, [*METRICS, "separation"], "style_axis", "scenario_id", replicates).join(ranked, by)

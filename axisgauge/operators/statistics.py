@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from axisgauge.functions.lineage import cut
 from axisgauge.functions.numeric import average_rank, safe_corr, spearman
 from axisgauge.functions.quantiles import aggregated
-from axisgauge.operators import absorption, ranks
+from axisgauge.operators import absorption, concordance, ranks
 from axisgauge.operators.resampling import draws, drawn_sums, sign_flips
 
 __all__ = ["draws", "drawn_sums"]
@@ -115,17 +115,9 @@ def sign_flip(rows: DataFrame, by: list[str], item: str, value: str, replicates:
     return hits.select(*by, "mean", ((F.col("hits") + 1) / F.lit(replicates + 1.0)).alias("p_value"))
 
 
-def ordered_pairs(rows: DataFrame, by: list[str], item: str, x: str, y: str) -> DataFrame:
-    a = rows.select(*by, F.col(item).alias("_i"), F.col(x).alias("x1"), F.col(y).alias("y1"))
-    b = rows.select(*by, F.col(item).alias("_j"), F.col(x).alias("x2"), F.col(y).alias("y2"))
-    return a.join(b, by).where("_i < _j") if by else a.join(b, F.col("_i") < F.col("_j"))
-
-
 def rank_agreement(rows: DataFrame, by: list[str], item: str, x: str, y: str) -> DataFrame:
-    """Kendall's tau-b, ranking flips and number of pairs, for a bounded number of items (models) in a group."""
-    s = ordered_pairs(rows, by, item, x, y).select(*by, F.signum(F.col("x1") - F.col("x2")).alias("sx"), F.signum(F.col("y1") - F.col("y2")).alias("sy"))
-    g = s.groupBy(*by).agg(F.sum(F.col("sx") * F.col("sy")).alias("c"), F.count_if(F.col("sx") != 0).alias("nx"), F.count_if(F.col("sy") != 0).alias("ny"), F.count_if(F.col("sx") != F.col("sy")).alias("flips"), F.count(F.lit(1)).alias("pairs"))
-    return g.select(*by, F.when((F.col("nx") > 0) & (F.col("ny") > 0), F.col("c") / F.sqrt(F.col("nx").cast("double") * F.col("ny"))).alias("kendall"), "flips", "pairs")
+    """Kendall's tau-b, ranking flips and number of pairs of any number of items in a group."""
+    return concordance.rank_agreement(rows.where(F.col(item).isNotNull()), by, x, y)
 
 
 def cohen_kappa(a: Column, b: Column) -> list[Column]:

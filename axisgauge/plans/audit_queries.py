@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from axisgauge.functions.lineage import shared_dir
 from axisgauge.functions.numeric import stable_id
-from axisgauge.operators import audit, judges
+from axisgauge.operators import audit, geometry, judges
 from axisgauge.plans.calibration_queries import rounded
 from axisgauge.plans.fixtures import WITH, points, table
 from axisgauge.sources import tables
@@ -168,3 +171,76 @@ def id18_cost_total(spark, sf):
     usage = table(spark, sf, "events").select("event_type", F.lit("j").alias("model_id"), F.col("user_id").alias("input_tokens"), (F.col("event_id") % 300).alias("cached_tokens"), (F.col("user_id") % 17).alias("output_tokens"), F.expr("case event_id % 6 when 0 then 'failed' when 1 then 'truncated' when 2 then null else 'ok' end").alias("status"))
     prices = spark.range(1).select(F.lit("j").alias("model_id"), F.lit(2.0).alias("input_price"), F.lit(0.2).alias("cached_price"), F.lit(10.0).alias("output_price"))
     return rounded(audit.cost_total(audit.cost(usage, prices, ["event_type"], "status"), "event_type", "purchase", 112, 0.1, 1.0))
+
+
+# --- readers and writers over files that are written from the tables
+
+def folder(spark, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+LINE = "CASE WHEN doc_id % 7 = 0 THEN 'bad' WHEN doc_id % 11 = 0 THEN 'blank' WHEN doc_id % 13 = 0 THEN 'list' ELSE 'good' END"
+
+
+@query(f"SELECT count(*) FILTER (kind = 'good') AS rows_read, (sum(doc_id) FILTER (kind = 'good'))::BIGINT AS ids, count(*) FILTER (kind = 'bad') AS not_json, count(*) FILTER (kind = 'list') AS not_objects, count(*) FILTER (kind = 'blank') AS blank FROM (SELECT doc_id, {LINE} AS kind FROM documents)", plain=True)
+def io2_tolerant_lines(spark, sf):
+    """Every document's id and language as a line of JSON, some of them broken, blank or no object."""
+    d, i = table(spark, sf, "documents"), F.col("doc_id")
+    line = F.when(i % 7 == 0, F.concat(F.lit('{"doc_id": '), i)).when(i % 11 == 0, "  ").when(i % 13 == 0, F.concat(F.lit("["), i, F.lit("]"))).otherwise(F.to_json(F.struct("doc_id", "lang")))
+    path = folder(spark, "lines")
+    d.select(line.alias("value")).write.text(path)
+    rows, bad, blank = tables.read_jsonl_tolerant(spark, path, "doc_id long, lang string")
+    one = rows.agg(F.count(F.lit(1)).alias("rows_read"), F.sum("doc_id").alias("ids")).crossJoin(bad.agg(F.count_if(F.col("error") == "not JSON").alias("not_json"), F.count_if(F.col("error") == "not an object").alias("not_objects")))
+    return one.crossJoin(blank.agg(F.sum("blank").alias("blank")))  # one row each
+
+
+@query("SELECT * FROM (SELECT r_regionkey AS key, r_name AS name, NULL::VARCHAR AS segment, NULL::INTEGER AS size FROM region UNION ALL SELECT c_custkey, c_name, c_mktsegment, NULL FROM customer UNION ALL SELECT p_partkey, p_name, NULL, p_size FROM part)", plain=True)
+def io3_read_many(spark, sf):
+    frames = [("region", ["r_regionkey key", "r_name name"]), ("customer", ["c_custkey key", "c_name name", "c_mktsegment segment"]), ("part", ["p_partkey key", "p_name name", "p_size size"])]
+    return tables.read_many([table(spark, sf, t).selectExpr(*c) for t, c in frames])
+
+
+@query("SELECT count(*) AS vectors, sum(len(embedding)) ::BIGINT AS entries, round(sum(embedding[1]::DOUBLE), 6) + 0.0 AS first_sum FROM embeddings", plain=True)
+def io4_fragments_of_vectors(spark, sf):
+    """Vectors written as four fragments, which must be four, and checked against their runs one to one."""
+    path = folder(spark, "vectors")
+    runs = table(spark, sf, "embeddings").select(F.col("vec_id").alias("run_id"), F.col("embedding").alias("vector"))
+    runs.repartition(4).write.parquet(path)
+    tables.read_fragments(spark, path, 4)
+    v = tables.read_vectors(spark, path, runs.select("run_id"))
+    return rounded(v.agg(F.count(F.lit(1)).alias("vectors"), F.sum(F.size("v")).alias("entries"), F.sum(F.get("v", 0)).alias("first_sum")))
+
+
+@query("SELECT n_nationkey AS id, n_name AS name FROM nation WHERE n_nationkey % 3 <> 0", plain=True)
+def io5_registry(spark, sf):
+    path = folder(spark, "registry")
+    table(spark, sf, "nation").selectExpr("n_nationkey id", "n_name name", "n_nationkey % 3 <> 0 included").write.csv(path, header=True)
+    return tables.read_registry(spark, path, "id int, name string, included boolean").drop("included").withColumn("id", F.col("id").cast(table(spark, sf, "nation").schema["n_nationkey"].dataType))
+
+
+@query("SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS place FROM orders", plain=True)
+def io6_sorted_results(spark, sf):
+    """Orders written in the order of price: files and rows in files follow it, so places are counts of the files before."""
+    path = folder(spark, "sorted")
+    tables.write_sorted(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), path, ["o_totalprice", "o_orderkey"])
+    rows = spark.read.parquet(path).select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    sizes = rows.groupBy("file").agg(F.count(F.lit(1)).alias("n"))  # a row for each file
+    before = sizes.select("file", F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return rows.join(F.broadcast(before), "file").select("o_orderkey", "o_totalprice", (F.col("before") + F.col("row") + 1).alias("place"))
+
+
+@query(" SELECT scenario_id, style_axis, model_id, seed, encoder_id, count(*) AS points, round(avg(projection_error_raw) FILTER (is_interior), 6) AS ice FROM geo GROUP BY ALL")
+def io7_laid_out_trajectories(spark, sf):
+    """Points and anchors laid out alike by trajectory, joined and grouped without an exchange."""
+    p = points(spark, sf, True)
+    laid, ends = tables.lay_out(p, geometry.TRAJECTORY), tables.lay_out(geometry.self_anchors(p), geometry.TRAJECTORY)
+    s = geometry.with_geometry(laid, ends, geometry.TRAJECTORY)
+    return rounded(s.groupBy(*geometry.TRAJECTORY).agg(F.count(F.lit(1)).alias("points"), F.avg(F.when(F.col("is_interior"), F.col("projection_error_raw"))).alias("ice")))
+
+
+@query("SELECT event_type, a AS value, b AS expected, abs(a - b) <= 0.02 * abs(b) AS ok FROM (SELECT event_type, round(avg(value) FILTER (user_id % 2 = 1), 6) AS a, round(avg(value) FILTER (user_id % 2 = 0), 6) AS b FROM events GROUP BY 1)", plain=True)
+def id24_within_tolerance(spark, sf):
+    """Means over odd users against those over even ones, two percent apart at most."""
+    e = table(spark, sf, "events")
+    half = lambda k, name: e.where(F.col("user_id") % 2 == k).groupBy("event_type").agg(F.round(F.avg("value"), 6).alias(name))
+    return audit.within_tolerance(half(1, "value"), half(0, "expected"), ["event_type"], F.abs("expected") * 0.02).select("event_type", "value", "expected", "ok")

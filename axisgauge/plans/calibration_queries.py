@@ -100,20 +100,30 @@ CENTRES = """, hs AS (SELECT DISTINCT scenario_id, style_axis, model_id, encoder
 ct AS (SELECT scenario_id, style_axis, model_id, encoder_id, held, ratio_idx AS r, list(m ORDER BY i) AS c FROM tc GROUP BY ALL)"""
 
 
-@query(CENTRES + """, nr AS (SELECT e.run_id, e.encoder_id, e.ratio_idx, r, list_distance(v, c) AS d, c.scenario_id, c.style_axis, c.model_id, held FROM enc e JOIN ct c ON c.scenario_id = e.scenario_id AND c.model_id = e.model_id AND c.encoder_id = e.encoder_id AND held = e.seed),
-bst AS (SELECT run_id, encoder_id, scenario_id, style_axis, model_id, held, any_value(ratio_idx) AS k, arg_min(r, (round(d * d, 12), r)) AS near FROM nr GROUP BY ALL),
-ln AS (SELECT e.run_id, e.encoder_id, abs((list_dot_product(v, b.c) - list_dot_product(v, a.c) - list_dot_product(a.c, b.c) + list_dot_product(a.c, a.c)) / list_distance(a.c, b.c) ** 2 - target_ratio) AS err FROM enc e JOIN ct a ON a.scenario_id = e.scenario_id AND a.model_id = e.model_id AND a.encoder_id = e.encoder_id AND a.held = e.seed AND a.r = 0 JOIN ct b ON b.scenario_id = e.scenario_id AND b.model_id = e.model_id AND b.encoder_id = e.encoder_id AND b.held = e.seed AND b.r = 6)
-SELECT scenario_id, style_axis, model_id, encoder_id, held AS held_seed, round(avg(err), 6) AS line_error, round(avg(abs(near - k) / 6.0), 6) AS centroid_error, round(avg((near = k)::INT), 6) AS nearest_accuracy FROM bst JOIN ln USING (run_id, encoder_id) WHERE k BETWEEN 1 AND 5 GROUP BY ALL""")
+#: Tables lp (a row for each interior point and its references) and lw (pieces), behind CENTRES.
+LOSO = CENTRES + """, nr AS (SELECT e.run_id, e.encoder_id, e.ratio_idx, r, list_distance(v, c) AS d, c.scenario_id, c.style_axis, c.model_id, held FROM enc e JOIN ct c ON c.scenario_id = e.scenario_id AND c.model_id = e.model_id AND c.encoder_id = e.encoder_id AND held = e.seed),
+bst AS (SELECT run_id, encoder_id, scenario_id, style_axis, model_id, held, any_value(ratio_idx) AS k, arg_min(r, (round(d * d, 12), r)) AS near, min(d) AS least, max(d) FILTER (r = ratio_idx) AS own FROM nr GROUP BY ALL),
+le AS (SELECT a.scenario_id, a.model_id, a.encoder_id, a.held, a.c AS a, b.c AS b, list_distance(a.c, b.c) AS separation FROM ct a JOIN ct b USING (scenario_id, style_axis, model_id, encoder_id, held) WHERE a.r = 0 AND b.r = 6),
+ln AS (SELECT e.run_id, e.encoder_id, target_ratio, separation, list_distance(v, a) AS from_a, list_dot_product(v, b) - list_dot_product(v, a) - list_dot_product(a, b) + list_dot_product(a, a) AS along FROM enc e JOIN le ON le.scenario_id = e.scenario_id AND le.model_id = e.model_id AND le.encoder_id = e.encoder_id AND held = e.seed),
+lp AS (SELECT scenario_id, style_axis, model_id, encoder_id, held AS held_seed, avg(abs(along / separation ** 2 - target_ratio)) AS line_error, avg((abs(along / separation ** 2 * 6 - k) < 0.5)::INT) AS line_accuracy, avg(sqrt(greatest(from_a ** 2 - 2 * target_ratio * along + (target_ratio * separation) ** 2, 0)) / (separation + 1e-12)) AS line_distance, avg(sqrt(greatest(from_a ** 2 - along ** 2 / separation ** 2, 0)) / (separation + 1e-12)) AS line_drift,
+  avg(abs(near - k) / 6.0) AS centroid_error, avg((near = k)::INT) AS nearest_accuracy, avg(own / (separation + 1e-12)) AS centroid_distance, avg(least / (separation + 1e-12)) AS centroid_drift FROM bst JOIN ln USING (run_id, encoder_id) WHERE k BETWEEN 1 AND 5 GROUP BY ALL),
+sg AS (SELECT a.*, b.c AS e, list_dot_product(b.c, b.c) + list_dot_product(a.c, a.c) - 2 * list_dot_product(a.c, b.c) AS long FROM ct a JOIN ct b USING (scenario_id, style_axis, model_id, encoder_id, held) WHERE b.r = a.r + 1),
+f0 AS (SELECT p.run_id, p.scenario_id, p.style_axis, p.model_id, p.encoder_id, held, ratio_idx AS k, r, long, list_dot_product(v, e) - list_dot_product(v, c) - list_dot_product(c, e) + list_dot_product(c, c) AS along, list_distance(v, c) ** 2 AS d2 FROM enc p JOIN sg ON p.scenario_id = sg.scenario_id AND p.model_id = sg.model_id AND p.encoder_id = sg.encoder_id AND held = seed WHERE ratio_idx BETWEEN 1 AND 5),
+f1 AS (SELECT *, CASE WHEN long <= 1e-12 THEN 0 ELSE greatest(0, least(1, along / long)) END AS part FROM f0), f2 AS (SELECT *, r + part AS place, greatest(d2 - 2 * part * along + part ** 2 * long, 0) AS away FROM f1),
+f3 AS (SELECT run_id, scenario_id, style_axis, model_id, encoder_id, held, k, arg_min(place, (round(away, 12), r)) AS place, arg_min(away, (round(away, 12), r)) AS away FROM f2 GROUP BY ALL),
+lw AS (SELECT scenario_id, style_axis, model_id, encoder_id, held AS held_seed, avg(abs(place - k) / 6.0) AS piecewise_error, avg((abs(place - k) < 0.5)::INT) AS piecewise_accuracy, avg(sqrt(away) / (separation + 1e-12)) AS piecewise_drift FROM f3 JOIN le USING (scenario_id, model_id, encoder_id, held) GROUP BY ALL)"""
+LINE_METRICS = ["line_error", "line_accuracy", "line_distance", "line_drift", "centroid_error", "nearest_accuracy", "centroid_distance", "centroid_drift"]
+PIECE_METRICS = ["piecewise_error", "piecewise_accuracy", "piecewise_drift"]
+HELD = "scenario_id, style_axis, model_id, encoder_id, held_seed"
+
+
+@query(LOSO + f" SELECT {HELD}, " + ", ".join(f"round({m}, 5) AS {m}" for m in LINE_METRICS) + " FROM lp")
 def ge6_leave_one_seed_out(spark, sf):
-    return rounded(geometry.leave_one_seed_out(points(spark, sf, True), ["scenario_id", "style_axis", "model_id", "encoder_id"]))
+    rows = geometry.leave_one_seed_out(points(spark, sf, True), ["scenario_id", "style_axis", "model_id", "encoder_id"])
+    return rows.select(*HELD.split(", "), *[F.round(m, 5).alias(m) for m in LINE_METRICS])
 
 
-@query(CENTRES + """, sg AS (SELECT a.*, b.c AS e, list_dot_product(b.c, b.c) + list_dot_product(a.c, a.c) - 2 * list_dot_product(a.c, b.c) AS long FROM ct a JOIN ct b USING (scenario_id, style_axis, model_id, encoder_id, held) WHERE b.r = a.r + 1),
-sp AS (SELECT a.scenario_id, a.model_id, a.encoder_id, a.held, list_distance(a.c, b.c) AS separation FROM ct a JOIN ct b USING (scenario_id, style_axis, model_id, encoder_id, held) WHERE a.r = 0 AND b.r = 6),
-f0 AS (SELECT p.run_id, p.scenario_id, p.style_axis, p.model_id, p.encoder_id, held, ratio_idx AS k, r, long, list_dot_product(v, e) - list_dot_product(v, c) - list_dot_product(c, e) + list_dot_product(c, c) AS along, list_distance(v, c) ** 2 AS d2 FROM enc p JOIN sg ON p.scenario_id = sg.scenario_id AND p.model_id = sg.model_id AND p.encoder_id = sg.encoder_id AND held = seed WHERE ratio_idx BETWEEN 1 AND 5),
-f1 AS (SELECT *, CASE WHEN long <= 1e-12 THEN 0 ELSE greatest(0, least(1, along / long)) END AS part FROM f0), f2 AS (SELECT *, r + part AS place, greatest(d2 - 2 * part * along + part ** 2 * long, 0) AS away FROM f1),
-f3 AS (SELECT run_id, scenario_id, style_axis, model_id, encoder_id, held, k, arg_min(place, (round(away, 12), r)) AS place, arg_min(away, (round(away, 12), r)) AS away FROM f2 GROUP BY ALL)
-SELECT scenario_id, style_axis, model_id, encoder_id, held AS held_seed, round(avg(abs(place - k) / 6.0), 6) AS piecewise_error, round(avg((abs(place - k) < 0.5)::INT), 6) AS piecewise_accuracy, round(avg(sqrt(away) / (separation + 1e-12)), 6) AS piecewise_drift FROM f3 JOIN sp USING (scenario_id, model_id, encoder_id, held) GROUP BY ALL""")
+@query(LOSO + f" SELECT {HELD}, " + ", ".join(f"round({m}, 6) AS {m}" for m in PIECE_METRICS) + " FROM lw")
 def ge6_piecewise_line(spark, sf):
     return rounded(geometry.piecewise_line(points(spark, sf, True), ["scenario_id", "style_axis", "model_id", "encoder_id"]))
 
@@ -296,10 +306,10 @@ def ag19_length_error_correlation(spark, sf):
 
 
 @query("""SELECT x.encoder_id AS encoder_a, y.encoder_id AS encoder_b, count(*) AS pairs, count(*) FILTER (sign(x.d) <> sign(y.d)) AS flips, round(sum(sign(x.d) * sign(y.d)) / count(*), 6) AS kendall FROM
-(SELECT encoder_id, a.model_id AS i, b.model_id AS j, a.m - b.m AS d FROM (SELECT encoder_id, model_id, avg(ice) AS m FROM scen GROUP BY ALL) a JOIN (SELECT encoder_id, model_id, avg(ice) AS m FROM scen GROUP BY ALL) b USING (encoder_id) WHERE a.model_id < b.model_id) x JOIN
-(SELECT encoder_id, a.model_id AS i, b.model_id AS j, a.m - b.m AS d FROM (SELECT encoder_id, model_id, avg(ice) AS m FROM scen GROUP BY ALL) a JOIN (SELECT encoder_id, model_id, avg(ice) AS m FROM scen GROUP BY ALL) b USING (encoder_id) WHERE a.model_id < b.model_id) y USING (i, j) WHERE x.encoder_id < y.encoder_id GROUP BY ALL""")
+(SELECT encoder_id, a.model_id AS i, b.model_id AS j, a.m - b.m AS d FROM (SELECT encoder_id, model_id, round(avg(ice), 12) AS m FROM scen GROUP BY ALL) a JOIN (SELECT encoder_id, model_id, round(avg(ice), 12) AS m FROM scen GROUP BY ALL) b USING (encoder_id) WHERE a.model_id < b.model_id) x JOIN
+(SELECT encoder_id, a.model_id AS i, b.model_id AS j, a.m - b.m AS d FROM (SELECT encoder_id, model_id, round(avg(ice), 12) AS m FROM scen GROUP BY ALL) a JOIN (SELECT encoder_id, model_id, round(avg(ice), 12) AS m FROM scen GROUP BY ALL) b USING (encoder_id) WHERE a.model_id < b.model_id) y USING (i, j) WHERE x.encoder_id < y.encoder_id GROUP BY ALL""")
 def ag9_encoder_rank_agreement(spark, sf):
-    m = scenario(spark, sf, True).groupBy("encoder_id", "model_id").agg(F.avg("interior_calibration_error").alias("m"))
+    m = scenario(spark, sf, True).groupBy("encoder_id", "model_id").agg(F.round(F.avg("interior_calibration_error"), 12).alias("m"))
     a, b = m.select(F.col("encoder_id").alias("encoder_a"), "model_id", F.col("m").alias("x")), m.select(F.col("encoder_id").alias("encoder_b"), "model_id", F.col("m").alias("y"))
     both = a.join(b, "model_id").where("encoder_a < encoder_b")
     return rounded(statistics.rank_agreement(both, ["encoder_a", "encoder_b"], "model_id", "x", "y"))

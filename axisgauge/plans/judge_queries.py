@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from axisgauge.functions.lineage import cut
 from axisgauge.functions.numeric import hex8
 from axisgauge.operators import failures, geometry, judges, reports, serving, statistics
-from axisgauge.plans.calibration_queries import rounded
-from axisgauge.plans.fixtures import WITH, boot, corr_sql, draw, points, rank_sql, samples, scores, table, texts
+from axisgauge.plans.calibration_queries import ERF, rounded
+from axisgauge.plans.fixtures import WITH, boot, corr_sql, draw, draws_sql, points, rank_sql, samples, scores, table, texts
 
 QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
@@ -174,13 +174,20 @@ def ju19_rank_correlation(spark, sf):
     return rounded(judges.rank_of_rankings(judges.judge_ranking(s, "judge", "model_id", "scenario_id", "e")))
 
 
-@query(INNER + ", sm AS (SELECT judge, scenario_id, style_axis, model_id, avg(style_mae) AS m FROM js GROUP BY ALL), d AS (SELECT a.judge, a.scenario_id, a.style_axis, a.model_id AS model_a, b.model_id AS model_b, a.m - b.m AS difference FROM sm a JOIN sm b USING (judge, scenario_id) WHERE a.model_id < b.model_id)" + boot("d", ["judge", "model_a", "model_b"], ["difference"]) +
+@query(INNER + ", sm AS (SELECT judge, scenario_id, style_axis, model_id, avg(style_mae) AS m FROM js GROUP BY ALL), d AS (SELECT a.judge, a.scenario_id, a.style_axis, a.model_id AS model_a, b.model_id AS model_b, round(a.m - b.m, 12) AS difference FROM sm a JOIN sm b USING (judge, scenario_id) WHERE a.model_id < b.model_id)" + boot("d", ["judge", "model_a", "model_b"], ["difference"]) +
        ", r AS (SELECT *, " + rank_sql("abs(difference)", "judge, model_a, model_b") + " AS r FROM d WHERE difference <> 0), w AS (SELECT judge, model_a, model_b, least(sum(CASE WHEN difference > 0 THEN r ELSE 0 END), sum(CASE WHEN difference < 0 THEN r ELSE 0 END)) AS statistic FROM r GROUP BY ALL), z AS (SELECT judge, model_a, model_b, avg(difference) / stddev_samp(difference) AS dz FROM d GROUP BY ALL) SELECT bt.* EXCLUDE metric, round(statistic, 4)::DOUBLE AS statistic, round(dz, 6) + 0.0 AS dz FROM bt JOIN w USING (judge, model_a, model_b) JOIN z USING (judge, model_a, model_b)")
 def ju20_paired_style_tests(spark, sf):
     return rounded(judges.paired_style_tests(interior_scores(spark, sf), "style_mae").drop("p_value", "p_holm"))
 
 
-@query()
+G = "judge, model_a, model_b"
+
+
+@query(INNER + ", sm AS (SELECT judge, scenario_id, model_id, avg(style_mae) AS m FROM js GROUP BY ALL), d AS (SELECT a.judge, a.scenario_id, a.model_id AS model_a, b.model_id AS model_b, round(a.m - b.m, 12) AS d FROM sm a JOIN sm b USING (judge, scenario_id) WHERE a.model_id < b.model_id), "
+       f"r AS (SELECT *, {rank_sql('abs(d)', G)} AS r, count(*) OVER (PARTITION BY {G}, abs(d)) AS t FROM d WHERE d <> 0), s AS (SELECT {G}, count(*)::DOUBLE AS n, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS plus, sum(CASE WHEN d < 0 THEN r ELSE 0 END) AS minus, sum(t * t - 1)::DOUBLE AS ties FROM r GROUP BY ALL), "
+       f"u AS (SELECT *, n * (n + 1) * (2 * n + 1) / 24 - ties / 48 AS v FROM s), x AS (SELECT *, abs(least(plus, minus) - n * (n + 1) / 4) / sqrt(v) / sqrt(2) AS x FROM u WHERE v > 0), y AS (SELECT *, 1 / (1 + 0.3275911 * x) AS t FROM x), p AS (SELECT {G}, least(1.0, ({ERF}) * exp(-x * x)) AS p FROM y), "
+       f"h AS (SELECT *, row_number() OVER w AS k, (count(*) OVER (PARTITION BY judge) - row_number() OVER w + 1) * p AS q FROM p WINDOW w AS (PARTITION BY judge ORDER BY p, model_a, model_b)), f AS (SELECT {G}, p, least(1.0, max(q) OVER (PARTITION BY judge ORDER BY k)) AS p_holm FROM h) "
+       f"SELECT {G}, round(p, 6) AS p_value, round(p_holm, 6) AS p_holm FROM (SELECT DISTINCT {G} FROM d) LEFT JOIN f USING ({G})")
 def ju20_adjusted_p_values(spark, sf):
     return rounded(judges.paired_style_tests(interior_scores(spark, sf), "style_mae").select("judge", "model_a", "model_b", "p_value", "p_holm"))
 
@@ -327,7 +334,19 @@ def hu4_agreement_by_axis(spark, sf):
     return rounded(reports.human_geometry(human_items(spark, sf), samples(spark, sf, True).select("run_id", "scenario_id", "style_axis", "encoder_id", "projection_raw"), 100)[1])
 
 
-@query()
+def weighted(c: str) -> str:
+    w = "OVER (PARTITION BY encoder_id, b"
+    return f"sum(times) {w} ORDER BY {c}) - sum(times) {w}, {c}) + (sum(times) {w}, {c}) + 1) / 2.0"
+
+
+def weighted_corr(x: str, y: str) -> str:
+    s = lambda u, v: f"(sum(times * {u} * {v}) - sum(times * {u}) * sum(times * {v}) / sum(times))"
+    return f"{s(x, y)} / nullif(sqrt({s(x, x)} * {s(y, y)}), 0)"
+
+
+@query(HGEO + ", ha AS (SELECT encoder_id, scenario_id, round(h, 12) AS h, p, gap, 'all' AS _all FROM hg), " + draws_sql("ha", "hb", "_all") + f", al AS (SELECT ha.*, 0 AS b, 1 AS times FROM ha UNION ALL SELECT ha.*, b, times FROM ha JOIN hb_r USING (_all, scenario_id)), rk AS (SELECT *, {weighted('h')} AS rh, {weighted('p')} AS rp FROM al), "
+       f"cr AS (SELECT encoder_id, b, {weighted_corr('rh', 'rp')} AS spearman, {weighted_corr('h', 'p')} AS pearson, sum(times * gap) / sum(times) AS mae FROM rk GROUP BY ALL), lo AS (UNPIVOT cr ON spearman, pearson, mae INTO NAME metric VALUE v) "
+       "SELECT encoder_id, metric, round(max(v) FILTER (b = 0), 6) AS estimate, round(quantile_cont(v, 0.025) FILTER (b > 0), 6) AS ci_lower, round(quantile_cont(v, 0.975) FILTER (b > 0), 6) AS ci_upper FROM lo GROUP BY ALL")
 def hu4_human_geometry(spark, sf):
     return rounded(reports.human_geometry(human_items(spark, sf), samples(spark, sf, True).select("run_id", "scenario_id", "style_axis", "encoder_id", "projection_raw"), 10_000)[0])
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from axisgauge.functions.numeric import spearman
 from axisgauge.operators import audit, baselines, geometry, judges, ladder, protocols, reports, robustness, statistics, textq
-from axisgauge.plans.calibration_queries import FOLDS, cells, isotonic_sql, rounded, scenario
+from axisgauge.plans.calibration_queries import FOLDS, HELD, LINE_METRICS, LOSO, PIECE_METRICS, cells, isotonic_sql, rounded, scenario
 from axisgauge.plans.fixtures import MATCHED, PROTOCOLS, ROBUST, WITH, boot, corr_sql, draw, draws_sql, external, flips_sql, matched_runs, once, points, protocol_samples, rank_sql, robust, samples, scores, table, texts
 
 QUERIES: dict[str, Callable] = {}
@@ -41,7 +41,7 @@ def an1_protocol_scenarios(spark, sf):
     return rounded(protocol_scenarios(spark, sf).drop("unstable"))
 
 
-@query(PROTOCOLS + boot("ps", ["encoder_id", "protocol", "model_id"], [*METRICS, "separation"]) + f", z AS (SELECT encoder_id, protocol, model_id, count(DISTINCT scenario_id) AS scenarios, sum(trajectories)::BIGINT AS trajectories, avg(ice) AS i FROM ps GROUP BY ALL), z2 AS (SELECT *, {rank_sql('i', 'encoder_id, protocol')} AS ice_rank FROM z) SELECT bt.*, scenarios, trajectories, trajectories AS complete_trajectories, trajectories * 5 AS valid_points, trajectories * 5 AS expected_points, 0::BIGINT AS collapsed, ice_rank FROM bt JOIN z2 USING (encoder_id, protocol, model_id)")
+@query(PROTOCOLS + boot("ps", ["encoder_id", "protocol", "model_id"], [*METRICS, "separation"]) + f", z AS (SELECT encoder_id, protocol, model_id, count(DISTINCT scenario_id) AS scenarios, sum(trajectories)::BIGINT AS trajectories, round(avg(ice), 12) AS i FROM ps GROUP BY ALL), z2 AS (SELECT *, {rank_sql('i', 'encoder_id, protocol')} AS ice_rank FROM z) SELECT bt.*, scenarios, trajectories, trajectories AS complete_trajectories, trajectories * 5 AS valid_points, trajectories * 5 AS expected_points, 0::BIGINT AS collapsed, ice_rank FROM bt JOIN z2 USING (encoder_id, protocol, model_id)")
 def an1_protocol_summary(spark, sf):
     return rounded(protocols.model_summary(protocol_scenarios(spark, sf)))
 
@@ -55,9 +55,9 @@ def an2_protocol_differences(spark, sf):
     return rounded(protocols.against_self(protocol_scenarios(spark, sf), OTHERS, sure))
 
 
-@query(PROTOCOLS + f", m AS (SELECT encoder_id, protocol, model_id, avg(ice) AS y FROM ps GROUP BY ALL), b AS (SELECT m.encoder_id, m.protocol, m.model_id, s.y AS x, m.y, {rank_sql('s.y', 'm.encoder_id, m.protocol')} AS rx, {rank_sql('m.y', 'm.encoder_id, m.protocol')} AS ry FROM m JOIN m s USING (encoder_id, model_id) WHERE s.protocol = 'self' AND m.protocol <> 'self'), k AS (SELECT a.encoder_id, a.protocol, sum(sign(a.x - c.x) * sign(a.y - c.y)) / count(*) AS kendall, count(*) FILTER (sign(a.x - c.x) <> sign(a.y - c.y)) AS flips, count(*) AS pairs FROM b a JOIN b c USING (encoder_id, protocol) WHERE a.model_id < c.model_id GROUP BY ALL) SELECT encoder_id, protocol, count(*) AS models, round(corr(rx, ry), 6) AS spearman, round(any_value(kendall), 6) + 0.0 AS kendall, any_value(flips) AS flips, any_value(pairs) AS pairs FROM b JOIN k USING (encoder_id, protocol) GROUP BY ALL")
+@query(PROTOCOLS + f", m AS (SELECT encoder_id, protocol, model_id, round(avg(ice), 12) AS y FROM ps GROUP BY ALL), b AS (SELECT m.encoder_id, m.protocol, m.model_id, s.y AS x, m.y, {rank_sql('s.y', 'm.encoder_id, m.protocol')} AS rx, {rank_sql('m.y', 'm.encoder_id, m.protocol')} AS ry FROM m JOIN m s USING (encoder_id, model_id) WHERE s.protocol = 'self' AND m.protocol <> 'self'), k AS (SELECT a.encoder_id, a.protocol, sum(sign(a.x - c.x) * sign(a.y - c.y)) / count(*) AS kendall, count(*) FILTER (sign(a.x - c.x) <> sign(a.y - c.y)) AS flips, count(*) AS pairs FROM b a JOIN b c USING (encoder_id, protocol) WHERE a.model_id < c.model_id GROUP BY ALL) SELECT encoder_id, protocol, count(*) AS models, round(corr(rx, ry), 6) AS spearman, round(any_value(kendall), 6) + 0.0 AS kendall, any_value(flips) AS flips, any_value(pairs) AS pairs FROM b JOIN k USING (encoder_id, protocol) GROUP BY ALL")
 def an3_rank_sensitivity(spark, sf):
-    m = protocol_scenarios(spark, sf).groupBy("encoder_id", "protocol", "model_id").agg(F.avg("ice").alias("ice"))
+    m = protocol_scenarios(spark, sf).groupBy("encoder_id", "protocol", "model_id").agg(F.round(F.avg("ice"), 12).alias("ice"))  # equal but for rounding: ties
     return rounded(protocols.rank_sensitivity(m, OTHERS))
 
 
@@ -315,24 +315,25 @@ def ag11_method_table(spark, sf):
     return rounded(baselines.method_table(s, methods, judged))
 
 
-LOSO_METRICS = ["line_error", "centroid_error", "nearest_accuracy"]
+LOSO_METRICS = [*LINE_METRICS, *PIECE_METRICS]
 
 
-@query()
+@query(LOSO + f", lj AS (SELECT {HELD}, {', '.join(LOSO_METRICS)} FROM lp JOIN lw USING ({HELD}))" + boot("lj", ["model_id", "encoder_id"], LOSO_METRICS) + " SELECT * FROM bt")
 def ag8_seed_transfer(spark, sf):
-    """Leave-one-seed-out rows averaged by scenario, then by model and encoder with intervals."""
-    loso = geometry.leave_one_seed_out(points(spark, sf, True), ["scenario_id", "style_axis", "model_id", "encoder_id"])
-    return rounded(statistics.bootstrap_means(loso, ["model_id", "encoder_id"], LOSO_METRICS, "style_axis", "scenario_id"))
+    """Leave-one-seed-out rows of line, centroids and piecewise line averaged by scenario, then by model and encoder with intervals."""
+    p, by = once(points(spark, sf, True)), ["scenario_id", "style_axis", "model_id", "encoder_id"]
+    rows = geometry.leave_one_seed_out(p, by).join(geometry.piecewise_line(p, by), [*by, "held_seed"])
+    return rounded(statistics.bootstrap_means(rows, ["model_id", "encoder_id"], LOSO_METRICS, "style_axis", "scenario_id"))
 
 
-@query(", mo AS (SELECT model_id, avg(i) FILTER (encoder_id IN ('full', 'lo')) AS two, avg(i) AS three FROM (SELECT model_id, encoder_id, avg(ice) AS i FROM scen GROUP BY ALL) GROUP BY ALL) SELECT model_id, round(two, 6) AS two_mean, round(three, 6) AS three_mean, round(three - two, 6) + 0.0 AS difference, rank() OVER (ORDER BY two)::INT AS two_rank, rank() OVER (ORDER BY three)::INT AS three_rank FROM mo")
+@query(", mo AS (SELECT model_id, round(avg(i) FILTER (encoder_id IN ('full', 'lo')), 12) AS two, round(avg(i), 12) AS three FROM (SELECT model_id, encoder_id, avg(ice) AS i FROM scen GROUP BY ALL) GROUP BY ALL) SELECT model_id, round(two, 6) AS two_mean, round(three, 6) AS three_mean, round(three - two, 6) + 0.0 AS difference, rank() OVER (ORDER BY two)::INT AS two_rank, rank() OVER (ORDER BY three)::INT AS three_rank FROM mo")
 def ag9_two_and_three_encoders(spark, sf):
     return rounded(ladder.two_and_three(short(spark, sf), ["full", "lo"], "ice"))
 
 
-@query(f", m AS (SELECT encoder_id, model_id, avg(ice) AS ice, avg(drift) AS drift FROM scen GROUP BY ALL), l AS (UNPIVOT m ON ice, drift INTO NAME metric VALUE v), p AS (SELECT a.encoder_id AS encoder_a, b.encoder_id AS encoder_b, metric, {rank_sql('a.v', 'a.encoder_id, b.encoder_id, metric')} AS x, {rank_sql('b.v', 'a.encoder_id, b.encoder_id, metric')} AS y FROM l a JOIN l b USING (model_id, metric) WHERE a.encoder_id < b.encoder_id) SELECT encoder_a, encoder_b, metric, count(*) AS models, {corr_sql('x', 'y')} AS spearman FROM p GROUP BY ALL")
+@query(f", m AS (SELECT encoder_id, model_id, round(avg(ice), 12) AS ice, round(avg(drift), 12) AS drift FROM scen GROUP BY ALL), l AS (UNPIVOT m ON ice, drift INTO NAME metric VALUE v), p AS (SELECT a.encoder_id AS encoder_a, b.encoder_id AS encoder_b, metric, {rank_sql('a.v', 'a.encoder_id, b.encoder_id, metric')} AS x, {rank_sql('b.v', 'a.encoder_id, b.encoder_id, metric')} AS y FROM l a JOIN l b USING (model_id, metric) WHERE a.encoder_id < b.encoder_id) SELECT encoder_a, encoder_b, metric, count(*) AS models, {corr_sql('x', 'y')} AS spearman FROM p GROUP BY ALL")
 def ag9_encoder_spearman(spark, sf):
-    m = short(spark, sf).groupBy("encoder_id", "model_id").agg(F.avg("ice").alias("ice"), F.avg("drift").alias("drift")).unpivot(["encoder_id", "model_id"], ["ice", "drift"], "metric", "v")
+    m = short(spark, sf).groupBy("encoder_id", "model_id").agg(F.round(F.avg("ice"), 12).alias("ice"), F.round(F.avg("drift"), 12).alias("drift")).unpivot(["encoder_id", "model_id"], ["ice", "drift"], "metric", "v")
     a, b = m.select("metric", "model_id", F.col("encoder_id").alias("encoder_a"), F.col("v").alias("x")), m.select("metric", "model_id", F.col("encoder_id").alias("encoder_b"), F.col("v").alias("y"))
     both, by = a.join(b, ["metric", "model_id"]).where("encoder_a < encoder_b"), ["encoder_a", "encoder_b", "metric"]
     return rounded(both.groupBy(*by).agg(F.count(F.lit(1)).alias("models")).join(spearman(both, "x", "y", by, "spearman"), by, "left"))

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from axisgauge.functions.lineage import shared_dir
+
 
 def read_jsonl_strict(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Blank lines are skipped; the first malformed line fails the job with its file and text. A path without files
@@ -22,10 +28,29 @@ def read_jsonl_strict(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return checked.select(F.from_json("value", schema).alias("r")).select("r.*")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line (from 1, as Python counts them), value. Files are read in splits: each task numbers the lines of its splits, and
+    a split's lines follow those of the file's earlier splits, whose numbers of lines are counted beforehand."""
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple, int] = {}
+        for batch in batches:
+            places = []
+            for k in zip(batch.column("file").to_pylist(), batch.column("block").to_pylist(), strict=True):
+                seen[k] = seen.get(k, 0) + 1
+                places.append(seen[k])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places, pa.int64())], ["file", "block", "value", "nth"])
+
+    splits = raw.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"))  # a row for each split
+    before = splits.select("file", "block", F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return raw.mapInArrow(number, "file string, block long, value string, nth long").join(before, ["file", "block"]).select("file", (F.col("before") + F.col("nth")).alias("line"), "value")
+
+
 def read_jsonl_tolerant(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Good rows; bad lines (file, number, first 200 characters); and blank lines' count by file. Files are read whole
-    lines in order: a file's lines are numbered inside the file."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "value")).withColumn("line", F.col("line") + 1)
+    """Good rows; bad lines (file, number, first 200 characters); and blank lines' count by file. A file's lines are numbered
+    inside the file, whatever its size."""
+    whole = numbered_lines(spark, path)
     v = F.try_parse_json("value")
     fine = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
     filled = whole.where(F.trim("value") != "")
@@ -70,3 +95,13 @@ def not_yet_done(planned: DataFrame, done: DataFrame, key: list[str], failed: Da
     """Planned jobs that are neither done nor, where given, failed for good."""
     left = planned.join(done.select(*key), key, "left_anti")
     return left if failed is None else left.join(failed.select(*key), key, "left_anti")
+
+
+def lay_out(df: DataFrame, keys: list[str], buckets: int | None = None) -> DataFrame:
+    """The table written in buckets of its keys, sorted in each, and read back: joins and groups by all of these keys, between
+    tables laid out alike, need no exchange. As many buckets as shuffle partitions, unless given."""
+    spark = df.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"laid_out_{uuid.uuid4().hex}"
+    df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
