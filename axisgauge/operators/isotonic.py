@@ -109,21 +109,10 @@ def folded_points(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     return every.withColumn("_g", F.concat_ws(":", "_b", F.col("fold").cast("string"))).drop("_b")
 
 
-def fitted(points: DataFrame, keys: list[str], x: str, name: str, rows: int | None = None) -> DataFrame:
-    """keys, x, name: the isotonic fit of s / n at the points with n > 0, interpolated (and held at the ends) where `asked`.
-    points: _g (a text for each group), keys, x (distinct in a group), s, n, asked."""
-    points = cut(points)
-    parts = max(1, -(-points.count() // (rows or ROWS)))
-    placed = cut(points.repartitionByRange(parts, "_g", x).withColumn("_p", F.spark_partition_id()))
-    spark, ordered = placed.sparkSession, lambda pdf: pdf.assign(_x=pdf[x].astype(float)).sort_values("_x")
-
-    def pool(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = ordered(pdf[pdf["n"] > 0])
-        levels, sizes, blocks = pooled(t["s"].to_numpy(float), t["n"].to_numpy(float))
-        ends = np.cumsum(sizes)
-        at = t["_x"].to_numpy()
-        return pd.DataFrame({"_g": pdf["_g"].iloc[0], "_p": pdf["_p"].iloc[0], "k": np.arange(len(levels)), "s": blocks[:, 0], "n": blocks[:, 1], "lo": at[ends - sizes], "hi": at[ends - 1]})
-
+def _borders(placed: DataFrame, pool) -> list[tuple]:
+    """For each partition of a group that has several: the slopes over its borders, and the nearest points with their levels in
+    the partitions before and after it."""
+    spark = placed.sparkSession
     several = placed.groupBy("_g").agg(F.countDistinct("_p").alias("c")).where("c > 1").select("_g")
     several = cut(placed.select("_g", "_p").distinct().join(several, "_g"))  # two for each partition at most
     blocks = cut(placed.join(several, ["_g", "_p"], "left_semi").groupBy("_g", "_p").applyInPandas(pool, "_g string, _p int, k long, s double, n double, lo double, hi double"))
@@ -149,8 +138,25 @@ def fitted(points: DataFrame, keys: list[str], x: str, name: str, rows: int | No
         for i, q in enumerate(held):
             before, after = next((b for b in reversed(held[:i]) if b["n"]), None), next((b for b in held[i + 1 :] if b["n"]), None)
             borders.append((g, q["_p"], *limits.get(q["_p"], (None, None)), before and before["hi"], before and hold(before, "last"), after and after["lo"], after and hold(after, "first")))
+    return borders
+
+
+def fitted(points: DataFrame, keys: list[str], x: str, name: str, rows: int | None = None) -> DataFrame:
+    """keys, x, name: the isotonic fit of s / n at the points with n > 0, interpolated (and held at the ends) where `asked`.
+    points: _g (a text for each group), keys, x (distinct in a group), s, n, asked."""
+    points = cut(points)
+    parts = max(1, -(-points.count() // (rows or ROWS)))
     names = ["_low", "_high", "_bx", "_by", "_ax", "_ay"]
-    sides = spark.createDataFrame(borders, "_g string, _p int, " + ", ".join(f"{c} double" for c in names))
+    alone = parts == 1  # then no group has a border
+    placed = points.withColumn("_p", F.lit(0)) if alone else cut(points.repartitionByRange(parts, "_g", x).withColumn("_p", F.spark_partition_id()))
+    spark, ordered = placed.sparkSession, lambda pdf: pdf.assign(_x=pdf[x].astype(float)).sort_values("_x")
+
+    def pool(pdf: pd.DataFrame) -> pd.DataFrame:
+        t = ordered(pdf[pdf["n"] > 0])
+        levels, sizes, blocks = pooled(t["s"].to_numpy(float), t["n"].to_numpy(float))
+        ends = np.cumsum(sizes)
+        at = t["_x"].to_numpy()
+        return pd.DataFrame({"_g": pdf["_g"].iloc[0], "_p": pdf["_p"].iloc[0], "k": np.arange(len(levels)), "s": blocks[:, 0], "n": blocks[:, 1], "lo": at[ends - sizes], "hi": at[ends - 1]})
 
     def predict(pdf: pd.DataFrame) -> pd.DataFrame:
         t, b = ordered(pdf[pdf["n"] > 0]), pdf.iloc[0]
@@ -165,6 +171,10 @@ def fitted(points: DataFrame, keys: list[str], x: str, name: str, rows: int | No
         value = np.interp(asked[x].to_numpy(float), at, level) if len(at) else None
         return asked[[*keys, x]].assign(**{name: pd.Series(value, index=asked.index, dtype=float)})
 
-    # a row for each partition of a group that has several
+    if alone:
+        held = placed.withColumns({c: F.lit(None).cast("double") for c in names})
+    else:  # a row for each partition of a group that has several
+        sides = spark.createDataFrame(_borders(placed, pool), "_g string, _p int, " + ", ".join(f"{c} double" for c in names))
+        held = placed.join(F.broadcast(sides), ["_g", "_p"], "left")
     schema = placed.select(*keys, x, F.lit(None).cast("double").alias(name)).schema
-    return placed.join(F.broadcast(sides), ["_g", "_p"], "left").groupBy("_g", "_p").applyInPandas(predict, schema)
+    return held.groupBy("_g", "_p").applyInPandas(predict, schema)
