@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from axisgauge.llm.bytesplit import blocks, packed
+from axisgauge.llm.bytesplit import blocks, packed, release
 from axisgauge.llm.common import scratch
 from axisgauge.llm.wordbpe import BLOCK, encoder
 
@@ -55,6 +55,7 @@ def token_rows(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
                     ids, held = np.concatenate([*held, ids]), []
                     counts = np.array([len(ids)])
                 yield rows(batch.column("doc_id").slice(first, len(counts)), ids, counts)
+            release()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(encode, f"doc_id {kind}, ids array<int>")
@@ -101,6 +102,7 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
                 [batch.column("doc_id"), batch.column("file"), batch.column("block"), pa.array(order, pa.int64()), pa.array(np.diff(at).astype(np.int64)), pa.array(sums, pa.int64())],
                 ["doc_id", "file", "block", "nth", "n_tokens", "ids_crc32"],
             )
+        release()
 
     place = files.select("doc_id", "ids", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"))
     rows = place.mapInArrow(digest, f"doc_id {kind}, file string, block long, nth long, n_tokens long, ids_crc32 long")
