@@ -55,7 +55,7 @@ def token_rows(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
                     ids, held = np.concatenate([*held, ids]), []
                     counts = np.array([len(ids)])
                 yield rows(batch.column("doc_id").slice(first, len(counts)), ids, counts)
-            release()
+        release()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(encode, f"doc_id {kind}, ids array<int>")
