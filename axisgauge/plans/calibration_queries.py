@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from axisgauge.functions.numeric import global_rank, r6, safe_corr, spearman
 from axisgauge.operators import baselines, geometry, ladder, statistics
-from axisgauge.plans.fixtures import WITH, boot, draws_sql, flips_sql, once, points, samples, scores, texts
+from axisgauge.plans.fixtures import WITH, boot, draws_sql, flips_sql, once, pair_id, points, samples, scores, texts
 
 QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
@@ -131,7 +131,7 @@ def ge6_piecewise_line(spark, sf):
 @query("""SELECT run_id, round((list_dot_product(v, b) - list_dot_product(v, a) - list_dot_product(a, b) + list_dot_product(a, a)) / list_distance(a, b) ** 2, 6) + 0.0 AS projection_raw FROM points
 JOIN (SELECT x.vec_id // 2 AS n, x.embedding::DOUBLE[] AS a, y.embedding::DOUBLE[] AS b FROM embeddings x JOIN embeddings y ON y.vec_id = x.vec_id + 1 WHERE x.vec_id % 2 = 0) r ON substr(scenario_id, 2)::BIGINT = r.n""")
 def ge11_external_anchors(spark, sf):
-    refs = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.concat(F.lit("s"), F.lpad(F.expr("vec_id div 2").cast("string"), 4, "0")).alias("scenario_id"), F.when(F.col("vec_id") % 2 == 0, "A").otherwise("B").alias("endpoint"), F.col("embedding").cast("array<double>").alias("v"))
+    refs = spark.read.parquet(f"{sf}/embeddings.parquet").select(pair_id("vec_id").alias("scenario_id"), F.when(F.col("vec_id") % 2 == 0, "A").otherwise("B").alias("endpoint"), F.col("embedding").cast("array<double>").alias("v"))
     p = points(spark, sf)
     anchors = geometry.external_anchors(refs.join(p.select("scenario_id").distinct(), "scenario_id", "left_semi"), ["scenario_id"])
     return rounded(geometry.with_geometry(p, anchors, ["scenario_id"]).select("run_id", "projection_raw"))

@@ -25,7 +25,7 @@ def points(spark: SparkSession, sf_dir: str, encoders: bool = False) -> DataFram
              c as (select g from p group by g having count(*) = 7),
              q as (select p.*, g % 3 + 1 seed, g div 3 u from p join c using (g)),
              w as (select u from q group by u having count(distinct seed) = 3)
-        select vec_id run_id, concat('s', lpad(cast(u div 4 as string), 4, '0')) scenario_id, concat('a', cast((u div 4) % 2 as string)) style_axis,
+        select vec_id run_id, concat('s', lpad(cast(u div 4 as string), greatest(4, length(cast(u div 4 as string))), '0')) scenario_id, concat('a', cast((u div 4) % 2 as string)) style_axis,
                concat('m', cast(u % 4 as string)) model_id, seed, k ratio_idx, k / 6D target_ratio, v
         from q join w using (u)""")
     if not encoders:
@@ -39,7 +39,7 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     table(spark, sf_dir, "documents").createOrReplaceTempView("_fx_documents")
     return spark.sql("""
         with d as (select doc_id, text, doc_id div 21 u, doc_id % 7 k from _fx_documents)
-        select doc_id run_id, concat('s', lpad(cast(u div 4 as string), 4, '0')) scenario_id, concat('a', cast((u div 4) % 2 as string)) style_axis,
+        select doc_id run_id, concat('s', lpad(cast(u div 4 as string), greatest(4, length(cast(u div 4 as string))), '0')) scenario_id, concat('a', cast((u div 4) % 2 as string)) style_axis,
                concat('m', cast(u % 4 as string)) model_id, (doc_id div 7) % 3 + 1 seed, k ratio_idx, k / 6D target_ratio, text, char_length(text) character_length
         from d""")
 
@@ -53,6 +53,12 @@ def samples(spark: SparkSession, sf_dir: str, encoders: bool = False) -> DataFra
     return once(geometry.sample_rows(points(spark, sf_dir, encoders)))
 
 
+def pair_id(key: str) -> F.Column:
+    """The scenario whose references have numbers 2n and 2n + 1; numbers above 9999 keep all their digits."""
+    n = F.expr(f"{key} div 2").cast("string")
+    return F.concat(F.lit("s"), F.lpad(n, F.greatest(F.lit(4), F.length(n)), "0"))
+
+
 def draw(name: str, key: str = "run_id") -> F.Column:
     return hex8(F.concat_ws(":", F.lit(name), F.col(key).cast("string")))
 
@@ -70,7 +76,7 @@ WITH = """WITH RECURSIVE p0 AS (SELECT vec_id, vec_id // 7 AS g, vec_id % 7 AS k
 c0 AS (SELECT g FROM p0 GROUP BY g HAVING count(*) = 7),
 q0 AS (SELECT p0.*, g % 3 + 1 AS seed, g // 3 AS u FROM p0 JOIN c0 USING (g)),
 w0 AS (SELECT u FROM q0 GROUP BY u HAVING count(DISTINCT seed) = 3),
-points AS (SELECT vec_id AS run_id, 's' || lpad((u // 4)::VARCHAR, 4, '0') AS scenario_id, 'a' || ((u // 4) % 2) AS style_axis, 'm' || (u % 4) AS model_id, seed, k AS ratio_idx, k / 6.0::DOUBLE AS target_ratio, v FROM q0 JOIN w0 USING (u)),
+points AS (SELECT vec_id AS run_id, 's' || lpad((u // 4)::VARCHAR, greatest(4, length((u // 4)::VARCHAR))::INT, '0') AS scenario_id, 'a' || ((u // 4) % 2) AS style_axis, 'm' || (u % 4) AS model_id, seed, k AS ratio_idx, k / 6.0::DOUBLE AS target_ratio, v FROM q0 JOIN w0 USING (u)),
 enc AS (SELECT * EXCLUDE v, 'full' AS encoder_id, v FROM points UNION ALL SELECT * EXCLUDE v, 'lo', v[1:32] FROM points UNION ALL SELECT * EXCLUDE v, 'hi', v[33:64] FROM points),
 anc AS (SELECT x.scenario_id, x.model_id, x.seed, x.encoder_id, x.v AS a, y.v AS b FROM enc x JOIN enc y USING (scenario_id, model_id, seed, encoder_id) WHERE x.ratio_idx = 0 AND y.ratio_idx = 6),
 g1 AS (SELECT e.* EXCLUDE v, v, a, b, list_distance(a, b) AS separation, list_distance(v, a) AS from_a, list_distance(v, b) AS from_b,
@@ -83,7 +89,7 @@ geo AS (SELECT * EXCLUDE (v, a, b), along / (separation * separation) AS project
 cells AS (SELECT scenario_id, style_axis, model_id, encoder_id, target_ratio, is_interior, avg(projection_raw) AS projection_raw, avg(projection_error_raw) AS projection_error_raw, avg(projection_error_clipped) AS projection_error_clipped,
   avg(off_axis_drift_normalized) AS off_axis_drift_normalized, avg(interpolation_distance_normalized ** 2) AS interpolation_distance_squared, avg(out_of_range::INT) AS out_of_range, avg(separation) AS separation, avg(distance_ratio_estimate) AS distance_ratio_estimate FROM geo GROUP BY ALL),
 scen AS (SELECT scenario_id, style_axis, model_id, encoder_id, avg(projection_error_raw) FILTER (is_interior) AS ice, avg(off_axis_drift_normalized) FILTER (is_interior) AS drift, avg(out_of_range) FILTER (is_interior) AS oor, avg(separation) AS separation FROM cells GROUP BY ALL),
-txt AS (SELECT doc_id AS run_id, 's' || lpad((doc_id // 21 // 4)::VARCHAR, 4, '0') AS scenario_id, 'a' || ((doc_id // 21 // 4) % 2) AS style_axis, 'm' || (doc_id // 21 % 4) AS model_id, doc_id // 7 % 3 + 1 AS seed, doc_id % 7 AS ratio_idx, (doc_id % 7) / 6.0::DOUBLE AS target_ratio, text, length(text) AS character_length FROM documents),
+txt AS (SELECT doc_id AS run_id, 's' || lpad((doc_id // 21 // 4)::VARCHAR, greatest(4, length((doc_id // 21 // 4)::VARCHAR))::INT, '0') AS scenario_id, 'a' || ((doc_id // 21 // 4) % 2) AS style_axis, 'm' || (doc_id // 21 % 4) AS model_id, doc_id // 7 % 3 + 1 AS seed, doc_id % 7 AS ratio_idx, (doc_id % 7) / 6.0::DOUBLE AS target_ratio, text, length(text) AS character_length FROM documents),
 jud AS (SELECT p.* EXCLUDE v, judge, greatest(0, least(100, round(target_ratio * 100)::INT + ((('0x' || substr(md5(judge || ':' || run_id), 1, 8))::BIGINT % 41)::INT) - 20)) AS intensity,
   (1 + ('0x' || substr(md5(judge || ':' || run_id), 1, 8))::BIGINT % 5)::INT AS naturalness, ('0x' || substr(md5(judge || ':' || run_id), 1, 8))::BIGINT % 10 < 8 AS passed, ('0x' || substr(md5(judge || ':' || run_id), 1, 8))::BIGINT % 17 = 0 AS missing
   FROM points p, (VALUES ('j1'), ('j2')) t(judge)) """
@@ -91,7 +97,7 @@ jud AS (SELECT p.* EXCLUDE v, judge, greatest(0, least(100, round(target_ratio *
 
 def external(spark: SparkSession, sf_dir: str, encoders: bool = False) -> DataFrame:
     """Reference vectors as external anchors: numbers 2n and 2n + 1 are the ends of scenario n."""
-    refs = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("s"), F.lpad(F.expr("vec_id div 2").cast("string"), 4, "0")).alias("scenario_id"), F.when(F.col("vec_id") % 2 == 0, "A").otherwise("B").alias("endpoint"), F.col("embedding").cast("array<double>").alias("v"))
+    refs = table(spark, sf_dir, "embeddings").select(pair_id("vec_id").alias("scenario_id"), F.when(F.col("vec_id") % 2 == 0, "A").otherwise("B").alias("endpoint"), F.col("embedding").cast("array<double>").alias("v"))
     refs = refs.join(points(spark, sf_dir).select("scenario_id").distinct(), "scenario_id", "left_semi")
     parts = [("full", F.col("v")), *([("lo", F.slice("v", 1, 32)), ("hi", F.slice("v", 33, 32))] if encoders else [])]
     refs = refs.select("scenario_id", "endpoint", F.inline(F.array(*[F.struct(F.lit(n).alias("encoder_id"), x.alias("v")) for n, x in parts])))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from axisgauge.functions.numeric import spearman
 from axisgauge.operators import audit, baselines, geometry, judges, ladder, protocols, reports, robustness, statistics, textq
 from axisgauge.plans.calibration_queries import FOLDS, HELD, LINE_METRICS, LOSO, PIECE_METRICS, cells, isotonic_sql, rounded, scenario
-from axisgauge.plans.fixtures import MATCHED, PROTOCOLS, ROBUST, WITH, boot, corr_sql, draw, draws_sql, external, flips_sql, matched_runs, once, points, protocol_samples, rank_sql, robust, samples, scores, table, texts
+from axisgauge.plans.fixtures import MATCHED, PROTOCOLS, ROBUST, WITH, boot, corr_sql, draw, draws_sql, external, flips_sql, matched_runs, once, pair_id, points, protocol_samples, rank_sql, robust, samples, scores, table, texts
 
 QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
@@ -67,11 +67,11 @@ def references(spark, sf):
     h = draw("ref", "doc_id")
     near = F.when(F.col("doc_id") % 2 == 0, 10).otherwise(60) + F.pmod(h, F.lit(41)).cast("int") - 10
     seen = F.pmod(h, F.lit(23)) > 0
-    return d.select(F.concat(F.lit("s"), F.lpad(F.expr("doc_id div 2").cast("string"), 4, "0")).alias("scenario_id"), F.when(F.col("doc_id") % 2 == 0, "A").otherwise("B").alias("endpoint"), F.char_length("text").alias("length"), F.when(seen, F.pmod(h, F.lit(7)) > 1).alias("passed"), F.when(seen, near).alias("intensity"))
+    return d.select(pair_id("doc_id").alias("scenario_id"), F.when(F.col("doc_id") % 2 == 0, "A").otherwise("B").alias("endpoint"), F.char_length("text").alias("length"), F.when(seen, F.pmod(h, F.lit(7)) > 1).alias("passed"), F.when(seen, near).alias("intensity"))
 
 
 REF = """, rh AS (SELECT doc_id, length(text) AS len, ('0x' || substr(md5('ref:' || doc_id), 1, 8))::BIGINT AS h FROM documents),
-rr AS (SELECT 's' || lpad((doc_id // 2)::VARCHAR, 4, '0') AS scenario_id, doc_id % 2 AS e, len, CASE WHEN h % 23 > 0 THEN h % 7 > 1 END AS ok, CASE WHEN h % 23 > 0 THEN 10 + 50 * (doc_id % 2) + h % 41 - 10 END AS i FROM rh),
+rr AS (SELECT 's' || lpad((doc_id // 2)::VARCHAR, greatest(4, length((doc_id // 2)::VARCHAR))::INT, '0') AS scenario_id, doc_id % 2 AS e, len, CASE WHEN h % 23 > 0 THEN h % 7 > 1 END AS ok, CASE WHEN h % 23 > 0 THEN 10 + 50 * (doc_id % 2) + h % 41 - 10 END AS i FROM rh),
 rp AS (SELECT a.scenario_id, a.len AS length_a, b.len AS length_b, a.ok AS passed_a, b.ok AS passed_b, a.i AS intensity_a, b.i AS intensity_b, b.i - a.i AS style_span, coalesce(a.ok, false) AND coalesce(b.ok, false) AS both_content_pass, a.len BETWEEN 200 AND 2000 AND b.len BETWEEN 200 AND 2000 AS both_length_pass, a.i IS NOT NULL AND b.i IS NOT NULL AS both_screened FROM rr a JOIN rr b USING (scenario_id) WHERE a.e = 0 AND b.e = 1)"""
 
 
