@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from axisgauge.llm.bytesplit import BLOCK, LOWER_BYTE, SPACE_BYTE, blocks, owners, packed, release, runs, span_hashes
+from axisgauge.llm.bytesplit import BLOCK, LOWER_BYTE, SPACE_BYTE, blocks, giving_back, owners, packed, runs, span_hashes
 from axisgauge.llm.common import words
 
 SAMPLE_DOCS, SAMPLE_WORDS = 3000, 40_000
@@ -252,11 +252,9 @@ def predict(docs: DataFrame, model: dict | None, text_col: str = "text") -> Data
             best = np.where(letter, p.argmax(1), len(labeller.languages))
             score = np.where(letter, np.minimum(p.max(1), 1.0), 0.0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(languages[best], pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
-        del labeller
-        release()
 
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.mapInArrow(label, schema)
+    return docs.mapInArrow(giving_back(label), schema)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,8 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from axisgauge.llm.bytesplit import packed, release, shingle_hashes, word_hashes
-from axisgauge.llm.common import scratch, small, written
+from axisgauge.llm.bytesplit import giving_back, packed, shingle_hashes, word_hashes
+from axisgauge.llm.common import batches_of, small, written
 from axisgauge.llm.components import components
 
 #: A shingle in more prefixes than this is put at the end of the order; the list of them has at most so many entries.
@@ -47,9 +47,9 @@ PAIRED = 16
 #: Pairs must share so many shingles of their prefixes, which are that much longer; elements of sets in a block.
 SHARED, BLOCK_ELEMENTS = 4, 300_000
 #: Bytes of text for each bucket of prefixes, at most.
-BUCKET_BYTES = 32 << 20
-#: Bytes of text, and elements of prefixes, held at once by a task.
-SLICE, HELD = 1 << 20, 1 << 19
+BUCKET_BYTES = 8 << 20
+#: Bytes of text, and elements of prefixes, held at once by a task; texts in a batch.
+SLICE, HELD, TEXTS = 1 << 20, 1 << 19, 1000
 
 
 def document_sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -107,8 +107,6 @@ def frequent_shingles(docs: DataFrame, width: int, num: int, den: int, buckets:
                         held, size, seen = [], 0, set()
         if held:
             yield out()
-        del held
-        release()
 
     def frequent(table: pa.Table) -> pa.Table:
         tokens = np.sort(np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("blob")]))
@@ -117,7 +115,7 @@ def frequent_shingles(docs: DataFrame, width: int, num: int, den: int, buckets:
         many = counts > FREQUENT
         return pa.table({"token": tokens[starts[many]].view(np.int64), "n": counts[many]})
 
-    found = written(docs.mapInArrow(count, "bucket int, blob binary").groupBy("bucket").applyInArrow(frequent, "token long, n long"), "frequent")
+    found = written(docs.mapInArrow(giving_back(count), "bucket int, blob binary").groupBy("bucket").applyInArrow(frequent, "token long, n long"), "frequent")
     least, total = FREQUENT, 0
     steps = found.groupBy(F.floor(F.log2("n") * 4).alias("step")).agg(F.count(F.lit(1)).alias("tokens"), F.min("n").alias("n")).orderBy(F.desc("step")).collect()
     for row in steps:  # a few dozen rows
@@ -176,8 +174,6 @@ def candidates(docs: DataFrame, width: int, num: int, den: int, frequent: np.nda
             )
         if tokens:
             yield out()
-        del tokens
-        release()
 
     def meet(table: pa.Table) -> pa.Table:
         blob = table.column("blob")
@@ -223,7 +219,7 @@ def candidates(docs: DataFrame, width: int, num: int, den: int, frequent: np.nda
         })
         return pa.concat_tables([docs.select(["kind", "a", "b", "n", "key"]), more.select(["kind", "a", "b", "n", "key"])])
 
-    rows = docs.mapInArrow(prefixes, "bucket int, blob binary, a long, b long, n long, key binary")
+    rows = docs.mapInArrow(giving_back(prefixes), "bucket int, blob binary, a long, b long, n long, key binary")
     return written(rows.groupBy("bucket").applyInArrow(meet, "kind string, a long, b long, n long, key binary"), "prefixes")
 
 
@@ -255,6 +251,11 @@ def block_links(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, i
 
 def ngram_join(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id; a similarity of num / den or more links; ids are cast to long."""
+    with batches_of(docs.sparkSession, TEXTS):  # all passes over texts are computed, and written, in here
+        return _joined(docs, width, num, den, id_col, text_col)
+
+
+def _joined(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -309,7 +310,7 @@ def ngram_join(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, id_c
         return pa.table({"a": pa.array([cls[i] for i, _ in found], pa.int64()), "b": pa.array([cls[j] for _, j in found], pa.int64())})
 
     whole = docs.join(small(written(blocks, "blocks")).withColumnRenamed("cls", "doc_id"), "doc_id").select("doc_id", "text", "cluster", "at")
-    whole = whole.mapInArrow(sets, "cls long, cluster long, at array<struct<i:int,j:int>>, tokens binary")
+    whole = whole.mapInArrow(giving_back(sets), "cls long, cluster long, at array<struct<i:int,j:int>>, tokens binary")
     in_blocks = whole.select("cls", "cluster", "tokens", F.inline("at")).groupBy("cluster", "i", "j").applyInArrow(in_block, "a long, b long")
     found_components = components(in_blocks)
     member = classes.join(found_components.withColumnRenamed("node", "cls"), "cls", "left").select("key", F.coalesce("component", "cls").alias("component"))

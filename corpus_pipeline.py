@@ -12,9 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from axisgauge.llm import decontaminate, language_id, mixing, ngram_join, sharding
-from axisgauge.llm.common import small, written
+from axisgauge.llm.common import batches_of, small, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Whole rows in a batch for Python.
+TEXTS = 1000
 
 
 #: A text's best language must lead an even share (1 of n languages) by this part of the way to certainty. With the four
@@ -88,6 +90,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+    with batches_of(spark, TEXTS):
+        for name, stage in STAGES[:-1]:
+            docs = written(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
