@@ -82,12 +82,14 @@ def ge5_path_shape(spark, sf):
 
 K = "scenario_id, style_axis, model_id, seed, encoder_id"
 SQUARE = "list_transform(range(0, 49), lambda m: list_sum(list_transform(range(0, 7), lambda t: p[m // 7 * 7 + t + 1] * p[t * 7 + m % 7 + 1])))"
-#: The projector on the first principal axis by squaring the centred Gram matrix again and again.
+#: The projector on the first principal axis by squaring the centred Gram matrix again and again: so often that shares which
+#: differ by a part in 10^12, the least that the query tells apart, are told apart here too.
+SQUARINGS = 46
 PCA = f""", gm0 AS (SELECT {K}, x.ratio_idx AS i, y.ratio_idx AS j, list_dot_product(x.v, y.v) AS g FROM enc x JOIN enc y USING ({K})),
 gm1 AS (SELECT {K}, i, j, g - avg(g) OVER (PARTITION BY {K}, i) - avg(g) OVER (PARTITION BY {K}, j) + avg(g) OVER (PARTITION BY {K}) AS g FROM gm0),
 gq0 AS (SELECT {K}, list(g ORDER BY i, j) AS g, sum(g) FILTER (i = j) AS tr, list(g ORDER BY i, j) AS p FROM gm1 GROUP BY ALL)""" + "".join(
-    f", gq{k} AS (SELECT {K}, g, tr, list_transform(p, lambda x: x / (p[1] + p[9] + p[17] + p[25] + p[33] + p[41] + p[49])) AS p FROM (SELECT {K}, g, tr, {SQUARE} AS p FROM gq{k - 1}))" for k in range(1, 15)
-) + f""", pca AS (SELECT {K}, least(1, list_dot_product(g, p) / tr) AS pc1_variance, least(1, sqrt(greatest((p[49] + p[1] - 2 * p[7]) * list_dot_product(g, p), 0)) / separation) AS pc1_abs_cosine FROM gq14 JOIN (SELECT {K}, max(separation) AS separation FROM geo GROUP BY ALL) USING ({K}))"""
+    f", gq{k} AS (SELECT {K}, g, tr, list_transform(p, lambda x: x / (p[1] + p[9] + p[17] + p[25] + p[33] + p[41] + p[49])) AS p FROM (SELECT {K}, g, tr, {SQUARE} AS p FROM gq{k - 1}))" for k in range(1, SQUARINGS + 1)
+) + f""", pca AS (SELECT {K}, least(1, list_dot_product(g, p) / tr) AS pc1_variance, least(1, sqrt(greatest((p[49] + p[1] - 2 * p[7]) * list_dot_product(g, p), 0)) / separation) AS pc1_abs_cosine FROM gq{SQUARINGS} JOIN (SELECT {K}, max(separation) AS separation FROM geo GROUP BY ALL) USING ({K}))"""
 
 
 @query(PCA + f", l AS (SELECT {K}, ratio_idx, projection_raw, rank() OVER (PARTITION BY {K} ORDER BY projection_raw) AS ry, projection_raw - lag(projection_raw) OVER (PARTITION BY {K} ORDER BY ratio_idx) AS d FROM geo), s AS (SELECT *, CASE WHEN abs(6 * d) > 1e-12 THEN sign(d) END AS sg FROM l), t AS (SELECT *, last_value(sg IGNORE NULLS) OVER (PARTITION BY {K} ORDER BY ratio_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM s), u AS (SELECT {K}, count(*) FILTER (sg <> before) AS turning_points, corr(ratio_idx, ry) AS rho FROM t GROUP BY ALL) SELECT {K}, round(pc1_variance, 5) AS pc1_variance, round(pc1_abs_cosine, 5) AS pc1_abs_cosine, turning_points, round(rho, 6) + 0.0 AS spearman_all FROM pca JOIN u USING ({K})")
