@@ -55,7 +55,7 @@ def an2_protocol_differences(spark, sf):
     return rounded(protocols.against_self(protocol_scenarios(spark, sf), OTHERS, sure))
 
 
-@query(PROTOCOLS + f", m AS (SELECT encoder_id, protocol, model_id, round(avg(ice), 12) AS y FROM ps GROUP BY ALL), b AS (SELECT m.encoder_id, m.protocol, m.model_id, s.y AS x, m.y, {rank_sql('s.y', 'm.encoder_id, m.protocol')} AS rx, {rank_sql('m.y', 'm.encoder_id, m.protocol')} AS ry FROM m JOIN m s USING (encoder_id, model_id) WHERE s.protocol = 'self' AND m.protocol <> 'self'), k AS (SELECT a.encoder_id, a.protocol, sum(sign(a.x - c.x) * sign(a.y - c.y)) / count(*) AS kendall, count(*) FILTER (sign(a.x - c.x) <> sign(a.y - c.y)) AS flips, count(*) AS pairs FROM b a JOIN b c USING (encoder_id, protocol) WHERE a.model_id < c.model_id GROUP BY ALL) SELECT encoder_id, protocol, count(*) AS models, round(corr(rx, ry), 6) AS spearman, round(any_value(kendall), 6) + 0.0 AS kendall, any_value(flips) AS flips, any_value(pairs) AS pairs FROM b JOIN k USING (encoder_id, protocol) GROUP BY ALL")
+@query(PROTOCOLS + f", m AS (SELECT encoder_id, protocol, model_id, round(avg(ice), 12) AS y FROM ps GROUP BY ALL), b AS (SELECT m.encoder_id, m.protocol, m.model_id, s.y AS x, m.y, {rank_sql('s.y', 'm.encoder_id, m.protocol')} AS rx, {rank_sql('m.y', 'm.encoder_id, m.protocol')} AS ry FROM m JOIN m s USING (encoder_id, model_id) WHERE s.protocol = 'self' AND m.protocol <> 'self'), k AS (SELECT a.encoder_id, a.protocol, sum(sign(a.x - c.x) * sign(a.y - c.y)) / nullif(sqrt(count(*) FILTER (a.x <> c.x) * count(*) FILTER (a.y <> c.y)), 0) AS kendall, count(*) FILTER (sign(a.x - c.x) <> sign(a.y - c.y)) AS flips, count(*) AS pairs FROM b a JOIN b c USING (encoder_id, protocol) WHERE a.model_id < c.model_id GROUP BY ALL) SELECT encoder_id, protocol, count(*) AS models, CASE WHEN count(*) >= 3 THEN {corr_sql('rx', 'ry')} END AS spearman, CASE WHEN count(*) >= 3 THEN round(any_value(kendall), 6) + 0.0 END AS kendall, any_value(flips) AS flips, any_value(pairs) AS pairs FROM b LEFT JOIN k USING (encoder_id, protocol) GROUP BY ALL")
 def an3_rank_sensitivity(spark, sf):
     m = protocol_scenarios(spark, sf).groupBy("encoder_id", "protocol", "model_id").agg(F.round(F.avg("ice"), 12).alias("ice"))  # equal but for rounding: ties
     return rounded(protocols.rank_sensitivity(m, OTHERS))
