@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from zlib import crc32
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from axisgauge.operators import resampling
+
 #: Anomalies by name (fixed patterns).
 ANOMALIES = {"assistant_prefix": r"(?i)^\s*(?:assistant|助手)\s*[:：]", "thinking_tag": r"(?i)</?think>|</?analysis>", "prompt_echo": r"目标风格比例|请生成一段中文文本，使其风格", "code_fence": r"```"}
 #: One token: a CJK character, or an ASCII run with inner dots, underscores, slashes or hyphens (fixed pattern).
@@ -65,25 +71,36 @@ def length_compliance(length: Column, low: Column, high: Column) -> list[Column]
     return [(length < low).alias("too_short"), (length > high).alias("too_long"), (off > 0).alias("violation"), off.alias("deviation"), F.abs(length - (low + high) / 2.0).alias("from_middle")]
 
 
-def ngrams(t: str, n: int) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, n), "\x1f"))
+BUCKETS = 256
 
 
-BUCKETS = 256
+def signed_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, x: signed bucket sums of each row's n-grams; one row's tokens at a time."""
+    for batch in batches:
+        x = np.zeros((batch.num_rows, BUCKETS))
+        for row in range(batch.num_rows):
+            t = batch.column(1)[row].as_py() or []
+            if None in t:  # left out of its n-grams
+                hashes = [crc32("\x1f".join(w for w in t[i : i + n] if w is not None).encode()) for n in (1, 2, 3) for i in range(len(t) - n + 1)]
+            else:
+                words = [w.encode() for w in t]
+                later = [b"\x1f" + w for w in words]
+                one = [crc32(w) for w in words]
+                two = [crc32(w, h) for w, h in zip(later[1:], one, strict=False)]
+                hashes = [*one, *two, *(crc32(w, h) for w, h in zip(later[2:], two, strict=False))]
+            h = np.array(hashes, np.int64)
+            x[row] = np.bincount(h & BUCKETS - 1, np.where(h >= 1 << 31, 1.0, -1.0), BUCKETS)
+        ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * BUCKETS)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(x.ravel()))], [batch.schema.names[0], "x"])
 
 
 def hashed_vectors(rows: DataFrame, key: str, t: str) -> DataFrame:
     """key, v: token uni-, bi- and trigrams in signed buckets by CRC-32 (low byte the bucket, highest bit the sign),
-    scaled to length one; zeros without tokens. Rows of one n-gram each are summed before they are shuffled."""
-    grams = F.flatten(F.array(*[F.when(F.size(t) >= n, ngrams(t, n)).otherwise(F.array().cast("array<string>")) for n in (1, 2, 3)]))
-    held = rows.select(key, F.explode(F.array(t)).alias(t))  # else the tokens are split anew for each n-gram
-    hashes = held.select(key, F.explode_outer(F.transform(grams, F.crc32)).alias("h"))
-    bucket, sign = F.col("h").bitwiseAND(BUCKETS - 1), F.when(F.col("h") >= 1 << 31, 1.0).otherwise(-1.0)
-    sums = hashes.groupBy(key, bucket.alias("b")).agg(F.sum(sign).alias("x"))
-    size = F.sqrt(F.sum(F.col("x") * F.col("x")))
-    each = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.when(F.col("b").isNotNull(), F.struct("b", "x")))).alias("m"), size.alias("n"))
-    at = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda b: F.coalesce(F.element_at("m", b.cast("long")), F.lit(0.0)) / F.when(F.col("n") > 0, F.col("n")).otherwise(1.0))
-    return each.select(key, at.alias("v"))
+    scaled to length one; zeros without tokens. A row's n-grams are summed in the task that has it; rows of one key are added."""
+    schema = T.StructType([rows.schema[key], T.StructField("x", T.ArrayType(T.DoubleType()))])
+    each = resampling.added(rows.select(key, t).mapInArrow(signed_counts, schema), [key], ["x"])
+    n = F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, b: a + b * b))
+    return each.withColumn("n", n).select(key, F.transform("x", lambda b: b / F.when(F.col("n") > 0, F.col("n")).otherwise(1.0)).alias("v"))
 
 
 def quality_rows(rows: DataFrame, text: str = "text") -> DataFrame:
