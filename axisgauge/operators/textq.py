@@ -40,10 +40,22 @@ def repetition(t: Column) -> Column:
     return F.when(F.size(t) > 0, (F.size(t) - F.size(F.array_distinct(t))) / F.size(t))
 
 
-def distinct_share(t: Column, n: int) -> Column:
-    """t: a column of its own, not an expression: it is read once for each n-gram."""
-    grams = F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, n), "\x1f"))
-    return F.when(F.size(t) >= n, F.size(F.array_distinct(grams)) / F.size(grams))
+def distinct_shares(rows: DataFrame, key: str, t: str, lengths: tuple[int, ...]) -> DataFrame:
+    """key, and distinct_n for each length n: distinct n-grams as a share of all, null with fewer than n tokens. One row's tokens
+    are looked at at a time."""
+
+    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[] for _ in lengths]
+            for row in batch.column(1):
+                words = row.as_py()
+                for n, share in zip(lengths, out, strict=True):
+                    every = 0 if words is None else len(words) - n + 1
+                    share.append(len(set(zip(*[words[k:] for k in range(n)], strict=False))) / every if every > 0 else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(share, pa.float64()) for share in out]], [key, *[f"distinct_{n}" for n in lengths]])
+
+    schema = T.StructType([rows.schema[key], *[T.StructField(f"distinct_{n}", T.DoubleType()) for n in lengths]])
+    return rows.select(key, t).mapInArrow(shares, schema)
 
 
 @F.pandas_udf(T.IntegerType())

@@ -41,8 +41,8 @@ def distinct_sql(n: int) -> str:
 
 @query(TOK + f"SELECT doc_id, {distinct_sql(2)}, {distinct_sql(3)} FROM t")
 def tx19_distinct_ngrams(spark, sf):
-    t = table(spark, sf, "documents").select("doc_id", F.explode(F.array(textq.tokens(F.col("text")))).alias("t"))
-    return rounded(t.select("doc_id", *[textq.distinct_share(F.col("t"), n).alias(f"distinct_{n}") for n in (2, 3)]))
+    t = table(spark, sf, "documents").select("doc_id", textq.tokens(F.col("text")).alias("t"))
+    return rounded(textq.distinct_shares(t, "doc_id", "t", (2, 3)))
 
 
 @query("SELECT doc_id, length(regexp_replace(text, '[^一-鿿]', '', 'g')) AS cjk FROM documents")

@@ -22,3 +22,9 @@ def test_hashed_vectors_explode_nothing(spark):
     assert got.keys() == want.keys()
     for key, x in want.items():
         assert np.allclose(got[key], x / (np.sqrt((x * x).sum()) or 1))
+
+
+def test_distinct_shares_keep_tokens_apart(spark):
+    rows = [(1, ["a", "b", "a", "b", "a"]), (2, ["a"]), (3, None), (4, ["a\x1fb", "c", "a", "b\x1fc"]), (None, ["x", "y"])]
+    got = {r[0]: tuple(r[1:]) for r in textq.distinct_shares(spark.createDataFrame(rows, "id long, t array<string>"), "id", "t", (2, 3)).collect()}
+    assert got == {1: (0.5, 2 / 3), 2: (None, None), 3: (None, None), 4: (1.0, 1.0), None: (1.0, None)}
