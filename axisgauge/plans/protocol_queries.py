@@ -72,7 +72,7 @@ def references(spark, sf):
 
 REF = """, rh AS (SELECT doc_id, length(text) AS len, ('0x' || substr(md5('ref:' || doc_id), 1, 8))::BIGINT AS h FROM documents),
 rr AS (SELECT 's' || lpad((doc_id // 2)::VARCHAR, greatest(4, length((doc_id // 2)::VARCHAR))::INT, '0') AS scenario_id, doc_id % 2 AS e, len, CASE WHEN h % 23 > 0 THEN h % 7 > 1 END AS ok, CASE WHEN h % 23 > 0 THEN 10 + 50 * (doc_id % 2) + h % 41 - 10 END AS i FROM rh),
-rp AS (SELECT a.scenario_id, a.len AS length_a, b.len AS length_b, a.ok AS passed_a, b.ok AS passed_b, a.i AS intensity_a, b.i AS intensity_b, b.i - a.i AS style_span, coalesce(a.ok, false) AND coalesce(b.ok, false) AS both_content_pass, a.len BETWEEN 200 AND 2000 AND b.len BETWEEN 200 AND 2000 AS both_length_pass, a.i IS NOT NULL AND b.i IS NOT NULL AS both_screened FROM rr a JOIN rr b USING (scenario_id) WHERE a.e = 0 AND b.e = 1)"""
+rp AS (SELECT scenario_id, a.len AS length_a, b.len AS length_b, a.ok AS passed_a, b.ok AS passed_b, a.i AS intensity_a, b.i AS intensity_b, b.i - a.i AS style_span, coalesce(a.ok, false) AND coalesce(b.ok, false) AS both_content_pass, coalesce(a.len BETWEEN 200 AND 2000, false) AND coalesce(b.len BETWEEN 200 AND 2000, false) AS both_length_pass, a.i IS NOT NULL AND b.i IS NOT NULL AS both_screened FROM (SELECT * FROM rr WHERE e = 0) a FULL JOIN (SELECT * FROM rr WHERE e = 1) b USING (scenario_id))"""
 
 
 @query(REF + " SELECT * FROM rp")
