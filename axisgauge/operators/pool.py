@@ -144,30 +144,39 @@ def normalised_content(text: Column) -> Column:
     return F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", ""))
 
 
+def first_texts(rows: DataFrame, axis: str, order: str, content: str) -> DataFrame:
+    """axis, text, order: each normalised content of an axis and its first row. Equal contents are gathered before anything is
+    made of them."""
+    return rows.select(axis, order, normalised_content(F.col(content)).alias("text")).groupBy(axis, "text").agg(F.min(order).alias(order))
+
+
 def representatives(rows: DataFrame, axis: str, order: str, content: str) -> DataFrame:
-    """axis, order, grams, rep: rows with the same bigrams stand for each other in near-duplicate search; rep is the first of
-    them. Rows without bigrams represent nothing and are left out."""
-    g = rows.select(axis, order, bigrams(normalised_content(F.col(content))).alias("g")).select(axis, order, F.array_sort("g").alias("grams")).where(F.size("grams") > 0)
-    first = g.groupBy(axis, "grams").agg(F.min(order).alias("rep"))
-    return g.join(first, [axis, "grams"])
+    """axis, order, text, grams: the first of the rows with the same bigrams, which stands for all of them in near-duplicate
+    search. Rows without bigrams represent nothing and are left out."""
+    return first_grams(first_texts(rows, axis, order, content), axis, order)
+
+
+def first_grams(texts: DataFrame, axis: str, order: str) -> DataFrame:
+    g = texts.where("text != ''").select(axis, order, "text", F.array_sort(bigrams(F.col("text"))).alias("grams"))
+    return g.groupBy(axis, "grams").agg(F.min(F.struct(order, "text")).alias("first")).select(axis, "first.*", "grams")
 
 
 def curate(rows: DataFrame, axis: str, order: str, content: str, reasons: str, checkpoint=None) -> DataFrame:
     """rows with accepted, and their reasons sorted, with duplicate_content (the same content as an earlier accepted row of
     the axis) and near_duplicate_content (0.45 alike to one). Only rows without other reasons compete. Rows with equal
-    bigrams are decided by their first: if that is accepted the others are near it, and if not, neither are they."""
-    ok = rows.where(F.size(reasons) == 0)
-    reps = representatives(ok, axis, order, content)
-    one = reps.where(F.col(order) == F.col("rep")).select(axis, order, "grams")
-    empty = ok.select(axis, order, normalised_content(F.col(content)).alias("_n")).where("_n = ''").groupBy(axis).agg(F.min(order).alias(order))
-    decided = greedy_accept(one, near_pairs(one, axis, order, "grams"), axis, order, checkpoint)
-    taken = decided.where("accepted").select(axis, order).unionByName(empty.select(axis, order)).withColumn("accepted", F.lit(True))
-    all_rows = rows.withColumn("_norm", normalised_content(F.col(content))).join(taken, [axis, order], "left")
-    seen = all_rows.where("accepted").groupBy(axis, F.col("_norm")).agg(F.min(order).alias("_first"))
-    j = all_rows.join(seen, [axis, "_norm"], "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
+    bigrams are decided by their first: if that is accepted the others are near it, and if not, neither are they. All rows
+    are read twice and met once, by their contents, with what was accepted; the rest works on distinct contents."""
+    checkpoint = checkpoint or (lambda df: df.checkpoint())
+    texts = checkpoint(first_texts(rows.where(F.size(reasons) == 0), axis, order, content))
+    one = checkpoint(first_grams(texts, axis, order))
+    decided = greedy_accept(one, checkpoint(near_pairs(one, axis, order, "grams")), axis, order, checkpoint)
+    taken = one.join(decided.where("accepted"), [axis, order], "left_semi").select(axis, "text", order).unionByName(texts.where("text = ''"))
+    seen = checkpoint(taken.select(axis, F.col("text").alias("_norm"), F.col(order).alias("_first")))
+    j = rows.withColumn("_norm", normalised_content(F.col(content))).join(seen, [axis, "_norm"], "left")
+    mine = (F.size(reasons) == 0) & F.coalesce(F.col("_first") == F.col(order), F.lit(False))
     twin = F.coalesce(F.col("_first") < F.col(order), F.lit(False))
     more = F.array_compact(F.array(F.when(twin, "duplicate_content"), F.when((F.size(reasons) == 0) & ~twin & ~F.col("accepted"), "near_duplicate_content")))
-    return j.withColumn(reasons, F.array_sort(F.array_distinct(F.concat(reasons, more)))).drop("_norm", "_first")
+    return j.withColumn("accepted", mine).withColumn(reasons, F.array_sort(F.array_distinct(F.concat(reasons, more)))).drop("_norm", "_first")
 
 
 def pool_summary(candidates: DataFrame, filtered: DataFrame, final: DataFrame, rejected: DataFrame, axis: str, domain: str, k: int = 5) -> DataFrame:

@@ -101,13 +101,13 @@ g1 AS (SELECT axis_id, gs, min(input_ord) AS input_ord FROM g0 GROUP BY ALL), p
 @query(BG + "SELECT axis_id, late, early FROM p")
 def tx12_near_pairs(spark, sf):
     """Between contents that stand for all with the same bigrams."""
-    r = pool.representatives(contents(spark, sf), "axis_id", "input_ord", "content").where("input_ord = rep")
+    r = cut(pool.representatives(contents(spark, sf), "axis_id", "input_ord", "content"))
     return pool.near_pairs(r, "axis_id", "input_ord", "grams")
 
 
 @query()
 def tx12_greedy_rejection(spark, sf):
-    r = cut(pool.representatives(contents(spark, sf), "axis_id", "input_ord", "content").where("input_ord = rep").select("axis_id", "input_ord", "grams"))
+    r = cut(pool.representatives(contents(spark, sf), "axis_id", "input_ord", "content"))
     return pool.greedy_accept(r, cut(pool.near_pairs(r, "axis_id", "input_ord", "grams")), "axis_id", "input_ord", cut)
 
 
