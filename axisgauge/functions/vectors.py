@@ -34,11 +34,23 @@ def matrix(s: pd.Series) -> np.ndarray:
     return out
 
 
+#: Rows of a batch that are projected at once; about ten matrices of them are held.
+AT_ONCE = 1000
+
+
 @F.pandas_udf(PROJECTION)
 def project(v: pd.Series, a: pd.Series, b: pd.Series, alpha: pd.Series) -> pd.DataFrame:
     """Coordinate of v on the line from a to b, and distances from the line, its point at alpha, and both ends; `along`
     is (v - a).(b - a). With collapsed ends the coordinate is null, as is what follows from it."""
+    parts = [projected(*(s.iloc[k : k + AT_ONCE] for s in (v, a, b, alpha))) for k in range(0, max(len(v), 1), AT_ONCE)]
+    out = pd.concat(parts, ignore_index=True)
+    return out.astype(object).where(~out.isna(), None)
+
+
+def projected(v: pd.Series, a: pd.Series, b: pd.Series, alpha: pd.Series) -> pd.DataFrame:
     v, a, b = matrix(v), matrix(a), matrix(b)
+    wide = max(x.shape[1] for x in (v, a, b))
+    v, a, b = (np.pad(x, ((0, 0), (0, wide - x.shape[1]))) for x in (v, a, b))  # narrower where the longest are null
     step, off = b - a, v - a
     along, whole = np.einsum("ij,ij->i", off, step), np.einsum("ij,ij->i", step, step)
     separation = np.sqrt(whole)
@@ -49,7 +61,7 @@ def project(v: pd.Series, a: pd.Series, b: pd.Series, alpha: pd.Series) -> pd.Da
     left = np.linalg.norm(off - (axial + across), axis=1) / np.maximum(np.linalg.norm(off, axis=1), 1)
     out = {"coordinate": c, "off_axis": np.where(ok, np.linalg.norm(across, axis=1), np.nan), "from_ideal": np.where(ok, np.linalg.norm(off - alpha.to_numpy(float)[:, None] * step, axis=1), np.nan)}
     out |= {"from_a": np.linalg.norm(off, axis=1), "from_b": np.linalg.norm(v - b, axis=1), "separation": separation, "along": along, "residual": left}
-    return pd.DataFrame({k: pd.Series(x).astype(object).where(~np.isnan(x), None) for k, x in out.items()})
+    return pd.DataFrame(out)
 
 
 @F.pandas_udf(doubles("pc1_variance", "pc1_abs_cosine"))

@@ -8,7 +8,7 @@ level; the driver gets a few sums a step. Factors may overlap or be nested: resi
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -75,21 +75,23 @@ def lists(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def gram(rows: DataFrame, column: str) -> np.ndarray:
-    """The sum of outer products of an array column (equal lengths, no nulls): added up in numpy by each task, merged row of
-    the matrix by row in Spark. As large as the array's length squared, whatever the number of rows."""
+def gram(rows: DataFrame, *columns: str, of: Callable[[pa.RecordBatch], np.ndarray] | None = None) -> np.ndarray:
+    """The sum of outer products of an array column (equal lengths, no nulls), or of the rows that `of` makes of a batch of the
+    columns: added up in numpy by each task, merged row of the matrix by row in Spark. As large as the array's length squared,
+    whatever the number of rows. Rows are made in the worker that adds them up: two functions in a chain hold two workers a core."""
+    of = of or (lambda batch: lists(batch.column(0)))
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
             if batch.num_rows:
-                v = lists(batch.column(0))
+                v = of(batch)
                 total = v.T @ v if total is None else total + v.T @ v
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.ListArray.from_arrays(pa.array(np.arange(len(total) + 1, dtype=np.int32) * len(total)), pa.array(total.ravel()))], ["i", "s"])
 
     schema = T.StructType([T.StructField("i", T.IntegerType()), T.StructField("s", T.ArrayType(T.DoubleType()))])
-    found = added(rows.select(column).mapInArrow(add_up, schema), ["i"], ["s"]).orderBy("i").collect()  # a row for each place
+    found = added(rows.select(*columns).mapInArrow(add_up, schema), ["i"], ["s"]).orderBy("i").collect()  # a row for each place
     return np.array([r["s"] for r in found], float).reshape(len(found), -1)
 
 
@@ -111,17 +113,12 @@ def cluster_scores(rows: DataFrame, cluster: str, beta: np.ndarray) -> DataFrame
     return added(rows.select(cluster, "x", "y").mapInArrow(add_up, schema), [cluster], ["s"])
 
 
-def squared_residuals(rows: DataFrame, beta: np.ndarray) -> DataFrame:
-    """v: x and the squared residual behind it."""
-
-    def squares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x = lists(batch.column("x"))
-                e = batch.column("y").to_numpy(zero_copy_only=False) - x @ beta
-                v = np.column_stack([x, e * e])
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * v.shape[1]), pa.array(v.ravel()))], ["v"])
-
-    return rows.select("x", "y").mapInArrow(squares, T.StructType([T.StructField("v", T.ArrayType(T.DoubleType()))]))
+def squared_residuals(beta: np.ndarray) -> Callable[[pa.RecordBatch], np.ndarray]:
+    """Of a batch of x and y: x and the squared residual behind it."""
 
+    def squares(batch: pa.RecordBatch) -> np.ndarray:
+        x = lists(batch.column("x"))
+        e = batch.column("y").to_numpy(zero_copy_only=False) - x @ beta
+        return np.column_stack([x, e * e])
 
+    return squares

@@ -275,7 +275,7 @@ def clustered_ols(rows: DataFrame, y: str, terms: dict[str, Column], cluster: st
     beta = inverse @ xy
     scores = cut(absorption.cluster_scores(d, cluster, beta))
     meat, g = absorption.gram(scores, "s"), scores.count()
-    squares = absorption.gram(absorption.squared_residuals(d, beta), "v")
+    squares = absorption.gram(d, "x", "y", of=absorption.squared_residuals(beta))
     q, qq = squares[:p, p], squares[p, p]
     two = d.agg(F.var_pop("y").alias("v"), F.avg("y").alias("m")).first()
     tss, rss = (two["v"] * n, float(q[0])) if not absorb else (float(whole[p, p]), float(whole[p, p] - xy @ beta))
