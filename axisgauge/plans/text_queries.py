@@ -123,7 +123,7 @@ def tx11_curated_contents(spark, sf):
 
 @query()
 def tx15_pool_summary(spark, sf):
-    c = cut(curated(spark, sf))
+    c = cut(curated(spark, sf).select("axis_id", "input_ord", "domain", "accepted", "reasons"))
     final = pool.diverse_pick(c.where("accepted"), "axis_id", "domain", "input_ord", 3)
     return pool.pool_summary(contents(spark, sf), c.where("accepted"), final, c.where("not accepted"), "axis_id", "domain")
 
