@@ -363,11 +363,11 @@ def failure_rows(spark, sf):
     return own.join(ext, "run_id").join(j, "run_id", "left").join(length, "run_id", "left")
 
 
-FAILSQL = """, fx0 AS (SELECT g.run_id, g.scenario_id, g.model_id, g.seed, g.ratio_idx, g.target_ratio, g.projection_raw AS own, (list_dot_product(v, b) - list_dot_product(v, a) - list_dot_product(a, b) + list_dot_product(a, a)) / list_distance(a, b) ** 2 AS external FROM geo g JOIN points p USING (run_id) JOIN (SELECT x.vec_id // 2 AS n, x.embedding::DOUBLE[] AS a, y.embedding::DOUBLE[] AS b FROM embeddings x JOIN embeddings y ON y.vec_id = x.vec_id + 1 WHERE x.vec_id % 2 = 0) ON substr(g.scenario_id, 2)::BIGINT = n WHERE g.encoder_id = 'full'),
+FAILSQL = """, fx0 AS (SELECT g.run_id, g.scenario_id, g.model_id, g.seed, g.ratio_idx, g.target_ratio, CASE WHEN g.separation > 1e-12 THEN g.projection_raw END AS own, v = a OR v = b AS at_end, CASE WHEN list_distance(a, b) > 1e-12 THEN (list_dot_product(v, b) - list_dot_product(v, a) - list_dot_product(a, b) + list_dot_product(a, a)) / list_distance(a, b) ** 2 END AS external FROM geo g JOIN points p USING (run_id) JOIN (SELECT x.vec_id // 2 AS n, x.embedding::DOUBLE[] AS a, y.embedding::DOUBLE[] AS b FROM embeddings x JOIN embeddings y ON y.vec_id = x.vec_id + 1 WHERE x.vec_id % 2 = 0) ON substr(g.scenario_id, 2)::BIGINT = n WHERE g.encoder_id = 'full'),
 fx AS (SELECT fx0.*, abs(external - target_ratio) AS ee, a.intensity AS ai, b.intensity AS bi, a.passed AS ap, b.passed AS bp, a.naturalness / 5.0::DOUBLE AS ac, b.naturalness / 5.0::DOUBLE AS bc, character_length AS len FROM fx0 LEFT JOIN (SELECT run_id, intensity, passed, naturalness FROM jud WHERE judge = 'j1' AND NOT missing) a USING (run_id) LEFT JOIN (SELECT run_id, intensity, passed, naturalness FROM jud WHERE judge = 'j2' AND NOT missing) b USING (run_id) LEFT JOIN (SELECT run_id, character_length FROM txt) USING (run_id)),
-fr AS (SELECT scenario_id, model_id, seed, corr(x, y) AS rho, arg_max(run_id, ee) AS run_id FROM (SELECT *, rank() OVER (PARTITION BY scenario_id, model_id, seed ORDER BY ratio_idx) AS x, rank() OVER (PARTITION BY scenario_id, model_id, seed ORDER BY external) AS y FROM fx WHERE ratio_idx BETWEEN 1 AND 5) GROUP BY ALL HAVING count(*) = 5),
+fr AS (SELECT scenario_id, model_id, seed, CASE WHEN stddev_pop(y) > 1e-12 THEN corr(x, y) END AS rho, arg_min(run_id, (-ee, run_id)) AS run_id FROM (SELECT *, rank() OVER (PARTITION BY scenario_id, model_id, seed ORDER BY ratio_idx) AS x, """ + rank_sql("external", "scenario_id, model_id, seed") + """ AS y FROM fx WHERE ratio_idx BETWEEN 1 AND 5 AND external IS NOT NULL) GROUP BY ALL HAVING count(*) = 5),
 fy AS (SELECT fx.*, rho, greatest(abs(ai / 100.0 - target_ratio), abs(bi / 100.0 - target_ratio)) AS mae, greatest(0, 200 - len) + greatest(0, len - 2000) AS outside FROM fx LEFT JOIN fr USING (run_id)),
-sev AS (SELECT run_id, 'content_failure' AS category, 0 AS place, 2 - coalesce(ac, 1.0) - coalesce(bc, 1.0) AS severity FROM fy WHERE NOT coalesce(ap, true) OR NOT coalesce(bp, true) UNION ALL SELECT run_id, 'style_under_or_overshoot', 1, mae FROM fy WHERE mae >= 0.25 UNION ALL SELECT run_id, 'external_out_of_range', 2, greatest(-external, external - 1) FROM fy WHERE external < -1e-12 OR external > 1
+sev AS (SELECT run_id, 'content_failure' AS category, 0 AS place, 2 - coalesce(ac, 1.0) - coalesce(bc, 1.0) AS severity FROM fy WHERE NOT coalesce(ap, true) OR NOT coalesce(bp, true) UNION ALL SELECT run_id, 'style_under_or_overshoot', 1, mae FROM fy WHERE mae >= 0.25 UNION ALL SELECT run_id, 'external_out_of_range', 2, greatest(-external, external - 1) FROM fy WHERE NOT at_end AND (external < 0 OR external > 1)
   UNION ALL SELECT run_id, 'non_monotonic', 3, 0.5 - rho FROM fy WHERE rho < 0.5 - 1e-12 UNION ALL SELECT run_id, 'length_violation', 4, outside FROM fy WHERE outside > 0 UNION ALL SELECT run_id, 'judge_disagreement', 5, abs(ai - bi) FROM fy WHERE abs(ai - bi) >= 25 UNION ALL SELECT run_id, 'anchor_disagreement', 6, abs(own - external) FROM fy WHERE abs(own - external) >= 0.25)"""
 
 
