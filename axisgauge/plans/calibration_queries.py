@@ -130,7 +130,7 @@ def ge6_piecewise_line(spark, sf):
     return rounded(geometry.piecewise_line(points(spark, sf, True), ["scenario_id", "style_axis", "model_id", "encoder_id"]))
 
 
-@query("""SELECT run_id, round((list_dot_product(v, b) - list_dot_product(v, a) - list_dot_product(a, b) + list_dot_product(a, a)) / list_distance(a, b) ** 2, 6) + 0.0 AS projection_raw FROM points
+@query("""SELECT run_id, CASE WHEN list_distance(a, b) > 1e-12 THEN round((list_dot_product(v, b) - list_dot_product(v, a) - list_dot_product(a, b) + list_dot_product(a, a)) / list_distance(a, b) ** 2, 6) + 0.0 END AS projection_raw FROM points
 JOIN (SELECT x.vec_id // 2 AS n, x.embedding::DOUBLE[] AS a, y.embedding::DOUBLE[] AS b FROM embeddings x JOIN embeddings y ON y.vec_id = x.vec_id + 1 WHERE x.vec_id % 2 = 0) r ON substr(scenario_id, 2)::BIGINT = r.n""")
 def ge11_external_anchors(spark, sf):
     refs = spark.read.parquet(f"{sf}/embeddings.parquet").select(pair_id("vec_id").alias("scenario_id"), F.when(F.col("vec_id") % 2 == 0, "A").otherwise("B").alias("endpoint"), F.col("embedding").cast("array<double>").alias("v"))
