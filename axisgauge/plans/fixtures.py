@@ -118,8 +118,9 @@ pg0 AS (SELECT e.*, 'self' AS protocol, a, b FROM enc e JOIN anc USING (scenario
   UNION ALL SELECT e.*, 'external', CASE encoder_id WHEN 'full' THEN a WHEN 'lo' THEN a[1:32] ELSE a[33:64] END, CASE encoder_id WHEN 'full' THEN b WHEN 'lo' THEN b[1:32] ELSE b[33:64] END FROM enc e JOIN refv ON substr(scenario_id, 2)::BIGINT = n),
 pg1 AS (SELECT * EXCLUDE (v, a, b), v = a OR v = b AS at_end, list_distance(a, b) AS separation, list_distance(v, a) AS from_a, list_dot_product(v, b) - list_dot_product(v, a) - list_dot_product(a, b) + list_dot_product(a, a) AS along FROM pg0),
 pg2 AS (SELECT i.run_id, i.encoder_id, i.protocol, 1 + count(*) FILTER (j.run_id <> i.run_id AND j.from_a ** 2 - 2 * i.target_ratio * j.along + (i.target_ratio * i.separation) ** 2 < i.from_a ** 2 - 2 * i.target_ratio * i.along + (i.target_ratio * i.separation) ** 2 - 1e-13) AS nn FROM pg1 i JOIN pg1 j USING (scenario_id, model_id, seed, encoder_id, protocol) GROUP BY ALL),
-pg AS (SELECT *, along / separation ** 2 AS projection_raw, abs(along / separation ** 2 - target_ratio) AS ice, sqrt(greatest(from_a ** 2 - along ** 2 / separation ** 2, 0)) / (separation + 1e-12) AS drift,
-  sqrt(greatest(from_a ** 2 - 2 * target_ratio * along + target_ratio ** 2 * separation ** 2, 0)) / (separation + 1e-12) AS distance, (NOT at_end AND (along < 0 OR along > separation ** 2))::INT AS oor, ratio_idx BETWEEN 1 AND 5 AS is_interior FROM pg1 JOIN pg2 USING (run_id, encoder_id, protocol)),
+pg3 AS (SELECT *, CASE WHEN separation > 1e-12 AND along IS NOT NULL THEN separation END AS wide FROM pg1 JOIN pg2 USING (run_id, encoder_id, protocol)),
+pg AS (SELECT *, along / wide ** 2 AS projection_raw, abs(along / wide ** 2 - target_ratio) AS ice, CASE WHEN wide > 0 THEN sqrt(greatest(from_a ** 2 - along ** 2 / wide ** 2, 0)) / (wide + 1e-12) END AS drift,
+  CASE WHEN wide > 0 THEN sqrt(greatest(from_a ** 2 - 2 * target_ratio * along + target_ratio ** 2 * wide ** 2, 0)) / (wide + 1e-12) END AS distance, CASE WHEN wide > 0 THEN (NOT at_end AND (along < 0 OR along > wide ** 2))::INT END AS oor, ratio_idx BETWEEN 1 AND 5 AS is_interior FROM pg3),
 traj AS (SELECT scenario_id, style_axis, model_id, seed, encoder_id, protocol, avg(ice) FILTER (is_interior) AS ice, avg(drift) FILTER (is_interior) AS drift, avg(distance) FILTER (is_interior) AS distance, avg(oor) FILTER (is_interior) AS oor, avg(nn) FILTER (is_interior) AS mean_rank, avg(separation) AS separation FROM pg GROUP BY ALL),
 ps AS (SELECT scenario_id, style_axis, model_id, encoder_id, protocol, avg(ice) AS ice, avg(drift) AS drift, avg(distance) AS distance, avg(oor) AS oor, avg(mean_rank) AS mean_rank, avg(separation) AS separation, count(*) AS trajectories FROM traj GROUP BY ALL)"""
 
