@@ -27,7 +27,7 @@ def tables(tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["fa4_severities", "ge11_external_anchors", "ge15_shared_scenarios"])
+@pytest.mark.parametrize("name", ["fa4_severities", "ge11_external_anchors", "ge15_shared_scenarios", "rb4_source_scores"])
 def test_same_rows_as_sql(spark, tables, name):
     con = duckdb.connect()
     for t in ("documents", "embeddings"):
