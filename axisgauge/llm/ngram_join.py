@@ -15,10 +15,11 @@ prefix) of each in any common order, and m of the first that many + m - 1. The o
    appears once under each of its prefix's shingles, whatever number of documents it has.
 3. Groups that meet under a shingle are filtered by size and become group pairs; a pair must share `SHARED` shingles of
    its (that much longer) prefixes. Where more than `PAIRED` groups meet, no pairs are made: the list of groups is kept,
-   and equal lists are kept once.
+   and equal lists are kept once. What meets is taken apart first where its sizes have a gap too wide for any link.
 4. What has met forms clusters. A cluster is expanded to its members, classes of equal sets, and cut into blocks of
-   bounded size. Every two blocks of a cluster meet in one task, which compares all whole sets there and gives a
-   spanning set of the links, not all pairs; so no link between different sets is lost.
+   bounded size. Every two blocks of a cluster meet in one task, which compares all whole sets there (near copies by
+   what they do not have in common) and gives a spanning set of the links, not all pairs; so no link between different
+   sets is lost.
 5. Links give components.
 
 Defined results: null or empty texts and texts without words have empty sets and link with nothing; rows with one id
@@ -43,9 +44,11 @@ from axisgauge.llm.components import components
 #: A shingle in more prefixes than this is put at the end of the order; the list of them has at most so many entries.
 FREQUENT, DEMOTED = 8, 1_000_000
 #: So many groups under one shingle are paired one by one; the lists of more are kept whole.
-PAIRED = 16
+PAIRED = 64
 #: Pairs must share so many shingles of their prefixes, which are that much longer; elements of sets in a block.
 SHARED, BLOCK_ELEMENTS = 4, 300_000
+#: Sets of one family in a block, at least, and families looked for; this only makes comparing faster.
+FAMILY, FAMILIES = 32, 16
 #: Bytes of text for each bucket of prefixes, at most.
 BUCKET_BYTES = 8 << 20
 #: Bytes of text, and elements of prefixes, held at once by a task; texts in a batch.
@@ -187,18 +190,19 @@ def candidates(docs: DataFrame, width: int, num: int, den: int, frequent: np.nda
         groups = np.concatenate([x[8 * k : 16 * k].view(np.int64) for x, k in zip(held, m, strict=True)])
         sizes = np.concatenate([x[16 * k :].view(np.int32) for x, k in zip(held, m, strict=True)])
         found = []
-        order = np.lexsort((groups, tokens))
+        order = np.lexsort((groups, sizes, tokens))
         tokens, groups, sizes = tokens[order], groups[order], sizes[order]
         new = np.concatenate([[True], (tokens[1:] != tokens[:-1]) | (groups[1:] != groups[:-1])])
-        tokens, groups, sizes = tokens[new], groups[new], sizes[new]
-        starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+        tokens, groups, sizes = tokens[new], groups[new], sizes[new].astype(np.int64)
+        # what stands under one shingle, apart where sizes leave a gap that no link crosses
+        starts = np.flatnonzero(np.concatenate([[True], (tokens[1:] != tokens[:-1]) | (sizes[:-1] * den < sizes[1:] * num)]))
         counts = np.diff(np.append(starts, len(tokens)))
         for c in range(2, PAIRED + 1):
             at = starts[counts == c]
             if len(at):
                 x, y = np.triu_indices(c, 1)
                 x, y = (at[:, None] + x).ravel(), (at[:, None] + y).ravel()
-                near = np.minimum(sizes[x], sizes[y]).astype(np.int64) * den >= np.maximum(sizes[x], sizes[y]).astype(np.int64) * num
+                near = np.minimum(sizes[x], sizes[y]) * den >= np.maximum(sizes[x], sizes[y]) * num
                 found.append(np.stack([groups[x[near]], groups[y[near]]]))
         pairs, shared = np.zeros((2, 0), np.int64), np.zeros(0, np.int64)
         if sum(x.shape[1] for x in found):
@@ -223,29 +227,84 @@ def candidates(docs: DataFrame, width: int, num: int, den: int, frequent: np.nda
     return written(rows.groupBy("bucket").applyInArrow(meet, "kind string, a long, b long, n long, key binary"), "prefixes")
 
 
+def overlaps(left: tuple[np.ndarray, np.ndarray], m: int, right: tuple[np.ndarray, np.ndarray], n: int, width: int) -> Iterator[np.ndarray]:
+    """For each of the m left rows, in how many columns it meets each of the n right ones; entries are (row, column), the left ones sorted by row."""
+    order = np.argsort(right[1], kind="stable")
+    holders, cuts = right[0][order], np.searchsorted(right[1][order], np.arange(width + 1))
+    cuts_of = np.searchsorted(left[0], np.arange(m + 1))
+    for r in range(m):
+        own = left[1][cuts_of[r] : cuts_of[r + 1]]
+        length = cuts[own + 1] - cuts[own]
+        to = np.cumsum(length)
+        at = np.repeat(cuts[own] - (to - length), length) + np.arange(int(to[-1]) if len(to) else 0)
+        yield np.bincount(holders[at], minlength=n)
+
+
+def families(row: np.ndarray, column: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A family for each row: rows that have over half of their elements from one row of it; the last is that of all others."""
+    m, family = len(n), np.full(len(n), -1)
+    for g in range(FAMILIES):
+        free = family < 0
+        if free.sum() < FAMILY:
+            break
+        held = np.bincount(column[free[row]], minlength=int(column.max(initial=-1)) + 1)
+        common = np.bincount(row, held[column], m) / n
+        inside = np.zeros(len(held), bool)
+        inside[column[row == np.argmax(np.where(free, common, -1))]] = True
+        like = free & (2 * np.bincount(row[inside[column]], minlength=m) > n)
+        if like.sum() < FAMILY:
+            break
+        family[like] = g
+    return np.where(family < 0, family.max(initial=-1) + 1, family)
+
+
+def changes(row: np.ndarray, column: np.ndarray, m: int, width: int) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """(entries, common): in a common column, one that over half of the m rows have, the rows that lack it are entries instead."""
+    common = 2 * np.bincount(column, minlength=width) > m
+    at = np.cumsum(common) - 1
+    lacks = np.ones((m, int(common.sum())), bool)
+    late = common[column]
+    lacks[row[late], at[column[late]]] = False
+    more, which = np.nonzero(lacks)
+    row, column = np.concatenate([row[~late], more]), np.concatenate([column[~late], np.flatnonzero(common)[which]])
+    order = np.argsort(row, kind="stable")
+    return (row[order], column[order]), common
+
+
 def block_links(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """A spanning set of the links among the sets: row numbers, each with the first row of its component."""
+    """A spanning set of the links among the sets: row numbers, each with the first row of its component.
+
+    Near copies have most elements in common, so within a family sets are compared by what they have or lack besides:
+    with K common columns, of which x and y lack i and j, they share K - i - j of those, and one for each that both lack."""
     m, n = len(sets), np.array([len(s) for s in sets])
     _, column = np.unique(np.concatenate(sets), return_inverse=True)
     row = np.repeat(np.arange(m), n)
     shared = np.bincount(column) > 1
     keep = shared[column]
     row, column = row[keep], (np.cumsum(shared) - 1)[column[keep]]
-    order = np.argsort(column, kind="stable")
-    holders = row[order]
-    cuts = np.searchsorted(column[order], np.arange(int(shared.sum()) + 1))
-    cuts_of = np.searchsorted(row, np.arange(m + 1))
+    width = int(shared.sum())
     label = np.arange(m)
-    for r in range(m):
-        own = column[cuts_of[r] : cuts_of[r + 1]]
-        length = cuts[own + 1] - cuts[own]
-        to = np.cumsum(length)
-        at = np.repeat(cuts[own] - (to - length), length) + np.arange(int(to[-1]) if len(to) else 0)
-        both = np.bincount(holders[at], minlength=m)[:r]
-        met = np.unique(label[:r][both * (num + den) >= num * (n[:r] + n[r])])
-        if len(met):
-            label[r] = met[0]
-            label[: r + 1][np.isin(label[: r + 1], met)] = met[0]
+
+    def link(r: int, others: np.ndarray, both: np.ndarray) -> None:
+        met = np.unique(label[others[both * (num + den) >= num * (n[others] + n[r])]])
+        if len(met) > 1 or len(met) and met[0] != label[r]:
+            met = np.union1d(met, label[r])
+            label[np.isin(label, met)] = met[0]
+
+    family = families(row, column, n)
+    for g in range(int(family.max()) + 1):
+        own, later = np.flatnonzero(family == g), np.flatnonzero(family > g)
+        place = np.zeros(m, np.int64)
+        place[own], place[later] = np.arange(len(own)), np.arange(len(later))
+        mine, theirs = family[row] == g, family[row] > g
+        left, right = (place[row[mine]], column[mine]), (place[row[theirs]], column[theirs])
+        entries, common = changes(*left, len(own), width)
+        lacking = np.bincount(entries[0][common[entries[1]]], minlength=len(own))
+        for r, both in enumerate(overlaps(entries, len(own), entries, len(own), width)):
+            link(own[r], own[:r], both[:r] + int(common.sum()) - lacking[:r] - lacking[r])
+        if len(later):
+            for r, both in enumerate(overlaps(left, len(own), right, len(later), width)):
+                link(own[r], later, both)
     return [(int(label[r]), r) for r in range(m) if label[r] != r]
 
 
